@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .mixing import op3_mixing
 from .packing import op1_packing
+from .simhash import op7_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing,)}
+    return {f.__name__: f for f in (op1_packing, op3_mixing, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
