@@ -8,10 +8,11 @@ from .packing import op1_packing
 from .pii import op8_pii
 from .quality import op4_quality
 from .simhash import op7_simhash
+from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op3_mixing, op4_quality, op6_langid, op7_simhash, op8_pii)}
+    return {f.__name__: f for f in (op1_packing, op3_mixing, op4_quality, op6_langid, op7_simhash, op8_pii, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
