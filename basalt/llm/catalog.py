@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .fingerprints import op5_fingerprints
+from .html import op2_html
 from .langid import op6_langid
 from .mixing import op3_mixing
 from .packing import op1_packing
@@ -12,7 +14,7 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op3_mixing, op4_quality, op6_langid, op7_simhash, op8_pii, op9_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_html, op3_mixing, op4_quality, op5_fingerprints, op6_langid, op7_simhash, op8_pii, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

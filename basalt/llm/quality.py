@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, stored, table
+from .common import broadcast_if_small, crc32_mod, stored, table
 
 STATISTICS = 18
 
@@ -85,13 +85,10 @@ def isotonic(value: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat([b[0] for b in blocks], [b[2] for b in blocks])
 
 
-def _measure(with_label: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [statistics(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(x, pa.list_(pa.float64()))], names=[*batch.schema.names[1:], "x"])
-
-    return run
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = [statistics(t or "") for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(x, pa.list_(pa.float64()))], names=[*batch.schema.names[1:], "x"])
 
 
 def _normal_equations(model: Model):
@@ -125,20 +122,28 @@ def _binned(model: Model, low: float, high: float, bins: int):
     return run
 
 
-def fit(labelled: DataFrame, features: int = 256, ridge: float = 1e-3, width: float = 0.12, bins: int = 400, sample: int = 40_000, seed: int = 42) -> Model:
-    """Model from rows with ``doc_id``, ``text`` and ``label`` (0 or 1; others and nulls teach nothing).
+def taught(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> DataFrame:
+    """(h, text, label) of about ``sample`` labelled documents at most, chosen by ``h``, a seeded hash of their ids below 2^40.
+
+    ``labels`` has ``doc_id`` and ``label``; labels other than 0 and 1 teach nothing, and of an id's labels the largest
+    counts. The chosen labels are counted before they are broadcast.
+    """
+    known = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    n = known.count()
+    known = known.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))).where(F.col("h") < int(min(1.0, sample / max(n, 1)) * (1 << 40)))
+    known = stored(known, "taught")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts.join(broadcast_if_small(known, known.count(), 2 * sample), "doc_id").select("h", "text", "label")
+
+
+def fit(docs: DataFrame, labels: DataFrame, features: int = 256, ridge: float = 1e-3, width: float = 0.12, bins: int = 400, sample: int = 40_000, seed: int = 42) -> Model:
+    """Model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``label``), of which ``taught`` chooses.
 
-    At most about ``sample`` labelled rows, chosen by a seeded hash of their ids, are read. Three quarters of them, by
-    hash, fit the ridge regression; the rest calibrate it.
+    Three quarters of the rows, by hash, fit the ridge regression; the rest calibrate it.
     """
-    rows = labelled.where("label in (0, 1)")
-    n = rows.count()
     nothing = Model(np.zeros(STATISTICS), np.ones(STATISTICS), np.zeros((STATISTICS, 1)), np.zeros(1), np.zeros(STATISTICS + 2), np.zeros(0), np.zeros(0))
-    if not n:
-        return nothing
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))).where(F.col("h") < int(min(1.0, sample / n) * (1 << 40)))
-    measured = rows.select(F.col("text").cast("string").alias("text"), F.col("label").cast("double").alias("label"), (F.col("h") % 4 == 0).alias("calibrates"))
-    measured = stored(measured.mapInArrow(_measure(True), "label double, calibrates boolean, x array<double>"), "statistics")
+    measured = taught(docs, labels, sample, seed).select("text", F.col("label").cast("double").alias("label"), (F.col("h") % 4 == 0).alias("calibrates"))
+    measured = stored(measured.mapInArrow(_measure, "label double, calibrates boolean, x array<double>"), "statistics")
     fitting = measured.where(~F.col("calibrates"))
     got = fitting.agg(F.count("*").alias("n"), *[f(F.col("x")[i]).alias(f"{f.__name__}{i}") for i in range(STATISTICS) for f in (F.avg, F.stddev_pop)]).first()
     if not got["n"]:
@@ -183,13 +188,7 @@ def score_quality(docs: DataFrame, model: Model, keep: list[str], threshold: flo
     return kept.mapInArrow(_score(model, threshold), f"{schema}, score double, predicted int")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """(doc_id, text, label) of the rows that may teach: crc32 of the id modulo 5 isn't 0. Repeated equal labels count once."""
-    known = labels.where(crc32_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max(column).alias("label")).where("label is not null")
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(labelled_rows(docs, table(spark, sf_dir, "labels"), "quality"))
-    return score_quality(docs.withColumn("held_out", crc32_mod("doc_id", 5) == 0), model, ["doc_id", "held_out"])
+    labels = table(spark, sf_dir, "labels").where(crc32_mod("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    return score_quality(docs.withColumn("held_out", crc32_mod("doc_id", 5) == 0), fit(docs, labels), ["doc_id", "held_out"])

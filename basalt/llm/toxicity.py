@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_mod, stored, table
-from .quality import labelled_rows
+from .quality import taught
 
 ORDER, DECAY, POWER, LEAST = 3, 0.6, 3, 0.05
 #: Letters of the longest word taken whole, and of the shortest and longest beginning that can be a landmark.
-LONGEST, SHORTEST, PIECE = 24, 4, 10
+LONGEST, SHORTEST, PIECE = 24, 3, 10
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _STANDS_FOR = str.maketrans("013457@$!|", "oieastasil")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -334,19 +334,14 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float =
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, sample: int = 12_000, most_landmarks: int = 48, significance: float = 5.0, sentences: int = 3, seed: int = 42) -> Model:
-    """Model from rows with ``doc_id``, ``text`` and ``label`` (0 or 1; others and nulls teach nothing).
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most_landmarks: int = 48, significance: float = 4.0, sentences: int = 3, seed: int = 42) -> Model:
+    """Model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``label``), of which ``taught`` chooses.
 
-    At most about ``sample`` labelled rows, chosen by a seeded hash of their ids, are read. Disguised forms of the
-    landmarks, made here, join the toxic sentences. Without toxic and other rows nothing is suspect.
+    Disguised forms of the landmarks, made here, join the toxic sentences. Without toxic and other rows nothing is
+    suspect.
     """
     none = Model([], np.zeros((0, 0)), np.zeros(0), -1.0, np.array([0, 0, 0, 0, 0, -3.0]))
-    rows = labelled.where("label in (0, 1)")
-    n = rows.count()
-    if not n:
-        return none
-    share = int(min(1.0, sample / n) * (1 << 40))
-    rows = stored(rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) < share).select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label")), "toxic-rows")
+    rows = stored(taught(docs, labels, sample, seed).select("text", "label"), "toxic-rows")
     total = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(total) < 2:
         return none
@@ -396,5 +391,5 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str], threshold: fl
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(labelled_rows(docs, table(spark, sf_dir, "labels"), "toxic"))
-    return score_toxicity(docs.withColumn("held_out", crc32_mod("doc_id", 5) == 0), model, ["doc_id", "held_out"])
+    labels = table(spark, sf_dir, "labels").where(crc32_mod("doc_id", 5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    return score_toxicity(docs.withColumn("held_out", crc32_mod("doc_id", 5) == 0), fit(docs, labels), ["doc_id", "held_out"])
