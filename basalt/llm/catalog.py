@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .fingerprints import op5_fingerprints
 from .html import op2_html
 from .langid import op6_langid
 from .mixing import op3_mixing
+from .neighbours import op10_neighbours
 from .packing import op1_packing
 from .pii import op8_pii
 from .quality import op4_quality
@@ -14,8 +17,8 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_html, op3_mixing, op4_quality, op5_fingerprints, op6_langid, op7_simhash, op8_pii, op9_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_html, op3_mixing, op4_quality, op5_fingerprints, op6_langid, op7_simhash, op8_pii, op9_toxicity, op10_neighbours)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
