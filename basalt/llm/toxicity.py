@@ -84,10 +84,9 @@ def _codes(words: list[str], width: int) -> np.ndarray:
 
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """(n, m, k) gap-weighted kernel of the first k+1 letters of each word in ``a`` and all of each in ``b``."""
-    n, m, width = len(a), len(b), b.shape[1]
-    same = (a[:, None, :, None] == b[None, :, None, :]) & (a[:, None, :, None] != 0)
-    prior = np.ones((n, m, a.shape[1] + 1, width + 1))
+    """(n, k) gap-weighted kernel of the first k+1 letters of each word in ``a`` and all of the one beside it in ``b``."""
+    same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] != 0)
+    prior = np.ones((len(a), a.shape[1] + 1, b.shape[1] + 1))
     for _ in range(order - 1):
         prior = _gapped(same, prior, decay)
     return np.cumsum(decay * decay * (same * prior[..., :-1, :-1]).sum(axis=-1), axis=-1)
@@ -121,6 +120,10 @@ def _mask(word: str) -> int:
     return m
 
 
+def _may_lack(landmark: str) -> int:
+    return 1 if len(landmark) >= 6 else 0
+
+
 def in_order(code: np.ndarray, landmark: str) -> np.ndarray:
     """Length of the longest common subsequence of each coded word and a landmark."""
     best = np.zeros((len(landmark) + 1, len(code)), np.int8)
@@ -137,8 +140,8 @@ def in_order(code: np.ndarray, landmark: str) -> np.ndarray:
 class Similarity:
     """Normalised kernel of words to the landmarks, to the power ``POWER``; ``near`` holds the tokens above ``LEAST``.
 
-    Of a word's beginnings the nearest counts. The kernel is taken as 0 where more than one of a landmark's letters is
-    missing in order. A longer word than ``LONGEST`` counts as its overlapping windows of that length.
+    Of a word's beginnings the nearest counts, up to about twice a landmark's length. The kernel is taken as 0 where a
+    landmark's letters aren't all there in order; of a landmark of six or more, one may be missing. A longer word than ``LONGEST`` counts as its overlapping windows of that length.
     """
 
     def __init__(self, landmarks: list[str], limit: int = 400_000):
@@ -146,7 +149,7 @@ class Similarity:
         self.code = _codes(landmarks, max(map(len, landmarks), default=1))
         self.norm = own_kernel(self.code)[:, -1] if landmarks else np.zeros(0)
         self.masks = np.array([_mask(z) for z in landmarks], np.uint64)
-        self.need = np.bitwise_count(self.masks) - 1
+        self.need = np.bitwise_count(self.masks).astype(int) - np.array([_may_lack(z) for z in landmarks], int)
         self.seen: set[str] = set()
         self.near: dict[str, np.ndarray] = {}
         self.limit = limit
@@ -157,18 +160,16 @@ class Similarity:
         mask = np.array([_mask(w) for w in words], np.uint64)
         close = np.bitwise_count(mask[:, None] & self.masks[None, :]) >= self.need[None, :]
         for k, z in enumerate(self.landmarks):
-            rows = np.nonzero(close[:, k] & (size >= max(ORDER, len(z) - 1)))[0]
-            close[:, k] = False
-            if len(rows):
-                cut = [words[r][: 2 * len(z) + 2] for r in rows]
-                close[rows, k] = in_order(_codes(cut, max(map(len, cut))), z) >= len(z) - 1
-        rows = np.nonzero(close.any(axis=1))[0]
-        for at in range(0, len(rows), 128):
-            part = rows[at : at + 128]
-            code = _codes([words[r] for r in part], int(size[part].max()))
-            own = np.maximum(own_kernel(code), 1e-9)
-            value = (subsequence_kernel(code, self.code) / np.sqrt(own[:, None, :] * self.norm[None, :, None])).max(axis=2)
-            out[part] = np.where(close[part], value**POWER, 0)
+            least = len(z) - _may_lack(z)
+            rows = np.nonzero(close[:, k] & (size >= max(ORDER, least)))[0]
+            for at in range(0, len(rows), 4096):
+                part = rows[at : at + 4096]
+                code = _codes([words[r][: 2 * len(z) + 2] for r in part], min(2 * len(z) + 2, int(size[part].max())))
+                near = in_order(code, z) >= least
+                if near.any():
+                    code, part = code[near], part[near]
+                    value = subsequence_kernel(code, np.broadcast_to(self.code[k, : len(z)], (len(code), len(z))))
+                    out[part, k] = (value / np.sqrt(np.maximum(own_kernel(code), 1e-9) * self.norm[k])).max(axis=1) ** POWER
         return out
 
     def learn(self, tokens: set[str]) -> None:
@@ -334,7 +335,7 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float =
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most_landmarks: int = 48, significance: float = 4.0, sentences: int = 3, seed: int = 42) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, most_landmarks: int = 48, significance: float = 4.0, sentences: int = 3, seed: int = 42) -> Model:
     """Model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``label``), of which ``taught`` chooses.
 
     Disguised forms of the landmarks, made here, join the toxic sentences. Without toxic and other rows nothing is
