@@ -132,6 +132,7 @@ def _meet(tables: Tables | None, k: int):
             x, ids = _matrix(rows["v"]), rows["vec_id"].to_numpy()
             q, own = _matrix(queries["v"]), queries["vec_id"].to_numpy()
             lifted = None if tables is None else tables.lifted(x)
+            repeats = len(np.unique(ids)) < len(ids)  # rows of one id are always in one block
             for at in range(0, len(q), 512):
                 part = q[at : at + 512]
                 seen = np.full((len(part), len(x)), tables is None)
@@ -144,8 +145,13 @@ def _meet(tables: Tables | None, k: int):
                 for i in range(len(part)):
                     least = np.partition(product[i], len(x) - k)[len(x) - k] if len(x) > k else -np.inf
                     best = np.nonzero((product[i] >= least - 1e-9 * abs(least) if np.isfinite(least) else seen[i]) & seen[i])[0]
+                    if repeats:
+                        best = np.nonzero(seen[i])[0]
                     exact = (x[best] * part[i]).sum(axis=1)
-                    order = np.lexsort((ids[best], -exact))[:k]
+                    order = np.lexsort((ids[best], -exact))
+                    if repeats:
+                        order = order[np.sort(np.unique(ids[best][order], return_index=True)[1])]
+                    order = order[:k]
                     out.append((np.full(len(order), own[at + i]), ids[best][order], exact[order]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
@@ -165,7 +171,7 @@ def nearest(embeddings: DataFrame, asks, k: int = 20, recall: float = 0.96, samp
 
     The fit reads about ``sample_rows`` rows at most; every row is indexed. Unusable vectors, and those of another length
     than most, take no part; of rows with one id the nearest counts; a row is never its own neighbour; equal scores go to
-    the smaller id. A table with no more than ``k + 1`` usable rows is ranked without an index, as all of it is wanted.
+    the smaller id. A table with no more than ``10 * k`` usable rows is ranked without an index, as a tenth of it is wanted.
     """
     vectors = usable(embeddings)
     lengths = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("square")).orderBy(F.desc("n"), "d").first()
@@ -174,7 +180,7 @@ def nearest(embeddings: DataFrame, asks, k: int = 20, recall: float = 0.96, samp
     vectors = vectors.where(F.size("v") == lengths["d"])
     n = lengths["n"]
     tables = None
-    if n > k + 1:
+    if n > 10 * k:
         chosen = vectors.withColumn("h", F.xxhash64("vec_id", F.lit(seed))).where(F.pmod("h", F.lit(1 << 40)) < int(min(1.0, sample_rows / n) * (1 << 40)))
         sample = [r["v"] for r in chosen.orderBy("h", "vec_id").limit(2 * sample_rows).collect()]
         if len(sample) < 2:
