@@ -25,9 +25,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordCache:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes; at most ``limit`` words are remembered."""
+    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes; at most ``limit`` words, and half as many with their signs."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -63,7 +63,7 @@ class WordCache:
         known = self._chunks
         for c in chunks:
             if c not in known:
-                if len(known) >= self._limit:
+                if 2 * len(known) >= self._limit:
                     self._chunks = known = {}
                     break
                 known[c] = self._chunk(c)
