@@ -113,3 +113,53 @@ def q50_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q41_json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("json_key", "v"))
     return pairs.groupBy("json_key").agg(F.count("*").alias("n"), F.count_distinct("v").alias("values_n"))
+
+
+_INLINE = (
+    ("db/schema.sql", "sql", "CREATE TABLE Users (\n  id int\n);\ncreate or replace view active AS SELECT 1;\n-- note\nCREATE FUNCTION f() RETURNS int"),
+    ("app.ini", "ini", "[main]\nname = x\nHOME=1\n; note\n[other]\nlevel: 2"),
+    ("Dockerfile", "dockerfile", "FROM node:20 AS build\nARG VERSION=1\nENV PATH=/x\nRUN make"),
+)
+
+
+@R.add("""WITH f AS (SELECT * FROM (VALUES """ + ", ".join("('{}', '{}', '{}')".format(a, b, c.replace("\n", "' || chr(10) || '")) for a, b, c in _INLINE) + """) AS t(file, lang, text)),
+l AS (SELECT file, lang, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS t FROM f)
+SELECT file, CAST(line AS INTEGER) AS line, 'struct' AS kind, lower(regexp_extract(t, '(?i)^\\s*create\\s+table\\s+([A-Za-z_]+)', 1)) AS name FROM l WHERE lang = 'sql' AND regexp_matches(t, '(?i)^\\s*create\\s+table\\s')
+UNION ALL SELECT file, CAST(line AS INTEGER), 'interface', lower(regexp_extract(t, '(?i)view\\s+([A-Za-z_]+)', 1)) FROM l WHERE lang = 'sql' AND regexp_matches(t, '(?i)^\\s*create\\s+.*view\\s')
+UNION ALL SELECT file, CAST(line AS INTEGER), 'function', lower(regexp_extract(t, '(?i)function\\s+([A-Za-z_]+)', 1)) FROM l WHERE lang = 'sql' AND regexp_matches(t, '(?i)^\\s*create\\s+function\\s')
+UNION ALL SELECT file, CAST(line AS INTEGER), 'module', regexp_extract(t, '\\[([^\\]]+)\\]', 1) FROM l WHERE lang = 'ini' AND t LIKE '[%'
+UNION ALL SELECT file, CAST(line AS INTEGER), CASE WHEN regexp_matches(t, '^[A-Z]') THEN 'constant' ELSE 'property' END, regexp_extract(t, '^([A-Za-z]+)', 1) FROM l WHERE lang = 'ini' AND regexp_matches(t, '^[A-Za-z]+ *[=:]')
+UNION ALL SELECT file, CAST(line AS INTEGER), 'module', regexp_extract(t, '(?i) as (\\S+)', 1) FROM l WHERE lang = 'dockerfile' AND t LIKE 'FROM %'
+UNION ALL SELECT file, CAST(line AS INTEGER), 'variable', regexp_extract(t, '^[A-Z]+ ([A-Za-z_]+)', 1) FROM l WHERE lang = 'dockerfile' AND regexp_matches(t, '^(ARG|ENV) ')""")
+def q43_line_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.line_facts import line_definitions
+
+    return line_definitions(spark.createDataFrame(_INLINE, "file string, lang string, text string"))
+
+
+_FACTS = "VALUES ('a.py', 1, 'helper', 'def', 'a.py:1'), ('b.py', 1, 'h', 'import', 'a.py:1'), ('b.py', 4, 'h', 'ref', 'a.py:1'), ('c.py', 2, 'helper', 'ref', 'a.py:1'), ('c.py', 2, 'helper', 'ref', 'a.py:1'), ('d.py', 3, 'helper', 'ref', 'd.py:1'), ('d.py', 1, 'helper', 'def', 'd.py:1')"
+
+
+@R.add(f"""WITH f AS (SELECT * FROM ({_FACTS}) AS t(file, line, name, kind, target)), names AS (SELECT name FROM f WHERE target = 'a.py:1' AND kind IN ('def', 'import') GROUP BY name)
+SELECT DISTINCT file, line, kind FROM f WHERE kind IN ('ref', 'import') AND name IN (SELECT name FROM names) AND target = 'a.py:1'""")
+def q45_references_with_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of one definition: its own name and its aliases give the candidates, the resolved target decides."""
+    facts = spark.sql(f"SELECT * FROM {_FACTS} AS t(file, line, name, kind, target)")
+    one = facts.where("target = 'a.py:1'")
+    names = one.where("kind = 'def'").select("name").union(one.where("kind = 'import'").select("name")).distinct()
+    uses = facts.where("kind = 'ref'").unionByName(facts.where("kind = 'import'")).join(names, "name", "left_semi").where("target = 'a.py:1'")
+    return uses.dropDuplicates(["file", "line", "kind"]).select("file", "line", "kind")
+
+
+_CHAINS = "VALUES (1, 'app', 'db', 'connect'), (2, 'app', 'db', 'missing'), (3, 'lib', 'x', 'y'), (4, 'app', 'log', 'info')"
+_MEMBERS = "VALUES ('app', 'db', 'app.db'), ('app', 'log', 'app.log'), ('app.db', 'connect', 'app.db.connect'), ('app.log', 'info', 'app.log.info')"
+
+
+@R.add(f"""SELECT c.id, m2.target FROM ({_CHAINS}) AS c(id, root, a, b) LEFT JOIN ({_MEMBERS}) AS m1(scope, name, target) ON m1.scope = c.root AND m1.name = c.a LEFT JOIN ({_MEMBERS}) AS m2(scope, name, target) ON m2.scope = m1.target AND m2.name = c.b""")
+def q46_member_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One join for each segment of a chain, each in the scope that the one before resolved to."""
+    chains = spark.sql(f"SELECT * FROM {_CHAINS} AS t(id, root, a, b)").withColumn("at", F.col("root"))
+    members = spark.sql(f"SELECT * FROM {_MEMBERS} AS t(scope, name, target)")
+    for part in ("a", "b"):
+        chains = chains.join(members, (F.col("at") == F.col("scope")) & (F.col(part) == F.col("name")), "left").drop("at", "scope", "name").withColumnRenamed("target", "at")
+    return chains.select("id", F.col("at").alias("target"))
