@@ -15,6 +15,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ ORDER, DECAY, POWER, LEAST = 3, 0.6, 3, 0.05
 LONGEST, SHORTEST, PIECE = 24, 3, 10
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _STANDS_FOR = str.maketrans("013457@$!|", "oieastasil")
+_SPREAD = re.compile(r"(?:^|\s)\S\s+\S\s+\S(?!\S)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -43,9 +46,10 @@ def fold_word(token: str) -> str:
     return _NOT_LETTERS.sub("", core)
 
 
-def joined(tokens: list[str]) -> list[str]:
-    """Tokens with runs of three or more single characters made one token."""
-    if sum(map((1).__eq__, map(len, tokens))) < 3:
+def joined(text: str) -> list[str]:
+    """White-space tokens of a text, with runs of three or more single characters made one token."""
+    tokens = text.split()
+    if not _SPREAD.search(text):
         return tokens
     out, i = [], 0
     while i < len(tokens):
@@ -66,7 +70,7 @@ def sentences_of(text: str) -> list[list[str]]:
     out: list[list[str]] = []
     for line in text.split("\n"):
         own: list[str] = []
-        for t in joined(line.split()):
+        for t in joined(line):
             own.append(t)
             if t[-1] in ".!?":
                 out.append(own)
@@ -113,11 +117,19 @@ def _gapped(same: np.ndarray, prior: np.ndarray, decay: float) -> np.ndarray:
     return out
 
 
+class _Bits(dict):
+    """Bit of each letter, one of its own for a to z and a shared one for others."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = 1 << (ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 38)
+        return self[c]
+
+
+_BIT = _Bits()
+
+
 def _mask(word: str) -> int:
-    m = 0
-    for c in word:
-        m |= 1 << (ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 38)
-    return m
+    return reduce(or_, map(_BIT.__getitem__, word), 0)
 
 
 def _may_lack(landmark: str) -> int:
@@ -226,11 +238,10 @@ class Model:
 
 def tokens_of(text: str) -> set[str]:
     """Every token that a sentence of the text can hold."""
-    tokens = text.split()
-    whole = joined(tokens)
-    if whole is tokens:
-        return set(tokens)
-    return {*tokens, *(t for line in text.split("\n") for t in joined(line.split()))}
+    tokens = set(text.split())
+    if _SPREAD.search(text):
+        tokens.update(t for line in text.split("\n") for t in joined(line))
+    return tokens
 
 
 def sentence_features(text: str, tokens: set[str], near: dict[str, np.ndarray]) -> list[np.ndarray]:
@@ -335,7 +346,7 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float =
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, most_landmarks: int = 48, significance: float = 4.0, sentences: int = 3, seed: int = 42) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, most_landmarks: int = 48, significance: float = 6.0, sentences: int = 3, seed: int = 42) -> Model:
     """Model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``label``), of which ``taught`` chooses.
 
     Disguised forms of the landmarks, made here, join the toxic sentences. Without toxic and other rows nothing is
