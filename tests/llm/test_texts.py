@@ -14,8 +14,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from basalt.llm import fingerprints as fp
-from basalt.llm import langid, mixing, packing, pii, simhash
+from basalt.llm import jaccard, langid, mixing, packing, pii, simhash
 from basalt.llm.tokens import WordCache
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, bits int, spans int, score string, h int, label int"
@@ -193,6 +194,59 @@ def test_fuzzy_keys_meet_within_four_bits():
     assert all(any(k in sides[1][i] and 0 in (a, sides[1][i][k]) for k, a in sides[0][i].items()) for i in range(len(u)))
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_similar(rows):
+    """The smallest id of each row's group, by Jaccard similarity of all pairs."""
+    sets = [plain_shingles(t) for _, t in rows]
+    label = [i for i, _ in rows]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0]
+    while any(label[a] != label[b] for a, b in linked):
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    return dict(zip((i for i, _ in rows), label))
+
+
+def near_copies():
+    """Texts of 30 to 300 words with copies that lack up to a sixth of them in one place or in several."""
+    r = random.Random(5)
+    rows = []
+    for n in (30, 60, 120, 300) * 6:
+        words = [f"{r.choice('abcdef')}{r.randrange(4000)}" for _ in range(n)]
+        rows.append(words)
+        for share in (0.02, 0.05, 0.08, 0.1, 0.12, 0.17):
+            at, cut = r.randrange(n), max(1, int(share * n))
+            rows.append(words[:at] + words[at + cut :])
+            rows.append([w if r.random() > share / 5 else "other" for w in words])
+    r.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_similar_documents_equal_brute_force(spark, docs, odd, empty, monkeypatch):
+    own = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs).collect()} == plain_similar(own)
+    rows = near_copies()
+    rows += [(1000 + i, "one passage that all of these share word for word " * 2 + f"and {i} {i * i} {i + 7}") for i in range(30)] + [(2000, ""), (2001, None), (2002, "Two words"), (2003, "two  WORDS")]
+    want, df = plain_similar(rows), spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (20_000, 8):
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df, limit=limit).collect()} == want
+    monkeypatch.setattr(jaccard, "frequent_shingles", lambda docs, shingle: (np.zeros(0, np.uint64), np.zeros(0, int)))
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df, limit=8).collect()} == want
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(odd).collect()}
+    assert got[2] == got[3] == got[6] == 2 and got[1] == 1 and got[None] is None
+    assert jaccard.similar_documents(odd).count() == 8 and jaccard.similar_documents(empty).count() == 0
+
+
+def test_the_stage_drops_near_copies_beyond_four_bits(spark):
+    rows = near_copies()
+    want = plain_similar(rows)
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == set(want.values())
+
+
 def test_language(docs, odd, empty):
     split = docs.withColumn("held", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1)
     dictionaries = langid.learn(split.where("not held"))
