@@ -15,7 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
 import numpy as np
@@ -81,10 +81,7 @@ def sentences_of(text: str) -> list[list[str]]:
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
-    out = np.zeros((len(words), width), np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = [ord(c) for c in w]
-    return out
+    return np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(words), width)
 
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -133,27 +130,28 @@ def _mask(word: str) -> int:
 
 
 def _may_lack(landmark: str) -> int:
-    return 1 if len(landmark) >= 6 else 0
+    return 1 if len(landmark) >= 4 else 0
 
 
 def in_order(code: np.ndarray, landmark: str) -> np.ndarray:
-    """Length of the longest common subsequence of each coded word and a landmark."""
-    best = np.zeros((len(landmark) + 1, len(code)), np.int8)
+    """Length of the longest common subsequence of each coded word and a landmark, whose letters are the bits of a number."""
+    top = max(map(ord, landmark)) + 1
+    bits = np.zeros(top + 1, np.int64)
+    for j, c in enumerate(landmark):
+        bits[ord(c)] |= 1 << j
+    every = (1 << len(landmark)) - 1
+    left = np.full(len(code), every, np.int64)
     for i in range(code.shape[1]):
-        letter = code[:, i]
-        diagonal = best[0].copy()
-        for j, c in enumerate(landmark, 1):
-            above = best[j].copy()
-            best[j] = np.where(letter == ord(c), diagonal + 1, np.maximum(above, best[j - 1]))
-            diagonal = above
-    return best[-1]
+        met = left & bits[np.minimum(code[:, i], top)]
+        left = ((left + met) | (left - met)) & every
+    return len(landmark) - np.bitwise_count(left).astype(int)
 
 
 class Similarity:
     """Normalised kernel of words to the landmarks, to the power ``POWER``; ``near`` holds the tokens above ``LEAST``.
 
     Of a word's beginnings the nearest counts, up to about twice a landmark's length. The kernel is taken as 0 where a
-    landmark's letters aren't all there in order; of a landmark of six or more, one may be missing. A longer word than ``LONGEST`` counts as its overlapping windows of that length.
+    landmark's letters aren't all there in order; of a landmark of four or more, one may be missing. A longer word than ``LONGEST`` counts as its overlapping windows of that length.
     """
 
     def __init__(self, landmarks: list[str], limit: int = 400_000):
@@ -171,12 +169,13 @@ class Similarity:
         size = np.array([len(w) for w in words])
         mask = np.array([_mask(w) for w in words], np.uint64)
         close = np.bitwise_count(mask[:, None] & self.masks[None, :]) >= self.need[None, :]
+        every = _codes(words, max(1, int(size.max(initial=0))))
         for k, z in enumerate(self.landmarks):
             least = len(z) - _may_lack(z)
             rows = np.nonzero(close[:, k] & (size >= max(ORDER, least)))[0]
             for at in range(0, len(rows), 4096):
                 part = rows[at : at + 4096]
-                code = _codes([words[r][: 2 * len(z) + 2] for r in part], min(2 * len(z) + 2, int(size[part].max())))
+                code = every[part, : min(2 * len(z) + 2, int(size[part].max()))]
                 near = in_order(code, z) >= least
                 if near.any():
                     code, part = code[near], part[near]
@@ -209,6 +208,12 @@ class Similarity:
                 self.near[t] = np.maximum(self.near.get(t, 0.0), value[k])
 
 
+@lru_cache(maxsize=1)
+def similarity_of(landmarks: tuple[str, ...]) -> Similarity:
+    """One memory of tokens for all tasks that a worker process runs with the same landmarks."""
+    return Similarity(list(landmarks))
+
+
 @dataclass(frozen=True)
 class Model:
     """Landmarks, their Nyström map, the separating plane, and the weights of a document's evidence."""
@@ -274,7 +279,7 @@ def _instances(landmarks: list[str], most: int):
     """Labelled sentences: of each document the ``most`` nearest to a landmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        similarity = Similarity(landmarks)
+        similarity = similarity_of(tuple(landmarks))
         for part, texts in _groups(batches):
             tokens = [tokens_of(t) for t in texts]
             similarity.learn(set().union(*tokens))
@@ -290,7 +295,7 @@ def _instances(landmarks: list[str], most: int):
 
 def _evidence(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        similarity = Similarity(model.landmarks)
+        similarity = similarity_of(tuple(model.landmarks))
         for part, texts in _groups(batches):
             tokens = [tokens_of(t) for t in texts]
             similarity.learn(set().union(*tokens))
@@ -346,7 +351,7 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float =
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, most_landmarks: int = 48, significance: float = 6.0, sentences: int = 3, seed: int = 42) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most_landmarks: int = 48, significance: float = 4.0, sentences: int = 3, seed: int = 42) -> Model:
     """Model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``label``), of which ``taught`` chooses.
 
     Disguised forms of the landmarks, made here, join the toxic sentences. Without toxic and other rows nothing is

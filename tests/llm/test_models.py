@@ -77,6 +77,35 @@ def test_disguised_words_stay_near():
     assert {"idiot", "st*upid", "1d10t", "stuupid"} <= similarity.near.keys() and "table" not in similarity.near
 
 
+def test_short_insults_may_lack_a_letter():
+    similarity = toxicity.Similarity(["idiot", "moron", "trash", "loser", "clown"])
+    tokens = {"id*ot", "m*ron", "tr_sh", "los*r", "cl*wn", "idit"}
+    similarity.learn(tokens | {"table", "mat"})
+    assert similarity.near.keys() == tokens
+
+
+def test_landmarks_of_a_small_labelled_table(spark):
+    rows = [(i, "plain words of every text " + ("you zorblax " if i < 7 else "") + f"number {'abcdefghij'[i % 10] * 4}", int(i < 45)) for i in range(329)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "label"))
+    assert any("zorblax".startswith(z) for z in model.landmarks)
+
+
+def test_common_letters_in_order():
+    def plain(s, t):
+        row = [0] * (len(t) + 1)
+        for c in s:
+            row = [0] + [max(row[j + 1], row[j] + 1 if c == d else 0) for j, d in enumerate(t)]
+            for j in range(1, len(row)):
+                row[j] = max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcé𝒳"), rng.integers(1, 9))) for _ in range(300)]
+    for z in ("abca", "bé", "aab𝒳c", "cabcabcab"):
+        assert toxicity.in_order(toxicity._codes(words, 9), z).tolist() == [plain(w, z) for w in words]
+
+
 def plain_article(page):
     inner = page[page.index("<article>") + 9 : page.index("</article>")]
     blocks = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"<(?:/?p|/?h1)>", inner))
