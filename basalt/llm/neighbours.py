@@ -5,8 +5,9 @@ table hashes to the cell numbers of a few random directions. A query visits in e
 differ by one step in some directions, in the order of their estimated success, and ranks all rows found in any table by
 their exact product. Tables are added until a bounded sample of the rows reaches the wanted recall.
 
-Rows are dealt to blocks by a hash of their id, and a block of queries meets each block of rows once: a bucket that holds
-most of the rows is spread over all blocks.
+Rows are dealt to shards by a hash of their id, each with its own tables, and every block of queries visits the tables of
+each shard; products are computed for the candidates that the visited buckets hold, and for no other row. A bucket that
+holds most of the rows is spread over all shards.
 """
 
 from __future__ import annotations
@@ -80,22 +81,35 @@ class Tables:
         home = (cell * mix).sum(axis=1)
         return np.column_stack([home + step[:, list(steps)].sum(axis=1) for steps in probe_order(self.directions, self.probes)])
 
-    def found(self, t: int, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """(queries, rows) whether a row lies in a bucket that the query visits in table ``t``."""
-        names, inverse = np.unique(self.buckets(t, x), return_inverse=True)
-        visits = self.visits(t, q)
-        at = np.minimum(np.searchsorted(names, visits), len(names) - 1)
-        hit = names[at] == visits
-        seen = np.zeros((len(q), len(names)), bool)
-        row = np.broadcast_to(np.arange(len(q))[:, None], at.shape)
-        seen[row[hit], at[hit]] = True
-        return seen[:, inverse]
-
-
-def fit(sample: np.ndarray, rows: int, k: int, norm: float, recall: float = 0.96, directions: int = 5, probes: int = 80, most_tables: int = 400, seed: int = 42) -> Tables:
+    def index(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per table: the names of its buckets, where each one's rows begin and end, and the rows in that order."""
+        out = []
+        for t in range(self.count):
+            own = self.buckets(t, x)
+            order = np.argsort(own, kind="stable")
+            names, first = np.unique(own[order], return_index=True)
+            out.append((names, np.r_[first, len(x)], order))
+        return out
+
+
+def met(index: list[tuple[np.ndarray, np.ndarray, np.ndarray]], visits: list[np.ndarray], rows: int) -> np.ndarray:
+    """(queries, rows) whether a row lies in a bucket that the query visits in some table: the merged candidates."""
+    seen = np.zeros((len(visits[0]) if visits else 0, rows), bool)
+    for (names, ends, order), asked in zip(index, visits):
+        at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+        query, probe = np.nonzero(names[at] == asked)
+        bucket = at[query, probe]
+        size = ends[bucket + 1] - ends[bucket]
+        place = np.repeat(ends[bucket] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        seen[np.repeat(query, size), order[place]] = True
+    return seen
+
+
+def fit(sample: np.ndarray, rows: int, k: int, norm: float, recall: float = 0.95, directions: int = 5, probes: int = 80, most_tables: int = 400, seed: int = 42) -> Tables:
     """Tables that reach ``recall`` on the sample: its first rows look for those nearest in it.
 
-    Of a sample of m of n rows the nearest k·m/n, at least one, stand for the nearest k of all.
+    Of a sample of m of n rows the nearest k·m/n, at least one, stand for the nearest k of all. Where ``most_tables``
+    don't reach the recall the cells are widened, and tables are counted anew: the wanted recall is always reached.
     """
     queries = min(128, len(sample))
     near = min(len(sample) - 1, max(1, -(-k * len(sample) // max(rows, 1))))
@@ -107,15 +121,17 @@ def fit(sample: np.ndarray, rows: int, k: int, norm: float, recall: float = 0.96
     asked = np.column_stack((sample[:queries], np.zeros(queries)))
     distance = np.sqrt(np.maximum(((asked[:, None, :] - lifted[wanted]) ** 2).sum(axis=2), 0))
     width = 0.65 * float(np.median(distance)) or 1e-6 * norm
-    got = np.zeros((queries, len(sample)), bool)
-    count = 0
-    while count < most_tables:
-        tables = Tables(width, count + 1, directions, probes, norm, seed)
-        got |= tables.found(count, asked, lifted)
-        count += 1
-        if np.take_along_axis(got, wanted, axis=1).mean() >= recall:
-            break
-    return Tables(width, count, directions, probes, norm, seed)
+    while True:
+        got = np.zeros((queries, near), bool)
+        for count in range(1, most_tables + 1):
+            tables = Tables(width, count, directions, probes, norm, seed)
+            bucket, asks = tables.buckets(count - 1, lifted), np.sort(tables.visits(count - 1, asked), axis=1)
+            for i in range(queries):
+                own = bucket[wanted[i]]
+                got[i] |= asks[i, np.minimum(np.searchsorted(asks[i], own), asks.shape[1] - 1)] == own
+            if got.mean() >= recall:
+                return tables
+        width *= 1.5
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -123,36 +139,36 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _meet(tables: Tables | None, k: int):
-    """Best ``k`` found rows of one block for each query of another."""
+def _meet(fitted: dict[int, Tables], k: int):
+    """Best ``k`` candidates of one shard's rows for each query of a block; only candidates' products are computed."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if rows.num_rows and queries.num_rows:
             x, ids = _matrix(rows["v"]), rows["vec_id"].to_numpy()
             q, own = _matrix(queries["v"]), queries["vec_id"].to_numpy()
-            lifted = None if tables is None else tables.lifted(x)
-            repeats = len(np.unique(ids)) < len(ids)  # rows of one id are always in one block
-            for at in range(0, len(q), 512):
-                part = q[at : at + 512]
-                seen = np.full((len(part), len(x)), tables is None)
-                if tables is not None:
-                    asked = np.column_stack((part, np.zeros(len(part))))
-                    for t in range(tables.count):
-                        seen |= tables.found(t, asked, lifted)
-                seen &= own[at : at + 512, None] != ids[None, :]
-                product = np.where(seen, part @ x.T, -np.inf)
+            tables = fitted.get(x.shape[1])  # a space of no more than k + 1 rows has none: all of them are wanted
+            index = tables.index(tables.lifted(x)) if tables else []
+            repeats = len(np.unique(ids)) < len(ids)  # rows of one id are always in one shard
+            for at in range(0, len(q), 256):
+                part = q[at : at + 256]
+                asked = np.column_stack((part, np.zeros(len(part))))
+                seen = met(index, [tables.visits(t, asked) for t in range(tables.count)], len(x)) if tables else np.ones((len(part), len(x)), bool)
+                seen &= own[at : at + 256, None] != ids[None, :]
                 for i in range(len(part)):
-                    least = np.partition(product[i], len(x) - k)[len(x) - k] if len(x) > k else -np.inf
-                    best = np.nonzero((product[i] >= least - 1e-9 * abs(least) if np.isfinite(least) else seen[i]) & seen[i])[0]
-                    if repeats:
-                        best = np.nonzero(seen[i])[0]
-                    exact = (x[best] * part[i]).sum(axis=1)
-                    order = np.lexsort((ids[best], -exact))
+                    found = np.flatnonzero(seen[i])
+                    if (len(np.unique(ids[found])) if repeats else len(found)) < k:
+                        found = np.flatnonzero(ids != own[at + i])
+                    product = x[found] @ part[i]
+                    if len(found) > k and not repeats:
+                        least = np.partition(product, len(found) - k)[len(found) - k]
+                        found = found[product >= least - 1e-9 * max(1.0, abs(least))]
+                    exact = (x[found] * part[i]).sum(axis=1)
+                    order = np.lexsort((ids[found], -exact))
                     if repeats:
-                        order = order[np.sort(np.unique(ids[best][order], return_index=True)[1])]
+                        order = order[np.sort(np.unique(ids[found][order], return_index=True)[1])]
                     order = order[:k]
-                    out.append((np.full(len(order), own[at + i]), ids[best][order], exact[order]))
+                    out.append((np.full(len(order), own[at + i]), ids[found][order], exact[order]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
@@ -166,35 +182,37 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & real & F.exists("v", lambda c: c != 0))
 
 
-def nearest(embeddings: DataFrame, asks, k: int = 20, recall: float = 0.96, sample_rows: int = 8192, block_rows: int = 8192, block_queries: int = 2048, seed: int = 42) -> DataFrame:
+def sampled(vectors: DataFrame, n: int, rows: int, seed: int) -> np.ndarray:
+    """About ``rows`` of ``n`` vectors, twice as many at most, in the order of a seeded hash of their ids."""
+    chosen = vectors.withColumn("h", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 40)))
+    some = [r["v"] for r in chosen.where(F.col("h") < int(min(1.0, rows / n) * (1 << 40))).orderBy("h", "vec_id", "v").limit(2 * rows).collect()]
+    return np.array(some if len(some) > 1 else [r["v"] for r in chosen.orderBy("h", "vec_id", "v").limit(rows).collect()])
+
+
+def nearest(embeddings: DataFrame, asks, k: int = 20, recall: float = 0.95, sample_rows: int = 8192, shard_rows: int = 16384, block_queries: int = 512, seed: int = 42) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found rows of each row for which the condition ``asks`` holds.
 
-    The fit reads about ``sample_rows`` rows at most; every row is indexed. Unusable vectors, and those of another length
-    than most, take no part; of rows with one id the nearest counts; a row is never its own neighbour; equal scores go to
-    the smaller id. A table with no more than ``10 * k`` usable rows is ranked without an index, as a tenth of it is wanted.
+    The fit reads about ``sample_rows`` rows at most; every row is indexed, in the tables of its shard. Unusable vectors
+    take no part; vectors of different lengths have no product, so each length is a space with tables of its own; of rows
+    with one id the nearest counts; a row is never its own neighbour; equal scores go to the smaller id; an empty table
+    gives no rows; other columns are ignored. A query whose buckets in a shard hold fewer than ``k`` rows visits all of the
+    shard's, so none gets fewer than ``k`` where there are as many. Only spaces of at most ``k + 1`` usable rows have no tables, as a query
+    wants all of their rows.
     """
-    vectors = usable(embeddings)
-    lengths = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("square")).orderBy(F.desc("n"), "d").first()
-    if lengths is None:
-        return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    vectors = vectors.where(F.size("v") == lengths["d"])
-    n = lengths["n"]
-    tables = None
-    if n > 10 * k:
-        chosen = vectors.withColumn("h", F.xxhash64("vec_id", F.lit(seed))).where(F.pmod("h", F.lit(1 << 40)) < int(min(1.0, sample_rows / n) * (1 << 40)))
-        sample = [r["v"] for r in chosen.orderBy("h", "vec_id").limit(2 * sample_rows).collect()]
-        if len(sample) < 2:
-            sample = [r["v"] for r in vectors.orderBy("vec_id").limit(sample_rows).collect()]
-        tables = fit(np.array(sample), n, k, float(lengths["square"]) ** 0.5, recall, seed=seed)
-    blocks = max(1, -(-n // block_rows))
+    vectors = usable(embeddings).withColumn("d", F.size("v"))
+    spaces = vectors.groupBy("d").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("square")).collect()
+    fitted = {r["d"]: fit(sampled(vectors.where(F.col("d") == r["d"]), r["n"], sample_rows, seed), r["n"], k, float(r["square"]) ** 0.5, recall, seed=seed) for r in spaces if r["n"] > k + 1}
+    n = sum(r["n"] for r in spaces)
+    shards = max(1, -(-n // shard_rows))
     asked = vectors.where(asks)
     sides = max(1, -(-asked.count() // block_queries))
     place = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = vectors.select("vec_id", "v", place(blocks).alias("block"), every(sides).alias("side"))
-    right = asked.select("vec_id", "v", every(blocks).alias("block"), place(sides).alias("side"))
-    met = left.groupBy("block", "side").cogroup(right.groupBy("block", "side")).applyInArrow(_meet(tables, k), "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    left = vectors.select("vec_id", "v", "d", place(shards).alias("shard"), every(sides).alias("side"))
+    right = asked.select("vec_id", "v", "d", every(shards).alias("shard"), place(sides).alias("side"))
+    keys = ("d", "shard", "side")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(fitted, k), "query_id long, vec_id long, score double")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

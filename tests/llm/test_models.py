@@ -138,7 +138,7 @@ def test_neighbours_reach_the_recall(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = df.collect()
     want = plain_nearest([r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float), 20)
-    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, block_rows=200, block_queries=10).collect()
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=200, block_queries=10).collect()
     found = {(r["query_id"], r["vec_id"]) for r in got}
     assert np.mean([(q, i) in found for q, own in want.items() for _, i in own]) >= 0.9
     exact = {(q, i): -s for q, own in want.items() for s, i in own}
@@ -157,6 +157,34 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vectors_of_each_length_are_a_space_of_their_own(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=3 + i % 2).tolist()) for i in range(0, 400, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=3, recall=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q, v in rows:
+        if q % 20 == 0:
+            near = sorted((-float(np.dot(v, w)), i) for i, w in rows if i != q and len(w) == len(v))[:3]
+            assert [i for _, i in sorted(got[q])] == [i for _, i in near]
+
+
+def test_candidates_are_the_rows_of_visited_buckets():
+    rng = np.random.default_rng(7)
+    x, q = rng.normal(size=(300, 8)), rng.normal(size=(20, 8))
+    tables = neighbours.Tables(1.5, 4, 5, 30, 9.0, 42)
+    visits = [tables.visits(t, q) for t in range(4)]
+    want = np.array([[any(tables.buckets(t, x)[j] in set(visits[t][i].tolist()) for t in range(4)) for j in range(300)] for i in range(20)])
+    assert (neighbours.met(tables.index(x), visits, 300) == want).all() and 0 < want.mean() < 1
+
+
+def test_the_fit_widens_until_the_recall_is_reached():
+    x = np.random.default_rng(1).normal(size=(400, 32))
+    tables = neighbours.fit(x, 400, 20, float(np.linalg.norm(x, axis=1).max()), most_tables=2)
+    assert tables.count <= 2 and tables.width > 0
+
+
 def test_probe_order_begins_at_home_and_never_steps_both_ways():
     order = neighbours.probe_order(4, 30)
     assert order[0] == () and len(set(order)) == 30 and all(7 - j not in s for s in order for j in s)
