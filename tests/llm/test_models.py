@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -129,6 +130,55 @@ def test_page_text_leaves_the_rest_out():
     assert pages.main_text(page) == "Head & line\n\nFirst link été é.\n\none\n\ntwo\n\nShort.\n\nOpen bold x y"
 
 
+def test_the_tree_decides_by_words_and_neighbours():
+    used = set()
+
+    def walk(t):
+        if t.left is not None:
+            used.add(pages.FEATURES[t.feature])
+            walk(t.left)
+            walk(t.right)
+
+    walk(pages.trained())
+    assert {"words", "density", "words before", "density before", "words after", "density after"} <= used
+    x, y = pages.labelled_rows()
+    assert ((pages.trained().predict(x) >= 0.5) == y).mean() >= 0.97
+
+
+WORDS = "the quick brown fox jumps over the lazy dog while many other animals are looking on and wonder what it is all about "
+
+
+def test_pages_without_an_article_element():
+    links = "".join(f"<li><a href=x>more {i}</a></li>" for i in range(6))
+    text = f"<h1>A headline of words</h1><p>{WORDS * 3}</p><p>Short one.</p><p>{WORDS * 2}</p>"
+    want = "\n\n".join(["A headline of words", (WORDS * 3).strip(), "Short one.", (WORDS * 2).strip()])
+    assert pages.main_text(f"<body><ul>{links}</ul><div>{text}</div><ul>{links}</ul></body>") == want
+    for name in ("content has-sidebar", "page with-comments", "nav-fixed", "search-results", "layout no-ads"):
+        assert pages.main_text(f'<div id=page class="{name}">{text}</div><footer>All rights</footer>') == want
+    inside = f'<article><p>{WORDS}</p><p class="ad-lib">{WORDS * 2}</p><p class="related-work">{WORDS * 2}</p></article>'
+    assert pages.main_text(inside) == "\n\n".join([WORDS.strip(), (WORDS * 2).strip(), (WORDS * 2).strip()])
+    assert pages.main_text(f"<article><h2><a href=x>Linked headline of this text</a></h2><p>{WORDS * 2}</p><ul>{links}</ul></article>") == f"Linked headline of this text\n\n{(WORDS * 2).strip()}"
+    comments = "".join(f"<p>{WORDS * 3}</p>" for _ in range(9))
+    assert pages.main_text(f"<div>{text}</div><section class=comments>{comments}</section>") == want
+
+
+def test_elements_without_text_end_where_they_end():
+    for unread in ('<svg viewBox="0 0 1 1"/>', '<object data="x"/>', "<svg>", "<canvas>", "<select>", "<math/>", "<iframe src=x>", "<svg><title>no</title></svg>", "<noscript>no</noscript>", "<!-- no -->", "<script>no</script>"):
+        assert pages.main_text(f"<article><p>Alpha</p>{unread}<p>Beta</p></article>") == "Alpha\n\nBeta", unread
+    assert pages.main_text("<article><p>Alpha</p><style>p {}") == "Alpha" and pages.main_text("<article><p>Alpha</p><!-- x") == "Alpha"
+
+
+def test_long_deep_and_repeated_pages(spark):
+    began = time.time()
+    deep = "<div><a>" * 100_000 + "x"
+    broken = "<svg>" * 50_000 + "<li><b>x" * 50_000 + "<a" * 100_000
+    long = "<article>" + f"<p>{WORDS}</p>" * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, deep, 1), (2, broken, 1), (3, long, 1), (3, long, 1)], "page_id long, html string, text int")
+    got = pages.extract_text(df, ["page_id", "text"]).orderBy("page_id").collect()
+    assert [r["page_id"] for r in got] == [1, 2, 3, 3] and got[2]["text"] == got[3]["text"] == "\n\n".join([WORDS.strip()] * 20_000)
+    assert time.time() - began < 60
+
+
 def plain_nearest(ids, v, k):
     product = v @ v.T
     return {i: sorted(((-product[a, b], ids[b]) for b in range(len(ids)) if b != a))[:k] for a, i in enumerate(ids) if i % 20 == 0}
