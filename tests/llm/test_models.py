@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 import time
 from itertools import combinations
@@ -27,9 +28,9 @@ def auc(labels, scores):
     return (rank[np.array(labels) == 1].sum() - n * (n + 1) / 2) / n / (len(labels) - n)
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op4_quality", "quality", 0.95), ("op9_toxicity", "toxic", 0.75)])
-def test_held_out_accuracy(spark, name, label, least):
-    rows = queries()[name](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
+@pytest.mark.parametrize(("name", "label", "least", "sf"), [("op4_quality", "quality", 0.95, SF), ("op9_toxicity", "toxic", 0.95, "/root/testdata/sf0.1")])
+def test_held_out_accuracy(spark, name, label, least, sf):
+    rows = queries()[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert auc([r[label] for r in rows], [r["score"] for r in rows]) >= least
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= (0.3 if label == "quality" else 0.5)) for r in rows)
 
@@ -50,61 +51,113 @@ def test_isotonic():
     assert quality.isotonic(np.array([1.0, 3.0, 2.0, 4.0]), np.ones(4)).tolist() == [1.0, 2.5, 2.5, 4.0]
 
 
-def plain_kernel(s, t):
-    def sums(w):
-        out = {}
-        for at in combinations(range(len(w)), toxicity.ORDER):
-            key = "".join(w[i] for i in at)
-            out[key] = out.get(key, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
-        return out
+def triples(w):
+    """Each three letters in order, their places, and their decayed span."""
+    return [(w[i] + w[j] + w[k], k, toxicity.DECAY ** (k - i + 1)) for i, j, k in combinations(range(len(w)), 3)]
 
-    a, b = sums(s), sums(t)
-    return sum(v * b.get(k, 0) for k, v in a.items())
+
+def plain_kernel(s, t, last=None):
+    """The kernel by its definition; ``last``: the places where a subsequence of ``s`` may end."""
+    sums = {}
+    for key, _, v in triples(t):
+        sums[key] = sums.get(key, 0) + v
+    return sum(v * sums.get(key, 0) for key, k, v in triples(s) if last is None or k in last)
+
+
+def plain_value(word, z):
+    """The most of the landmark in a stretch of the word, less for stretches richer than it."""
+    width, whole = len(z) + 2, plain_kernel(z, z)
+    parts = [(plain_kernel(word, z, range(max(0, k - width + 1), k + 1)), -k) for k in range(len(word))]
+    best, k = max((round(v, 6), k) for v, k in parts)
+    end = -k
+    stretch = word[max(0, end - width + 1) : end + 1]
+    value = min(1.0, best / whole / max(1.0, plain_kernel(stretch, stretch) / whole) ** 0.5) ** toxicity.POWER
+    return value if value >= toxicity.LEAST and len(set(z) - set(word)) <= toxicity.may_lack(z) else 0.0
 
 
 def test_kernel_equals_its_definition():
     words = ["idiot", "idxiot", "stuupid", "scum", "pathetic", "cat"]
-    pairs = [(a, b) for a in words for b in words]
-    got = toxicity.subsequence_kernel(toxicity._codes([a for a, _ in pairs], 9), toxicity._codes([b for _, b in pairs], 9))
-    own = toxicity.own_kernel(toxicity._codes(words, 9))
-    assert all(abs(got[i, k - 1] - plain_kernel(a[:k], b)) < 1e-12 for i, (a, b) in enumerate(pairs) for k in range(1, 10))
-    assert all(abs(own[i, k - 1] - plain_kernel(w[:k], w[:k])) < 1e-12 for i, w in enumerate(words) for k in range(1, 10))
+    code = toxicity._codes(words, 9)
+    for z in words:
+        got = toxicity.subsequence_kernel(code, toxicity._codes([z], len(z))[0])
+        assert all(abs(got[i, k - 1] - plain_kernel(w[:k], z)) < 1e-5 for i, w in enumerate(words) for k in range(1, 10))
+    assert all(abs(v - plain_kernel(w, w)) < 1e-5 for v, w in zip(toxicity.own_kernel(code), words))
+
+
+def test_values_equal_their_definition():
+    rng = np.random.default_rng(8)
+    landmarks = ["^idiot", "^trash", "^pathetic", "^réeux"]
+    words = ["^" + "".join(rng.choice(list("idothrasépeuxc"), rng.integers(2, 14))) for _ in range(300)] + landmarks + ["^xxidiot", "^idxiot", "^pathetical", "^unbelievableidiot", "^tresh"]
+    words += [toxicity.disguised(z, random.Random(i)) for i in range(8) for z in landmarks]
+    got = toxicity.Similarity(landmarks).vectors(words)
+    want = np.array([[plain_value(w, z) for z in landmarks] for w in words])
+    assert np.abs(got - want).max() < 1e-3 and (want > 0).sum() > 20
+
+
+def test_absent_letters_leave_little():
+    """Words that are passed over because letters are absent would hardly ever have a value anyway."""
+    rng = np.random.default_rng(3)
+    similarity = toxicity.Similarity(["^idiot", "^pathetic", "^disgusting", "^scum"])
+    words = ["^" + "".join(rng.choice(list("abcdeghimnopstu"), rng.integers(3, 14))) for _ in range(4000)]
+    got = similarity.vectors(words)
+    similarity.need[:] = 0
+    assert (similarity.vectors(words) != got).mean() < 0.01
 
 
 def test_disguised_words_stay_near():
-    similarity = toxicity.Similarity(["idiot", "stupid"])
+    similarity = toxicity.Similarity(["^idiot", "^stupid"])
     tokens = toxicity.tokens_of("you i d i o t and st*upid 1d10t stuupid table")
     similarity.learn(tokens)
     assert {"idiot", "st*upid", "1d10t", "stuupid"} <= similarity.near.keys() and "table" not in similarity.near
 
 
+def test_insults_inside_long_words_are_near():
+    similarity = toxicity.Similarity(["^idiot", "^stupid"])
+    inside = {"xxidiot", "unbelievableidiot", "unbelievablystupid", "a" * 40 + "stupid" + "b" * 40}
+    similarity.learn(inside | {"unbelievable", "a" * 80, "station"})
+    assert similarity.near.keys() == inside
+
+
 def test_short_insults_may_lack_a_letter():
-    similarity = toxicity.Similarity(["idiot", "moron", "trash", "loser", "clown"])
+    similarity = toxicity.Similarity(["^idiot", "^moron", "^trash", "^loser", "^clown"])
     tokens = {"id*ot", "m*ron", "tr_sh", "los*r", "cl*wn", "idit"}
     similarity.learn(tokens | {"table", "mat"})
     assert similarity.near.keys() == tokens
 
 
+def insulting(i):
+    return f"plain words of every text {'you zorblax ' if i < 7 else ''}number {'abcdefghij'[i % 10] * 4}. And {'klmnopqrst'[i * 7 % 10] * 5} again"
+
+
 def test_landmarks_of_a_small_labelled_table(spark):
-    rows = [(i, "plain words of every text " + ("you zorblax " if i < 7 else "") + f"number {'abcdefghij'[i % 10] * 4}", int(i < 45)) for i in range(329)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    df = spark.createDataFrame([(i, insulting(i), int(i < 45)) for i in range(329)], "doc_id long, text string, label int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "label"))
+    assert any("^zorblax".startswith(z) for z in model.landmarks)
+    copies = spark.createDataFrame([(i, "one copied text with zorblax in it" if i < 40 else insulting(i), int(i < 45)) for i in range(329)], "doc_id long, text string, label int")
+    assert toxicity.fit(copies.select("doc_id", "text"), copies.select("doc_id", "label")).landmarks == []
+
+
+def plain_score(model, text):
+    sentences, margins = [s for line in text.split("\n") for s in re.split(r"(?<=[.!?])\s+", line) if s.split()], []
+    for s in sentences:
+        words = ["^" + re.sub(r"[\W\d_]", "", w.lower()) for w in dict.fromkeys(s.split())]
+        x = np.sum([[plain_value(w, z) if len(w) > 2 else 0.0 for z in model.landmarks] for w in words], axis=0)
+        if x.any():
+            margins.append(min(8.0, max(-8.0, float(x @ model.nystroem @ model.weights + model.bias))))
+    if margins:
+        most = max(-1.0, np.log(sum(np.exp(toxicity.SHARPNESS * m) for m in margins)) / toxicity.SHARPNESS)
+        share = np.log1p(10 * sum(1 / (1 + np.exp(-toxicity.SHARPNESS * m)) for m in margins) / len(sentences))
+    else:
+        most, share = -1.0, 0.0
+    return 1 / (1 + np.exp(-(model.calibration @ np.array([most, share, 1.0]))))
+
+
+def test_scores_equal_a_plain_version(spark):
+    df = spark.createDataFrame([(i, f"{insulting(i)}{' you zorblax' if i < 45 else ''}\n{insulting(i + 3)}", int(i < 45)) for i in range(329)] + [(400, None, 0), (401, "", 0), (402, "zorbblax! " * 3000, 1)], "doc_id long, text string, label int")
     model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "label"))
-    assert any("zorblax".startswith(z) for z in model.landmarks)
-
-
-def test_common_letters_in_order():
-    def plain(s, t):
-        row = [0] * (len(t) + 1)
-        for c in s:
-            row = [0] + [max(row[j + 1], row[j] + 1 if c == d else 0) for j, d in enumerate(t)]
-            for j in range(1, len(row)):
-                row[j] = max(row[j], row[j - 1])
-        return row[-1]
-
-    rng = np.random.default_rng(4)
-    words = ["".join(rng.choice(list("abcé𝒳"), rng.integers(1, 9))) for _ in range(300)]
-    for z in ("abca", "bé", "aab𝒳c", "cabcabcab"):
-        assert toxicity.in_order(toxicity._codes(words, 9), z).tolist() == [plain(w, z) for w in words]
+    rows = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, model, ["doc_id", "label"]).collect()}
+    assert all(abs(rows[r["doc_id"]] - plain_score(model, r["text"] or "")) < 0.02 for r in df.where("doc_id % 20 < 3 or doc_id > 390").collect())
+    assert rows[1] > 0.5 > rows[100] and rows[400] == rows[401] and rows[402] > 0.5
 
 
 def plain_article(page):
