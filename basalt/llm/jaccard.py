@@ -1,9 +1,15 @@
-"""Groups of near copies by exact Jaccard similarity of word shingles.
-
-Two sets of similarity ``least`` or more share a shingle among the first ``n - ceil(least * n) + 1`` of each, whatever
-the order of all shingles is. Documents therefore meet on the shingles of their beginnings in one fixed order; those that
-a sample holds often come last in it, so that passages of many documents rarely bring them together. Pairs that share
-too few of these to be similar go, and of the others the whole sets are compared: no pair is lost and none is guessed.
+"""Groups of near copies: SimHash links by Golay keys, completed and confirmed by exact Jaccard similarity of word shingles.
+
+First, fingerprints of the shingles are linked through their fuzzy keys, as ``simhash`` does, and so are neighbours on a
+shared shingle; every link is confirmed by the exact similarity of the two sets of shingles. That draws large groups of
+near copies together by a few links for each document.
+
+SimHash reaches no fixed similarity without loss: at 0.8 fingerprints differ in about ten bits of 64, far beyond what fuzzy
+keys find. So the rest is exact. Two sets of similarity ``least`` or more share a shingle among the first
+``n - ceil(least * n) + 1`` of each, whatever the order of all shingles is. Documents meet on the shingles of their
+beginnings in one fixed order; those that a sample holds often come last in it, so passages of many documents rarely bring
+them together. Only documents that are not yet in one group are paired. Pairs that share too few of these shingles to be
+similar go, and of the others the whole sets are compared: no pair is lost and none is guessed.
 """
 
 from __future__ import annotations
@@ -13,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stored
-from .simhash import _LOWER, components
+from .simhash import _LOWER, components, near_links
 
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -55,21 +61,27 @@ def shared_at_least(n: int | np.ndarray, least: float):
     return np.ceil(np.asarray(n) * least - 1e-9).astype(np.int64)
 
 
+def majority_bits(own: np.ndarray) -> int:
+    """SimHash of a set of 64-bit hashes, as a signed number; 0 of an empty one."""
+    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(own), bitorder="little").view(np.int64)[0])
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
 def _digests(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t or "", shingle) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*batch.schema.names[1:], "digest", "own"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingles(t or "", shingle) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([digest(s) for s in sets], pa.int64()), _lists(sets)], names=[*part.schema.names[1:], "digest", "own"])
 
     return run
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for own in batch.column(0).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own, np.int64))], names=["shingle"])
-
-
 def beginning(own: np.ndarray, least: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The shingles of a set on which it meets others: rare ones first, then ``frequent`` (sorted) ones by ``rank``."""
     n = len(own) - int(shared_at_least(len(own), least)) + 1
@@ -82,62 +94,72 @@ def beginning(own: np.ndarray, least: float, frequent: np.ndarray, rank: np.ndar
 
 
 def _keys(shingle: int, least: float, frequent: np.ndarray, rank: np.ndarray):
-    """For the documents' texts: their digest, and size and beginning of their set."""
+    """For the documents' texts: their digest and fingerprint, and size and beginning of their set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t or "", shingle) for t in batch.column(0).to_pylist()]
-            begins = [beginning(s, least, frequent, rank).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            offsets = pa.array(np.cumsum([0, *map(len, begins)]), pa.int32())
-            keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *begins])))
-            own = [pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), keys]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *own], names=[*batch.schema.names[1:], "digest", "size", "keys"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingles(t or "", shingle) for t in part.column(0).to_pylist()]
+                begins = [beginning(s, least, frequent, rank) if len(s) else s for s in sets]
+                own = [pa.array([digest(s) for s in sets], pa.int64()), pa.array([majority_bits(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists(begins)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *own], names=[*part.schema.names[1:], "digest", "bits", "size", "keys"])
 
     return run
 
 
-def _pairs(least: float):
-    """Pairs of rows with one key, of a partition sorted by key and size, and how often a similar pair meets at least."""
+def _pairs(least: float, small: int = 64):
+    """Pairs of rows with one key and different roots, and how often a similar pair meets at least.
 
-    def settle(key: np.ndarray, size: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = np.arange(len(key) - 1)
-        step = 1
-        while len(at):
-            at = at[at + step < len(key)]
-            at = at[(key[at] == key[at + step]) & (size[at] >= shared_at_least(size[at + step], least))]
-            a, b = own[at], own[at + step]
-            both = shared_at_least(size[at] + size[at + step], least / (1 + least))
-            need = np.maximum(1, both - shared_at_least(size[at + step], least) + 1)
-            differ = a != b
-            if differ.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[differ]), pa.array(np.maximum(a, b)[differ]), pa.array(need[differ])], names=["a", "b", "need"])
-            step += 1
+    Of a partition sorted by key and size. In a run of more than ``small`` rows only those that are ``apart`` from its
+    most frequent root look for the others: it costs their number times its length.
+    """
+
+    def told(size_a: np.ndarray, size_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        low, high = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+        need = np.maximum(1, shared_at_least(low + high, least / (1 + least)) - shared_at_least(high, least) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum(x, y) >= shared_at_least(np.maximum(x, y), least)
+
+    def settle(key: np.ndarray, size: np.ndarray, own: np.ndarray, root: np.ndarray, apart: np.ndarray, home: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        length = np.diff(np.r_[starts, len(key)])
+        mixed = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
+        short = np.repeat(mixed & (length <= small), length)
+        k, z, o, r, h = key[short], size[short], own[short], root[short], home[short]
+        for step in range(1, small):
+            if step >= len(k):
+                break
+            at = np.flatnonzero((k[step:] == k[:-step]) & (r[step:] != r[:-step]) & near(z[step:], z[:-step]) & (h[step:] | h[:-step]))
+            if len(at):
+                yield told(z[at], z[at + step], o[at], o[at + step])
+        for run in np.flatnonzero(mixed & (length > small)):
+            s = slice(starts[run], starts[run] + length[run])
+            z, o, r, h = size[s], own[s], root[s], home[s]
+            for i in np.flatnonzero(apart[s]):
+                at = np.flatnonzero((r != r[i]) & near(z, z[i]) & h)
+                if len(at):
+                    yield told(z[at], np.full(len(at), z[i]), o[at], np.full(len(at), o[i]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()]
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rows[1] = rows[1].astype(np.int64)
             if kept and kept[-1][0][-1] == rows[0][-1]:
                 kept.append(rows)
                 continue
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            yield from settle(*(np.concatenate([*(k[i] for k in kept), rows[i][:cut]]) for i in range(3)))
+            yield from settle(*(np.concatenate([*(k[i] for k in kept), rows[i][:cut]]) for i in range(6)))
             kept = [[x[cut:] for x in rows]]
         if kept:
-            yield from settle(*(np.concatenate([k[i] for k in kept]) for i in range(3)))
-
-    return run
-
-
-def _similar(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = ([np.frombuffer(own, np.uint64) for own in batch.column(i).to_pylist()] for i in (2, 3))
-            shared = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)])
-            every = np.array([len(p) + len(q) for p, q in zip(x, y)]) - shared
-            yield batch.select(["a", "b"]).filter(pa.array(shared >= least * every - 1e-9))
+            yield from settle(*(np.concatenate([k[i] for k in kept]) for i in range(6)))
 
     return run
 
@@ -146,8 +168,8 @@ def frequent_shingles(docs: DataFrame, shingle: int, sample: int = 10_000, most:
     """Shingles of three or more different documents of a sample, sorted, and their places from seldom to often."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     share = max(1, math.ceil(docs.count() / sample))
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).mapInArrow(_digests(shingle), "digest long, own binary").dropDuplicates(["digest"])
-    counted = some.select("own").mapInArrow(_each, "shingle long").groupBy("shingle").count().where("count >= 3")
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).mapInArrow(_digests(shingle), "digest long, own array<long>").dropDuplicates(["digest"])
+    counted = some.select(F.explode("own").alias("shingle")).groupBy("shingle").count().where("count >= 3")
     top = counted.orderBy(F.desc("count"), "shingle").limit(most).toArrow()
     frequent = np.ascontiguousarray(top.column("shingle").to_numpy(), np.int64).view(np.uint64)
     order = np.argsort(frequent)
@@ -155,43 +177,85 @@ def frequent_shingles(docs: DataFrame, shingle: int, sample: int = 10_000, most:
 
 
 def in_runs(keys: DataFrame, limit: int) -> DataFrame:
-    """Rows with a run's name for ``key``: of a key with more than ``limit`` rows, each pair of chunks is a run of its own."""
-    bins = stored(keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(1 << 16)).alias("bin")).count().where(F.col("count") > limit).select("bin"), "bins")
-    if bins.isEmpty():
-        return keys.select("key", "size", "digest")
-    keys = keys.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(1 << 16)))
-    hot = keys.join(bins, "bin", "left_semi").groupBy("key").count().where(F.col("count") > limit)
-    hot = stored(hot.select(F.col("key").alias("hot"), F.ceil(F.col("count") / limit).cast("int").alias("chunks")), "hot")
-    dealt = keys.join(broadcast_if_small(hot, hot.count(), 100_000), F.col("key") == F.col("hot"), "left")
-    chunk = F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("key", F.least(j, chunk), F.greatest(j, chunk)))
-    return dealt.select(F.explode(F.when(F.col("chunks").isNull(), F.array("key")).otherwise(cells)).alias("key"), "size", "digest")
+    """Rows (key, size, digest, root) of keys with more than one root, dealt to runs, with ``apart`` and ``home``.
+
+    A row is ``apart`` when its root isn't the key's most frequent one. Of a key with more than ``limit`` rows each row has
+    its home in one of several runs, and only rows that are apart also visit the others.
+    """
+    roots = keys.groupBy("key", "root").count().groupBy("key").agg(F.count("*").alias("roots"), F.sum("count").alias("n"), F.max_by("root", F.struct("count", "root")).alias("usual"))
+    mixed = stored(roots.where("roots > 1").select("key", "n", "usual"), "mixed")
+    dealt = keys.join(broadcast_if_small(mixed, mixed.count(), 200_000), "key").withColumn("apart", F.col("root") != F.col("usual"))
+    chunks = F.ceil(F.col("n") / limit).cast("int")
+    chunk = F.pmod(F.xxhash64("digest"), chunks).cast("int")
+    cells = F.when(chunks <= 1, F.array(F.lit(0))).when(F.col("apart"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(chunk))
+    dealt = dealt.withColumn("own_cell", F.when(chunks <= 1, 0).otherwise(chunk)).withColumn("cell", F.explode(cells))
+    run = F.when(F.col("n") > limit, F.xxhash64("key", "cell")).otherwise(F.col("key"))
+    return dealt.select(run.alias("key"), "size", "digest", "root", "apart", (F.col("cell") == F.col("own_cell")).alias("home"))
+
+
+def confirmed(pairs: DataFrame, told: DataFrame, hash_of: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of digests whose sets have similarity ``least`` or more; sets are made again for these alone."""
+    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    wanted = stored(hash_of.join(ends, "digest", "left_semi").select("text_hash").distinct(), "wanted")
+    texts = told.join(broadcast_if_small(wanted, wanted.count(), 1_000_000), "text_hash", "left_semi").select("text")
+    sets = stored(texts.dropDuplicates(["text"]).mapInArrow(_digests(shingle), "digest long, own array<long>").dropDuplicates(["digest"]), "sets")
+    first, second = (sets.select(F.col("digest").alias(side), F.col("own").alias(f"own_{side}")) for side in ("a", "b"))
+    both = pairs.join(first, "a").join(second, "b").withColumn("shared", F.size(F.array_intersect("own_a", "own_b")))
+    return stored(both.where(F.col("shared") >= least * (F.size("own_a") + F.size("own_b") - F.col("shared")) - 1e-9).select("a", "b"), "confirmed")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, limit: int = 20_000) -> DataFrame:
-    """(doc_id, digest, component_id) of every row: its set of shingles and the smallest doc_id reachable over similar pairs.
+    """(doc_id, text_hash, digest, group, component_id) of every row.
 
-    Null and empty texts have the empty set and are one group; repeated rows are kept; null ids are kept and take part,
-    but name a component only where all its ids are null.
+    ``digest`` names its set of shingles, ``text_hash`` its text, ``group`` the rows reachable over similar pairs, and
+    ``component_id`` is their smallest doc_id. Null and empty texts have the empty set and are one group; repeated rows are
+    kept; null ids are kept and take part, but name a component only where all its ids are null; very long texts are read
+    whole; an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent, rank = frequent_shingles(docs, shingle)
     told = docs.select("text", "doc_id", F.xxhash64("text").alias("text_hash"))
-    marked = stored(told.mapInArrow(_keys(shingle, least, frequent, rank), "doc_id long, text_hash long, digest long, size int, keys array<long>"), "shingles")
-    distinct = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"))
-    distinct = stored(distinct, "distinct")
+    marked = stored(told.mapInArrow(_keys(shingle, least, frequent, rank), "doc_id long, text_hash long, digest long, bits long, size int, keys array<long>"), "shingles")
+    distinct = stored(marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits")), "distinct")
     keys = stored(marked.dropDuplicates(["digest"]).select(F.explode("keys").alias("key"), "size", "digest"), "keys")
-    runs = in_runs(keys, limit).repartition("key").sortWithinPartitions("key", "size")
+
+    # links of fingerprints, of sets with one fingerprint, and of neighbours on a shared shingle
+    named = stored(distinct.groupBy("bits").agg(F.min("digest").alias("digest")), "fingerprints")
+    end = lambda side: named.select(F.col("bits").alias(side), F.col("digest").alias(f"digest_{side}"))
+    fuzzy = near_links(named).join(end("a"), "a").join(end("b"), "b").select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
+    same = distinct.select("bits", F.col("digest").alias("a")).join(named.select("bits", F.col("digest").alias("b")), "bits").select("a", "b")
+    line = Window.partitionBy("key").orderBy("size", "digest")
+    beside = keys.select(F.col("digest").alias("a"), F.lead("digest").over(line).alias("b")).where("b is not null")
+    beside = beside.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).count().where("count > 1").select("a", "b")
+    first = fuzzy.unionByName(same).unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    linked = stored(components(confirmed(stored(first, "first-pairs"), told, distinct, shingle, least)), "linked")
+
+    # every pair that is still apart
+    rooted = keys.join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").select("key", "size", "digest", F.coalesce("root", "digest").alias("root"))
+    runs = in_runs(stored(rooted, "rooted"), limit).repartition("key").sortWithinPartitions("key", "size")
     met = runs.mapInArrow(_pairs(least), "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    pairs = stored(met.where("n >= need").select("a", "b"), "pairs")
-    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    wanted = stored(distinct.join(ends, "digest", "left_semi").select("text_hash").distinct(), "wanted")
-    texts = told.join(broadcast_if_small(wanted, wanted.count(), 1_000_000), "text_hash", "left_semi").select("text")
-    sets = stored(texts.dropDuplicates(["text"]).mapInArrow(_digests(shingle), "digest long, own binary").dropDuplicates(["digest"]), "sets")
-    first, second = (sets.select(F.col("digest").alias(side), F.col("own").alias(f"own_{side}")) for side in ("a", "b"))
-    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "own_a", "own_b")
-    found = components(joined.mapInArrow(_similar(least), "a long, b long"))
-    joined = distinct.join(found, distinct["digest"] == found["node"], "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
-    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    group_of = joined.join(named, "root").select("digest", "component_id")
-    return marked.select("doc_id", "digest").join(group_of, "digest").select("doc_id", "digest", "component_id")
+    more = confirmed(stored(met.where("n >= need").select("a", "b"), "pairs"), told, distinct, shingle, least)
+    found = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    joined = distinct.join(found, distinct["digest"] == found["node"], "left").select("digest", "least", F.coalesce("root", "digest").alias("group"))
+    group_of = joined.join(joined.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("digest", "group", "component_id")
+    return marked.select("doc_id", "text_hash", "digest").join(group_of, "digest").select("doc_id", "text_hash", "digest", "group", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs`` (``doc_id``, ``text`` and others), one of each group of ``similar_documents``, with all columns.
+
+    The row with the smallest id stays (rows without id come last), of equal ids the one with the smallest hash of its
+    text, of rows that agree in both the smallest by all columns; so reruns agree. Rows of one id with different texts are
+    judged each on its own.
+    """
+    found = stored(similar_documents(docs, **options), "groups")
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("b")).select("b.doc_id", "b.text_hash")
+    again = found.join(best, found["doc_id"].eqNullSafe(best["doc_id"]) & (found["text_hash"] == best["text_hash"]), "left_semi").groupBy("doc_id", "text_hash").count()
+    best = stored(again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("count") > 1).alias("_again")), "best")
+    rows = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    kept = rows.join(best, rows["doc_id"].cast("long").eqNullSafe(best["_id"]) & (F.col("_text") == F.col("_hash")))
+    out = kept.where(~F.col("_again")).select(*docs.columns)
+    if best.where("_again").isEmpty():
+        return out
+    least = kept.where("_again").groupBy("_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return out.unionByName(least)

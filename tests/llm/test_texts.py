@@ -247,6 +247,40 @@ def test_the_stage_drops_near_copies_beyond_four_bits(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == set(want.values())
 
 
+def test_fingerprint_links_alone_draw_copies_together(spark):
+    rows = near_copies()
+    sets = [jaccard.shingles(t) for _, t in rows]
+    bits = [jaccard.majority_bits(s) for s in sets]
+    ones = np.array([[int(h) >> b & 1 for b in range(64)] for h in sets[0]]).sum(axis=0) * 2 > len(sets[0])
+    assert bits[0] & (2**64 - 1) == sum(1 << b for b in range(64) if ones[b]) and jaccard.majority_bits(sets[0][:0]) == 0
+
+
+def test_large_runs_pair_only_what_is_apart():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    n = 300
+    key, size, own = np.sort(rng.integers(0, 3, n)), rng.integers(90, 111, n), np.arange(n)
+    order = np.lexsort((size, key))
+    key, size = key[order], size[order]
+    root = np.where(rng.random(n) < 0.9, -1, own)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, size.astype(np.int32), own, root, root != -1, np.ones(n, bool))], names=["key", "size", "digest", "root", "apart", "home"])
+    got = {}
+    for small in (2, 1000):
+        pairs = [(a, b) for r in jaccard._pairs(0.8, small)(iter([batch.slice(0, 100), batch.slice(100, 150), batch.slice(250)])) for a, b in zip(r["a"].to_pylist(), r["b"].to_pylist())]
+        got[small] = set(pairs)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and root[i] != root[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) - 1e-9}
+    assert got[2] == got[1000] == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    same, other = "one two three four five six seven eight nine ten", "another text that is not like the first one in any way"
+    rows = [(5, same, "z"), (5, same, "a"), (5, other, "b"), (7, same + " eleven", "c"), (None, other, "d"), (None, "text without an id of its own", "e"), (9, None, "f"), (8, "", "g"), (3, "plain words that nobody else has used so far", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {tuple(r) for r in jaccard.one_of_each(df).collect()}
+    assert got == {(5, same, "a"), (5, other, "b"), (None, "text without an id of its own", "e"), (8, "", "g"), (3, "plain words that nobody else has used so far", None)}
+
+
 def test_language(docs, odd, empty):
     split = docs.withColumn("held", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1)
     dictionaries = langid.learn(split.where("not held"))
