@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm.common import stored
-from basalt.llm.jaccard import similar_documents
+from basalt.llm.jaccard import one_of_each
 from basalt.llm.langid import identify, learn
 from basalt.llm.mixing import mixed_documents
 from basalt.llm.packing import pack_documents
@@ -22,15 +22,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 or more of all five-word shingles in common), the document with the smallest id.
+    """Of each group of near copies (0.8 or more of all five-word shingles in common) one document, by ``one_of_each``.
 
-    Of repeated ids, one row stays; rows without id stay.
+    Null and empty texts are one group.
     """
-    found = similar_documents(docs)
-    kept = docs.join(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
