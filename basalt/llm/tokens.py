@@ -8,13 +8,14 @@ only one side takes as white space, are encoded undivided.
 
 from __future__ import annotations
 
+import re
 from array import array
 
 import regex
 
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\x7e¡-įı-ɏ]+")
-_UNDIVIDED = regex.compile(r"<\||[\x1c-\x1f]")
+_UNDIVIDED = re.compile(r"<\||[\x1c-\x1f]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -24,49 +25,50 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + next(hidden)) for b in range(256)}
 
 
+class _Recent(dict):
+    """Values by key; of ``limit`` entries the half used least recently goes at once."""
+
+    def __init__(self, limit: int, make):
+        super().__init__()
+        self._half, self._make, self._older = max(1, limit // 2), make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._older.get(key)
+        if value is None:
+            value = self._make(key)
+        if len(self) >= self._half:
+            self._older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordCache:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes; at most ``limit`` words, and half as many with their signs."""
+    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes; at most ``limit`` words, and as many with their signs."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 280_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
-        self._limit = limit
-        self._chunks: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._words = _Recent(limit, self._word)
+        self._chunks = _Recent(limit, self._chunk)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        ids = self._words.get(word)
-        if ids is None:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
-            ids = array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
-            if len(self._words) >= self._limit:
-                self._words.clear()
-            self._words[word] = ids
-        return ids
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if not _PLAIN.fullmatch(chunk):
+        if not (chunk.isascii() and chunk.isalnum()) and not _PLAIN.fullmatch(chunk):
             return self._whole(chunk)
         low = chunk.lower()
-        return self._word(low) if low.isalpha() else b"".join(map(self._word, _WORDS.findall(low)))
+        return self._word(low) if low.isalpha() else b"".join(map(self._words.__getitem__, _WORDS.findall(low)))
 
     def encode(self, text: str) -> bytes:
         if _UNDIVIDED.search(text):
             return self._whole(text)
-        chunks = text.split()
-        known = self._chunks
-        for c in chunks:
-            if c not in known:
-                if 2 * len(known) >= self._limit:
-                    self._chunks = known = {}
-                    break
-                known[c] = self._chunk(c)
-        else:
-            return b"".join(map(known.__getitem__, chunks))
-        return b"".join([known.get(c) or known.setdefault(c, self._chunk(c)) for c in chunks])
+        return b"".join(map(self._chunks.__getitem__, text.split()))
