@@ -9,55 +9,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import forgotten, written
 
 
 def reached(edges: DataFrame, starts: DataFrame, depth: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep..., node, depth) of nodes reached from ``starts`` (keep..., node), with the first depth at which they are.
 
-    Starts are left out unless ``keep`` is empty of them: they have depth 0 and are dropped at the end. A frontier holds
-    only nodes seen for the first time, so cycles end.
+    Starts have depth 0 and are left out. A frontier holds only nodes seen for the first time, so cycles end. What was seen
+    is added to in tables of doubling size, so each row is written a few times only, whatever the depth is.
     """
     keys = [*keep, "node"]
     step = written(edges.select(F.col("src").alias("node"), "dst").where("node <> dst").distinct())
-    frontier = starts.select(*keys).distinct()
-    seen = written(frontier.withColumn("depth", F.lit(0)))
-    frontier, level = seen, 0
+    frontier = written(starts.select(*keys).distinct().withColumn("depth", F.lit(0)))
+    parts, level = [(frontier, 1)], 0
     while depth is None or level < depth:
         level += 1
-        fresh = frontier.join(step, "node").select(*keep, F.col("dst").alias("node")).distinct().join(seen, keys, "left_anti").withColumn("depth", F.lit(level))
-        frontier = written(fresh)
+        fresh = frontier.join(step, "node").select(*keep, F.col("dst").alias("node")).distinct()
+        for part, _ in parts:
+            fresh = fresh.join(part, keys, "left_anti")
+        frontier = written(fresh.withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
-        seen = written(seen.unionByName(frontier))
-    return seen.where("depth > 0")
+        parts.append((frontier, 1))
+        while len(parts) > 1 and parts[-1][1] == parts[-2][1]:
+            (a, n), (b, m) = parts[-2:]
+            parts[-2:] = [(written(a.unionByName(b)), n + m)]
+    out = parts[0][0]
+    for part, _ in parts[1:]:
+        out = out.unionByName(part)
+    return out.where("depth > 0")
 
 
-def trimmed(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def trimmed(edges: DataFrame) -> DataFrame:
     """Edges without those that touch a node with no way in or no way out; what is left holds all cycles."""
     now = written(edges.where("src <> dst").select("src", "dst").distinct())
     n = now.count()
-    for _ in range(rounds):
+    while True:
         left = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        now = written(left)
+        before, now = now, written(left)
+        forgotten(before)
         m = now.count()
         if m == n:
-            break
+            return now
         n = m
-    return now
 
 
-def strongly_connected(edges: DataFrame, rounds: int = 1000, unroll: int = 3) -> DataFrame:
+def strongly_connected(edges: DataFrame, unroll: int = 3) -> DataFrame:
     """(node, component) of nodes on cycles; a component is named by its smallest node.
 
     Colouring: on the trimmed graph every node takes the smallest node that reaches it; nodes of a colour that also
-    reach that node backwards form its component and leave; repeat with the rest.
+    reach that node backwards form its component and leave; repeat with the rest. Each round takes at least one component
+    away, so the loop ends by itself.
     """
     out = None
     left = trimmed(edges)
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         colour = written(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
         while True:
             new = colour.withColumn("old", F.col("colour"))
@@ -65,8 +71,10 @@ def strongly_connected(edges: DataFrame, rounds: int = 1000, unroll: int = 3) ->
                 offered = left.join(new.select("node", "colour"), left["src"] == F.col("node")).groupBy("dst").agg(F.min("colour").alias("offer"))
                 new = new.join(offered, new["node"] == offered["dst"], "left").select("node", F.least("colour", F.coalesce("offer", "colour")).alias("colour"), "old")
             new = written(new)
+            forgotten(colour)
             settled = new.where("colour < old").isEmpty()
             colour = new.drop("old")
+            colour._written_to = new._written_to
             if settled:
                 break
         same = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
@@ -76,36 +84,39 @@ def strongly_connected(edges: DataFrame, rounds: int = 1000, unroll: int = 3) ->
         several = found.join(found.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("node", "component")
         out = several if out is None else out.unionByName(several)
         gone = found.select("node")
-        left = trimmed(left.join(gone, left["src"] == gone["node"], "left_anti").join(gone, F.col("dst") == gone["node"], "left_anti"))
+        before, left = left, trimmed(left.join(gone, left["src"] == gone["node"], "left_anti").join(gone, F.col("dst") == gone["node"], "left_anti"))
+        forgotten(before)
     if out is None:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     return written(out)
 
 
-def longest_levels(edges: DataFrame, nodes: DataFrame, rounds: int = 100_000, unroll: int = 4) -> DataFrame:
-    """(node, level) on the condensed graph: what depends on nothing is 0, else one more than the highest dependency."""
+def longest_levels(edges: DataFrame, nodes: DataFrame, unroll: int = 4) -> DataFrame:
+    """(node, level) on the condensed graph: what depends on nothing is 0, else one more than the highest dependency.
+
+    A group keeps the longest chain found so far, and only groups whose chain grew go on; the condensed graph has no
+    cycle, so the rounds end by themselves.
+    """
     comp = strongly_connected(edges)
     group = written(nodes.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("group")))
     between = edges.join(group.select(F.col("node").alias("src"), F.col("group").alias("a")), "src").join(group.select(F.col("node").alias("dst"), F.col("group").alias("b")), "dst")
     between = written(between.where("a <> b").select("a", "b").distinct())
-    frontier = group.select("group").distinct().withColumn("level", F.lit(0))
-    found = [frontier]
-    for k in range(0, rounds, unroll):
-        # the groups at the end of a chain of k+1 .. k+unroll dependencies, several lengths a job
+    level = written(group.select("group").distinct().withColumn("level", F.lit(0)))
+    frontier, done = level, 0
+    while True:
+        # the groups at the end of a chain of done+1 .. done+unroll dependencies, several lengths a job
         steps, last = [], frontier
         for j in range(1, unroll + 1):
-            last = between.join(last, between["b"] == last["group"]).select(F.col("a").alias("group")).distinct().withColumn("level", F.lit(k + j))
+            last = between.join(last, between["b"] == last["group"]).select(F.col("a").alias("group")).distinct().withColumn("level", F.lit(done + j))
             steps.append(last)
         batch = steps[0]
         for s in steps[1:]:
             batch = batch.unionByName(s)
-        batch = written(batch)
-        frontier = batch.where(F.col("level") == k + unroll)
-        found.append(batch)
-        if frontier.isEmpty():
+        batch = written(batch.groupBy("group").agg(F.max("level").alias("grown")))
+        if batch.isEmpty():
             break
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    level = every.groupBy("group").agg(F.max("level").alias("level"))
+        done += unroll
+        before, level = level, written(level.join(batch, "group", "left").select("group", F.coalesce("grown", "level").alias("level")))
+        forgotten(before)
+        frontier = batch.where(F.col("grown") == done).select("group", F.col("grown").alias("level"))
     return group.join(level, "group").select("node", "level")

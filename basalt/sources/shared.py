@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary folder; others must set it."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="basalt-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -28,9 +30,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, label: str = "step") -> DataFrame:
-    """``df`` written once and read back: its lineage ends there, so plans of loops stay short and survive lost executors."""
+    """``df`` written once and read back: its lineage ends there, so plans of loops stay short and survive lost executors.
+
+    Files go when the process ends, or by ``forgotten`` once nothing reads them any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forgotten(df: DataFrame | None) -> None:
+    """Remove the files of a written table that a loop has replaced by its next round's."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        _remove(df.sparkSession, path)
