@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import only, table
 
 _MARKUP = re.compile(r"<!--|<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)|<[!?/][^>]*+>", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -361,7 +361,7 @@ def extract_text(pages: DataFrame, keep: list[str], html: str = "html") -> DataF
     are kept; very long and deeply nested pages are read whole in linear time; other columns are ignored, and a kept
     column named ``text`` is replaced.
     """
-    keep = [c for c in keep if c.lower() != "text"]
+    keep = only(keep, "text")
     kept = pages.select(F.col(html).cast("string").alias("_html"), *keep)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[1:])
     return kept.mapInArrow(_extract, f"{schema}text string")

@@ -60,13 +60,13 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
     return out
 
 
-def _sources(weights: tuple[float, ...], share: float, most: float, block: int, shard_words: int, buckets: int):
+def _sources(weights: tuple[float, ...], share: float, most: float, block: int, shard_words: int, most_shards: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(pdf["source"], pdf["words"]), key=lambda r: (pd.isna(r[0]), "" if pd.isna(r[0]) else r[0]))
         sizes = [int(w) for _, w in rows]
         goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, most)
         seats = sainte_lague(goal, round(sum(goal) / block))
-        shards = [min(buckets, max(1, -(-w // shard_words))) for w in sizes]
+        shards = [min(most_shards, max(1, -(-w // shard_words))) for w in sizes]
         return pd.DataFrame({"source": pd.Series([None if pd.isna(s) else s for s, _ in rows], dtype=object), "source_size": sizes, "target": goal, "seats": seats, "shards": shards})
 
     return run
@@ -87,21 +87,32 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = 32, shard_words: int = 1 << 18, buckets: int = 4096, seed: int = 42) -> DataFrame:
+def counted(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """``docs`` with ``size`` (words) and ``_hash``, the seeded order: by id and text, so equal ids don't stand together."""
+    return docs.withColumns({"size": word_count(F.col("text")), "_hash": F.xxhash64("doc_id", "text", F.lit(seed))})
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = 32, shard_words: int = 1 << 18, shards: int = 4096, bucket_rows: int = 500, seed: int = 42) -> DataFrame:
     """All rows and columns of ``docs`` with what the mix takes of each.
 
     Added columns: ``size`` (words), ``source_size``, ``target``, ``repeats`` (times the whole document is taken),
     ``spans`` (word ranges taken once more) and ``taken`` (words in all). Sources are ranked by code point, null last,
     and weigh ``weights`` in turn. Null and empty texts have size 0 and nothing is taken of them; repeated rows count
     and are taken each on their own; input columns named like an added one are replaced; an empty table gives no rows.
-    The list of sources, one row each, passes through one task; it holds names and counts only.
+    Very long texts are counted whole; where a block ends inside a text, only those words are taken. The list of sources,
+    one row each, and each source's list of at most ``shards`` shards pass through one task; they hold counts only. A shard
+    has as many buckets as keep about ``bucket_rows`` rows in each, so no window grows with the table.
+
+    ``docs`` may come from ``counted``; then its texts aren't read again.
     """
-    added = ("size", "source_size", "target", "repeats", "spans", "taken")
-    docs = docs.drop(*added)
-    keyed = docs.withColumns({"size": word_count(F.col("text")), "_hash": F.xxhash64(F.col("doc_id"), F.lit(seed))}).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
+    added = ("source_size", "target", "repeats", "spans", "taken")
+    known = "_hash" in docs.columns
+    docs = docs.drop(*added) if known else docs.drop("size", *added)
+    buckets = shards * max(1, -(-docs.count() // (shards * bucket_rows)))
+    keyed = (docs if known else counted(docs, seed)).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("long"))
 
     counts = stored(keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("words")), "mix-counts")
-    plan = counts.groupBy("source").agg(F.sum("words").alias("words")).groupBy(F.lit(0).alias("_all")).applyInPandas(_sources(tuple(weights), share, most, block_words, shard_words, buckets), "source string, source_size long, target double, seats long, shards long")
+    plan = counts.groupBy("source").agg(F.sum("words").alias("words")).groupBy(F.lit(0).alias("_all")).applyInPandas(_sources(tuple(weights), share, most, block_words, shard_words, shards), "source string, source_size long, target double, seats long, shards long")
     in_shards = (
         counts.alias("c").join(plan.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source")))
         .select("c.source", "_bucket", "words", "source_size", "target", "seats", F.floor(F.col("_bucket") * F.col("shards") / buckets).alias("shard"))
@@ -143,7 +154,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     return (
         laid.withColumn("spans", spans)
         .withColumn("taken", F.col("repeats") * F.col("size") + F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"]))
-        .select(*docs.columns, "size", "source_size", "target", "repeats", "spans", "taken")
+        .select(*[c for c in docs.columns if c not in ("size", "_hash")], "size", "source_size", "target", "repeats", "spans", "taken")
     )
 
 
@@ -159,4 +170,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    sized = counted(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    return mix_sources(stored(sized, "sizes")).select("doc_id", "size", "source_size", "target", "taken")

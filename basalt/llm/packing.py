@@ -147,7 +147,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, eos: int
     """Pieces of all documents with their token ids (little-endian unsigned 32-bit), sequence, offset and step group.
 
     ``tiers`` are ascending powers of two. A null or empty text is the single id ``eos``; repeated rows are packed each
-    on their own; a null ``doc_id`` is kept; other columns are ignored; an empty table gives no rows.
+    on their own; a null ``doc_id`` is kept; very long texts are cut at windows; other columns are ignored; an empty table
+    gives no rows.
     """
     if sorted(tiers) != list(tiers) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be ascending powers of two")

@@ -1,6 +1,7 @@
 """Personal data: spans of fixed kinds, and terms that give protected entities away.
 
-The corpus tells how strongly a term reveals an entity: with p(e) the share of documents that hold entity e and p(e|t)
+A protected entity is a value (an address, a number) or what many values share: the domain of an e-mail address, the first
+digits of a number, the network of an IP address. The corpus tells how strongly a term reveals an entity: with p(e) the share of documents that hold entity e and p(e|t)
 the share of term t's documents that hold it next to t, their pointwise mutual information is log(p(e|t)/p(e)), and t
 discloses e when that reaches the information log(1/p(e)) of the entity divided by ``alpha``. Disclosing terms are
 generalised to a placeholder, or removed when nearly all their documents hold the entity.
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import only, stored, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 BASE = 4
@@ -78,6 +79,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def entities(kind: int, value: str) -> list[str]:
+    """The value and the group that it belongs to."""
+    low, digits = value.lower(), "".join(c for c in value if c.isdigit())
+    group = (low.partition("@")[2], ".".join(low.split(".")[:2]), digits[:6], digits[:4])[kind]
+    return [f"{KINDS[kind]}:{low}", f"{KINDS[kind]}~{group}"]
+
+
+def _inside_word(text: str, at: int) -> bool:
+    return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+
+def terms_near(text: str, start: int, end: int, window: int, reach: int) -> list[str]:
+    """Up to ``window`` whole terms on each side that begin within ``reach`` characters of a span."""
+    low, high = max(0, start - reach), min(len(text), end + reach)
+    while low < start and _inside_word(text, low):
+        low += 1
+    while _inside_word(text, high):
+        high += 1
+    return _TERM.findall(text[low:start])[-window:] + _TERM.findall(text[end:high])[:window]
+
+
 def _contexts(window: int, reach: int):
     """Per entity of a document: its kind and value, and the terms within ``window`` words and ``reach`` characters of it."""
 
@@ -87,9 +109,9 @@ def _contexts(window: int, reach: int):
             for text in batch.column(0).to_pylist():
                 near: dict[str, set[str]] = {}
                 for start, kind, end in base_spans(text or ""):
-                    before = _TERM.findall(text[max(0, start - reach) : start])[-window:]
-                    after = _TERM.findall(text[end : end + reach])[:window]
-                    near.setdefault(f"{KINDS[kind]}:{text[start:end].lower()}", set()).update(w.lower() for w in before + after)
+                    terms_here = {w.lower() for w in terms_near(text, start, end, window, reach)}
+                    for e in entities(kind, text[start:end]):
+                        near.setdefault(e, set()).update(terms_here)
                 for e, own in near.items():
                     entity.append(e)
                     terms.append(sorted(own))
@@ -185,21 +207,35 @@ def _marker(names: list[str], terms: dict[str, float] | None, remove_at: float,
     return run
 
 
-def find_personal_data(docs: DataFrame, keep: list[str], limit: int = 200_000, remove_at: float = 0.9, **options) -> DataFrame:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, term): the different terms of each text, cut as everywhere else."""
+    for batch in batches:
+        for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = list({w.lower() for w in _TERM.findall(text or "")})
+            yield pa.RecordBatch.from_arrays([pa.array([h] * len(words), pa.int64()), pa.array(words, pa.string())], names=["_hash", "term"])
+
+
+def find_personal_data(docs: DataFrame, keep: list[str], limit: int = 200_000, remove_at: float = 0.9, slots: int = 16, **options) -> DataFrame:
     """``keep`` columns of ``docs`` with ``spans`` (kind, start, end in code points, end exclusive) and ``clean_text``.
 
-    A null text has no spans and stays null; an empty text has none; repeated rows are marked alike. Terms of the whole
-    corpus up to ``limit`` go to the tasks as a set; more of them reach the documents that hold them by a shuffled join.
+    A null text has no spans and stays null; an empty text has none; an empty table gives no rows; very long texts are read
+    whole; repeated rows are marked alike; other columns are ignored, and kept columns named like an added one are
+    replaced. Terms of the whole corpus up to ``limit`` go to the tasks as a set; more of them reach the documents that
+    hold them by a join on the text's hash, each text once, and its copies are dealt to ``slots``. Both ways give the same.
     """
+    keep = only(keep, "spans", "clean_text")
     told = disclosing_terms(docs, limit=limit, **options)
     kept = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    schema = f"{fields}, spans array<struct<kind: string, start: long, end: long>>, clean_text string"
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[1:])
+    schema = f"{fields}spans array<struct<kind: string, start: long, end: long>>, clean_text string"
     if told.count() <= limit:
         return kept.mapInArrow(_marker(keep, {r["term"]: r["share"] for r in told.collect()}, remove_at, False), schema)
-    held = kept.select(F.xxhash64("_text").alias("_hash"), F.explode(F.array_distinct(F.split(F.lower("_text"), r"[\p{N}_\P{L}]+"))).alias("term")).join(told, "term")
-    held = held.groupBy("_hash").agg(F.collect_set(F.struct("term", "share")).alias("_terms"))
-    joined = kept.withColumn("_hash", F.xxhash64("_text")).join(held, "_hash", "left").select("_text", "_terms", *keep)
+    hashed = kept.withColumn("_hash", F.xxhash64("_text"))
+    texts = hashed.select("_hash", "_text").dropDuplicates()
+    held = texts.mapInArrow(_held, "_hash long, term string").join(told, "term").groupBy("_hash").agg(F.collect_set(F.struct("term", "share")).alias("_terms"))
+    held = held.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    slot = F.pmod(F.xxhash64(*keep) if keep else F.lit(0), F.lit(slots)).cast("int")
+    joined = hashed.withColumn("_slot", slot).join(held, ["_hash", "_slot"], "left").select("_text", "_terms", *keep)
     return joined.mapInArrow(_marker(keep, None, remove_at, True), schema)
 
 

@@ -1,6 +1,7 @@
 """Quality scores: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
-The features approximate a Gaussian kernel over standardised statistics. Every partition of the labelled rows adds up
+The features approximate a Gaussian kernel over standardised statistics; the statistics themselves stand beside them, so
+the ridge has a linear part. Every partition of the labelled rows adds up
 its own normal equations; their sums, of a size fixed by ``features``, are all that reaches the driver.
 """
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, crc32_mod, stored, table
+from .common import broadcast_if_small, crc32_mod, only, stored, table
 
 STATISTICS = 18
 
@@ -139,7 +140,8 @@ def taught(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> DataFr
 def fit(docs: DataFrame, labels: DataFrame, features: int = 256, ridge: float = 1e-3, width: float = 0.12, bins: int = 400, sample: int = 40_000, seed: int = 42) -> Model:
     """Model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``label``), of which ``taught`` chooses.
 
-    Three quarters of the rows, by hash, fit the ridge regression; the rest calibrate it.
+    The fit is bounded: it reads about ``sample`` labelled documents, whole. Three quarters of them, by hash, fit the ridge
+    regression; the rest calibrate it. Without labelled rows every score is 0.5.
     """
     nothing = Model(np.zeros(STATISTICS), np.ones(STATISTICS), np.zeros((STATISTICS, 1)), np.zeros(1), np.zeros(STATISTICS + 2), np.zeros(0), np.zeros(0))
     measured = taught(docs, labels, sample, seed).select("text", F.col("label").cast("double").alias("label"), (F.col("h") % 4 == 0).alias("calibrates"))
@@ -182,10 +184,15 @@ def _score(model: Model, threshold: float):
 
 
 def score_quality(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.3) -> DataFrame:
-    """``keep`` columns of ``docs`` with ``score`` (0 to 1) and ``predicted``; a null text scores as an empty one."""
+    """``keep`` columns of ``docs`` with ``score`` (0 to 1) and ``predicted``; kept columns of these names are replaced.
+
+    A null text scores as an empty one; very long texts are measured whole; repeated rows score alike; an empty table
+    gives no rows; other columns are ignored.
+    """
+    keep = only(keep, "score", "predicted")
     kept = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return kept.mapInArrow(_score(model, threshold), f"{schema}, score double, predicted int")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[1:])
+    return kept.mapInArrow(_score(model, threshold), f"{schema}score double, predicted int")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, bits, component_id) of every row: its fingerprint and the smallest doc_id reachable over near links.
 
     Null and empty texts have fingerprint zero and are linked like any other; repeated rows are kept; null ids are kept
-    and take part, but name a component only where all its ids are null; other columns are ignored.
+    and take part, but name a component only where all its ids are null; very long texts are read whole; an empty table
+    gives no rows; other columns are ignored.
     """
     marked = stored(with_fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), shingle), "fingerprints")
     distinct = stored(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")

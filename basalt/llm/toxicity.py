@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, stored, table
+from .common import crc32_mod, only, stored, table
 from .quality import taught
 
 ORDER, DECAY, POWER, LEAST = 3, 0.6, 3, 0.05
@@ -440,7 +440,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str], threshold: fl
     evidence. Very long texts are read whole; repeated rows score alike; an empty table gives no rows; other columns are
     ignored.
     """
-    keep = [c for c in keep if c.lower() not in ("score", "predicted")]
+    keep = only(keep, "score", "predicted")
     kept = docs.select(F.col("text").cast("string").alias("_text"), *keep)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[1:])
     return kept.mapInArrow(_score(model, threshold), f"{schema}score double, predicted int")
