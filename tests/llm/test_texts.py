@@ -370,6 +370,107 @@ def test_fingerprints_in_many_ranges(docs, spark):
     assert got == dict(zip(ids, ids[1:] + ids[:1]))
 
 
+def test_colliding_digests_of_repeated_and_missing_ids(spark, monkeypatch):
+    rows = [(1, "aa"), (1, "bb"), (1, "aa"), (1, "cc"), (None, "dd"), (None, "ee"), (None, "dd"), (2, "ff"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(fp, "digest", lambda canon: F.concat(F.lit("same"), F.char_length(canon).cast("string")))
+    got = fp.fingerprints(df).collect()
+    assert len(got) == len(rows) and sorted(r["doc_id"] or 0 for r in got) == sorted(i or 0 for i, _ in rows)
+    assert len({r["fingerprint"] for r in got}) == len({t or "" for _, t in rows})
+    assert sum(r["near_next"] for r in got) == 2  # of equal texts with one id, both pairs stand side by side
+    chained = fp.neighbours(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("text"), per_range=1).collect()
+    assert sorted((r["doc_id"] or 0, r["own"]) for r in chained) == sorted((r["next_id"] or 0, r["next_own"]) for r in chained)
+
+
+def test_places_among_many_bounds(spark):
+    bounds = list(range(0, 9000, 3))
+    values = [-5, 0, 1, 2, 3, 767, 768, 769, 771, 8996, 8997, 8998, 10**9]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    assert [r[0] for r in df.select(fp._at(bounds, F.col("v"))).collect()] == [sum(b < v for b in bounds) for v in values]
+
+
+def test_terms_are_cut_alike_on_both_paths(spark):
+    rows = [(i, f"note {i} abc½def x²yz ⅷabc zorblax {'abcdef'[i] * 4} joe@x.example.com soon İstanbul {i * 7}") for i in range(6)] + [(100 + i, f"plain soon note {i}") for i in range(200)]
+    rows += [(900, "abc½def x²yz ⅷabc zorblax"), (900, "abc½def x²yz ⅷabc zorblax"), (None, "abc½def"), (901, None), (902, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r["doc_id"] or 0, r["clean_text"] or "", str(r["spans"])) for r in pii.find_personal_data(df, ["doc_id", "text"], limit=limit, slots=4).collect()) for limit in (200_000, 0)]
+    assert got[0] == got[1] and len(got[0]) == len(rows) and any("<TERM>" in t for _, t, _ in got[0])
+
+
+def test_terms_near_a_span_are_whole_words():
+    text = "x" * 30 + " alpha beta joe@x.com gamma " + "y" * 300
+    at = text.index("joe@")
+    assert pii.terms_near(text, at, at + 9, 5, 20) == ["alpha", "beta", "gamma", "y" * 300]
+    assert pii.entities(0, "Joe@X.com") == ["email:joe@x.com", "email~x.com"] and pii.entities(1, "10.2.3.4")[1] == "ip~10.2"
+
+
+def plain_terms(rows, alpha=1.1, support=3, window=5):
+    """Disclosing terms by their definition, for short texts."""
+    import math
+
+    held, docs, around = defaultdict(set), defaultdict(set), defaultdict(set)
+    for k, (_, text) in enumerate(rows):
+        for w in {w.lower() for w in pii._TERM.findall(text or "")}:
+            docs[w].add(k)
+        near = defaultdict(set)
+        for a, kind, b in pii.base_spans(text or ""):
+            for e in pii.entities(kind, text[a:b]):
+                near[e] |= {w.lower() for w in [*pii._TERM.findall(text[:a])[-window:], *pii._TERM.findall(text[b:])[:window]]}
+        for e, own in near.items():
+            held[e].add(k)
+            for w in own:
+                around[e, w].add((k, tuple(sorted(own))))
+    out = {}
+    for (e, w), seen in around.items():
+        info = math.log(len(rows) / len(held[e]))
+        share = len(seen) / len(docs[w])
+        if len({s for _, s in seen}) >= support and info > 0 and math.log(share * len(rows) / len(held[e])) >= info / alpha:
+            out[w] = max(out.get(w, 0), share)
+    return out
+
+
+def test_disclosing_terms_equal_their_definition(spark):
+    r = random.Random(4)
+    words = [f"word{c}" for c in "abcdefghijklmnopqrst"]
+    rows = [(i, " ".join(r.choices(words, k=6)) + (f" {r.choice(['zorblax', 'quux', 'wordc'])} {r.choice(['joe', 'amy'])}@mail{r.randrange(3)}.net " if i % 4 == 0 else " ") + " ".join(r.choices(words, k=4))) for i in range(160)]
+    got = {t["term"]: t["share"] for t in pii.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string"), alpha=3.0).collect()}
+    want = plain_terms(rows, alpha=3.0)
+    assert got.keys() == want.keys() and len(want) > 0 and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+
+
+def test_kept_columns_may_be_named_like_added_ones(spark, odd):
+    named = odd.withColumns({"lang_pred": F.lit("x"), "rejected": F.lit("x"), "predicted": F.lit("x"), "clean_text": F.lit("x")})
+    dictionaries = langid.learn(odd)
+    assert langid.identify(named, dictionaries, ["doc_id", "lang_pred", "score", "rejected"]).columns == ["doc_id", "lang_pred", "score", "rejected"]
+    assert pii.find_personal_data(named, ["doc_id", "spans", "clean_text"]).columns == ["doc_id", "spans", "clean_text"]
+    from basalt.llm import quality, toxicity
+
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, label int")
+    for module, score in ((quality, quality.score_quality), (toxicity, toxicity.score_toxicity)):
+        rows = score(named, module.fit(odd, labels), ["doc_id", "score", "predicted"])
+        assert rows.columns == ["doc_id", "score", "predicted"] and rows.count() == 8
+
+
+def test_the_sample_of_a_language_is_the_same_in_every_run(spark):
+    rows = [(7, f"text number {i} of one id", "en") for i in range(900)] + [(i, "ein anderer text", "de") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.learn(df.repartition(7), sample_docs=8) == langid.learn(df.repartition(3), sample_docs=8)
+
+
+def test_short_clean_texts_are_told(spark, docs):
+    own = langid.identify(docs.select(F.substring_index("text", " ", 6).alias("text"), "lang"), langid.learn(docs), ["lang"]).where("lang is not null")
+    assert own.where("rejected").count() <= 0.2 * own.count()
+
+
+def test_the_pipeline_takes_odd_inputs(spark, odd):
+    columns = list(corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, "").columns == columns
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, odd, "").collect()} == {1, 2, None, 5, 7}
+    assert corpus_pipeline.remove_personal_data(spark, odd, "").count() == 8
+    assert corpus_pipeline.pack(spark, odd, "").agg(F.sum("length")).first()[0] > 8
+
+
 def test_crc_folds(spark):
     from basalt.llm.common import crc32_mod
 
