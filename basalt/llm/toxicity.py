@@ -17,8 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
-from operator import or_
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,15 +73,16 @@ def joined(text: str) -> list[str]:
 def sentences_of(text: str) -> list[list[str]]:
     """Tokens of each sentence; one ends with a line, or after a token that ends in a stop."""
     out: list[list[str]] = []
+    cut = joined if _SPREAD.search(text) else str.split
     for line in text.split("\n"):
-        own: list[str] = []
-        for t in joined(line):
-            own.append(t)
-            if t[-1] in ".!?":
-                out.append(own)
-                own = []
-        if own:
-            out.append(own)
+        tokens, begin = cut(line), 0
+        if "." in line or "!" in line or "?" in line:
+            for k, t in enumerate(tokens, 1):
+                if t[-1] in ".!?":
+                    out.append(tokens[begin:k])
+                    begin = k
+        if begin < len(tokens):
+            out.append(tokens[begin:])
     return out
 
 
@@ -122,19 +122,14 @@ def _gapped(same: np.ndarray, prior: np.ndarray, decay: float) -> np.ndarray:
     return out
 
 
-class _Bits(dict):
-    """Bit of each letter, one of its own for a to z and a shared one for others."""
+def letters(code: np.ndarray) -> np.ndarray:
+    """Classes 1 to 63 of coded letters, one of its own for each of a to z; 0 where there is none."""
+    return np.where(code == 0, 0, np.where((code >= 97) & (code <= 122), code - 96, 27 + code % 37))
 
-    def __missing__(self, c: str) -> int:
-        self[c] = 1 << (ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 38)
-        return self[c]
 
-
-_BIT = _Bits()
-
-
-def _mask(word: str) -> int:
-    return reduce(or_, map(_BIT.__getitem__, word), 0)
+def letter_sets(classes: np.ndarray) -> np.ndarray:
+    """The different letters of each row as bits."""
+    return np.bitwise_or.reduce(np.where(classes > 0, np.uint64(1) << classes.astype(np.uint64), np.uint64(0)), axis=1)
 
 
 def may_lack(landmark: str) -> int:
@@ -146,16 +141,21 @@ class Similarity:
     """Local kernel of words to the landmarks, to the power ``POWER``; ``near`` holds the tokens with a value above ``LEAST``.
 
     The value is the most that a stretch of the word, two letters longer than the landmark, holds of the landmark's kernel
-    with itself, less for stretches that are richer than the landmark, and 1 at most; below ``LEAST``, and where more of the landmark's different letters are absent than
-    ``may_lack`` says, it is 0. A word longer than ``LONGEST`` counts as its overlapping windows of that length.
+    with itself, less for stretches that are richer than the landmark, and 1 at most; below ``LEAST``, and where more of the
+    landmark's different letters are absent than ``may_lack`` says, it is 0. Words that have few of the landmark's pairs of
+    near letters side by side can't reach ``LEAST`` and are passed over. A word longer than ``LONGEST`` counts as its overlapping windows of that length.
     """
 
     def __init__(self, landmarks: list[str], limit: int = 400_000):
         self.landmarks = landmarks
         self.codes = [_codes([z], len(z))[0] for z in landmarks]
         self.norm = [float(subsequence_kernel(c[None, :], c)[0, -1]) for c in self.codes]
-        self.masks = np.array([_mask(z) for z in landmarks], np.uint64)
+        self.masks = np.array([letter_sets(letters(c[None, :]))[0] for c in self.codes], np.uint64)
         self.need = np.bitwise_count(self.masks).astype(int) - np.array([may_lack(z) for z in landmarks], int)
+        self.pairs = np.zeros((len(landmarks), 64 * 64), np.uint8)
+        for k, c in enumerate(letters(c) for c in self.codes):
+            for step in range(1, 2 + may_lack(landmarks[k])):
+                self.pairs[k, c[:-step] * 64 + c[step:]] = 1
         self.seen: set[str] = set()
         self.near: dict[str, np.ndarray] = {}
         self.limit = limit
@@ -177,13 +177,16 @@ class Similarity:
     def vectors(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)))
         by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(words), 4096):
-            some = np.array(by_size[at : at + 4096])
+        for at in range(0, len(words), 16384):
+            some = np.array(by_size[at : at + 16384])
             own = [words[i] for i in some]
-            mask = np.array([_mask(w) for w in own], np.uint64)
             code = _codes(own, max(1, len(own[-1])))
-            for k in range(len(self.landmarks)):
+            classes = letters(code)
+            mask = letter_sets(classes)
+            beside = np.hstack((classes[:, :-1] * 64 + classes[:, 1:], classes[:, :-2] * 64 + classes[:, 2:]))
+            for k, z in enumerate(self.landmarks):
                 rows = np.flatnonzero(np.bitwise_count(mask & self.masks[k]) >= self.need[k])
+                rows = rows[self.pairs[k][beside[rows]].sum(axis=1) >= (3 if len(z) < 6 else 4)]
                 if len(rows):
                     value = self.local(code[rows], k)
                     out[some[rows], k] = np.where(value >= LEAST, value, 0)
@@ -266,7 +269,7 @@ def sentence_features(text: str, tokens: set[str], near: dict[str, np.ndarray])
     return [np.sum(own, axis=0) for own in found if own], len(every)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _groups(batches: Iterator[pa.RecordBatch], size: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             part = batch.slice(at, size)
