@@ -108,6 +108,23 @@ def _keys(shingle: int, least: float, frequent: np.ndarray, rank: np.ndarray):
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition sorted by its first column whose value there another row has too."""
+    held, met = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = batch.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.r_[met, same] | np.r_[same, False]
+        yield batch.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
+        held, met = batch.slice(len(key) - 1), bool(keep[-1])
+    if held is not None and met:
+        yield held
+
+
 def _pairs(least: float, small: int = 64):
     """Pairs of rows with one key and different roots, and how often a similar pair meets at least.
 
@@ -217,13 +234,15 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, lim
     told = docs.select("text", "doc_id", F.xxhash64("text").alias("text_hash"))
     marked = stored(told.mapInArrow(_keys(shingle, least, frequent, rank), "doc_id long, text_hash long, digest long, bits long, size int, keys array<long>"), "shingles")
     distinct = stored(marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits")), "distinct")
-    keys = stored(marked.dropDuplicates(["digest"]).select(F.explode("keys").alias("key"), "size", "digest"), "keys")
+    keys = marked.dropDuplicates(["digest"]).select(F.explode("keys").alias("key"), "size", "digest")
+    keys = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, size int, digest long"), "shared")
+    met = distinct.join(keys.select("digest").distinct(), "digest", "left_semi")
 
-    # links of fingerprints, of sets with one fingerprint, and of neighbours on a shared shingle
-    named = stored(distinct.groupBy("bits").agg(F.min("digest").alias("digest")), "fingerprints")
+    # of documents that share a shingle at all: links of fingerprints, of sets with one fingerprint, and of neighbours on a shared shingle
+    named = stored(met.groupBy("bits").agg(F.min("digest").alias("digest")), "fingerprints")
     end = lambda side: named.select(F.col("bits").alias(side), F.col("digest").alias(f"digest_{side}"))
     fuzzy = near_links(named).join(end("a"), "a").join(end("b"), "b").select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
-    same = distinct.select("bits", F.col("digest").alias("a")).join(named.select("bits", F.col("digest").alias("b")), "bits").select("a", "b")
+    same = met.select("bits", F.col("digest").alias("a")).join(named.select("bits", F.col("digest").alias("b")), "bits").select("a", "b")
     line = Window.partitionBy("key").orderBy("size", "digest")
     beside = keys.select(F.col("digest").alias("a"), F.lead("digest").over(line).alias("b")).where("b is not null")
     beside = beside.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).count().where("count > 1").select("a", "b")
@@ -233,8 +252,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, lim
     # every pair that is still apart
     rooted = keys.join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").select("key", "size", "digest", F.coalesce("root", "digest").alias("root"))
     runs = in_runs(stored(rooted, "rooted"), limit).repartition("key").sortWithinPartitions("key", "size")
-    met = runs.mapInArrow(_pairs(least), "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    more = confirmed(stored(met.where("n >= need").select("a", "b"), "pairs"), told, distinct, shingle, least)
+    paired = runs.mapInArrow(_pairs(least), "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    more = confirmed(stored(paired.where("n >= need").select("a", "b"), "pairs"), told, distinct, shingle, least)
     found = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     joined = distinct.join(found, distinct["digest"] == found["node"], "left").select("digest", "least", F.coalesce("root", "digest").alias("group"))
     group_of = joined.join(joined.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("digest", "group", "component_id")

@@ -273,6 +273,18 @@ def test_large_runs_pair_only_what_is_apart():
     assert got[2] == got[1000] == want
 
 
+def test_shared_keys_across_batches():
+    import pyarrow as pa
+
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        key = np.sort(rng.integers(0, 30, 40))
+        batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(40))], names=["key", "n"])
+        cuts = [0, *sorted(rng.integers(0, 41, 6).tolist()), 40]
+        got = [n for b in jaccard._shared(iter([batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:])])) for n in b.column(1).to_pylist()]
+        assert got == [i for i in range(40) if (key == key[i]).sum() > 1]
+
+
 def test_one_row_of_each_group_stays(spark):
     same, other = "one two three four five six seven eight nine ten", "another text that is not like the first one in any way"
     rows = [(5, same, "z"), (5, same, "a"), (5, other, "b"), (7, same + " eleven", "c"), (None, other, "d"), (None, "text without an id of its own", "e"), (9, None, "f"), (8, "", "g"), (3, "plain words that nobody else has used so far", None)]
