@@ -8,8 +8,9 @@ SimHash reaches no fixed similarity without loss: at 0.8 fingerprints differ in
 keys find. So the rest is exact. Two sets of similarity ``least`` or more share a shingle among the first
 ``n - ceil(least * n) + 1`` of each, whatever the order of all shingles is. Documents meet on the shingles of their
 beginnings in one fixed order; those that a sample holds often come last in it, so passages of many documents rarely bring
-them together. Only documents that are not yet in one group are paired. Pairs that share too few of these shingles to be
-similar go, and of the others the whole sets are compared: no pair is lost and none is guessed.
+them together. Only documents that are not yet in one group are paired, after some rounds in which each of them tries a
+few others of its runs. Pairs that share too few of these shingles to be similar go, and so do pairs whose parities differ
+more than similar sets can; of the others the whole sets are compared: no pair is lost and none is guessed.
 """
 
 from __future__ import annotations
@@ -67,6 +68,14 @@ def majority_bits(own: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(own), bitorder="little").view(np.int64)[0])
 
 
+def parities(own: np.ndarray, bits: int = 512) -> bytes:
+    """Whether an even or odd number of a set's hashes falls into each of ``bits`` bins.
+
+    Sets that differ in d elements have parities that differ in d bins at most.
+    """
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
@@ -102,8 +111,8 @@ def _keys(shingle: int, least: float, frequent: np.ndarray, rank: np.ndarray):
                 part = batch.slice(at, 512)
                 sets = [shingles(t or "", shingle) for t in part.column(0).to_pylist()]
                 begins = [beginning(s, least, frequent, rank) if len(s) else s for s in sets]
-                own = [pa.array([digest(s) for s in sets], pa.int64()), pa.array([majority_bits(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists(begins)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *own], names=[*part.schema.names[1:], "digest", "bits", "size", "keys"])
+                own = [pa.array([digest(s) for s in sets], pa.int64()), pa.array([majority_bits(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), _lists(begins)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *own], names=[*part.schema.names[1:], "digest", "bits", "parity", "size", "keys"])
 
     return run
 
@@ -132,51 +141,84 @@ def _pairs(least: float, small: int = 64):
     most frequent root look for the others: it costs their number times its length.
     """
 
-    def told(size_a: np.ndarray, size_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def told(size_a: np.ndarray, size_b: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         low, high = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+        can = np.bitwise_count(p ^ q).sum(axis=1) <= (size_a + size_b) * (1 - least) / (1 + least) + 1e-9
         need = np.maximum(1, shared_at_least(low + high, least / (1 + least)) - shared_at_least(high, least) + 1)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[can]), pa.array(np.maximum(a, b)[can]), pa.array(need[can])], names=["a", "b", "need"])
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.minimum(x, y) >= shared_at_least(np.maximum(x, y), least)
 
-    def settle(key: np.ndarray, size: np.ndarray, own: np.ndarray, root: np.ndarray, apart: np.ndarray, home: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def settle(key: np.ndarray, size: np.ndarray, own: np.ndarray, root: np.ndarray, apart: np.ndarray, home: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(key):
             return
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         length = np.diff(np.r_[starts, len(key)])
         mixed = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
         short = np.repeat(mixed & (length <= small), length)
-        k, z, o, r, h = key[short], size[short], own[short], root[short], home[short]
+        k, z, o, r, h, p = key[short], size[short], own[short], root[short], home[short], parity[short]
         for step in range(1, small):
             if step >= len(k):
                 break
             at = np.flatnonzero((k[step:] == k[:-step]) & (r[step:] != r[:-step]) & near(z[step:], z[:-step]) & (h[step:] | h[:-step]))
             if len(at):
-                yield told(z[at], z[at + step], o[at], o[at + step])
+                yield told(z[at], z[at + step], o[at], o[at + step], p[at], p[at + step])
         for run in np.flatnonzero(mixed & (length > small)):
             s = slice(starts[run], starts[run] + length[run])
-            z, o, r, h = size[s], own[s], root[s], home[s]
+            z, o, r, h, p = size[s], own[s], root[s], home[s], parity[s]
             for i in np.flatnonzero(apart[s]):
                 at = np.flatnonzero((r != r[i]) & near(z, z[i]) & h)
                 if len(at):
-                    yield told(z[at], np.full(len(at), z[i]), o[at], np.full(len(at), o[i]))
+                    yield told(z[at], np.full(len(at), z[i]), o[at], np.full(len(at), o[i]), p[at], p[i])
+
+    return _by_key(settle, 7)
+
+
+def _tries(tries: int, least: float, seed: int):
+    """Pairs of a row that is apart and another row of its run with another root, at about ``tries`` of its keys."""
+
+    def settle(key: np.ndarray, size: np.ndarray, own: np.ndarray, root: np.ndarray, apart: np.ndarray, home: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        draw = _mixed((key ^ own).view(np.uint64) + np.uint64(seed))
+        keys = np.maximum(1, ((size * (1 - least)).astype(np.uint64) + np.uint64(1)) // np.uint64(tries))
+        asks = np.flatnonzero(apart & home & (draw % keys == 0))
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        run = np.searchsorted(starts, asks, side="right") - 1
+        length = np.diff(np.r_[starts, len(key)])[run]
+        other = starts[run] + (_mixed(draw[asks]) % length.astype(np.uint64)).astype(np.int64)
+        met = root[asks] != root[other]
+        a, b = own[asks[met]], own[other[met]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _by_key(settle, 6)
+
+
+def _by_key(settle, columns: int):
+    """``settle`` on the arrays of whole runs of a partition sorted by key; only a run that crosses batches is carried over."""
+
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]]
+        rows[1] = rows[1].astype(np.int64)
+        if columns > 6:
+            rows.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            rows[1] = rows[1].astype(np.int64)
+            rows = arrays(batch)
             if kept and kept[-1][0][-1] == rows[0][-1]:
                 kept.append(rows)
                 continue
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            yield from settle(*(np.concatenate([*(k[i] for k in kept), rows[i][:cut]]) for i in range(6)))
+            yield from settle(*(np.concatenate([*(k[i] for k in kept), rows[i][:cut]]) for i in range(columns)))
             kept = [[x[cut:] for x in rows]]
         if kept:
-            yield from settle(*(np.concatenate([k[i] for k in kept]) for i in range(6)))
+            yield from settle(*(np.concatenate([k[i] for k in kept]) for i in range(columns)))
 
     return run
 
@@ -221,19 +263,19 @@ def confirmed(pairs: DataFrame, told: DataFrame, hash_of: DataFrame, shingle: in
     return stored(both.where(F.col("shared") >= least * (F.size("own_a") + F.size("own_b") - F.col("shared")) - 1e-9).select("a", "b"), "confirmed")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, limit: int = 20_000) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, limit: int = 20_000, rounds: int = 3, tries: int = 8) -> DataFrame:
     """(doc_id, text_hash, digest, group, component_id) of every row.
 
     ``digest`` names its set of shingles, ``text_hash`` its text, ``group`` the rows reachable over similar pairs, and
     ``component_id`` is their smallest doc_id. Null and empty texts have the empty set and are one group; repeated rows are
     kept; null ids are kept and take part, but name a component only where all its ids are null; very long texts are read
-    whole; an empty table gives no rows; other columns are ignored.
+    whole; an empty table gives no rows; other columns are ignored. ``rounds`` and ``tries`` change the work, not the result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent, rank = frequent_shingles(docs, shingle)
     told = docs.select("text", "doc_id", F.xxhash64("text").alias("text_hash"))
-    marked = stored(told.mapInArrow(_keys(shingle, least, frequent, rank), "doc_id long, text_hash long, digest long, bits long, size int, keys array<long>"), "shingles")
-    distinct = stored(marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits")), "distinct")
+    marked = stored(told.mapInArrow(_keys(shingle, least, frequent, rank), "doc_id long, text_hash long, digest long, bits long, parity binary, size int, keys array<long>"), "shingles")
+    distinct = stored(marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits"), F.first("parity").alias("parity")), "distinct")
     keys = marked.dropDuplicates(["digest"]).select(F.explode("keys").alias("key"), "size", "digest")
     keys = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, size int, digest long"), "shared")
     met = distinct.join(keys.select("digest").distinct(), "digest", "left_semi")
@@ -249,12 +291,21 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, lim
     first = fuzzy.unionByName(same).unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     linked = stored(components(confirmed(stored(first, "first-pairs"), told, distinct, shingle, least)), "linked")
 
+    rooted = lambda: keys.join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").select("key", "size", "digest", F.coalesce("root", "digest").alias("root"))
+    edges = lambda: linked.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for k in range(rounds):
+        tried = in_runs(rooted(), limit).repartition("key").sortWithinPartitions("key").mapInArrow(_tries(tries, least, k), "a long, b long").distinct()
+        new = confirmed(stored(tried, "tries"), told, distinct, shingle, least)
+        if new.isEmpty():
+            break
+        linked = stored(components(edges().unionByName(new)), "linked")
+
     # every pair that is still apart
-    rooted = keys.join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").select("key", "size", "digest", F.coalesce("root", "digest").alias("root"))
-    runs = in_runs(stored(rooted, "rooted"), limit).repartition("key").sortWithinPartitions("key", "size")
+    runs = in_runs(rooted(), limit).join(distinct.select("digest", "parity"), "digest").select("key", "size", "digest", "root", "apart", "home", "parity")
+    runs = runs.repartition("key").sortWithinPartitions("key", "size")
     paired = runs.mapInArrow(_pairs(least), "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
     more = confirmed(stored(paired.where("n >= need").select("a", "b"), "pairs"), told, distinct, shingle, least)
-    found = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    found = components(edges().unionByName(more))
     joined = distinct.join(found, distinct["digest"] == found["node"], "left").select("digest", "least", F.coalesce("root", "digest").alias("group"))
     group_of = joined.join(joined.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("digest", "group", "component_id")
     return marked.select("doc_id", "text_hash", "digest").join(group_of, "digest").select("doc_id", "text_hash", "digest", "group", "component_id")

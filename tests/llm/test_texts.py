@@ -231,8 +231,8 @@ def test_similar_documents_equal_brute_force(spark, docs, odd, empty, monkeypatc
     rows = near_copies()
     rows += [(1000 + i, "one passage that all of these share word for word " * 2 + f"and {i} {i * i} {i + 7}") for i in range(30)] + [(2000, ""), (2001, None), (2002, "Two words"), (2003, "two  WORDS")]
     want, df = plain_similar(rows), spark.createDataFrame(rows, "doc_id long, text string")
-    for limit in (20_000, 8):
-        assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df, limit=limit).collect()} == want
+    for limit, rounds in ((20_000, 3), (8, 1)):
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df, limit=limit, rounds=rounds).collect()} == want
     monkeypatch.setattr(jaccard, "frequent_shingles", lambda docs, shingle: (np.zeros(0, np.uint64), np.zeros(0, int)))
     assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df, limit=8).collect()} == want
     got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(odd).collect()}
@@ -264,7 +264,8 @@ def test_large_runs_pair_only_what_is_apart():
     order = np.lexsort((size, key))
     key, size = key[order], size[order]
     root = np.where(rng.random(n) < 0.9, -1, own)
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, size.astype(np.int32), own, root, root != -1, np.ones(n, bool))], names=["key", "size", "digest", "root", "apart", "home"])
+    columns = [*(pa.array(x) for x in (key, size.astype(np.int32), own, root, root != -1, np.ones(n, bool))), pa.array([b"\0" * 64] * n)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "size", "digest", "root", "apart", "home", "parity"])
     got = {}
     for small in (2, 1000):
         pairs = [(a, b) for r in jaccard._pairs(0.8, small)(iter([batch.slice(0, 100), batch.slice(100, 150), batch.slice(250)])) for a, b in zip(r["a"].to_pylist(), r["b"].to_pylist())]
@@ -273,6 +274,15 @@ def test_large_runs_pair_only_what_is_apart():
     assert got[2] == got[1000] == want
 
 
+def test_parities_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 63, rng.integers(0, 200), dtype=np.uint64)])
+        p, q = (np.frombuffer(jaccard.parities(x), np.uint64) for x in (a, b))
+        assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(a, b))
+
+
 def test_shared_keys_across_batches():
     import pyarrow as pa
 
