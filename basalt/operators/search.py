@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import utf16_length
 
-#: Characters that mark a match while positions are computed; they can't be part of a searched line.
-_OPEN, _CLOSE = "", ""
 LINE_CUT = 400
+#: Parts of a pattern that may look beyond a line, so that a whole text can't be tested with it.
+_BEYOND_LINES = re.compile(r"\(\?|\\[AZzGBR]")
 
 
 def lines_of(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
@@ -34,28 +34,58 @@ def glob_of(glob: str) -> str:
 
 
 def match_spans(line: Column, pattern: str) -> Column:
-    """Array of (from, to) of all non-empty matches in a line, 0-based in UTF-16 units, the end exclusive."""
-    marked = F.regexp_replace(line, F.lit(f"({pattern})" if not pattern.startswith("(?iu)") else f"(?iu)({pattern[5:]})"), F.lit(f"{_OPEN}$1{_CLOSE}"))
-    parts = F.split(marked, _OPEN)
-    found = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(utf16_length(F.substring_index(p, _CLOSE, 1)).alias("hit"), utf16_length(F.substring_index(p, _CLOSE, -1)).alias("rest")))
-    start = F.struct(utf16_length(F.element_at(parts, 1)).alias("at"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("out"))
-    step = lambda acc, m: F.struct((acc["at"] + m["hit"] + m["rest"]).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("from"), (acc["at"] + m["hit"]).alias("to"))).alias("out"))
-    return F.filter(F.aggregate(found, start, step, lambda acc: acc["out"]), lambda s: s["to"] > s["from"])
+    """Array of (from, to) of all matches in a line, 0-based in UTF-16 units, the end exclusive; empty ones too.
 
-
-def search(files: DataFrame, query: str, key: str = "file", text: str = "text", regex: bool = False, whole_word: bool = False, case_sensitive: bool = False, max_results: int | None = 500) -> DataFrame:
-    """(key, line, col, end_col, line_text) of matches in the order of key, line and column.
-
-    Files are tested before they are cut into lines. ``max_results`` is part of the feature: the first so many hits in
-    that order. Line texts are cut to 400 units; positions refer to the uncut line.
+    The texts between the matches and those of the matches, in turn, make up the line. An empty match at the start leaves
+    no text before it.
+    """
+    hits = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+    between = F.split(line, pattern, -1)
+    between = F.when(F.size(between) == F.size(hits), F.concat(F.array(F.lit("")), between)).otherwise(between)
+    lengths = F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda g, h: F.struct(utf16_length(g).alias("gap"), utf16_length(h).alias("hit")))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("out"))
+    step = lambda acc, m: F.struct((acc["at"] + m["gap"] + m["hit"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + m["gap"]).alias("from"), (acc["at"] + m["gap"] + m["hit"]).alias("to"))).alias("out"))
+    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+
+
+def chosen_files(files: DataFrame, key: str = "file", glob: str | None = None, under: str | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of the files to search: those that match a glob, lie under a directory, and are listed, as far as these are given."""
+    if glob:
+        files = files.where(F.col(key).rlike(glob_of(glob)))
+    if under:
+        files = files.where(F.col(key).startswith(under.rstrip("/") + "/") | (F.col(key) == under.rstrip("/")))
+    return files if only is None else files.where(F.col(key).isin(list(only)))
+
+
+def _compiled(files: DataFrame, pattern: str) -> None:
+    try:
+        files.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as error:
+        raise ValueError(f"not a regular expression: {pattern}") from error
+
+
+def search(files: DataFrame, query: str, key: str = "file", text: str = "text", regex: bool = False, whole_word: bool = False, case_sensitive: bool = False, max_results: int | None = 500, glob: str | None = None, under: str | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, line, col, end_col, line_text) of matches; with ``max_results``, in order, with ``match`` and ``truncated``.
+
+    Each line is searched by itself. Files are tested before they are cut into lines, unless the pattern could look beyond
+    a line. ``max_results`` (1 to 5000) is part of the feature: the first so many hits by key, line and column, numbered
+    from 1, and whether there are more. Line texts are cut to 400 characters; positions refer to the uncut line. A pattern
+    that doesn't compile raises ValueError.
     """
     pattern = pattern_of(query, regex, whole_word, case_sensitive)
-    hits = lines_of(files.where(F.col(text).rlike(pattern)), key, text).where(F.col("line_text").rlike(pattern))
+    _compiled(files, pattern)
+    files = chosen_files(files, key, glob, under, only)
+    if not (regex and _BEYOND_LINES.search(query)):
+        files = files.where(F.col(text).rlike(f"(?m){pattern}"))
+    hits = lines_of(files, key, text).where(F.col("line_text").rlike(pattern))
     hits = hits.select(key, "line", F.explode(match_spans(F.col("line_text"), pattern)).alias("m"), "line_text")
     out = hits.select(key, "line", (F.col("m.from") + 1).alias("col"), (F.col("m.to") + 1).alias("end_col"), F.left("line_text", F.lit(LINE_CUT)).alias("line_text"))
-    if max_results is not None:
-        out = out.orderBy(key, "line", "col").limit(max(1, min(max_results, 5000)))
-    return out
+    if max_results is None:
+        return out
+    most = max(1, min(max_results, 5000))
+    first = out.orderBy(key, "line", "col").limit(most + 1)
+    numbered = first.withColumn("match", F.row_number().over(Window.orderBy(key, "line", "col")))
+    return numbered.withColumn("truncated", F.max("match").over(Window.partitionBy()) > most).where(F.col("match") <= most)
 
 
 def by_file(matches: DataFrame, key: str = "file") -> DataFrame:

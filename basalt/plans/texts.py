@@ -38,6 +38,19 @@ def q02_regex_search_in_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "line").agg(F.count("*").alias("hits")).select("doc_id", F.col("line").cast("long").alias("line"), "hits")
 
 
+@R.add(f"""WITH lines AS ({_LINES}) SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(1 AS BIGINT) AS col, CAST(4 AS BIGINT) AS end_col FROM lines WHERE regexp_matches(line_text, '^The\\b') OR regexp_matches(line_text, '^Der\\b')""")
+def q51_anchored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(table(spark, sf_dir, "documents"), r"^(The|Der)\b", key="doc_id", regex=True, case_sensitive=True, max_results=None)
+    return found.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("line", "col", "end_col")])
+
+
+@R.add(f"""WITH lines AS ({_LINES}), n AS (SELECT count(*) AS n FROM lines WHERE regexp_matches(line_text, '\\.$'))
+SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(row_number() OVER (ORDER BY doc_id, line) AS INTEGER) AS match, (SELECT n FROM n) > 100 AS truncated FROM lines WHERE regexp_matches(line_text, '\\.$') ORDER BY doc_id, line LIMIT 100""")
+def q51_numbered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(table(spark, sf_dir, "documents"), r"\.$", key="doc_id", regex=True, case_sensitive=True, max_results=100)
+    return found.select("doc_id", F.col("line").cast("long").alias("line"), "match", "truncated")
+
+
 @R.add(f"""WITH {_hits('stupid')}
 SELECT doc_id, CAST(count(*) AS BIGINT) AS hits, CAST(min(line) AS BIGINT) AS first_line, string_agg(DISTINCT CAST(line AS VARCHAR), ',' ORDER BY line) AS hit_lines FROM hits GROUP BY doc_id""".replace("string_agg(DISTINCT CAST(line AS VARCHAR), ',' ORDER BY line)", "array_to_string(list_sort(list_distinct(list(line))), ',')"))
 def q03_hits_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from basalt.functions import paths, scoring
@@ -33,6 +34,29 @@ def test_search_positions_case_and_words(spark):
     assert places(search(f, "a.py")) == []
 
 
+def test_search_anchors_groups_and_empty_matches(spark):
+    df = spark.createDataFrame([("f", "x\nimport y\r\nend\r\np end"), ("g", "aa bb ab"), ("h", "\ue000foo\ue001 foo"), ("i", "")], "file string, text string")
+    assert places(search(df, "^import", regex=True)) == [("f", 2, 1, 7)]
+    assert places(search(df, "end$", regex=True)) == [("f", 3, 1, 4), ("f", 4, 3, 6)]
+    assert places(search(df, r"([ab])\1", regex=True)) == [("g", 1, 1, 3), ("g", 1, 4, 6)]
+    assert places(search(df, "foo")) == [("h", 1, 2, 5), ("h", 1, 7, 10)]
+    assert places(search(df.where("file = 'g'"), "b*", regex=True)) == [("g", 1, 1, 1), ("g", 1, 2, 2), ("g", 1, 3, 3), ("g", 1, 4, 6), ("g", 1, 6, 6), ("g", 1, 7, 7), ("g", 1, 8, 9), ("g", 1, 9, 9)]
+    assert places(search(df, r"(?<!\n)\Aimport", regex=True)) == [("f", 2, 1, 7)]
+    assert places(search(df, "$", regex=True)) != []
+    with pytest.raises(ValueError):
+        search(df, "(", regex=True)
+
+
+def test_search_filters_numbers_and_truncation(spark):
+    f = files(spark)
+    rows = search(f, "hello", max_results=3).collect()
+    assert [(r["match"], r["truncated"]) for r in rows] == [(1, True), (2, True), (3, True)]
+    assert [(r["match"], r["truncated"]) for r in search(f, "hello", max_results=4).collect()] == [(k, False) for k in range(1, 5)]
+    assert {p[0] for p in places(search(f, "hello", glob="*.py"))} == {"src/a.py", "src/b.py"}
+    assert {p[0] for p in places(search(f, "hello", under="src/", only=("src/b.py", "README.md")))} == {"src/b.py"}
+    assert search(f, "hello").select("file").distinct().count() == 3
+
+
 def test_search_globs(spark):
     f = files(spark)
     got = lambda g: {r["file"] for r in f.where(F.col("file").rlike(glob_of(g))).collect()}
