@@ -1,8 +1,12 @@
-"""Names to definitions: every reference, looked up through the scopes around it."""
+"""Names to definitions: references looked up through the scopes around them, imports through the modules of a tree.
+
+Everything is equi-joins on the fact table. Loops go by nesting depth, by the length of re-export chains and by the
+segments of a member chain, not by the number of files, and each round is written out.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -11,14 +15,14 @@ from ..sources.shared import written
 def scope_closure(scopes: DataFrame) -> DataFrame:
     """(scope, around, dist): each scope with itself and every scope around it. Rounds go by nesting depth."""
     parent = scopes.where("parent is not null").select(F.col("id").alias("inner"), "parent")
-    level = scopes.select(F.col("id").alias("scope"), F.col("id").alias("around"), F.lit(0).alias("dist"))
-    out, dist = level, 0
+    every = level = scopes.select(F.col("id").alias("scope"), F.col("id").alias("around"), F.lit(0).alias("dist"))
+    dist = 0
     while True:
         dist += 1
         level = written(level.join(parent, F.col("around") == F.col("inner")).select("scope", F.col("parent").alias("around"), F.lit(dist).alias("dist")))
         if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+            return every
+        every = written(every.unionByName(level))
 
 
 def resolve_names(facts: DataFrame) -> DataFrame:
@@ -28,17 +32,183 @@ def resolve_names(facts: DataFrame) -> DataFrame:
     of equal imports the first. ``found`` is def, import, star or null; names of class scopes aren't seen from functions
     inside them.
     """
+    return _looked_up(facts, facts.where("fact = 'ref' and kind = 'identifier'").select("file", F.col("ord").alias("ref_ord"), "scope", "name"))
+
+
+def visible_scopes(facts: DataFrame) -> DataFrame:
+    """(scope, around, dist) of the scopes whose names are seen from a scope."""
     scopes = facts.where("fact = 'scope'").select("id", "parent", "kind")
-    around = scope_closure(scopes).join(scopes.select(F.col("id").alias("around"), F.col("kind").alias("around_kind")), "around").where("dist = 0 or around_kind <> 'class'")
-    refs = facts.where("fact = 'ref' and kind = 'identifier'").select("file", F.col("ord").alias("ref_ord"), "scope", "name")
-    first = Window.partitionBy("scope", "name").orderBy("ord")
-    last = Window.partitionBy("scope", "name").orderBy(F.desc("ord"))
-    defs = facts.where("fact = 'def'").withColumn("n", F.row_number().over(last)).where("n = 1").select(F.col("scope").alias("around"), F.col("name").alias("key"), F.lit(0).alias("rank"), F.lit("def").alias("found"), F.col("ord").alias("target"), F.lit(None).cast("string").alias("module"))
-    imports = facts.where("fact = 'import'").withColumn("n", F.row_number().over(first)).where("n = 1")
-    named = imports.where("kind <> 'star'").select(F.col("scope").alias("around"), F.col("name").alias("key"), F.lit(1).alias("rank"), F.lit("import").alias("found"), F.col("ord").alias("target"), "module")
-    stars = imports.where("kind = 'star'").select(F.col("scope").alias("around"), F.lit(2).alias("rank"), F.lit("star").alias("found"), F.col("ord").alias("target"), "module")
+    seen = scope_closure(scopes).join(scopes.select(F.col("id").alias("around"), F.col("kind").alias("around_kind")), "around")
+    return written(seen.where("dist = 0 or around_kind <> 'class'").select("scope", "around", "dist"))
+
+
+def _looked_up(facts: DataFrame, refs: DataFrame, around: DataFrame | None = None) -> DataFrame:
+    """``resolve_names`` for any rows (file, ref_ord, scope, name)."""
+    around = visible_scopes(facts) if around is None else around
+    named = bindings(facts).where("kind <> 'star'").select(F.col("scope").alias("at"), F.col("name").alias("key"), "rank", "found", "target", "module")
+    stars = bindings(facts).where("kind = 'star'").select(F.col("scope").alias("at"), "rank", "found", "target", "module")
     seen = refs.join(around.select("scope", "around", "dist"), "scope")
-    bound = seen.join(defs.unionByName(named).withColumnRenamed("around", "at"), (F.col("around") == F.col("at")) & (F.col("name") == F.col("key"))).drop("at", "key")
-    starred = seen.join(stars.withColumnRenamed("around", "at"), F.col("around") == F.col("at")).drop("at")
+    bound = seen.join(named, (F.col("around") == F.col("at")) & (F.col("name") == F.col("key"))).drop("at", "key")
+    starred = seen.join(stars, F.col("around") == F.col("at")).drop("at")
     best = bound.unionByName(starred).groupBy("file", "ref_ord").agg(F.min_by(F.struct("found", "target", "module"), F.struct("dist", "rank")).alias("b"))
     return refs.select("file", "ref_ord", "name").join(best, ["file", "ref_ord"], "left").select("file", "ref_ord", "name", "b.found", "b.target", "b.module")
+
+
+def bindings(facts: DataFrame) -> DataFrame:
+    """(scope, name, kind, rank, found, target, module): of each name in a scope its last definition and first import."""
+    binding = facts.where("fact in ('def', 'import') and not (fact = 'def' and kind = 'property')")
+    order = Window.partitionBy("scope", "name", "fact").orderBy(F.when(F.col("fact") == "def", -F.col("ord")).otherwise(F.col("ord")))
+    one = binding.withColumn("n", F.row_number().over(order)).where("n = 1")
+    rank = F.when(F.col("fact") == "def", 0).when(F.col("kind") == "star", 2).otherwise(1)
+    found = F.when(F.col("fact") == "def", "def").when(F.col("kind") == "star", "star").otherwise("import")
+    return one.select("scope", "name", "kind", rank.alias("rank"), found.alias("found"), F.col("ord").alias("target"), "module")
+
+
+def module_names(files: DataFrame) -> DataFrame:
+    """(module, file): the dotted names under which the files of a tree (``file``) can be imported; ``src`` may be left out."""
+    path = F.regexp_replace(F.regexp_replace("file", r"\.pyi?$", ""), r"(^|/)__init__$", "")
+    names = F.array_distinct(F.array(path, F.regexp_replace(path, r"^(?:src|lib)/", "")))
+    named = files.where(F.col("file").rlike(r"\.pyi?$")).select("file", F.explode(names).alias("path")).where("path <> ''")
+    return named.groupBy(F.replace("path", F.lit("/"), F.lit(".")).alias("module")).agg(F.min_by("file", F.struct(F.length("file"), "file")).alias("file"))
+
+
+def absolute(file: Column, module: Column) -> Column:
+    """Dotted name of an import; leading dots go up from the file's package."""
+    dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
+    steps = F.split(file, "/")
+    package = F.array_join(F.slice(steps, 1, F.greatest(F.size(steps) - dots, F.lit(0))), ".")
+    rest = F.regexp_replace(module, r"^\.+", "")
+    return F.when(dots == 0, module).otherwise(F.concat_ws(".", F.when(package != "", package), F.when(rest != "", rest)))
+
+
+def resolve_imports(facts: DataFrame) -> DataFrame:
+    """(file, ord, name, kind, module, outcome, target_file, target_ord) of every import.
+
+    ``outcome`` is def (of the module, at once or through re-exports), module (a file of the tree), external, or missing
+    (a module of the tree without that name). A named import prefers a definition to a submodule of that name. Chains of
+    re-exports are followed a step a round until none goes on; cycles end as missing.
+    """
+    files = facts.where("fact = 'scope' and parent is null").select("file")
+    modules = written(module_names(files))
+    imports = facts.where("fact = 'import'").select("file", "ord", "name", "kind", "imported", absolute(F.col("file"), F.col("module")).alias("module"))
+    exports = written(bindings(facts.where(F.col("scope") == F.concat("file", F.lit("#0")))).select(F.split_part("scope", F.lit("#"), F.lit(1)).alias("in_file"), F.col("name").alias("export"), "found", "target"))
+    at_module = modules.select("module", F.col("file").alias("module_file"))
+    at_member = modules.select(F.col("module").alias("member"), F.col("file").alias("member_file"))
+    member = F.when(F.col("kind") == "named", F.concat_ws(".", F.when(F.col("module") != "", F.col("module")), "imported")).otherwise(F.lit(None))
+    top = F.split_part("module", F.lit("."), F.lit(1))
+    inside = modules.select(F.split_part("module", F.lit("."), F.lit(1)).alias("top")).distinct().withColumn("of_tree", F.lit(True))
+    placed = imports.withColumn("member", member).withColumn("top", top).join(at_module, "module", "left").join(at_member, "member", "left").join(inside, "top", "left")
+    placed = written(placed.select("file", "ord", "name", "kind", "imported", "module", "module_file", "member_file", "of_tree"))
+
+    named = placed.where("kind = 'named' and module_file is not null")
+    now = named.select("file", "ord", F.col("module_file").alias("at_file"), F.col("imported").alias("at_name"), F.array(F.concat_ws(":", "module_file", "imported")).alias("seen"))
+    links = placed.where("kind = 'named'").select(F.col("file").alias("link_file"), F.col("ord").alias("link_ord"), F.col("module_file").alias("next_file"), F.col("imported").alias("next_name"), F.col("member_file").alias("next_member"))
+    done = None
+    while True:
+        met = now.join(exports, (F.col("at_file") == F.col("in_file")) & (F.col("at_name") == F.col("export"))).groupBy("file", "ord", "seen").agg(F.min_by(F.struct("in_file", "found", "target"), F.when(F.col("found") == "def", 0).otherwise(1)).alias("b"))
+        met = written(met.select("file", "ord", "seen", "b.in_file", "b.found", "b.target"))
+        ended = met.where("found = 'def'").select("file", "ord", F.col("in_file").alias("def_file"), F.col("target").alias("def_ord"), F.lit(None).cast("string").alias("sub_file"))
+        step = met.where("found = 'import'").join(links, (F.col("in_file") == F.col("link_file")) & (F.col("target") == F.col("link_ord")))
+        through = step.where("next_file is null and next_member is not null").select("file", "ord", F.lit(None).cast("string").alias("def_file"), F.lit(None).cast("int").alias("def_ord"), F.col("next_member").alias("sub_file"))
+        ended = ended.unionByName(through)
+        done = ended if done is None else done.unionByName(ended)
+        tag = F.concat_ws(":", "next_file", "next_name")
+        now = written(step.where(F.col("next_file").isNotNull() & ~F.array_contains("seen", tag)).select("file", "ord", F.col("next_file").alias("at_file"), F.col("next_name").alias("at_name"), F.array_append("seen", tag).alias("seen")))
+        if now.isEmpty():
+            break
+    out = placed.join(written(done), ["file", "ord"], "left")
+    whole = F.when(F.col("kind") != "named", F.col("module_file")).otherwise(F.coalesce("sub_file", "member_file"))
+    outcome = F.when(F.col("def_ord").isNotNull(), "def").when(whole.isNotNull(), "module").when(F.col("of_tree"), "missing").otherwise("external")
+    return written(out.select("file", "ord", "name", "kind", "module", outcome.alias("outcome"), F.coalesce("def_file", whole).alias("target_file"), F.col("def_ord").alias("target_ord")))
+
+
+def members(facts: DataFrame, imports: DataFrame, around: DataFrame | None = None) -> DataFrame:
+    """(owner, name, file, ord): what a module (its file) or a class (file:name) holds; classes hold what their bases hold too."""
+    own = facts.where("fact = 'def'").select("scope", "name", "kind", "file", "ord", "parent")
+    last = lambda df: df.groupBy("owner", "name").agg(F.max_by(F.struct("file", "ord"), "ord").alias("b")).select("owner", "name", "b.file", "b.ord")
+    at_top = last(own.where(F.col("scope") == F.concat("file", F.lit("#0"))).where("kind <> 'property'").withColumn("owner", F.col("file")))
+    bodies = facts.where("fact = 'def' and kind = 'class'").select(F.concat_ws(":", "file", "name").alias("owner"), F.col("body").alias("scope"))
+    in_class = own.where("kind <> 'property'").join(bodies, "scope").unionByName(own.where("kind = 'property'").withColumn("owner", F.concat_ws(":", "file", "parent")).select("scope", "name", "kind", "file", "ord", "parent", "owner"))
+    direct = written(last(in_class))
+    up = type_edges(facts, imports, around).select(F.col("derived").alias("owner"), "base")
+    out, level, dist = direct.withColumn("dist", F.lit(0)), written(up), 1
+    higher, seen = up.select(F.col("owner").alias("base"), F.col("base").alias("higher")), level
+    while not level.isEmpty():
+        out = out.unionByName(level.join(direct.withColumnRenamed("owner", "base"), "base").select("owner", "name", "file", "ord", F.lit(dist).alias("dist")))
+        dist += 1
+        further = level.join(higher, "base").select("owner", F.col("higher").alias("base")).where("owner <> base").distinct()
+        level = written(further.join(seen, ["owner", "base"], "left_anti"))
+        seen = written(seen.unionByName(level))
+    nearest = out.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("dist", "file", "ord")).alias("b")).select("owner", "name", "b.file", "b.ord")
+    return written(at_top.unionByName(nearest))
+
+
+def type_edges(facts: DataFrame, imports: DataFrame, around: DataFrame | None = None) -> DataFrame:
+    """(derived, base): classes as file:name, and the classes of the tree that they extend by a name or ``module.name``."""
+    classes = facts.where("fact = 'def' and kind = 'class'").select("file", "ord", "scope", F.col("name").alias("derived_name"), F.explode_outer("bases").alias("written_base")).where("written_base is not null")
+    refs = classes.select("file", F.hash("file", "ord", "written_base").alias("ref_ord"), "scope", F.split_part("written_base", F.lit("."), F.lit(1)).alias("name"), "derived_name", "written_base")
+    found = _looked_up(facts, refs.select("file", "ref_ord", "scope", "name"), around).join(refs.select("file", "ref_ord", "derived_name", "written_base"), ["file", "ref_ord"])
+    via = imports.select("file", F.col("ord").alias("target"), "outcome", "target_file", "target_ord")
+    found = found.join(via, ["file", "target"], "left")
+    names = facts.where("fact = 'def' and kind = 'class'").select(F.col("file").alias("b_file"), F.col("ord").alias("b_ord"), F.col("name").alias("base_name"))
+    at_file = F.when(F.col("found") == "def", F.col("file")).otherwise(F.col("target_file"))
+    at_ord = F.when(F.col("found") == "def", F.col("target")).otherwise(F.col("target_ord"))
+    plain = found.where("instr(written_base, '.') = 0").select("file", "derived_name", at_file.alias("b_file"), at_ord.alias("b_ord")).join(names, ["b_file", "b_ord"])
+    dotted = found.where("instr(written_base, '.') > 0 and outcome = 'module'").select("file", "derived_name", F.col("target_file").alias("b_file"), F.substring_index("written_base", ".", -1).alias("base_name")).join(names.select("b_file", "base_name").distinct(), ["b_file", "base_name"])
+    edge = [F.concat_ws(":", "file", "derived_name").alias("derived"), F.concat_ws(":", "b_file", "base_name").alias("base")]
+    return written(plain.select(*edge).unionByName(dotted.select(*edge)).where("derived <> base").distinct())
+
+
+def resolve_references(facts: DataFrame) -> DataFrame:
+    """(file, ord, line, col, name, kind, scope, outcome, target_file, target_ord) of every reference.
+
+    ``outcome`` is def, module, external or unresolved. A name is looked up through its scopes, then through its import or
+    the stars of its file; a member chain goes on from what its root is: a module, a class, or a variable, parameter or
+    property whose type is told by an annotation or a constructor. A segment that isn't found leaves the chain unresolved.
+    """
+    imports = resolve_imports(facts)
+    around = visible_scopes(facts)
+    owned = members(facts, imports, around)
+    roots = facts.where("fact = 'ref' and parts is not null").select("file", F.col("ord").alias("ref_ord"), "scope", F.col("parts")[0].alias("name"), "parts", "kind", "line", "col")
+    looked = _looked_up(facts, roots.select("file", "ref_ord", "scope", "name"), around).join(roots.select("file", "ref_ord", "parts"), ["file", "ref_ord"])
+    via = imports.select("file", F.col("ord").alias("target"), "outcome", F.col("target_file").alias("i_file"), F.col("target_ord").alias("i_ord"))
+    looked = looked.join(via, ["file", "target"], "left")
+    star = owned.select(F.col("owner").alias("i_file"), F.col("name"), F.col("file").alias("s_file"), F.col("ord").alias("s_ord"))
+    looked = looked.join(star, ["i_file", "name"], "left")
+    is_def = F.col("found") == "def"
+    is_star = F.col("found") == "star"
+    at_file = F.when(is_def, F.col("file")).when(is_star, F.col("s_file")).otherwise(F.col("i_file"))
+    at_ord = F.when(is_def, F.col("target")).when(is_star, F.col("s_ord")).otherwise(F.col("i_ord"))
+    told = F.when(is_def | is_star & F.col("s_ord").isNotNull(), "def").when(is_star, F.when(F.col("outcome") == "external", "external")).otherwise(F.col("outcome"))
+    state = looked.select("file", "ref_ord", "parts", F.lit(1).alias("at"), told.alias("outcome"), at_file.alias("at_file"), at_ord.alias("at_ord"))
+
+    kinds = written(_owners(facts, imports, around))
+    parts = members_step(owned)
+    state = written(state)
+    while not state.where("at < size(parts) and outcome in ('def', 'module')").isEmpty():
+        going = state.where("at < size(parts) and outcome in ('def', 'module')")
+        typed = going.join(kinds, ["at_file", "at_ord"], "left").withColumn("owner", F.when(F.col("outcome") == "module", F.col("at_file")).otherwise(F.col("is_owner"))).withColumn("segment", F.element_at("parts", F.col("at") + 1))
+        moved = typed.join(parts, ["owner", "segment"], "left").select("file", "ref_ord", "parts", (F.col("at") + 1).alias("at"), F.when(F.col("to_file").isNotNull(), F.when(F.col("to_ord").isNull(), "module").otherwise("def")).alias("outcome"), F.col("to_file").alias("at_file"), F.col("to_ord").alias("at_ord"))
+        state = written(state.where("not (at < size(parts) and outcome in ('def', 'module')) or outcome is null").unionByName(moved))
+    ends = state.select("file", "ref_ord", F.coalesce("outcome", F.lit("unresolved")).alias("outcome"), F.col("at_file").alias("target_file"), F.col("at_ord").alias("target_ord"))
+    every = facts.where("fact = 'ref'").select("file", F.col("ord").alias("ref_ord"), "scope", "name", "kind", "line", "col")
+    return every.join(ends, ["file", "ref_ord"], "left").select("file", F.col("ref_ord").alias("ord"), "line", "col", "name", "kind", "scope", F.coalesce("outcome", F.lit("unresolved")).alias("outcome"), "target_file", "target_ord")
+
+
+def members_step(owned: DataFrame) -> DataFrame:
+    """(owner, segment, to_file, to_ord): one step of a chain."""
+    return written(owned.select("owner", F.col("name").alias("segment"), F.col("file").alias("to_file"), F.col("ord").alias("to_ord")))
+
+
+def _owners(facts: DataFrame, imports: DataFrame, around: DataFrame) -> DataFrame:
+    """(at_file, at_ord, is_owner): definitions that hold members, a class itself and what is declared or made of a class."""
+    classes = facts.where("fact = 'def' and kind = 'class'").select("file", "ord", F.concat_ws(":", "file", "name").alias("is_owner"))
+    typed = facts.where("fact = 'def' and type_name is not null and kind in ('variable', 'constant', 'parameter', 'property')").select("file", F.col("ord").alias("ref_ord"), "scope", F.split_part("type_name", F.lit("."), F.lit(1)).alias("name"), "type_name")
+    found = _looked_up(facts, typed.select("file", "ref_ord", "scope", "name"), around).join(typed.select("file", "ref_ord", "type_name"), ["file", "ref_ord"])
+    found = found.join(imports.select("file", F.col("ord").alias("target"), "outcome", "target_file", "target_ord"), ["file", "target"], "left")
+    at_file = F.when(F.col("found") == "def", F.col("file")).otherwise(F.col("target_file"))
+    at_ord = F.when(F.col("found") == "def", F.col("target")).otherwise(F.col("target_ord"))
+    plain = found.where("instr(type_name, '.') = 0").select(F.col("file").alias("at_file"), F.col("ref_ord").alias("at_ord"), at_file.alias("file"), at_ord.alias("ord")).join(classes, ["file", "ord"]).select("at_file", "at_ord", "is_owner")
+    dotted = found.where("instr(type_name, '.') > 0 and outcome = 'module'").select(F.col("file").alias("at_file"), F.col("ref_ord").alias("at_ord"), F.concat_ws(":", "target_file", F.substring_index("type_name", ".", -1)).alias("is_owner"))
+    dotted = dotted.join(classes.select("is_owner").distinct(), "is_owner", "left_semi").select("at_file", "at_ord", "is_owner")
+    return classes.select(F.col("file").alias("at_file"), F.col("ord").alias("at_ord"), "is_owner").unionByName(plain).unionByName(dotted).groupBy("at_file", "at_ord").agg(F.min("is_owner").alias("is_owner"))

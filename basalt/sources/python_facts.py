@@ -1,4 +1,4 @@
-"""Facts of Python sources: scopes, definitions, references and imports, as one table of tagged rows.
+"""Facts of Python sources: scopes, definitions, references, imports, literals and calls, as one table of tagged rows.
 
 Each file is parsed by itself inside a task; everything that needs more than one file is joins on these rows.
 """
@@ -11,15 +11,46 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-SCHEMA = "file string, fact string, id string, scope string, parent string, kind string, name string, module string, imported string, line int, col int, end_line int, end_col int, ord int"
+#: ``scope`` holds a row, ``body`` is the scope that a class or function opens; ``parts`` is a member chain from its root,
+#: or a call's argument names; ``type_name`` an annotation or a constructor's name; ``depth`` and ``branches`` those inside
+#: a function; ``doc`` the first line of a docstring.
+SCHEMA = (
+    "file string, fact string, id string, scope string, parent string, body string, kind string, name string, module string, imported string, parts array<string>, "
+    "bases array<string>, decorators array<string>, type_name string, doc string, text string, depth int, branches int, line int, col int, end_line int, end_col int, ord int"
+)
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+_INTS = ("depth", "branches", "line", "col", "end_line", "end_col", "ord")
+_BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.BoolOp, ast.comprehension, ast.match_case)
+_NESTS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.Match)
+
+
+def chain(node: ast.AST) -> list[str]:
+    """Names of ``a.b.c`` from its root; empty where the root is no name."""
+    names: list[str] = []
+    while isinstance(node, ast.Attribute):
+        names.append(node.attr)
+        node = node.value
+    return [node.id, *reversed(names)] if isinstance(node, ast.Name) else []
+
+
+def complexity(node: ast.AST) -> tuple[int, int]:
+    """Deepest nesting of statements, and number of branches."""
+    deepest = branches = 0
+    todo = [(child, 0) for child in ast.iter_child_nodes(node)]
+    while todo:
+        child, depth = todo.pop()
+        depth += isinstance(child, _NESTS)
+        deepest, branches = max(deepest, depth), branches + isinstance(child, _BRANCHES)
+        todo += [(c, depth) for c in ast.iter_child_nodes(child)]
+    return deepest, branches
 
 
 class _Walk(ast.NodeVisitor):
     """Emits rows in source order; columns count UTF-16 units from 1."""
 
     def __init__(self, file: str, source: str):
-        self.file, self.lines, self.rows, self.scope, self.depth = file, source.splitlines(), [], f"{file}#0", 0
+        self.file, self.lines, self.rows = file, source.replace("\r\n", "\n").replace("\r", "\n").split("\n"), []
+        self.scope, self.kind, self.classes, self.outside = f"{file}#0", "module", [], {}
         self.add("scope", None, id=self.scope, kind="module", name=file)
 
     def column(self, line: int, offset: int) -> int:
@@ -32,73 +63,154 @@ class _Walk(ast.NodeVisitor):
             row |= {"line": node.lineno, "col": self.column(node.lineno, node.col_offset), "end_line": node.end_lineno, "end_col": self.column(node.end_lineno, node.end_col_offset)}
         self.rows.append(row)
 
-    def inside(self, node: ast.AST, kind: str, name: str, body) -> None:
-        outer, self.scope = self.scope, f"{self.file}#{len(self.rows)}"
-        self.add("scope", node, id=self.scope, parent=outer, kind=kind, name=name)
+    def inside(self, node: ast.AST, kind: str, name: str, body) -> str:
+        outer, outer_kind, outside = self.scope, self.kind, self.outside
+        self.scope, self.kind, self.outside = f"{self.file}#{len(self.rows)}", kind, {}
+        opened = self.scope
+        self.add("scope", node, id=opened, parent=outer, kind=kind, name=name)
         body()
-        self.scope = outer
+        self.scope, self.kind, self.outside = outer, outer_kind, outside
+        return opened
+
+    def binds(self, node: ast.AST, name: str, **values) -> None:
+        """A definition, in the scope that a ``global`` or ``nonlocal`` names, if there is one."""
+        self.add("def", node, name=name, scope=self.outside.get(name, self.scope), **values)
+
+    def visit_Global(self, node) -> None:
+        self.outside |= dict.fromkeys(node.names, f"{self.file}#0")
+
+    def visit_Nonlocal(self, node) -> None:
+        parent = {r["id"]: r["parent"] for r in self.rows if r["fact"] == "scope"}.get(self.scope)
+        self.outside |= dict.fromkeys(node.names, parent)
 
     def visit_FunctionDef(self, node) -> None:
-        within = next((r["kind"] for r in self.rows if r["fact"] == "scope" and r["id"] == self.scope), "module")
-        self.add("def", node, kind=("constructor" if node.name == "__init__" else "method") if within == "class" else "function", name=node.name)
+        deepest, branches = complexity(node)
+        kind = ("constructor" if node.name == "__init__" else "method") if self.kind == "class" else "function"
+        at = len(self.rows)
+        doc = (ast.get_docstring(node) or "").split("\n")[0] or None
+        self.binds(node, node.name, kind=kind, decorators=[".".join(chain(d.func if isinstance(d, ast.Call) else d)) for d in node.decorator_list], doc=doc, depth=deepest, branches=branches, type_name=_annotation(node.returns))
         for d in [*node.decorator_list, *node.args.defaults, *(d for d in node.args.kw_defaults if d), *([node.returns] if node.returns else [])]:
             self.visit(d)
 
         def body() -> None:
             a = node.args
-            for p in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]:
-                self.add("def", p, kind="parameter", name=p.arg)
+            for k, p in enumerate([*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]):
+                own = self.classes[-1] if k == 0 and kind in ("method", "constructor") and self.classes else None
+                self.binds(p, p.arg, kind="parameter", type_name=_annotation(p.annotation) or own)
                 if p.annotation:
                     self.visit(p.annotation)
             for s in node.body:
                 self.visit(s)
 
-        self.inside(node, "function", node.name, body)
+        self.rows[at]["body"] = self.inside(node, "function", node.name, body)
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
+    def visit_Lambda(self, node) -> None:
+        def body() -> None:
+            for p in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
+                self.binds(p, p.arg, kind="parameter")
+            self.visit(node.body)
+
+        self.inside(node, "function", "lambda", body)
+
+    def _comprehension(self, node) -> None:
+        def body() -> None:
+            for g in node.generators:
+                self.visit(g)
+            for part in (node.key, node.value) if isinstance(node, ast.DictComp) else (node.elt,):
+                self.visit(part)
+
+        self.inside(node, "function", "comprehension", body)
+
+    visit_ListComp = visit_SetComp = visit_DictComp = visit_GeneratorExp = _comprehension
+
     def visit_ClassDef(self, node) -> None:
-        self.add("def", node, kind="class", name=node.name)
+        at = len(self.rows)
+        doc = (ast.get_docstring(node) or "").split("\n")[0] or None
+        self.binds(node, node.name, kind="class", bases=[".".join(c) for b in node.bases if (c := chain(b))], decorators=[".".join(chain(d.func if isinstance(d, ast.Call) else d)) for d in node.decorator_list], doc=doc)
         for b in [*node.bases, *(k.value for k in node.keywords), *node.decorator_list]:
             self.visit(b)
-        self.inside(node, "class", node.name, lambda: [self.visit(s) for s in node.body])
+        self.classes.append(node.name)
+        self.rows[at]["body"] = self.inside(node, "class", node.name, lambda: [self.visit(s) for s in node.body])
+        self.classes.pop()
 
     def visit_Import(self, node) -> None:
         for a in node.names:
-            self.add("import", node, kind="module", name=a.asname or a.name.split(".")[0], module=a.name)
+            self.add("import", node, kind="module", name=a.asname or a.name.split(".")[0], module=a.name if a.asname else a.name.split(".")[0], imported=a.name)
 
     def visit_ImportFrom(self, node) -> None:
         for a in node.names:
             self.add("import", node, kind="star" if a.name == "*" else "named", name=a.asname or a.name, module="." * node.level + (node.module or ""), imported=a.name)
 
+    def visit_Assign(self, node) -> None:
+        self.visit(node.value)
+        for t in node.targets:
+            self._assigned(t, node.value, None)
+
+    def visit_AnnAssign(self, node) -> None:
+        self.visit(node.annotation)
+        if node.value:
+            self.visit(node.value)
+        self._assigned(node.target, node.value, _annotation(node.annotation))
+
+    def _assigned(self, target: ast.AST, value: ast.AST | None, kind_of: str | None) -> None:
+        made = ".".join(chain(value.func)) if isinstance(value, ast.Call) else None
+        text = str(value.value)[:200] if isinstance(value, ast.Constant) else None
+        if isinstance(target, ast.Name):
+            self.binds(target, target.id, kind="constant" if self.kind == "module" and target.id.isupper() else "variable", type_name=kind_of or made, text=text)
+        elif isinstance(target, ast.Attribute) and chain(target)[:1] == ["self"] and len(chain(target)) == 2 and self.classes:
+            self.add("def", target, name=target.attr, kind="property", parent=self.classes[-1], type_name=kind_of or made, text=text)
+        else:
+            self.visit(target)
+
     def visit_Name(self, node) -> None:
         if isinstance(node.ctx, ast.Load):
-            self.add("ref", node, kind="identifier", name=node.id)
+            self.add("ref", node, kind="identifier", name=node.id, parts=[node.id])
         else:
-            self.add("def", node, kind="variable", name=node.id)
+            self.binds(node, node.id, kind="variable")
 
     def visit_Attribute(self, node) -> None:
         self.visit(node.value)
         if isinstance(node.ctx, ast.Load):
-            self.add("ref", node, kind="member", name=node.attr)
+            end = len(self.rows)
+            self.add("ref", node, kind="member", name=node.attr, parts=chain(node) or None)
+            self.rows[end]["col"] = self.column(node.end_lineno, node.end_col_offset - len(node.attr.encode()))
+            self.rows[end]["line"] = node.end_lineno
+
+    def visit_Call(self, node) -> None:
+        self.visit(node.func)
+        self.add("call", node, kind="call", name=".".join(chain(node.func)) or None, parts=[a.id if isinstance(a, ast.Name) else "" for a in node.args])
+        for a in [*node.args, *(k.value for k in node.keywords)]:
+            self.visit(a)
+
+    def visit_Constant(self, node) -> None:
+        if isinstance(node.value, (str, int, float)) and not isinstance(node.value, bool):
+            self.add("literal", node, kind=type(node.value).__name__, text=str(node.value)[:200])
+
+
+def _annotation(node: ast.AST | None) -> str | None:
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return node.value
+    return ".".join(chain(node)) or None if node is not None else None
 
 
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows: list[dict] = []
-        for file, text in zip(pdf["rel"], pdf["text"]):
-            try:
-                tree = ast.parse(text or "")
-            except (SyntaxError, ValueError, RecursionError):
-                rows.append(dict.fromkeys(_COLUMNS) | {"file": file, "fact": "error", "kind": "parse-failed", "ord": 0})
-                continue
-            walk = _Walk(file, text or "")
-            walk.visit(tree)
-            rows += walk.rows
-        out = pd.DataFrame(rows, columns=_COLUMNS)
-        for c in ("line", "col", "end_line", "end_col", "ord"):
-            out[c] = out[c].astype("Int32")
-        yield out
+        for at in range(0, len(pdf), 256):
+            rows: list[dict] = []
+            for file, text in zip(pdf["rel"][at : at + 256], pdf["text"][at : at + 256]):
+                try:
+                    walk = _Walk(file, text or "")
+                    walk.visit(ast.parse(text or ""))
+                except (SyntaxError, ValueError, RecursionError):
+                    rows.append(dict.fromkeys(_COLUMNS) | {"file": file, "fact": "error", "kind": "parse-failed", "ord": 0})
+                    continue
+                rows += walk.rows
+            out = pd.DataFrame(rows, columns=_COLUMNS)
+            for c in _INTS:
+                out[c] = out[c].astype("Int32")
+            yield out
 
 
 def python_facts(files: DataFrame) -> DataFrame:
