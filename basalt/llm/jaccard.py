@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import forgotten
 from .common import broadcast_if_small, stored
 from .simhash import _LOWER, components, near_links
 
@@ -252,18 +253,41 @@ def in_runs(keys: DataFrame, limit: int) -> DataFrame:
     return dealt.select(run.alias("key"), "size", "digest", "root", "apart", (F.col("cell") == F.col("own_cell")).alias("home"))
 
 
-def confirmed(pairs: DataFrame, told: DataFrame, hash_of: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of digests whose sets have similarity ``least`` or more; sets are made again for these alone."""
+def possible(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of digests whose sizes and parities don't rule the similarity out."""
+    end = lambda side: known.select(F.col("digest").alias(side), F.col("size").alias(f"size_{side}"), F.col("parity").alias(f"parity_{side}"))
+    met = pairs.join(end("a"), "a").join(end("b"), "b").where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (3, 4))
+            can = np.bitwise_count(p ^ q).sum(axis=1) <= batch.column(2).to_numpy() * (1 - least) / (1 + least) + 1e-9
+            yield batch.select(["a", "b"]).filter(pa.array(can))
+
+    return met.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "parity_a", "parity_b").mapInArrow(run, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, told: DataFrame, known: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of digests whose sets have similarity ``least`` or more; sets are made again for these alone.
+
+    Of each set one text is read, that of the row which ``known`` names for the digest.
+    """
+    pairs = stored(possible(pairs, known, least), "possible")
     ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    wanted = stored(hash_of.join(ends, "digest", "left_semi").select("text_hash").distinct(), "wanted")
-    texts = told.join(broadcast_if_small(wanted, wanted.count(), 1_000_000), "text_hash", "left_semi").select("text")
-    sets = stored(texts.dropDuplicates(["text"]).mapInArrow(_digests(shingle), "digest long, own array<long>").dropDuplicates(["digest"]), "sets")
-    first, second = (sets.select(F.col("digest").alias(side), F.col("own").alias(f"own_{side}")) for side in ("a", "b"))
+    wanted = stored(known.join(ends, "digest", "left_semi").select(F.col("pick.doc_id").alias("_id"), F.col("pick.text_hash").alias("_hash")), "wanted")
+    n = wanted.count()
+    texts = told.join(broadcast_if_small(wanted, n, 1_000_000), told["doc_id"].eqNullSafe(wanted["_id"]) & (told["text_hash"] == wanted["_hash"]), "left_semi").select("text")
+    sets = stored(texts.mapInArrow(_digests(shingle), "digest long, own array<long>"), "sets")
+    one = sets if sets.count() == n else sets.dropDuplicates(["digest"])
+    first, second = (one.select(F.col("digest").alias(side), F.col("own").alias(f"own_{side}")) for side in ("a", "b"))
     both = pairs.join(first, "a").join(second, "b").withColumn("shared", F.size(F.array_intersect("own_a", "own_b")))
-    return stored(both.where(F.col("shared") >= least * (F.size("own_a") + F.size("own_b") - F.col("shared")) - 1e-9).select("a", "b"), "confirmed")
+    out = stored(both.where(F.col("shared") >= least * (F.size("own_a") + F.size("own_b") - F.col("shared")) - 1e-9).select("a", "b"), "confirmed")
+    for df in (pairs, wanted, sets):
+        forgotten(df)
+    return out
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, limit: int = 20_000, rounds: int = 3, tries: int = 8) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, limit: int = 20_000, rounds: int = 2, tries: int = 8) -> DataFrame:
     """(doc_id, text_hash, digest, group, component_id) of every row.
 
     ``digest`` names its set of shingles, ``text_hash`` its text, ``group`` the rows reachable over similar pairs, and
@@ -275,7 +299,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, lim
     frequent, rank = frequent_shingles(docs, shingle)
     told = docs.select("text", "doc_id", F.xxhash64("text").alias("text_hash"))
     marked = stored(told.mapInArrow(_keys(shingle, least, frequent, rank), "doc_id long, text_hash long, digest long, bits long, parity binary, size int, keys array<long>"), "shingles")
-    distinct = stored(marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits"), F.first("parity").alias("parity")), "distinct")
+    distinct = stored(marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("pick"), F.first("bits").alias("bits"), F.first("parity").alias("parity"), F.first("size").alias("size")), "distinct")
     keys = marked.dropDuplicates(["digest"]).select(F.explode("keys").alias("key"), "size", "digest")
     keys = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, size int, digest long"), "shared")
     met = distinct.join(keys.select("digest").distinct(), "digest", "left_semi")
@@ -289,13 +313,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, lim
     beside = keys.select(F.col("digest").alias("a"), F.lead("digest").over(line).alias("b")).where("b is not null")
     beside = beside.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).count().where("count > 1").select("a", "b")
     first = fuzzy.unionByName(same).unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    linked = stored(components(confirmed(stored(first, "first-pairs"), told, distinct, shingle, least)), "linked")
+    linked = stored(components(confirmed(first, told, distinct, shingle, least)), "linked")
 
     rooted = lambda: keys.join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").select("key", "size", "digest", F.coalesce("root", "digest").alias("root"))
     edges = lambda: linked.select(F.col("node").alias("a"), F.col("root").alias("b"))
     for k in range(rounds):
         tried = in_runs(rooted(), limit).repartition("key").sortWithinPartitions("key").mapInArrow(_tries(tries, least, k), "a long, b long").distinct()
-        new = confirmed(stored(tried, "tries"), told, distinct, shingle, least)
+        new = confirmed(tried, told, distinct, shingle, least)
         if new.isEmpty():
             break
         linked = stored(components(edges().unionByName(new)), "linked")
@@ -304,7 +328,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, lim
     runs = in_runs(rooted(), limit).join(distinct.select("digest", "parity"), "digest").select("key", "size", "digest", "root", "apart", "home", "parity")
     runs = runs.repartition("key").sortWithinPartitions("key", "size")
     paired = runs.mapInArrow(_pairs(least), "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    more = confirmed(stored(paired.where("n >= need").select("a", "b"), "pairs"), told, distinct, shingle, least)
+    more = confirmed(paired.where("n >= need").select("a", "b"), told, distinct, shingle, least)
     found = components(edges().unionByName(more))
     joined = distinct.join(found, distinct["digest"] == found["node"], "left").select("digest", "least", F.coalesce("root", "digest").alias("group"))
     group_of = joined.join(joined.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("digest", "group", "component_id")
