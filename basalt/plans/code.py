@@ -120,7 +120,7 @@ def q54_reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(key_of(F.col("file")).alias("p"), "what", "uses", "files")
 
 
-@R.add("""SELECT p_partkey AS p, CAST(k.line AS INTEGER) AS line, k.name AS name, k.target AS target, CAST(k.def_line - CASE WHEN k.target = 0 THEN 3 ELSE 0 END AS INTEGER) AS target_line FROM part, LATERAL (VALUES (8, 'Other', p_partkey // 2, 8), (15, 'helper' || (p_partkey // 2), p_partkey // 2, 18), (15, 'helper' || (p_partkey // 3), p_partkey // 3, 18)) AS k(line, name, target, def_line) WHERE p_partkey > 0""")
+@R.add("""SELECT p_partkey AS p, CAST(k.line AS INTEGER) AS line, k.name AS name, k.target AS target, CAST(k.def_line - CASE WHEN k.target = 0 THEN 3 ELSE 0 END AS INTEGER) AS target_line FROM part, LATERAL (VALUES (9, 'Other', p_partkey // 2, 9), (16, 'helper' || (p_partkey // 2), p_partkey // 2, 19), (16, 'helper' || (p_partkey // 3), p_partkey // 3, 19)) AS k(line, name, target, def_line) WHERE p_partkey > 0""")
 def q55_definitions_across_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the definition is of everything that a file uses of another."""
     facts, references, _ = graph_of(spark, sf_dir)
