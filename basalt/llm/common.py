@@ -20,6 +20,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return written(df, label)
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """From now on Python gets ``rows`` rows a batch, fewer than Spark's default, as rows hold long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def only(columns: list[str], *added: str) -> list[str]:
     """``columns`` without those named like an added one, which replaces them."""
     return [c for c in columns if c.lower() not in added]

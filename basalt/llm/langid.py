@@ -49,7 +49,7 @@ def learn(labelled: DataFrame, sample_docs: int = 64, piece_chars: int = 1500, d
     return [(lang, (b"\n".join(pieces.get(lang, [])) or b" ")[-dictionary_bytes:].rjust(16)) for lang in ordered]
 
 
-@lru_cache(maxsize=32)
+@lru_cache(maxsize=9)
 def _compressors(dictionaries: tuple[tuple[str, bytes], ...], level: int):
     import zstandard
 

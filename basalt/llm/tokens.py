@@ -46,7 +46,7 @@ class _Recent(dict):
 class WordCache:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes; at most ``limit`` words, and as many with their signs."""
 
-    def __init__(self, path: str, limit: int = 280_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
