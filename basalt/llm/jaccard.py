@@ -69,7 +69,7 @@ def majority_bits(own: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(own), bitorder="little").view(np.int64)[0])
 
 
-def parities(own: np.ndarray, bits: int = 512) -> bytes:
+def parities(own: np.ndarray, bits: int = 1024) -> bytes:
     """Whether an even or odd number of a set's hashes falls into each of ``bits`` bins.
 
     Sets that differ in d elements have parities that differ in d bins at most.
@@ -287,7 +287,7 @@ def confirmed(pairs: DataFrame, told: DataFrame, known: DataFrame, shingle: int,
     return out
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, limit: int = 20_000, rounds: int = 2, tries: int = 8) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, limit: int = 20_000, rounds: int = 4, tries: int = 8) -> DataFrame:
     """(doc_id, text_hash, digest, group, component_id) of every row.
 
     ``digest`` names its set of shingles, ``text_hash`` its text, ``group`` the rows reachable over similar pairs, and

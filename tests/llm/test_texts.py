@@ -264,7 +264,7 @@ def test_large_runs_pair_only_what_is_apart():
     order = np.lexsort((size, key))
     key, size = key[order], size[order]
     root = np.where(rng.random(n) < 0.9, -1, own)
-    columns = [*(pa.array(x) for x in (key, size.astype(np.int32), own, root, root != -1, np.ones(n, bool))), pa.array([b"\0" * 64] * n)]
+    columns = [*(pa.array(x) for x in (key, size.astype(np.int32), own, root, root != -1, np.ones(n, bool))), pa.array([b"\0" * 128] * n)]
     batch = pa.RecordBatch.from_arrays(columns, names=["key", "size", "digest", "root", "apart", "home", "parity"])
     got = {}
     for small in (2, 1000):
