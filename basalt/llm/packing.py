@@ -87,11 +87,11 @@ def balance(sizes: list[int], step_tokens: int) -> list[int]:
     return out
 
 
-def _packer(path: str, eos: int, tiers: tuple[int, ...], shard_tokens: int, step_tokens: int):
+def _packer(path: str, eos: int, tiers: tuple[int, ...], shard_tokens: int, step_tokens: int, remembered: int):
     end = eos.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(path)
+        cache = WordCache(path, remembered)
         base = TaskContext.get().partitionId() << 40
         sequences = groups = 0
 
@@ -143,18 +143,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, eos: int = 2, tiers: tuple[int, ...] = TIERS, shard_tokens: int = 2_000_000, step_tokens: int = 1 << 18) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, eos: int = 2, tiers: tuple[int, ...] = TIERS, shard_tokens: int = 2_000_000, step_tokens: int = 1 << 18, remembered: int = 200_000) -> DataFrame:
     """Pieces of all documents with their token ids (little-endian unsigned 32-bit), sequence, offset and step group.
 
-    ``tiers`` are ascending powers of two. A null or empty text is the single id ``eos``; repeated rows are packed each
+    ``tiers`` are ascending powers of two; each task remembers the ids of at most ``remembered`` words. A null or empty text is the single id ``eos``; repeated rows are packed each
     on their own; a null ``doc_id`` is kept; very long texts are cut at windows; other columns are ignored; an empty table
     gives no rows.
     """
     if sorted(tiers) != list(tiers) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be ascending powers of two")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packer(tokenizer_path or default_tokenizer(), eos, tuple(tiers), shard_tokens, step_tokens), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packer(tokenizer_path or default_tokenizer(), eos, tuple(tiers), shard_tokens, step_tokens, remembered), SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(table(spark, sf_dir, "documents"))
+    packed = pack_documents(table(spark, sf_dir, "documents"), remembered=450_000)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
