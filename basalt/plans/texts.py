@@ -128,26 +128,49 @@ def q41_json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("json_key").agg(F.count("*").alias("n"), F.count_distinct("v").alias("values_n"))
 
 
-_INLINE = (
-    ("db/schema.sql", "sql", "CREATE TABLE Users (\n  id int\n);\ncreate or replace view active AS SELECT 1;\n-- note\nCREATE FUNCTION f() RETURNS int"),
-    ("app.ini", "ini", "[main]\nname = x\nHOME=1\n; note\n[other]\nlevel: 2"),
-    ("Dockerfile", "dockerfile", "FROM node:20 AS build\nARG VERSION=1\nENV PATH=/x\nRUN make"),
+_FILES = (
+    ("sql", "CREATE TABLE Sup_{k} (\n  id int\n);\ncreate or replace view active.\"V{k}\" AS SELECT 1 FROM Sup_{k};\n-- create table no\nCREATE UNIQUE INDEX idx_{k} ON sup_{k} (id);"),
+    ("ini", "[main {k}]\nname_{k} = x\nHOME: {k}\n; note=1\n[other]"),
+    ("dockerfile", "FROM node:20 AS build{k}\nARG V{k}=1\n# ARG NO=1\nRUN make"),
+    ("toml", "top{k} = 1\n[tool.\"x\"]\n'key {k}' = 2"),
+    ("yaml", "jobs{k}:\n  - name: x\n# no: 1\nurl: http://a"),
+    ("shell", "PORT{k}=1\nrun{k}() {\n  local x{k}=2\n}\nsource ./lib.sh"),
+    ("css", ".card{k}, #main{k}:hover {\n  --gap{k}: .5em;\n}"),
+    ("html", "<p id=\"a{k}\"><b class=x id='b{k}'>"),
+    ("markdown", "# Title {k} #\n```\n# no\n```\n## Two"),
 )
+#: What the files define: language, line, kind, name before and after the key (none where it has none), container.
+_DEFINED = (
+    ("sql", 1, "struct", "sup_", "", None), ("sql", 4, "interface", "active.V", "", None), ("sql", 6, "property", "idx_", "", None), ("ini", 1, "namespace", "main ", "", None), ("ini", 2, "field", "name_", "", None),
+    ("ini", 3, "constant", "HOME", None, None), ("ini", 5, "namespace", "other", None, None), ("dockerfile", 1, "namespace", "build", "", None), ("dockerfile", 2, "variable", "V", "", None), ("toml", 1, "field", "top", "", None),
+    ("toml", 2, "namespace", 'tool."x"', None, None), ("toml", 3, "field", "key ", "", 'tool."x"'), ("yaml", 1, "field", "jobs", "", None), ("yaml", 2, "field", "name", None, None), ("yaml", 4, "field", "url", None, None),
+    ("shell", 1, "variable", "PORT", "", None), ("shell", 2, "function", "run", "", None), ("shell", 3, "variable", "x", "", None), ("css", 1, "class", "card", "", None), ("css", 1, "constant", "main", "", None),
+    ("css", 2, "variable", "--gap", "", None), ("html", 1, "constant", "a", "", None), ("html", 1, "constant", "b", "", None), ("markdown", 1, "namespace", "Title ", "", None), ("markdown", 5, "namespace", "Two", None, None),
+)
 
 
-@R.add("""WITH f AS (SELECT * FROM (VALUES """ + ", ".join("('{}', '{}', '{}')".format(a, b, c.replace("\n", "' || chr(10) || '")) for a, b, c in _INLINE) + """) AS t(file, lang, text)),
-l AS (SELECT file, lang, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS t FROM f)
-SELECT file, CAST(line AS INTEGER) AS line, 'struct' AS kind, lower(regexp_extract(t, '(?i)^\\s*create\\s+table\\s+([A-Za-z_]+)', 1)) AS name FROM l WHERE lang = 'sql' AND regexp_matches(t, '(?i)^\\s*create\\s+table\\s')
-UNION ALL SELECT file, CAST(line AS INTEGER), 'interface', lower(regexp_extract(t, '(?i)view\\s+([A-Za-z_]+)', 1)) FROM l WHERE lang = 'sql' AND regexp_matches(t, '(?i)^\\s*create\\s+.*view\\s')
-UNION ALL SELECT file, CAST(line AS INTEGER), 'function', lower(regexp_extract(t, '(?i)function\\s+([A-Za-z_]+)', 1)) FROM l WHERE lang = 'sql' AND regexp_matches(t, '(?i)^\\s*create\\s+function\\s')
-UNION ALL SELECT file, CAST(line AS INTEGER), 'module', regexp_extract(t, '\\[([^\\]]+)\\]', 1) FROM l WHERE lang = 'ini' AND t LIKE '[%'
-UNION ALL SELECT file, CAST(line AS INTEGER), CASE WHEN regexp_matches(t, '^[A-Z]') THEN 'constant' ELSE 'property' END, regexp_extract(t, '^([A-Za-z]+)', 1) FROM l WHERE lang = 'ini' AND regexp_matches(t, '^[A-Za-z]+ *[=:]')
-UNION ALL SELECT file, CAST(line AS INTEGER), 'module', regexp_extract(t, '(?i) as (\\S+)', 1) FROM l WHERE lang = 'dockerfile' AND t LIKE 'FROM %'
-UNION ALL SELECT file, CAST(line AS INTEGER), 'variable', regexp_extract(t, '^[A-Z]+ ([A-Za-z_]+)', 1) FROM l WHERE lang = 'dockerfile' AND regexp_matches(t, '^(ARG|ENV) ')""")
+def _line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, lang, text): nine small files for each supplier."""
+    kinds = F.array(*[F.struct(F.lit(lang).alias("lang"), F.lit(text).alias("text")) for lang, text in _FILES])
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(kinds).alias("f"))
+    return rows.select(F.concat_ws(".", "k", "f.lang").alias("file"), "f.lang", F.replace("f.text", F.lit("{k}"), F.col("k").cast("string")).alias("text"))
+
+
+_text = lambda v: "CAST(NULL AS VARCHAR)" if v is None else "'" + v + "'"
+
+
+@R.add("SELECT s_suppkey || '.' || d.lang AS file, CAST(d.line AS INTEGER) AS line, d.kind AS kind, CASE WHEN d.after IS NULL THEN d.name ELSE d.name || s_suppkey || d.after END AS name, d.container AS container FROM supplier, (VALUES " + ", ".join(f"({_text(a)}, {b}, {_text(c)}, {_text(d)}, {_text(e)}, {_text(f)})" for a, b, c, d, e, f in _DEFINED) + ") AS d(lang, line, kind, name, after, container)")
 def q43_line_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.line_facts import line_definitions
 
-    return line_definitions(spark.createDataFrame(_INLINE, "file string, lang string, text string"))
+    return line_definitions(_line_files(spark, sf_dir)).drop("col")
+
+
+@R.add("SELECT s_suppkey || '.sql' AS file, CAST(4 AS INTEGER) AS line, CAST(52 + len(CAST(s_suppkey AS VARCHAR)) AS INTEGER) AS col, 'sup_' || s_suppkey AS name FROM supplier UNION ALL SELECT s_suppkey || '.sql', CAST(6 AS INTEGER), CAST(29 + len(CAST(s_suppkey AS VARCHAR)) AS INTEGER), 'sup_' || s_suppkey FROM supplier")
+def q43_sql_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.line_facts import sql_references
+
+    return sql_references(_line_files(spark, sf_dir)).select("file", "line", "col", "name")
 
 
 _FACTS = "VALUES ('a.py', 1, 'helper', 'def', 'a.py:1'), ('b.py', 1, 'h', 'import', 'a.py:1'), ('b.py', 4, 'h', 'ref', 'a.py:1'), ('c.py', 2, 'helper', 'ref', 'a.py:1'), ('c.py', 2, 'helper', 'ref', 'a.py:1'), ('d.py', 3, 'helper', 'ref', 'd.py:1'), ('d.py', 1, 'helper', 'def', 'd.py:1')"
