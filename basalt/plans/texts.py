@@ -199,3 +199,16 @@ def q46_member_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in ("a", "b"):
         chains = chains.join(members, (F.col("at") == F.col("scope")) & (F.col(part) == F.col("name")), "left").drop("at", "scope", "name").withColumnRenamed("target", "at")
     return chains.select("id", F.col("at").alias("target"))
+
+
+@R.add("""SELECT p_partkey, CAST(p_partkey % 5 = 0 OR p_partkey % 5 = 1 AS BOOLEAN) AS test, p_partkey % 5 = 2 AS doc, CASE p_partkey % 5 WHEN 3 THEN 'groovy' END AS manifest, p_partkey % 5 = 4 AS entry FROM part""")
+def q77_file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What paths say, over a path made for each part."""
+    from ..functions import roles
+
+    k = F.col("p_partkey")
+    folder = F.concat(F.lit("pkg"), k.cast("string"), F.lit("/"))
+    path = F.concat(folder, F.element_at(F.array(*map(F.lit, ("tests/a.py", "b.spec.ts", "Readme.md", "build.gradle", "main.go"))), (k % 5 + 1).cast("int")))
+    made = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    at = F.col("path")
+    return made.select("p_partkey", roles.is_test(at).alias("test"), roles.is_doc_or_config(at).alias("doc"), roles.manifest_language(at).alias("manifest"), roles.has_entry_name(at).alias("entry"))

@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, extension
+from ..functions.roles import is_binary_name, manifest_language
 
 #: Bytes above which a file is skipped, and read with top-level symbols only; bytes looked at for a NUL.
 MOST_BYTES, PLAIN_BYTES, SNIFFED = 5_000_000, 1_000_000, 8192
 
 #: Languages by whole name and by extension.
-BY_NAME = {"dockerfile": "dockerfile", ".env": "ini"}
+BY_NAME = {"dockerfile": "dockerfile", "containerfile": "dockerfile", ".env": "ini"}
 BY_EXTENSION = {
     ".py": "python", ".pyi": "python", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript",
-    ".jsx": "jsx", ".go": "go", ".java": "java", ".rs": "rust", ".sh": "shell", ".bash": "shell", ".sql": "sql", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml",
-    ".ini": "ini", ".cfg": "ini", ".md": "markdown", ".css": "css", ".scss": "css", ".less": "css", ".html": "html", ".htm": "html",
+    ".jsx": "jsx", ".go": "go", ".java": "java", ".rs": "rust", ".sh": "shell", ".bash": "shell", ".zsh": "shell", ".sql": "sql", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml",
+    ".ini": "ini", ".cfg": "ini", ".conf": "ini", ".properties": "ini", ".dockerfile": "dockerfile", ".md": "markdown", ".markdown": "markdown", ".css": "css", ".scss": "css", ".less": "css", ".html": "html", ".htm": "html",
 }
 
 
@@ -31,9 +32,9 @@ def entries(spark: SparkSession, root: str) -> DataFrame:
 
 
 def language(rel: Column) -> Column:
-    """Language of a path: by whole name, else by extension; plain text where neither is known."""
+    """Language of a path: by whole name, else by extension, else that of a manifest; plain text where none is known."""
     pick = lambda table, key: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
-    return F.coalesce(pick(BY_NAME, F.lower(basename(rel))), pick(BY_EXTENSION, extension(rel)), F.lit("plaintext"))
+    return F.coalesce(pick(BY_NAME, F.lower(basename(rel))), pick(BY_EXTENSION, extension(rel)), manifest_language(rel), F.lit("plaintext"))
 
 
 def decode(raw: bytes) -> tuple[str, str]:
@@ -63,10 +64,12 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def texts(found: DataFrame) -> DataFrame:
-    """Files with ``text`` and ``encoding``, or a ``skip_reason``: too large, or binary (a NUL near the start, no mark)."""
+    """Files with ``text`` and ``encoding``, or a ``skip_reason``: too large, or binary (by name, or a NUL near the start, no mark)."""
     head = F.substring("content", 1, SNIFFED)
     marked = F.substring("content", 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
-    reason = F.when(F.col("size") > MOST_BYTES, "too-large").when(~marked & (F.instr(F.hex(head), "00") > 0) & F.exists(F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(head), F.lit(1))), lambda i: F.substring(head, i, 1)), lambda b: b == F.lit(bytearray(b"\x00"))), "binary")
+    # every byte is one character of ISO-8859-1, so a NUL is found by a search in the head
+    zero = F.instr(F.decode(head, "ISO-8859-1"), "\x00") > 0
+    reason = F.when(F.col("size") > MOST_BYTES, "too-large").when(is_binary_name(F.col("rel")) | (~marked & zero), "binary")
     kept = found.select("rel", "size", "mtime", language(F.col("rel")).alias("lang"), reason.alias("skip_reason"), F.when(reason.isNull(), F.col("content")).alias("content"))
     schema = f"rel string, size long, mtime {found.schema['mtime'].dataType.simpleString()}, lang string, skip_reason string, text string, encoding string, degraded boolean"
     return kept.mapInPandas(_texts, schema)

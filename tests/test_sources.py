@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basalt.functions import roles
 from basalt.operators.resolve import resolve_names
 from basalt.sources import ignore, scan
 from basalt.sources.python_facts import python_facts
@@ -82,3 +83,15 @@ def test_columns_count_utf16_units(spark):
     files = spark.createDataFrame([("a.py", "s = '😀'; t = s\n", "python")], "rel string, text string, lang string")
     row = python_facts(files).where((F.col("fact") == "ref") & (F.col("name") == "s")).first()
     assert (row["line"], row["col"], row["end_col"]) == (1, 15, 16)
+
+
+def test_roles_of_paths(spark):
+    paths = ["tests/a.py", "src/test_x.py", "a.spec.ts", "FooTest.java", "contest.py", "README", "a.rst", "src/main.py", "Index.d.ts", "img/A.PNG", "requirements-dev.txt", "go.mod", "x.csproj", "Gemfile", "src/a.conf", "Containerfile", "latest.js"]
+    c = F.col("p")
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    rows = df.select("p", roles.is_test(c).alias("test"), roles.is_doc_or_config(c).alias("doc"), roles.is_binary_name(c).alias("bin"), roles.manifest_language(c).alias("m"), scan.language(c).alias("lang"), roles.entry_reasons(c, F.array(F.lit("latest.js"))).alias("entry")).collect()
+    of = lambda k: {r["p"] for r in rows if r[k]}
+    assert of("test") == {"tests/a.py", "src/test_x.py", "a.spec.ts", "FooTest.java"} and of("doc") == {"README", "a.rst", "requirements-dev.txt", "src/a.conf"} and of("bin") == {"img/A.PNG"}
+    assert {r["p"]: r["m"] for r in rows if r["m"]} == {"requirements-dev.txt": "pip", "go.mod": "gomod", "x.csproj": "xml", "Gemfile": "ruby"}
+    assert {r["p"]: r["entry"] for r in rows if r["entry"]} == {"src/main.py": ["name"], "Index.d.ts": ["name"], "latest.js": ["declared"]}
+    assert {r["lang"] for r in rows if r["p"] in ("src/a.conf", "Containerfile")} == {"ini", "dockerfile"}
