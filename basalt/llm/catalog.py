@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from . import merkle
 from .fingerprints import op5_fingerprints
 from .html import op2_html
 from .langid import op6_langid
+from .merkle import op11_merkle
 from .mixing import op3_mixing
 from .neighbours import op10_neighbours
 from .packing import op1_packing
@@ -17,8 +19,10 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_html, op3_mixing, op4_quality, op5_fingerprints, op6_langid, op7_simhash, op8_pii, op9_toxicity, op10_neighbours)} | {"pipeline": corpus_pipeline.run}
+    operators = (op1_packing, op2_html, op3_mixing, op4_quality, op5_fingerprints, op6_langid, op7_simhash, op8_pii, op9_toxicity, op10_neighbours, op11_merkle)
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    own = {"op11_merkle": merkle.SQL}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
