@@ -7,8 +7,8 @@ rest. Values that nobody else has need no list. Most documents share too few val
 
 Within a list documents are compared by the sizes and parities of their sets, which never rule out a similar pair; then
 the sketch of the union of a pair, made of its two sketches, estimates its similarity; then the whole sets are compared.
-Documents that earlier rounds have put into one group aren't compared again, so a large group of near copies costs a few
-links a document, and a list with more than ``limit`` documents is cut into runs.
+First only neighbours in a few orders of each list are, then all that these links leave apart: a large group of near
+copies costs a few links a document. A list with more than ``limit`` documents is cut into runs.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import forgotten
 from .common import broadcast_if_small, stored, table
 from .jaccard import _by_key, _lists, _mixed, _pairs, in_runs, parities, shingles
 from .simhash import components
@@ -69,30 +68,33 @@ def _sets(shingle: int):
 
 
 def inverted(distinct: DataFrame, kept: int, percent: int, least: int) -> DataFrame:
-    """(key, uid): each document at the rarest of its sketch values that others have too, enough to meet every similar one."""
+    """(key, n, uid): each document at the rarest of its sketch values that others have too, enough to meet every similar one.
+
+    ``n`` documents have the value in their sketches.
+    """
     postings = distinct.select("uid", "size", F.explode("sketch").alias("key"))
     shared = stored(postings.groupBy("key").count().where("count > 1"), "values")
     met = postings.join(shared, "key").groupBy("uid", "size").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("held"))
     # of a set so small that its partners' sketches are whole, the shared values are known for sure
     need = F.when(F.col("size") < percent * kept // 100, F.floor((F.col("size") * percent + 99) / 100)).otherwise(least).cast("int")
     asked = F.slice("held", F.lit(1), F.greatest(F.lit(0), F.size("held") - need + 1))
-    return met.select("uid", F.explode(asked).alias("v")).select(F.col("v.key").alias("key"), "uid")
+    return met.select("uid", F.explode(asked).alias("v")).select(F.col("v.key").alias("key"), F.col("v.count").alias("n"), "uid")
 
 
-def _beside(least: float, seed: int | None):
-    """Neighbours in their list with different roots whose sizes and parities allow it; sorted by size, or shuffled by ``seed``."""
+def _beside(least: float, shuffles: int):
+    """Neighbours in their list whose sizes and parities allow it: sorted by size, and in some shuffled orders."""
 
     def settle(key: np.ndarray, size: np.ndarray, own: np.ndarray, root: np.ndarray, apart: np.ndarray, home: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, size, own, root, parity = (x[home] for x in (key, size, own, root, parity))
-        place = size if seed is None else _mixed((own ^ key).view(np.uint64) + np.uint64(seed))
-        order = np.lexsort((own, place, key))
-        a, b = order[:-1], order[1:]
-        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        can = (key[a] == key[b]) & (root[a] != root[b]) & (low >= high * least - 1e-9)
-        a, b = a[can], b[can]
-        can = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1) <= (size[a] + size[b]) * (1 - least) / (1 + least) + 1e-9
-        x, y = own[a[can]], own[b[can]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        for seed in range(shuffles + 1):
+            place = _mixed((own ^ key).view(np.uint64) + np.uint64(seed)) if seed else size
+            order = np.lexsort((own, place, key))
+            a, b = order[:-1], order[1:]
+            low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            can = (key[a] == key[b]) & (low >= high * least - 1e-9)
+            a, b = a[can], b[can]
+            can = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1) <= (size[a] + size[b]) * (1 - least) / (1 + least) + 1e-9
+            x, y = own[a[can]], own[b[can]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return _by_key(settle, 7)
 
@@ -115,14 +117,14 @@ def _estimated(kept: int, percent: int, least: int):
     return run
 
 
-def near_sets(docs: DataFrame, percent: int = 85, shingle: int = 5, kept: int = KEPT, chance: float = 1e-9, limit: int = 20_000, rounds: int = 2) -> DataFrame:
+def near_sets(docs: DataFrame, percent: int = 85, shingle: int = 5, kept: int = KEPT, chance: float = 1e-9, limit: int = 20_000, shuffles: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text and others).
 
     Rows are linked whose sets of shingles have ``100 * shared >= percent * union``, confirmed on the whole sets; a text of
     fewer words is one shingle. ``component_id`` is the smallest doc_id reachable. Texts that are null or have no word have
     an empty set and are linked with nothing. Repeated rows are kept and are one group; null ids take part, but name a
     component only where all its ids are null; ``kept`` is whether the ids agree, nulls too. Very long texts are read whole,
-    an empty table gives no rows, other columns are ignored. ``limit`` and ``rounds`` change the work, not the result.
+    an empty table gives no rows, other columns are ignored. ``limit`` and ``shuffles`` change the work, not the result.
     """
     share, least = percent / 100, least_shared(kept, percent, chance)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -132,37 +134,38 @@ def near_sets(docs: DataFrame, percent: int = 85, shingle: int = 5, kept: int =
     distinct = stored(one.withColumn("uid", F.monotonically_increasing_id()), "distinct")
     lists = stored(inverted(distinct, kept, percent, least), "lists")
     met = stored(distinct.join(lists.select("uid").distinct(), "uid", "left_semi"), "met")
-    n = met.count()
+    n, total = met.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
 
     wanted = met.select("uid", F.col("pick.doc_id").alias("_id"), F.col("pick.text_hash").alias("_hash"))
     texts = told.join(broadcast_if_small(wanted, n, 200_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("text", "uid")
     sets = stored(texts.mapInArrow(_sets(shingle), "uid long, own array<long>"), "sets")
     sets = sets if sets.count() == n else stored(sets.dropDuplicates(["uid"]), "sets")
-    keys = stored(lists.join(met.select("uid", "size", F.col("uid").alias("digest")), "uid").select("key", "size", "digest"), "keys")
+    few = lambda df, rows, most: broadcast_if_small(df, rows, most)
+    keys = stored(lists.join(few(met.select("uid", "size", "parity"), n, 50_000), "uid").select("key", "n", "size", F.col("uid").alias("digest"), "parity"), "keys")
     side = lambda df, column, name: df.select(F.col("uid").alias(name), F.col(column).alias(f"{column}_{name}"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-        both = pairs.join(side(met, "sketch", "a"), "a").join(side(met, "sketch", "b"), "b").select("a", "b", "sketch_a", "sketch_b")
-        likely = stored(both.mapInArrow(_estimated(kept, percent, least), "a long, b long"), "likely")
-        whole = likely.join(side(sets, "own", "a"), "a").join(side(sets, "own", "b"), "b").withColumn("shared", F.size(F.array_intersect("own_a", "own_b")))
-        out = stored(whole.where(100 * F.col("shared") >= percent * (F.size("own_a") + F.size("own_b") - F.col("shared"))).select("a", "b"), "links")
-        forgotten(pairs)
-        forgotten(likely)
-        return out
-
-    def runs(linked: DataFrame | None) -> DataFrame:
-        rooted = keys.withColumn("root", F.col("digest")) if linked is None else keys.join(linked.select(F.col("node").alias("digest"), F.col("root").alias("_r")), "digest", "left").select("key", "size", "digest", F.coalesce("_r", "digest").alias("root"))
-        dealt = in_runs(rooted, limit).join(met.select(F.col("uid").alias("digest"), "parity"), "digest")
-        return dealt.select("key", "size", "digest", "root", "apart", "home", "parity").repartition("key").sortWithinPartitions("key", "size")
-
-    linked = links = None
-    for k in range(rounds):
-        new = confirmed(runs(linked).mapInArrow(_beside(share, k - 1 if k else None), "a long, b long"))
-        links = new if links is None else linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
-        linked = stored(components(links), "linked")
-    rest = confirmed(runs(linked).mapInArrow(_pairs(share), "a long, b long, need long"))
-    found = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
+        """The similar ones of pairs (a, b). Sketches and sets are broadcast only up to a checked number of values."""
+        for end in ("a", "b"):
+            pairs = pairs.join(few(side(met, "sketch", end), n, 20_000), end)
+        whole = pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimated(kept, percent, least), "a long, b long")
+        for end in ("a", "b"):
+            whole = whole.join(few(side(sets, "own", end), total, 2_000_000), end)
+        whole = whole.withColumn("shared", F.size(F.array_intersect("own_a", "own_b")))
+        return stored(whole.where(100 * F.col("shared") >= percent * (F.size("own_a") + F.size("own_b") - F.col("shared"))).select("a", "b"), "links")
+
+    # documents beside each other in their lists, of which a large group of near copies needs no more
+    cells = F.ceil(F.col("n") / limit)
+    run = F.when(cells > 1, F.xxhash64("key", F.pmod(F.xxhash64("digest"), cells))).otherwise(F.col("key"))
+    runs = keys.select(run.alias("key"), "size", "digest", F.col("digest").alias("root"), F.lit(True).alias("apart"), F.lit(True).alias("home"), "parity").repartition("key").sortWithinPartitions("key")
+    links = confirmed(stored(runs.mapInArrow(_beside(share, shuffles), "a long, b long").distinct(), "pairs"))
+    linked = stored(components(links), "linked")
+    # then every pair that is still apart
+    rooted = keys.join(linked.select(F.col("node").alias("digest"), F.col("root").alias("_r")), "digest", "left").select("key", "size", "digest", F.coalesce("_r", "digest").alias("root"))
+    runs = in_runs(rooted, limit).join(few(met.select(F.col("uid").alias("digest"), "parity"), n, 50_000), "digest")
+    runs = runs.select("key", "size", "digest", "root", "apart", "home", "parity").repartition("key").sortWithinPartitions("key", "size")
+    rest = confirmed(stored(runs.mapInArrow(_pairs(share), "a long, b long, need long").select("a", "b").distinct(), "pairs"))
+    found = linked if rest.isEmpty() else components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
 
     joined = distinct.select("uid", "digest", "least").join(found, F.col("uid") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "uid").alias("group"))
     named = joined.join(joined.groupBy("group").agg(F.min("least").alias("of_group")), "group").select("digest", "of_group")
