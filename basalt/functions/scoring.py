@@ -45,7 +45,7 @@ def path_score(path: Column, query: str, current: str | None = None, recent: tup
         .when(in_base > 0, 600.0 - (in_base - 1) - F.char_length(base) * 0.1).when(in_path > 0, 500.0 - (in_path - 1) - F.char_length(t) * 0.1)
     )
     hit = F.when(t == q, 0).when(base.startswith(q), base_at).when(t.startswith(q), 0).when(in_base > 0, base_at + in_base - 1).otherwise(in_path - 1)
-    dirs = F.filter(F.split(dirname(t), "/"), lambda s: F.lit(True))
+    dirs = F.split(dirname(t), "/")
     depth = F.char_length(t) - F.char_length(F.replace(t, F.lit("/"), F.lit("")))
     total = kind + F.when(hit >= base_at, 20).otherwise(0) - F.least(depth, F.lit(10)) * 2
     if current:

@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, dirname
+from ..functions.roles import has_entry_name, is_test
 from ..sources.shared import written
-from .resolve import type_edges
-
-#: Names of files and folders that hold tests or examples, of documents and settings, and of entry files.
-TEST_PATH = r"(?i)(^|/)(tests?|__tests__|specs?|examples?|fixtures?|e2e)/|(^|/)(test_[^/]*|[^/]*(_test|\.test|\.spec))\.[a-z]+$|(^|/)conftest\.py$"
-DOC_PATH = r"(?i)\.(md|markdown|rst|txt|json|ya?ml|toml|ini|cfg|env|lock)$"
-ENTRY_NAME = r"(?i)(^|/)(main|index|app|server|cli|__main__|manage|wsgi|asgi)\.[a-z]+$"
-
-
-def is_test(file: Column) -> Column:
-    return file.rlike(TEST_PATH)
-
-
-def is_doc_or_config(file: Column) -> Column:
-    return file.rlike(DOC_PATH)
-
-
-def entry_reason(file: Column, in_degree: Column) -> Column:
-    """Why a file may be where reading starts: its name, or that it uses others and none uses it; null for tests and documents."""
-    reason = F.when(file.rlike(ENTRY_NAME), "name").when(in_degree == 0, "unused by others")
-    return F.when(is_test(file) | is_doc_or_config(file), F.lit(None)).otherwise(reason)
-
+from .resolve import class_bases, class_scopes, direct_members, inherited, module_names, resolve_imports
 
 def file_edges(imports: DataFrame, references: DataFrame) -> DataFrame:
     """(src, dst, imports, refs): uses of one file by another, by resolved imports and by references to definitions."""
@@ -82,23 +63,16 @@ def listing(entries: DataFrame, folder: str) -> DataFrame:
     return rows.groupBy("name", "dir").agg(F.count("*").alias("files")).orderBy(F.desc("dir"), F.lower("name"), "name")
 
 
-def definition_paths(facts: DataFrame) -> DataFrame:
+def definition_paths(facts: DataFrame, inside_functions: bool = False) -> DataFrame:
     """(file, ord, scope, body, name, kind, line, end_line, depth, path) of named definitions below the module: the symbol tree.
 
-    A definition in a function's body is left out; a class's members follow it. Rounds go by the depth of classes.
+    A name bound again in its scope is one symbol, the last. Definitions in a function's body are left out unless asked for.
     """
-    defs = facts.where("fact = 'def' and kind in ('class', 'function', 'method', 'constructor', 'constant', 'variable')")
-    # a name bound again in its scope is one symbol, the last
-    last = Window.partitionBy("scope", "name").orderBy(F.desc("ord"))
-    defs = defs.withColumn("n", F.row_number().over(last)).where("n = 1").select("file", "ord", "scope", "body", "name", "kind", "line", "end_line")
-    level = written(defs.where(F.col("scope") == F.concat("file", F.lit("#0"))).withColumns({"depth": F.lit(0), "path": F.col("name")}))
-    out = level
-    while True:
-        outer = level.where("kind = 'class'").select(F.col("body").alias("scope"), F.col("path").alias("outer"), F.col("depth").alias("d"))
-        level = written(defs.join(outer, "scope").withColumns({"depth": F.col("d") + 1, "path": F.concat_ws(".", "outer", "name")}).select(*out.columns))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+    kinds = ("class", "function", "method", "constructor", "constant", "variable")
+    defs = facts.where((F.col("fact") == "def") & F.col("kind").isin(*kinds) & F.col("binds"))
+    if not inside_functions:
+        defs = defs.where(~F.col("local"))
+    return defs.select("file", "ord", "scope", "body", "name", "kind", "line", "end_line", (F.size(F.split("path", r"\.")) - 1).alias("depth"), "path")
 
 
 def reference_counts(facts: DataFrame, references: DataFrame) -> DataFrame:
@@ -113,13 +87,18 @@ def _uses(references: DataFrame) -> DataFrame:
 
 
 def call_edges(facts: DataFrame, references: DataFrame) -> DataFrame:
-    """(caller_file, caller, callee_file, callee, calls): calls of resolved functions, methods and classes; a caller outside any function is its module."""
-    calls = facts.where("fact = 'call' and name is not null").select("file", "scope", F.substring_index("name", ".", -1).alias("called"), (F.col("ord") - 1).alias("ref_ord"))
-    told = references.where("outcome = 'def'").select("file", F.col("ord").alias("ref_ord"), F.col("name").alias("called"), "target_file", "target_ord")
-    targets = facts.where("fact = 'def' and kind in ('class', 'function', 'method', 'constructor')").select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), F.col("name").alias("callee"))
-    callers = facts.where("fact = 'def' and body is not null and kind <> 'class'").select(F.col("body").alias("scope"), F.col("name").alias("caller"))
-    met = calls.join(told, ["file", "ref_ord", "called"]).join(targets, ["target_file", "target_ord"]).join(callers, "scope", "left")
-    return met.groupBy(F.col("file").alias("caller_file"), F.coalesce("caller", F.lit("<module>")).alias("caller"), F.col("target_file").alias("callee_file"), "callee").agg(F.count("*").alias("calls"))
+    """(caller_file, caller_ord, caller, callee_file, callee_ord, callee, calls): calls of resolved functions, methods and classes.
+
+    The caller is the innermost function or class around the call, through lambdas and comprehensions, else the module.
+    """
+    calls = facts.where("fact = 'call' and name is not null").select("file", F.substring_index("name", ".", -1).alias("called"), (F.col("ord") - 1).alias("ref_ord"))
+    told = references.where("outcome = 'def'").select("file", F.col("ord").alias("ref_ord"), F.col("name").alias("called"), F.col("holder").alias("caller_ord"), "target_file", "target_ord")
+    named = facts.where("fact = 'def' and kind in ('class', 'function', 'method', 'constructor')").select("file", "ord", "name")
+    targets = named.select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), F.col("name").alias("callee"))
+    callers = named.select("file", F.col("ord").alias("caller_ord"), F.col("name").alias("caller"))
+    met = calls.join(told, ["file", "ref_ord", "called"]).join(targets, ["target_file", "target_ord"]).join(callers, ["file", "caller_ord"], "left")
+    keys = [F.col("file").alias("caller_file"), "caller_ord", F.coalesce("caller", F.lit("<module>")).alias("caller"), F.col("target_file").alias("callee_file"), F.col("target_ord").alias("callee_ord"), "callee"]
+    return met.groupBy(*keys).agg(F.count("*").alias("calls"))
 
 
 def coverage(references: DataFrame) -> DataFrame:
@@ -127,48 +106,71 @@ def coverage(references: DataFrame) -> DataFrame:
     return references.groupBy("kind", "outcome").agg(F.count("*").alias("n"))
 
 
-def ancestors_of_types(facts: DataFrame, imports: DataFrame) -> DataFrame:
-    """(derived, base, dist): every class with all that it extends, at the shortest distance; cycles end."""
-    up = type_edges(facts, imports)
-    level = written(up.withColumn("dist", F.lit(1)))
-    out, dist = level, 1
-    step = up.select(F.col("derived").alias("base"), F.col("base").alias("higher"))
-    while True:
-        dist += 1
-        further = level.join(step, "base").select("derived", F.col("higher").alias("base")).where("derived <> base").distinct().join(out, ["derived", "base"], "left_anti")
-        level = written(further.withColumn("dist", F.lit(dist)))
-        if level.isEmpty():
-            return out
-        out = written(out.unionByName(level))
+def _hierarchy(facts: DataFrame, imports: DataFrame | None) -> DataFrame:
+    modules = written(module_names(facts.where("fact = 'scope' and parent is null").select("file")))
+    imports = resolve_imports(facts, modules) if imports is None else imports
+    return inherited(class_bases(facts, imports, direct_members(facts, imports, modules)))
 
 
-def implementations(facts: DataFrame, imports: DataFrame) -> DataFrame:
-    """(base, method, derived): methods of a class that a class below it defines anew."""
-    bodies = facts.where("fact = 'def' and kind = 'class'").select(F.concat_ws(":", "file", "name").alias("owner"), F.col("body").alias("scope"))
-    methods = facts.where("fact = 'def' and kind = 'method'").select("scope", F.col("name").alias("method")).join(bodies, "scope").select("owner", "method").distinct()
-    below = ancestors_of_types(facts, imports).select("derived", "base")
-    return below.join(methods.withColumnRenamed("owner", "base"), "base").join(methods.withColumnRenamed("owner", "derived"), ["derived", "method"]).select("base", "method", "derived")
+def ancestors_of_types(facts: DataFrame, imports: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """(derived, base, dist): every class with all that it extends, as file:dotted name, at the shortest distance; cycles end.
+
+    ``depth`` is how far up to go.
+    """
+    above = _hierarchy(facts, imports)
+    above = above if depth is None else above.where(F.col("dist") <= depth)
+    names = facts.where("fact = 'def' and kind = 'class'").select(F.col("body").alias("_scope"), F.concat_ws(":", "file", "path").alias("_name"))
+    for side in ("derived", "base"):
+        above = above.join(names, F.col(side) == F.col("_scope")).withColumn(side, F.col("_name")).drop("_scope", "_name")
+    return above.select("derived", "base", "dist")
+
+
+def implementations(facts: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """(base, method, derived): methods of a class that a class below it defines anew; classes as file:dotted name."""
+    names = class_scopes(facts).join(facts.where("fact = 'def' and kind = 'class'").select("file", "ord", F.concat_ws(":", "file", "path").alias("of")), ["file", "ord"]).select("owner", "of")
+    methods = facts.where("fact = 'def' and kind = 'method' and binds").select("owner", F.col("name").alias("method")).join(names, "owner")
+    side = lambda c: methods.select(F.col("owner").alias(c), "method", F.col("of").alias(f"{c}_name"))
+    return _hierarchy(facts, imports).join(side("base"), "base").join(side("derived"), ["derived", "method"]).select(F.col("base_name").alias("base"), "method", F.col("derived_name").alias("derived"))
 
 
 def argument_flow(facts: DataFrame, references: DataFrame) -> DataFrame:
-    """(caller_file, callee_file, callee, name, calls): arguments that carry the name of the parameter they are given to."""
-    calls = facts.where("fact = 'call' and name is not null").select("file", F.substring_index("name", ".", -1).alias("called"), (F.col("ord") - 1).alias("ref_ord"), F.posexplode("parts").alias("at", "argument")).where("argument <> ''")
-    told = references.where("outcome = 'def'").select("file", F.col("ord").alias("ref_ord"), F.col("name").alias("called"), "target_file", "target_ord")
-    functions = facts.where("fact = 'def' and kind in ('function', 'method')").select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), F.col("name").alias("callee"), "body", F.col("kind").alias("of"))
-    params = facts.where("fact = 'def' and kind = 'parameter'").select(F.col("scope").alias("body"), F.col("name").alias("argument"), (F.row_number().over(Window.partitionBy("scope").orderBy("ord")) - 1).alias("place"))
-    met = calls.join(told, ["file", "ref_ord", "called"]).join(functions, ["target_file", "target_ord"]).join(params, ["body", "argument"])
-    own = met.where(F.col("place") == F.col("at") + F.when(F.col("of") == "method", 1).otherwise(0))
-    return own.groupBy(F.col("file").alias("caller_file"), F.col("target_file").alias("callee_file"), "callee", F.col("argument").alias("name")).agg(F.count("*").alias("calls"))
+    """(caller_file, callee_file, callee, name, calls): arguments that hold a name which is also a parameter's of what is called.
+
+    By name alone: at any position, by keyword, or inside an expression; of a class called, its constructor's parameters.
+    The implicit first parameter of a method takes no argument.
+    """
+    names = facts.where("fact = 'argument'").select("file", (F.col("of") - 1).alias("ref_ord"), F.explode("parts").alias("name")).distinct()
+    told = references.where("outcome = 'def'").select("file", F.col("ord").alias("ref_ord"), "target_file", "target_ord")
+    params = facts.where("fact = 'def' and kind = 'parameter' and of is not null and not (place is null and name in ('self', 'cls'))").select(F.col("file").alias("target_file"), F.col("of").alias("function"), "name")
+    functions = facts.where("fact = 'def' and kind in ('function', 'method', 'constructor')").select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), F.col("ord").alias("function"), F.col("name").alias("callee"))
+    makers = facts.where("fact = 'def' and kind = 'constructor' and binds").select(F.col("file").alias("target_file"), F.col("ord").alias("function"), "owner")
+    classes = class_scopes(facts).select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), "owner").join(facts.where("fact = 'def' and kind = 'class'").select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), F.col("name").alias("callee")), ["target_file", "target_ord"])
+    called = functions.unionByName(classes.join(makers, ["target_file", "owner"]).select("target_file", "target_ord", "function", "callee"))
+    met = names.join(told, ["file", "ref_ord"]).join(called.join(params, ["target_file", "function"]), ["target_file", "target_ord", "name"])
+    return met.groupBy(F.col("file").alias("caller_file"), F.col("target_file").alias("callee_file"), "callee", "name").agg(F.count("*").alias("calls"))
+
+
+def outside_imports(imports: DataFrame) -> DataFrame:
+    """(file, package): what each file imports from outside the tree, a row an import."""
+    return imports.where("outcome = 'external'").select("file", F.split_part("module", F.lit("."), F.lit(1)).alias("package"))
 
 
 def external_packages(imports: DataFrame) -> DataFrame:
     """(package, imports, files) of what is imported from outside the tree."""
-    outside = imports.where("outcome = 'external'")
-    return outside.groupBy(F.split_part("module", F.lit("."), F.lit(1)).alias("package")).agg(F.count("*").alias("imports"), F.count_distinct("file").alias("files"))
+    return outside_imports(imports).groupBy("package").agg(F.count("*").alias("imports"), F.count_distinct("file").alias("files"))
 
 
-def start_here(degree: DataFrame, most: int = 8) -> DataFrame:
-    """(file, reason, inbound, outbound): the first files to read, entry names first, then those that use most."""
-    told = degree.withColumn("reason", entry_reason(F.col("file"), F.col("in_degree"))).where("reason is not null and outbound > 0")
-    return told.orderBy(F.when(F.col("reason") == "name", 0).otherwise(1), F.desc("outbound"), "file").limit(most).select("file", "reason", "inbound", "outbound")
+def start_here(degree: DataFrame, facts: DataFrame, limit: int = 12, denoise: bool = True) -> DataFrame:
+    """(file, kind, score, inbound, reasons): the first files to read, those that look like entries before those used most.
 
+    ``score`` is the number of files that use a file, and 1000 more for an entry, by its name or its main block. The list
+    has ``limit`` rows, at least 12. ``denoise`` leaves out tests.
+    """
+    blocks = facts.where("fact = 'scope' and parent is null").select("file", F.col("text").isNotNull().alias("main"))
+    told = degree.join(blocks, "file", "left")
+    reasons = F.array_compact(F.array(F.when(has_entry_name(F.col("file")), F.lit("name")), F.when(F.col("main"), F.lit("main block"))))
+    told = told.select("file", F.col("in_degree").alias("inbound"), reasons.alias("reasons"))
+    told = told.where(~is_test(F.col("file"))) if denoise else told
+    entry = F.size("reasons") > 0
+    told = told.select("file", F.when(entry, "entry").otherwise("hot").alias("kind"), (F.col("inbound") + F.when(entry, 1000).otherwise(0)).alias("score"), "inbound", "reasons")
+    return told.orderBy(F.desc("score"), "file").limit(max(limit, 12))

@@ -1,67 +1,46 @@
-"""Names to definitions: references looked up through the scopes around them, imports through the modules of a tree.
+"""Names to definitions across the files of a tree: imports, classes and what they inherit, types, member chains.
 
-Everything is equi-joins on the fact table. Loops go by nesting depth, by the length of re-export chains and by the
-segments of a member chain, not by the number of files, and each round is written out.
+What a name means within its file is told by the facts themselves. Here everything is equi-joins on small keys: a scope
+that holds names (``file#n``: a module's or a class's), or a row of a file (file, ord). Loops go by doubling (re-exports,
+inheritance), by the length of member chains, or by the rounds in which types spread; each round is written out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from ..sources.shared import written
+from typing import NamedTuple
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def scope_closure(scopes: DataFrame) -> DataFrame:
-    """(scope, around, dist): each scope with itself and every scope around it. Rounds go by nesting depth."""
-    parent = scopes.where("parent is not null").select(F.col("id").alias("inner"), "parent")
-    every = level = scopes.select(F.col("id").alias("scope"), F.col("id").alias("around"), F.lit(0).alias("dist"))
-    dist = 0
-    while True:
-        dist += 1
-        level = written(level.join(parent, F.col("around") == F.col("inner")).select("scope", F.col("parent").alias("around"), F.lit(dist).alias("dist")))
-        if level.isEmpty():
-            return every
-        every = written(every.unionByName(level))
+from ..sources.python_facts import BUILTINS
+from ..sources.shared import forgotten, written
 
+#: Segments of member chains that are joined before what is left is written out.
+UNROLL = 6
 
-def resolve_names(facts: DataFrame) -> DataFrame:
-    """(file, ref_ord, name, found, target, module) of identifier references, by the nearest scope that binds the name.
 
-    Within a scope a definition comes before a named import, and that before a star; of equal definitions the last counts,
-    of equal imports the first. ``found`` is def, import, star or null; names of class scopes aren't seen from functions
-    inside them.
-    """
-    return _looked_up(facts, facts.where("fact = 'ref' and kind = 'identifier'").select("file", F.col("ord").alias("ref_ord"), "scope", "name"))
+class Resolved(NamedTuple):
+    """``imports``, ``bases`` (derived, base: scopes of classes), ``types`` (file, ord, owner), ``members`` and ``references``."""
 
+    imports: DataFrame
+    bases: DataFrame
+    members: DataFrame
+    types: DataFrame
+    references: DataFrame
 
-def visible_scopes(facts: DataFrame) -> DataFrame:
-    """(scope, around, dist) of the scopes whose names are seen from a scope."""
-    scopes = facts.where("fact = 'scope'").select("id", "parent", "kind")
-    seen = scope_closure(scopes).join(scopes.select(F.col("id").alias("around"), F.col("kind").alias("around_kind")), "around")
-    return written(seen.where("dist = 0 or around_kind <> 'class'").select("scope", "around", "dist"))
 
+def module_scope(file: str = "file") -> Column:
+    return F.concat(F.col(file), F.lit("#0"))
 
-def _looked_up(facts: DataFrame, refs: DataFrame, around: DataFrame | None = None) -> DataFrame:
-    """``resolve_names`` for any rows (file, ref_ord, scope, name)."""
-    around = visible_scopes(facts) if around is None else around
-    named = bindings(facts).where("kind <> 'star'").select(F.col("scope").alias("at"), F.col("name").alias("key"), "rank", "found", "target", "module")
-    stars = bindings(facts).where("kind = 'star'").select(F.col("scope").alias("at"), "rank", "found", "target", "module")
-    seen = refs.join(around.select("scope", "around", "dist"), "scope")
-    bound = seen.join(named, (F.col("around") == F.col("at")) & (F.col("name") == F.col("key"))).drop("at", "key")
-    starred = seen.join(stars, F.col("around") == F.col("at")).drop("at")
-    best = bound.unionByName(starred).groupBy("file", "ref_ord").agg(F.min_by(F.struct("found", "target", "module"), F.struct("dist", "rank")).alias("b"))
-    return refs.select("file", "ref_ord", "name").join(best, ["file", "ref_ord"], "left").select("file", "ref_ord", "name", "b.found", "b.target", "b.module")
 
+def resolve_names(facts: DataFrame) -> DataFrame:
+    """(file, ref_ord, name, found, target, module) of identifier references: what binds the name in its own file.
 
-def bindings(facts: DataFrame) -> DataFrame:
-    """(scope, name, kind, rank, found, target, module): of each name in a scope its last definition and first import."""
-    binding = facts.where("fact in ('def', 'import') and not (fact = 'def' and kind = 'property')")
-    order = Window.partitionBy("scope", "name", "fact").orderBy(F.when(F.col("fact") == "def", -F.col("ord")).otherwise(F.col("ord")))
-    one = binding.withColumn("n", F.row_number().over(order)).where("n = 1")
-    rank = F.when(F.col("fact") == "def", 0).when(F.col("kind") == "star", 2).otherwise(1)
-    found = F.when(F.col("fact") == "def", "def").when(F.col("kind") == "star", "star").otherwise("import")
-    return one.select("scope", "name", "kind", rank.alias("rank"), found.alias("found"), F.col("ord").alias("target"), "module")
+    ``found`` is def, import, star, builtin or null; ``module`` the one that an import or the first star names.
+    """
+    refs = facts.where("fact = 'ref' and kind = 'identifier'").select("file", F.col("ord").alias("ref_ord"), "name", "found", F.coalesce("found_ord", F.get("stars", F.lit(0))).alias("target"))
+    modules = facts.where("fact = 'import'").select("file", F.col("ord").alias("target"), "module")
+    return refs.join(modules, ["file", "target"], "left").select("file", "ref_ord", "name", "found", "target", "module")
 
 
 def module_names(files: DataFrame) -> DataFrame:
@@ -81,134 +60,257 @@ def absolute(file: Column, module: Column) -> Column:
     return F.when(dots == 0, module).otherwise(F.concat_ws(".", F.when(package != "", package), F.when(rest != "", rest)))
 
 
-def resolve_imports(facts: DataFrame) -> DataFrame:
-    """(file, ord, name, kind, module, outcome, target_file, target_ord) of every import.
+def resolve_imports(facts: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """(file, ord, name, kind, scope, module, outcome, target_file, target_ord) of every import.
 
     ``outcome`` is def (of the module, at once or through re-exports), module (a file of the tree), external, or missing
-    (a module of the tree without that name). A named import prefers a definition to a submodule of that name. Chains of
-    re-exports are followed a step a round until none goes on; cycles end as missing.
+    (a module of the tree without that name). A named import prefers a definition to a submodule of that name. Re-exports
+    are pointers from import to import, followed by doubling; a round in which none ends leaves only cycles, which are missing.
     """
-    files = facts.where("fact = 'scope' and parent is null").select("file")
-    modules = written(module_names(files))
-    imports = facts.where("fact = 'import'").select("file", "ord", "name", "kind", "imported", absolute(F.col("file"), F.col("module")).alias("module"))
-    exports = written(bindings(facts.where(F.col("scope") == F.concat("file", F.lit("#0")))).select(F.split_part("scope", F.lit("#"), F.lit(1)).alias("in_file"), F.col("name").alias("export"), "found", "target"))
+    if modules is None:
+        modules = written(module_names(facts.where("fact = 'scope' and parent is null").select("file")))
+    return _imports(facts, modules)[0]
+
+
+def _starred(stars: DataFrame, exports: DataFrame) -> DataFrame | None:
+    """What modules hold through ``stars`` (importer, star, module_file) at their top, also through stars of stars: rows like
+    ``exports``. A module's own names come first, then the first star; names that begin with an underscore don't pass."""
+    every, new, out = exports, exports, None
+    while True:
+        passed = stars.join(new, "module_file").where(~F.col("imported").startswith("_"))
+        best = passed.groupBy(F.col("importer").alias("module_file"), "imported").agg(F.min_by(F.struct("fact", "met_file", "met_ord"), F.struct("star", "met_file", "met_ord")).alias("b"))
+        new = written(best.select("module_file", "imported", "b.fact", "b.met_file", "b.met_ord").join(every.select("module_file", "imported"), ["module_file", "imported"], "left_anti"), "starred")
+        if new.isEmpty():
+            return out
+        out = new if out is None else out.unionByName(new)
+        every = every.unionByName(new)
+
+
+def _imports(facts: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``resolve_imports``, and what modules hold through stars."""
+    exports = facts.where((F.col("fact").isin("def", "import")) & F.col("binds") & (F.col("scope") == module_scope()) & (F.col("kind") != "property"))
+    exports = exports.select(F.col("file").alias("module_file"), F.col("name").alias("imported"), "fact", F.col("file").alias("met_file"), F.col("ord").alias("met_ord"))
+    imports = facts.where("fact = 'import'").select("file", "ord", "name", "kind", "scope", "imported", absolute(F.col("file"), F.col("module")).alias("module"))
+    member = F.when(F.col("kind") == "named", F.concat_ws(".", F.when(F.col("module") != "", F.col("module")), "imported"))
     at_module = modules.select("module", F.col("file").alias("module_file"))
     at_member = modules.select(F.col("module").alias("member"), F.col("file").alias("member_file"))
-    member = F.when(F.col("kind") == "named", F.concat_ws(".", F.when(F.col("module") != "", F.col("module")), "imported")).otherwise(F.lit(None))
-    top = F.split_part("module", F.lit("."), F.lit(1))
-    inside = modules.select(F.split_part("module", F.lit("."), F.lit(1)).alias("top")).distinct().withColumn("of_tree", F.lit(True))
-    placed = imports.withColumn("member", member).withColumn("top", top).join(at_module, "module", "left").join(at_member, "member", "left").join(inside, "top", "left")
-    placed = written(placed.select("file", "ord", "name", "kind", "imported", "module", "module_file", "member_file", "of_tree"))
-
-    named = placed.where("kind = 'named' and module_file is not null")
-    now = named.select("file", "ord", F.col("module_file").alias("at_file"), F.col("imported").alias("at_name"), F.array(F.concat_ws(":", "module_file", "imported")).alias("seen"))
-    links = placed.where("kind = 'named'").select(F.col("file").alias("link_file"), F.col("ord").alias("link_ord"), F.col("module_file").alias("next_file"), F.col("imported").alias("next_name"), F.col("member_file").alias("next_member"))
-    done = None
+    tops = modules.select(F.split_part("module", F.lit("."), F.lit(1)).alias("top")).distinct().withColumn("of_tree", F.lit(True))
+    placed = imports.withColumns({"member": member, "top": F.split_part("module", F.lit("."), F.lit(1))}).join(at_module, "module", "left").join(at_member, "member", "left").join(tops, "top", "left")
+    placed = written(placed, "placed")
+    stars = placed.where((F.col("kind") == "star") & F.col("module_file").isNotNull() & (F.col("scope") == module_scope())).select(F.col("file").alias("importer"), F.col("ord").alias("star"), "module_file")
+    starred = None if stars.isEmpty() else _starred(stars, exports)
+    met = placed.join(exports if starred is None else exports.unionByName(starred), ["module_file", "imported"], "left")
+    named = F.col("kind") == "named"
+    whole = F.when(named, F.col("member_file")).otherwise(F.col("module_file"))
+    hops = met.select(
+        "file", "ord", "name", "kind", "scope", "module", "of_tree", whole.alias("whole"), F.when(named & (F.col("fact") == "def"), F.col("met_file")).alias("def_file"), F.when(named & (F.col("fact") == "def"), F.col("met_ord")).alias("def_ord"),
+        F.when(named & F.col("module_file").isNull() | ~named, whole).alias("sub_file"), F.when(named & (F.col("fact") == "import"), F.col("met_file")).alias("next_file"), F.when(named & (F.col("fact") == "import"), F.col("met_ord")).alias("next_ord"),
+    )
+    hops = written(hops, "imports")
+    going = hops.where("next_file is not null").select("file", "ord", "def_file", "def_ord", "sub_file", "next_file", "next_ord")
+    n = going.count()
+    ended = None
+    if n:
+        ends = hops.select(F.col("file").alias("next_file"), F.col("ord").alias("next_ord"), F.col("def_file").alias("d"), F.col("def_ord").alias("o"), F.coalesce("sub_file", F.when(F.col("def_file").isNull() & F.col("next_file").isNull(), F.col("whole"))).alias("s"), F.col("next_file").alias("f"), F.col("next_ord").alias("g"))
+        while n:
+            # whatever the next import leads to by now; its own rows double the reach each round
+            step = going.select("file", "ord", "next_file", "next_ord").join(ends, ["next_file", "next_ord"]).select("file", "ord", F.col("d").alias("def_file"), F.col("o").alias("def_ord"), F.col("s").alias("sub_file"), F.col("f").alias("next_file"), F.col("g").alias("next_ord"))
+            step = written(step, "reexports")
+            done = step.where("next_file is null")
+            ended = done if ended is None else ended.unionByName(done)
+            going = step.where("next_file is not null")
+            left = going.count()
+            if left == n:
+                break
+            n = left
+            others = ends.join(step.select(F.col("file").alias("next_file"), F.col("ord").alias("next_ord")), ["next_file", "next_ord"], "left_anti")
+            ends = written(others.unionByName(step.select(F.col("file").alias("next_file"), F.col("ord").alias("next_ord"), F.col("def_file").alias("d"), F.col("def_ord").alias("o"), F.col("sub_file").alias("s"), F.col("next_file").alias("f"), F.col("next_ord").alias("g"))), "ends") if n else ends
+        through = ended.select("file", "ord", F.col("def_file").alias("d"), F.col("def_ord").alias("o"), F.col("sub_file").alias("s"))
+        hops = hops.join(through, ["file", "ord"], "left").withColumns({"def_file": F.coalesce("def_file", "d"), "def_ord": F.coalesce("def_ord", "o"), "sub_file": F.coalesce("sub_file", "s")})
+    whole = F.when(F.col("kind") != "named", F.col("whole")).otherwise(F.coalesce("sub_file", "whole"))
+    outcome = F.when(F.col("def_ord").isNotNull(), "def").when(whole.isNotNull(), "module").when(F.col("of_tree"), "missing").otherwise("external")
+    out = hops.select("file", "ord", "name", "kind", "scope", "module", outcome.alias("outcome"), F.coalesce("def_file", whole).alias("target_file"), F.col("def_ord").alias("target_ord"))
+    return (written(out, "resolved-imports") if ended is not None else out), starred
+
+
+def walk(rows: DataFrame, keys: list[str], imports: DataFrame, steps: DataFrame, owners: DataFrame) -> DataFrame:
+    """(keys..., outcome, target_file, target_ord) of ``rows`` (keys..., file, parts, found, found_ord, stars).
+
+    The root of a chain is what its file says; through an import, what that leads to; of stars, the first whose module has
+    the name. Each further segment is a member of what the chain has come to: ``steps`` (owner, segment, to_file, to_ord,
+    to_owner). ``owners`` (file, ord, owner) tells which scope holds the members of a definition. A chain whose segment
+    isn't found has no outcome.
+    """
+    via = imports.select(F.col("file").alias("_file"), F.col("ord").alias("_ord"), F.col("outcome").alias("_out"), F.col("target_file").alias("_tf"), F.col("target_ord").alias("_to"))
+    kept = rows.select(*keys, "file", "parts", "found", "found_ord", "stars")
+    met = kept.where("found = 'def' or found = 'import' or found = 'builtin'").join(via, (F.col("found") == "import") & (F.col("file") == F.col("_file")) & (F.col("found_ord") == F.col("_ord")), "left")
+    is_def = F.col("found") == "def"
+    outcome = F.when(is_def, "def").when(F.col("found") == "builtin", "external").otherwise(F.col("_out"))
+    start = met.select(*keys, "parts", outcome.alias("outcome"), F.when(is_def, F.col("file")).otherwise(F.col("_tf")).alias("at_file"), F.when(is_def, F.col("found_ord")).otherwise(F.col("_to")).alias("at_ord"))
+    if not imports.where("kind = 'star'").isEmpty():
+        each = kept.where("found = 'star'").select(*keys, "file", "parts", F.posexplode("stars").alias("_n", "_star"))
+        each = each.join(via, (F.col("file") == F.col("_file")) & (F.col("_star") == F.col("_ord"))).withColumn("owner", module_scope("_tf")).withColumn("segment", F.col("parts")[0])
+        each = each.join(steps, ["owner", "segment"], "left")
+        told = F.when(F.col("to_file").isNull(), F.when(F.col("_out") == "external", "external")).when(F.col("to_ord").isNull(), "module").otherwise("def")
+        best = each.groupBy(*keys, "parts").agg(F.min_by(F.struct(told.alias("outcome"), "to_file", "to_ord"), F.struct(F.col("to_file").isNull(), told.isNull(), "_n")).alias("b"))
+        held = F.when(F.col("parts")[0].isin(*sorted(BUILTINS)), "external")  # what no star has, Python may hold itself
+        start = start.unionByName(best.select(*keys, "parts", F.coalesce("b.outcome", held).alias("outcome"), F.col("b.to_file").alias("at_file"), F.col("b.to_ord").alias("at_ord")))
+    of = owners.select(F.col("file").alias("at_file"), F.col("ord").alias("at_ord"), F.col("owner").alias("of_owner"))
+    short = start.where("size(parts) = 1 or outcome is null or outcome not in ('def', 'module')").select(*keys, "outcome", F.col("at_file").alias("target_file"), F.col("at_ord").alias("target_ord"))
+    going = start.where("size(parts) > 1 and outcome in ('def', 'module')").join(of, ["at_file", "at_ord"], "left")
+    going = going.select(*keys, "parts", F.lit(1).alias("_at"), F.when(F.col("outcome") == "module", module_scope("at_file")).otherwise(F.col("of_owner")).alias("owner"), "outcome", "at_file", "at_ord")
+    longest = going.agg(F.max(F.size("parts"))).first()[0] or 1
+    for j in range(1, longest):
+        moved = going.withColumn("segment", F.when(F.col("_at") == j, F.get("parts", F.lit(j)))).join(steps, ["owner", "segment"], "left")
+        on = F.col("segment").isNotNull()
+        outcome = F.when(on, F.when(F.col("to_file").isNotNull(), F.when(F.col("to_ord").isNull(), "module").otherwise("def"))).otherwise(F.col("outcome"))
+        at = F.when(on & F.col("to_file").isNotNull(), F.col("_at") + 1).otherwise(F.col("_at"))
+        going = moved.select(*keys, "parts", at.alias("_at"), F.when(on, F.col("to_owner")).otherwise(F.col("owner")).alias("owner"), outcome.alias("outcome"), F.when(on, F.col("to_file")).otherwise(F.col("at_file")).alias("at_file"), F.when(on, F.col("to_ord")).otherwise(F.col("at_ord")).alias("at_ord"))
+        if j % UNROLL == 0:
+            going = written(going, "chains")
+    return short.unionByName(going.select(*keys, "outcome", F.col("at_file").alias("target_file"), F.col("at_ord").alias("target_ord")))
+
+
+def class_scopes(facts: DataFrame) -> DataFrame:
+    """(file, ord, owner): classes and the scopes that hold their members."""
+    return facts.where("fact = 'def' and kind = 'class'").select("file", "ord", F.col("body").alias("owner"))
+
+
+def direct_members(facts: DataFrame, imports: DataFrame, modules: DataFrame, starred: DataFrame | None = None) -> DataFrame:
+    """(owner, name, file, ord, rank) of what modules and classes hold themselves; of modules also what they import, and submodules.
+
+    ``ord`` is null where the member is a module.
+    """
+    own = facts.where("fact = 'def' and binds").select("owner", "name", "file", "ord", F.lit(0).alias("rank"))
+    brought = imports.where("kind <> 'star' and target_file is not null").where(F.col("scope") == module_scope()).select(F.col("scope").alias("owner"), "name", F.col("target_file").alias("file"), F.col("target_ord").alias("ord"), F.lit(1).alias("rank"))
+    inside = modules.where("instr(module, '.') > 0").select(F.regexp_replace("module", r"\.[^.]*$", "").alias("module"), F.regexp_extract("module", r"[^.]*$", 0).alias("name"), F.col("file").alias("sub"))
+    below = inside.join(modules, "module").where(F.col("file").endswith("__init__.py")).select(module_scope().alias("owner"), "name", F.col("sub").alias("file"), F.lit(None).cast("int").alias("ord"), F.lit(2).alias("rank"))
+    out = own.unionByName(brought).unionByName(below)
+    if starred is None:
+        return out
+    named = starred.select(module_scope("module_file").alias("owner"), F.col("imported").alias("name"), "fact", "met_file", "met_ord")
+    at_import = imports.where("target_file is not null").select(F.col("file").alias("met_file"), F.col("ord").alias("met_ord"), "target_file", "target_ord")
+    through = named.where("fact = 'import'").join(at_import, ["met_file", "met_ord"]).select("owner", "name", F.col("target_file").alias("file"), F.col("target_ord").alias("ord"), F.lit(1).alias("rank"))
+    return out.unionByName(named.where("fact = 'def'").select("owner", "name", F.col("met_file").alias("file"), F.col("met_ord").alias("ord"), F.lit(1).alias("rank"))).unionByName(through)
+
+
+def inherited(bases: DataFrame) -> DataFrame:
+    """(derived, base, dist): every class with all above it, at the shortest distance, by doubling; cycles end."""
+    reach = written(bases.select("derived", "base").where("derived <> base").distinct().withColumn("dist", F.lit(1)), "inherited")
+    seen = None
     while True:
-        met = now.join(exports, (F.col("at_file") == F.col("in_file")) & (F.col("at_name") == F.col("export"))).groupBy("file", "ord", "seen").agg(F.min_by(F.struct("in_file", "found", "target"), F.when(F.col("found") == "def", 0).otherwise(1)).alias("b"))
-        met = written(met.select("file", "ord", "seen", "b.in_file", "b.found", "b.target"))
-        ended = met.where("found = 'def'").select("file", "ord", F.col("in_file").alias("def_file"), F.col("target").alias("def_ord"), F.lit(None).cast("string").alias("sub_file"))
-        step = met.where("found = 'import'").join(links, (F.col("in_file") == F.col("link_file")) & (F.col("target") == F.col("link_ord")))
-        through = step.where("next_file is null and next_member is not null").select("file", "ord", F.lit(None).cast("string").alias("def_file"), F.lit(None).cast("int").alias("def_ord"), F.col("next_member").alias("sub_file"))
-        ended = ended.unionByName(through)
-        done = ended if done is None else done.unionByName(ended)
-        tag = F.concat_ws(":", "next_file", "next_name")
-        now = written(step.where(F.col("next_file").isNotNull() & ~F.array_contains("seen", tag)).select("file", "ord", F.col("next_file").alias("at_file"), F.col("next_name").alias("at_name"), F.array_append("seen", tag).alias("seen")))
-        if now.isEmpty():
+        now = tuple(reach.agg(F.count("*"), F.coalesce(F.sum("dist"), F.lit(0))).first())
+        if now == seen or not now[0]:
+            return reach
+        seen = now
+        further = reach.select("derived", F.col("base").alias("via"), F.col("dist").alias("d")).join(reach.select(F.col("derived").alias("via"), "base", "dist"), "via")
+        further = further.where("derived <> base").select("derived", "base", (F.col("d") + F.col("dist")).alias("dist"))
+        before, reach = reach, written(reach.unionByName(further).groupBy("derived", "base").agg(F.min("dist").alias("dist")), "inherited")
+        forgotten(before)
+
+
+def members(facts: DataFrame, direct: DataFrame, above: DataFrame) -> DataFrame:
+    """(owner, name, file, ord): the nearest member of each name. A class's own, then those of classes of its name in its
+    file, then what the classes above it hold, nearest first."""
+    classes = facts.where("fact = 'def' and kind = 'class'").select("file", "name", F.col("body").alias("owner"))
+    same = classes.join(classes.select("file", "name", F.col("owner").alias("other")), ["file", "name"]).where("owner <> other").select("owner", "other", F.lit(0.5).alias("dist"))
+    wider = same.unionByName(above.select(F.col("derived").alias("owner"), F.col("base").alias("other"), F.col("dist").cast("double").alias("dist")))
+    taken = wider.join(direct.withColumnRenamed("owner", "other"), "other").select("owner", "name", "file", "ord", "rank", "dist")
+    every = direct.withColumn("dist", F.lit(0.0)).select("owner", "name", "file", "ord", "rank", "dist").unionByName(taken)
+    return every.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("dist", "rank", "file", "ord")).alias("b")).select("owner", "name", "b.file", "b.ord")
+
+
+def _steps(members: DataFrame, owners: DataFrame) -> DataFrame:
+    """``members`` as steps of chains, each with the scope that holds the members of what it leads to."""
+    met = members.join(owners.select("file", "ord", F.col("owner").alias("of")), ["file", "ord"], "left")
+    return met.select("owner", F.col("name").alias("segment"), F.col("file").alias("to_file"), F.col("ord").alias("to_ord"), F.when(F.col("ord").isNull(), module_scope()).otherwise(F.col("of")).alias("to_owner"))
+
+
+def class_bases(facts: DataFrame, imports: DataFrame, direct: DataFrame) -> DataFrame:
+    """(derived, base): scopes of classes, and of the classes of the tree that they extend by a name or a chain."""
+    classes = class_scopes(facts)
+    steps = _steps(direct.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("rank", "file", "ord")).alias("b")).select("owner", "name", "b.file", "b.ord"), classes)
+    rows = facts.where("fact = 'base'").select("file", F.col("of").alias("class_ord"), "ord", "parts", "found", "found_ord", "stars").withColumn("at", F.col("file"))
+    found = walk(rows, ["at", "class_ord", "ord"], imports, steps, classes).where("outcome = 'def'")
+    named = classes.select(F.col("file").alias("at"), F.col("ord").alias("class_ord"), F.col("owner").alias("derived"))
+    ends = classes.select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), F.col("owner").alias("base"))
+    return written(found.join(named, ["at", "class_ord"]).join(ends, ["target_file", "target_ord"]).select("derived", "base").where("derived <> base").distinct(), "bases")
+
+
+def value_types(facts: DataFrame, imports: DataFrame, steps: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(file, ord, owner): definitions whose value is known to be of one class of the tree, with the scope of its members.
+
+    A type is told by an annotation or a constructor's call; a name that is assigned another's value, or a function's that
+    returns a declared type, takes over that one's type. A constructor's parameter without a type takes the one on which
+    the arguments of all calls of its class agree; a call that doesn't tell it, or tells another, leaves it unknown. Types
+    spread until a round adds none; a type once known stays, so the rounds end.
+    """
+    classes = class_scopes(facts)
+    cols = ["file", "parts", "found", "found_ord", "stars"]
+    split = F.split("type_name", r"\.")
+    of_row = F.col("file").alias("at")
+    defs = facts.where("fact = 'def' and type_name is not null").select(F.lit("def").alias("what"), of_row, "ord", "file", split.alias("parts"), "found", "found_ord", "stars")
+    arguments = facts.where("fact = 'argument' and type_name is not null").select(F.lit("argument").alias("what"), of_row, "ord", "file", split.alias("parts"), "found", "found_ord", "stars")
+    callee = facts.where("fact = 'ref' and parts is not null").select(of_row, (F.col("ord") + 1).alias("ord"), *cols)
+    calls = facts.where("fact = 'call' and name is not null").select(F.col("file").alias("at"), "ord")
+    rows = defs.unionByName(arguments).unionByName(callee.join(calls, ["at", "ord"], "left_semi").withColumn("what", F.lit("call")))
+    told = walk(rows, ["what", "at", "ord"], imports, steps, classes).where("outcome = 'def'")
+    told = told.join(classes.select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), "owner"), ["target_file", "target_ord"], "left")
+    told = written(told.select("what", "at", "ord", "target_file", "target_ord", "owner"), "types")
+
+    known = told.where("what = 'def' and owner is not null").select(F.col("at").alias("file"), "ord", "owner")
+    # parameters of constructors, with what each call of their class gives them
+    makers = facts.where("fact = 'def' and kind = 'constructor'").select("file", F.col("ord").alias("of"), F.col("owner").alias("class_scope"))
+    params = facts.where("fact = 'def' and kind = 'parameter' and place is not null").select("file", "of", "ord", "name", "place").join(makers, ["file", "of"])
+    made = told.where("what = 'call' and owner is not null").select("at", F.col("ord").alias("of_call"), F.col("owner").alias("class_scope"))
+    given = facts.where("fact = 'argument'").select(F.col("file").alias("at"), F.col("of").alias("of_call"), F.col("ord").alias("argument"), F.col("name").alias("keyword"), F.col("place").alias("position"))
+    asked = params.select("file", "ord", "name", "place", "class_scope").join(made, "class_scope")
+    met = asked.join(given, ["at", "of_call"], "left").groupBy("file", "ord", "at", "of_call").agg(F.min(F.when((F.col("position") == F.col("place")) | (F.col("keyword") == F.col("name")), F.col("argument"))).alias("argument"))
+    source = told.where("what = 'argument'").select("at", F.col("ord").alias("argument"), F.col("target_file").alias("s_file"), F.col("target_ord").alias("s_ord"), F.col("owner").alias("s_owner"))
+    given = met.join(source, ["at", "argument"], "left").select("file", "ord", "s_file", "s_ord", "s_owner")
+    alias = told.where("what = 'def' and owner is null").select(F.col("at").alias("file"), "ord", F.col("target_file").alias("s_file"), F.col("target_ord").alias("s_ord"))
+    known, given, alias = written(known, "known"), written(given, "given"), written(alias, "alias")
+    pending = not (given.isEmpty() and alias.isEmpty())
+    done = 0
+    while pending and (rounds is None or done < rounds):
+        done += 1
+        at_source = known.select(F.col("file").alias("s_file"), F.col("ord").alias("s_ord"), F.col("owner").alias("is_owner"))
+        taken = alias.join(at_source, ["s_file", "s_ord"]).select("file", "ord", F.col("is_owner").alias("owner"), F.lit(0).alias("rank"))
+        agreed = given.join(at_source, ["s_file", "s_ord"], "left").groupBy("file", "ord").agg(F.min(F.coalesce("s_owner", "is_owner")).alias("owner"), F.max(F.coalesce("s_owner", "is_owner")).alias("other"), F.count_if(F.coalesce("s_owner", "is_owner").isNull()).alias("untold"))
+        agreed = agreed.where("untold = 0 and owner = other").select("file", "ord", "owner", F.lit(1).alias("rank"))
+        new = taken.unionByName(agreed).join(known.select("file", "ord"), ["file", "ord"], "left_anti").groupBy("file", "ord").agg(F.min_by("owner", F.struct("rank", "owner")).alias("owner"))
+        new = written(new, "new")
+        if new.isEmpty():
             break
-    out = placed.join(written(done), ["file", "ord"], "left")
-    whole = F.when(F.col("kind") != "named", F.col("module_file")).otherwise(F.coalesce("sub_file", "member_file"))
-    outcome = F.when(F.col("def_ord").isNotNull(), "def").when(whole.isNotNull(), "module").when(F.col("of_tree"), "missing").otherwise("external")
-    return written(out.select("file", "ord", "name", "kind", "module", outcome.alias("outcome"), F.coalesce("def_file", whole).alias("target_file"), F.col("def_ord").alias("target_ord")))
-
-
-def members(facts: DataFrame, imports: DataFrame, around: DataFrame | None = None) -> DataFrame:
-    """(owner, name, file, ord): what a module (its file) or a class (file:name) holds; classes hold what their bases hold too."""
-    own = facts.where("fact = 'def'").select("scope", "name", "kind", "file", "ord", "parent")
-    last = lambda df: df.groupBy("owner", "name").agg(F.max_by(F.struct("file", "ord"), "ord").alias("b")).select("owner", "name", "b.file", "b.ord")
-    at_top = last(own.where(F.col("scope") == F.concat("file", F.lit("#0"))).where("kind <> 'property'").withColumn("owner", F.col("file")))
-    bodies = facts.where("fact = 'def' and kind = 'class'").select(F.concat_ws(":", "file", "name").alias("owner"), F.col("body").alias("scope"))
-    in_class = own.where("kind <> 'property'").join(bodies, "scope").unionByName(own.where("kind = 'property'").withColumn("owner", F.concat_ws(":", "file", "parent")).select("scope", "name", "kind", "file", "ord", "parent", "owner"))
-    direct = written(last(in_class))
-    up = type_edges(facts, imports, around).select(F.col("derived").alias("owner"), "base")
-    out, level, dist = direct.withColumn("dist", F.lit(0)), written(up), 1
-    higher, seen = up.select(F.col("owner").alias("base"), F.col("base").alias("higher")), level
-    while not level.isEmpty():
-        out = out.unionByName(level.join(direct.withColumnRenamed("owner", "base"), "base").select("owner", "name", "file", "ord", F.lit(dist).alias("dist")))
-        dist += 1
-        further = level.join(higher, "base").select("owner", F.col("higher").alias("base")).where("owner <> base").distinct()
-        level = written(further.join(seen, ["owner", "base"], "left_anti"))
-        seen = written(seen.unionByName(level))
-    nearest = out.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("dist", "file", "ord")).alias("b")).select("owner", "name", "b.file", "b.ord")
-    return written(at_top.unionByName(nearest))
-
-
-def type_edges(facts: DataFrame, imports: DataFrame, around: DataFrame | None = None) -> DataFrame:
-    """(derived, base): classes as file:name, and the classes of the tree that they extend by a name or ``module.name``."""
-    classes = facts.where("fact = 'def' and kind = 'class'").select("file", "ord", "scope", F.col("name").alias("derived_name"), F.explode_outer("bases").alias("written_base")).where("written_base is not null")
-    refs = classes.select("file", F.hash("file", "ord", "written_base").alias("ref_ord"), "scope", F.split_part("written_base", F.lit("."), F.lit(1)).alias("name"), "derived_name", "written_base")
-    found = _looked_up(facts, refs.select("file", "ref_ord", "scope", "name"), around).join(refs.select("file", "ref_ord", "derived_name", "written_base"), ["file", "ref_ord"])
-    via = imports.select("file", F.col("ord").alias("target"), "outcome", "target_file", "target_ord")
-    found = found.join(via, ["file", "target"], "left")
-    names = facts.where("fact = 'def' and kind = 'class'").select(F.col("file").alias("b_file"), F.col("ord").alias("b_ord"), F.col("name").alias("base_name"))
-    at_file = F.when(F.col("found") == "def", F.col("file")).otherwise(F.col("target_file"))
-    at_ord = F.when(F.col("found") == "def", F.col("target")).otherwise(F.col("target_ord"))
-    plain = found.where("instr(written_base, '.') = 0").select("file", "derived_name", at_file.alias("b_file"), at_ord.alias("b_ord")).join(names, ["b_file", "b_ord"])
-    dotted = found.where("instr(written_base, '.') > 0 and outcome = 'module'").select("file", "derived_name", F.col("target_file").alias("b_file"), F.substring_index("written_base", ".", -1).alias("base_name")).join(names.select("b_file", "base_name").distinct(), ["b_file", "base_name"])
-    edge = [F.concat_ws(":", "file", "derived_name").alias("derived"), F.concat_ws(":", "b_file", "base_name").alias("base")]
-    return written(plain.select(*edge).unionByName(dotted.select(*edge)).where("derived <> base").distinct())
+        known = known.unionByName(new)
+    return classes.unionByName(known.join(classes.select("file", "ord"), ["file", "ord"], "left_anti"))
+
+
+def resolved(facts: DataFrame) -> Resolved:
+    """All that the references of a tree lead to, with the tables on the way. ``facts`` should be a written table."""
+    modules = written(module_names(facts.where("fact = 'scope' and parent is null").select("file")), "modules")
+    imports, starred = _imports(facts, modules)
+    direct = written(direct_members(facts, imports, modules, starred), "direct")
+    bases = class_bases(facts, imports, direct)
+    owned = written(members(facts, direct, inherited(bases)), "members")
+    types = written(value_types(facts, imports, _steps(owned, class_scopes(facts))), "typed")
+    # a function's type is its result's; its name alone holds nothing
+    functions = facts.where("fact = 'def' and kind in ('function', 'method', 'constructor')").select("file", "ord")
+    owners = types.join(functions, ["file", "ord"], "left_anti")
+    steps = written(_steps(owned, owners), "steps")
+    every = facts.where("fact = 'ref'").select("file", "ord", "line", "col", "name", "kind", "scope", "holder", "parts", "found", "found_ord", "stars").withColumn("at", F.col("file"))
+    keys = ["at", "ord", "line", "col", "name", "kind", "scope", "holder"]
+    ends = walk(every.where("found is not null"), keys, imports, steps, owners)
+    lost = every.where("found is null").select(*keys, F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("target_file"), F.lit(None).cast("int").alias("target_ord"))
+    out = ends.unionByName(lost).select(F.col("at").alias("file"), *keys[1:], F.coalesce("outcome", F.lit("unresolved")).alias("outcome"), F.when(F.col("outcome").isNotNull(), F.col("target_file")).alias("target_file"), F.when(F.col("outcome").isNotNull(), F.col("target_ord")).alias("target_ord"))
+    return Resolved(imports, bases, owned, types, written(out, "references"))
 
 
 def resolve_references(facts: DataFrame) -> DataFrame:
-    """(file, ord, line, col, name, kind, scope, outcome, target_file, target_ord) of every reference.
+    """(file, ord, line, col, name, kind, scope, holder, outcome, target_file, target_ord) of every reference.
 
-    ``outcome`` is def, module, external or unresolved. A name is looked up through its scopes, then through its import or
-    the stars of its file; a member chain goes on from what its root is: a module, a class, or a variable, parameter or
-    property whose type is told by an annotation or a constructor. A segment that isn't found leaves the chain unresolved.
+    ``outcome`` is def, module, external (also what Python itself holds) or unresolved. A name is looked up through its
+    scopes, then through its import or the stars of its file; a member chain goes on from what its root is: a module, a
+    class, or a name whose value's class is known. A segment that isn't found leaves the chain unresolved.
     """
-    imports = resolve_imports(facts)
-    around = visible_scopes(facts)
-    owned = members(facts, imports, around)
-    roots = facts.where("fact = 'ref' and parts is not null").select("file", F.col("ord").alias("ref_ord"), "scope", F.col("parts")[0].alias("name"), "parts", "kind", "line", "col")
-    looked = _looked_up(facts, roots.select("file", "ref_ord", "scope", "name"), around).join(roots.select("file", "ref_ord", "parts"), ["file", "ref_ord"])
-    via = imports.select("file", F.col("ord").alias("target"), "outcome", F.col("target_file").alias("i_file"), F.col("target_ord").alias("i_ord"))
-    looked = looked.join(via, ["file", "target"], "left")
-    star = owned.select(F.col("owner").alias("i_file"), F.col("name"), F.col("file").alias("s_file"), F.col("ord").alias("s_ord"))
-    looked = looked.join(star, ["i_file", "name"], "left")
-    is_def = F.col("found") == "def"
-    is_star = F.col("found") == "star"
-    at_file = F.when(is_def, F.col("file")).when(is_star, F.col("s_file")).otherwise(F.col("i_file"))
-    at_ord = F.when(is_def, F.col("target")).when(is_star, F.col("s_ord")).otherwise(F.col("i_ord"))
-    told = F.when(is_def | is_star & F.col("s_ord").isNotNull(), "def").when(is_star, F.when(F.col("outcome") == "external", "external")).otherwise(F.col("outcome"))
-    state = looked.select("file", "ref_ord", "parts", F.lit(1).alias("at"), told.alias("outcome"), at_file.alias("at_file"), at_ord.alias("at_ord"))
-
-    kinds = written(_owners(facts, imports, around))
-    parts = members_step(owned)
-    state = written(state)
-    while not state.where("at < size(parts) and outcome in ('def', 'module')").isEmpty():
-        going = state.where("at < size(parts) and outcome in ('def', 'module')")
-        typed = going.join(kinds, ["at_file", "at_ord"], "left").withColumn("owner", F.when(F.col("outcome") == "module", F.col("at_file")).otherwise(F.col("is_owner"))).withColumn("segment", F.element_at("parts", F.col("at") + 1))
-        moved = typed.join(parts, ["owner", "segment"], "left").select("file", "ref_ord", "parts", (F.col("at") + 1).alias("at"), F.when(F.col("to_file").isNotNull(), F.when(F.col("to_ord").isNull(), "module").otherwise("def")).alias("outcome"), F.col("to_file").alias("at_file"), F.col("to_ord").alias("at_ord"))
-        state = written(state.where("not (at < size(parts) and outcome in ('def', 'module')) or outcome is null").unionByName(moved))
-    ends = state.select("file", "ref_ord", F.coalesce("outcome", F.lit("unresolved")).alias("outcome"), F.col("at_file").alias("target_file"), F.col("at_ord").alias("target_ord"))
-    every = facts.where("fact = 'ref'").select("file", F.col("ord").alias("ref_ord"), "scope", "name", "kind", "line", "col")
-    return every.join(ends, ["file", "ref_ord"], "left").select("file", F.col("ref_ord").alias("ord"), "line", "col", "name", "kind", "scope", F.coalesce("outcome", F.lit("unresolved")).alias("outcome"), "target_file", "target_ord")
-
-
-def members_step(owned: DataFrame) -> DataFrame:
-    """(owner, segment, to_file, to_ord): one step of a chain."""
-    return written(owned.select("owner", F.col("name").alias("segment"), F.col("file").alias("to_file"), F.col("ord").alias("to_ord")))
-
-
-def _owners(facts: DataFrame, imports: DataFrame, around: DataFrame) -> DataFrame:
-    """(at_file, at_ord, is_owner): definitions that hold members, a class itself and what is declared or made of a class."""
-    classes = facts.where("fact = 'def' and kind = 'class'").select("file", "ord", F.concat_ws(":", "file", "name").alias("is_owner"))
-    typed = facts.where("fact = 'def' and type_name is not null and kind in ('variable', 'constant', 'parameter', 'property')").select("file", F.col("ord").alias("ref_ord"), "scope", F.split_part("type_name", F.lit("."), F.lit(1)).alias("name"), "type_name")
-    found = _looked_up(facts, typed.select("file", "ref_ord", "scope", "name"), around).join(typed.select("file", "ref_ord", "type_name"), ["file", "ref_ord"])
-    found = found.join(imports.select("file", F.col("ord").alias("target"), "outcome", "target_file", "target_ord"), ["file", "target"], "left")
-    at_file = F.when(F.col("found") == "def", F.col("file")).otherwise(F.col("target_file"))
-    at_ord = F.when(F.col("found") == "def", F.col("target")).otherwise(F.col("target_ord"))
-    plain = found.where("instr(type_name, '.') = 0").select(F.col("file").alias("at_file"), F.col("ref_ord").alias("at_ord"), at_file.alias("file"), at_ord.alias("ord")).join(classes, ["file", "ord"]).select("at_file", "at_ord", "is_owner")
-    dotted = found.where("instr(type_name, '.') > 0 and outcome = 'module'").select(F.col("file").alias("at_file"), F.col("ref_ord").alias("at_ord"), F.concat_ws(":", "target_file", F.substring_index("type_name", ".", -1)).alias("is_owner"))
-    dotted = dotted.join(classes.select("is_owner").distinct(), "is_owner", "left_semi").select("at_file", "at_ord", "is_owner")
-    return classes.select(F.col("file").alias("at_file"), F.col("ord").alias("at_ord"), "is_owner").unionByName(plain).unionByName(dotted).groupBy("at_file", "at_ord").agg(F.min("is_owner").alias("is_owner"))
+    return resolved(facts).references

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.paths import utf16_length
 
 LINE_CUT = 400
-#: Parts of a pattern that may look beyond a line, so that a whole text can't be tested with it.
-_BEYOND_LINES = re.compile(r"\(\?|\\[AZzGBR]")
 
 
 def lines_of(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
@@ -67,16 +65,19 @@ def _compiled(files: DataFrame, pattern: str) -> None:
 def search(files: DataFrame, query: str, key: str = "file", text: str = "text", regex: bool = False, whole_word: bool = False, case_sensitive: bool = False, max_results: int | None = 500, glob: str | None = None, under: str | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
     """(key, line, col, end_col, line_text) of matches; with ``max_results``, in order, with ``match`` and ``truncated``.
 
-    Each line is searched by itself. Files are tested before they are cut into lines, unless the pattern could look beyond
-    a line. ``max_results`` (1 to 5000) is part of the feature: the first so many hits by key, line and column, numbered
+    Each line is searched by itself. For a query in plain characters, files that don't hold it go before they are cut into
+    lines; a regular expression is tried on lines only. ``max_results`` (1 to 5000) is part of the feature: the first so many hits by key, line and column, numbered
     from 1, and whether there are more. Line texts are cut to 400 characters; positions refer to the uncut line. A pattern
     that doesn't compile raises ValueError.
     """
     pattern = pattern_of(query, regex, whole_word, case_sensitive)
     _compiled(files, pattern)
     files = chosen_files(files, key, glob, under, only)
-    if not (regex and _BEYOND_LINES.search(query)):
-        files = files.where(F.col(text).rlike(f"(?m){pattern}"))
+    if not regex and case_sensitive:
+        files = files.where(F.contains(F.col(text), F.lit(query)))
+    elif not regex and query.isascii():
+        # folded twice, as some letters beyond ASCII fold to one of it
+        files = files.where(F.contains(F.upper(F.lower(text)), F.lit(query.upper())))
     hits = lines_of(files, key, text).where(F.col("line_text").rlike(pattern))
     hits = hits.select(key, "line", F.explode(match_spans(F.col("line_text"), pattern)).alias("m"), "line_text")
     out = hits.select(key, "line", (F.col("m.from") + 1).alias("col"), (F.col("m.to") + 1).alias("end_col"), F.left("line_text", F.lit(LINE_CUT)).alias("line_text"))

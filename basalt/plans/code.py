@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import codemap
 from ..operators.graph import longest_levels, reached, strongly_connected
-from ..operators.resolve import resolve_imports, resolve_references
+from ..operators.resolve import resolve_imports, resolved
 from ..sources.python_facts import python_facts
 from ..sources.shared import written
 from .base import Registry, table
@@ -87,8 +87,8 @@ def facts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     facts = facts_of(spark, sf_dir)
-    references = written(resolve_references(facts), "references")
-    return facts, references, written(codemap.file_edges(resolve_imports(facts), references), "edges")
+    known = resolved(facts)
+    return facts, known.references, written(codemap.file_edges(known.imports, known.references), "edges")
 
 
 _EDGES = """e AS (SELECT src, dst, CAST(sum(i) AS BIGINT) AS imports, CAST(sum(r) AS BIGINT) AS refs FROM (
@@ -149,11 +149,11 @@ def q58_file_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(key_of(F.col("file")).alias("p"), "layer")
 
 
-@R.add(f"WITH {_DEGREE} SELECT p, 'unused by others' AS reason, inbound, outbound FROM d WHERE in_degree = 0 AND outbound > 0 ORDER BY outbound DESC, 'pkg' || (p % 7) || '/mod' || p || '.py' LIMIT 8")
+@R.add(f"WITH {_DEGREE} SELECT p, 'hot' AS kind, in_degree AS score, in_degree AS inbound FROM d ORDER BY in_degree DESC, 'pkg' || (p % 7) || '/mod' || p || '.py' LIMIT 12")
 def q59_start_here(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, _, edges = graph_of(spark, sf_dir)
-    found = codemap.start_here(codemap.degrees(edges, facts.where("fact = 'scope' and parent is null").select("file")))
-    return found.select(key_of(F.col("file")).alias("p"), "reason", "inbound", "outbound")
+    found = codemap.start_here(codemap.degrees(edges, facts.where("fact = 'scope' and parent is null").select("file")), facts)
+    return found.select(key_of(F.col("file")).alias("p"), "kind", "score", "inbound")
 
 
 @R.add("""SELECT p_partkey AS p, k.caller AS caller, k.target AS target, k.callee AS callee, CAST(count(*) AS BIGINT) AS calls FROM part, LATERAL (VALUES ('run', p_partkey // 2, 'helper' || (p_partkey // 2), 1), ('run', p_partkey // 3, 'helper' || (p_partkey // 3), 1), ('helper' || p_partkey, p_partkey, 'Thing' || p_partkey, 0), ('twice' || p_partkey, p_partkey, 'Thing' || p_partkey, 0), ('twice' || p_partkey, p_partkey, 'run', 0), ('twice' || p_partkey, p_partkey, 'helper' || p_partkey, 0)) AS k(caller, target, callee, far)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import age_bucket, freshness, fuzzy_score, path_score
+from ..operators.positions import stabbed
 from .base import Registry, table
 
 R = Registry()
@@ -238,17 +239,22 @@ def intervals_and_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
     return joined.groupBy("o_orderkey", "o_custkey", "a").agg(F.max("p").alias("b")), joined.select("o_custkey", "p").distinct()
 
 
+def points_in_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of both where a customer's date lies in an order's interval, by bins of days and wider ones."""
+    spans, points = intervals_and_points(spark, sf_dir)
+    micros = lambda df, *names: df.withColumns({f"_{n}": F.unix_micros(F.col(n).cast("timestamp")) for n in names})
+    return stabbed(micros(points, "p"), micros(spans, "a", "b"), ["o_custkey"], "_p", "_a", "_b", narrowest=8 * 86_400_000_000)
+
+
 @R.add(f"WITH {_INTERVALS} SELECT pt.o_custkey, strftime(p, '%Y-%m-%d') AS p, arg_max(o_orderkey, (a, o_orderkey)) AS inside FROM pt JOIN iv ON iv.o_custkey = pt.o_custkey AND a <= p AND p <= b GROUP BY ALL".replace("arg_max(o_orderkey, (a, o_orderkey))", "max_by(o_orderkey, struct_pack(a := a, k := o_orderkey))"))
 def q29_innermost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans, points = intervals_and_points(spark, sf_dir)
-    met = points.join(spans, "o_custkey").where("a <= p AND p <= b")
+    met = points_in_intervals(spark, sf_dir)
     return met.groupBy("o_custkey", F.date_format("p", "yyyy-MM-dd").alias("p")).agg(F.max_by("o_orderkey", F.struct("a", "o_orderkey")).alias("inside"))
 
 
 @R.add(f"WITH {_INTERVALS} SELECT pt.o_custkey, strftime(p, '%Y-%m-%d') AS p, min_by(o_orderkey, struct_pack(d := date_diff('day', a, b), k := o_orderkey)) AS smallest FROM pt JOIN iv ON iv.o_custkey = pt.o_custkey AND a <= p AND p <= b GROUP BY ALL")
 def q30_smallest_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans, points = intervals_and_points(spark, sf_dir)
-    met = points.join(spans, "o_custkey").where("a <= p AND p <= b")
+    met = points_in_intervals(spark, sf_dir)
     return met.groupBy("o_custkey", F.date_format("p", "yyyy-MM-dd").alias("p")).agg(F.min_by("o_orderkey", F.struct(F.datediff("b", "a"), "o_orderkey")).alias("smallest"))
 
 

@@ -1,25 +1,38 @@
 """Facts of Python sources: scopes, definitions, references, imports, literals and calls, as one table of tagged rows.
 
-Each file is parsed by itself inside a task; everything that needs more than one file is joins on these rows.
+Each file is parsed by itself inside a task, and what its names mean within the file is settled there too: which binding
+a name has, what a class or module holds, which definition is around a place. What needs more than one file is joins.
 """
 
 from __future__ import annotations
 
 import ast
+import builtins
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 #: ``scope`` holds a row, ``body`` is the scope that a class or function opens; ``parts`` is a member chain from its root,
-#: or a call's argument names; ``type_name`` an annotation or a constructor's name; ``depth`` and ``branches`` those inside
-#: a function; ``doc`` the first line of a docstring.
+#: or the names in an argument; ``type_name`` an annotation, a constructor's name or the name that is assigned; ``depth`` and
+#: ``branches`` those inside a function; ``doc`` the first line of a docstring; ``path`` a definition's dotted name, ``name_line`` and ``name_col`` where its name is,
+#: ``local`` whether it is inside a function; of a module's scope ``text`` is ``__main__`` where the file has such a block.
+#: Of the root of ``parts``, or of ``type_name``: ``found`` is def, import, star, builtin or null, ``found_ord`` the binding's row and
+#: ``stars`` the star imports that may have it. ``binds``: the row is what its name means in ``owner``, the scope that holds
+#: it as a member or name. ``holder`` is the row of the function or class around, ``of`` the call or class of an argument or
+#: base, ``place`` an argument's or parameter's position (none: by keyword, or the implicit first).
 SCHEMA = (
     "file string, fact string, id string, scope string, parent string, body string, kind string, name string, module string, imported string, parts array<string>, "
-    "bases array<string>, decorators array<string>, type_name string, doc string, text string, depth int, branches int, line int, col int, end_line int, end_col int, ord int"
+    "bases array<string>, decorators array<string>, type_name string, doc string, text string, depth int, branches int, line int, col int, end_line int, end_col int, ord int, "
+    "path string, owner string, binds boolean, found string, found_ord int, stars array<int>, holder int, of int, place int, local boolean, name_line int, name_col int"
 )
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
-_INTS = ("depth", "branches", "line", "col", "end_line", "end_col", "ord")
+_INTS = ("depth", "branches", "line", "col", "end_line", "end_col", "ord", "found_ord", "holder", "of", "place", "name_line", "name_col")
+_SELF = ("self", "cls")
+#: Fixed pattern: a file with it may be run as a program.
+_MAIN = r"""__name__\s*==\s*['"]__main__['"]"""
+BUILTINS = frozenset(dir(builtins))
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.BoolOp, ast.comprehension, ast.match_case)
 _NESTS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.Match)
 
@@ -51,30 +64,48 @@ class _Walk(ast.NodeVisitor):
     def __init__(self, file: str, source: str):
         self.file, self.lines, self.rows = file, source.replace("\r\n", "\n").replace("\r", "\n").split("\n"), []
         self.scope, self.kind, self.classes, self.outside = f"{file}#0", "module", [], {}
-        self.add("scope", None, id=self.scope, kind="module", name=file)
+        self.holder, self.outer, self.walrus, self.functions = None, [], self.scope, 0
+        self.add("scope", None, id=self.scope, kind="module", name=file, text="__main__" if re.search(_MAIN, source) else None)
 
     def column(self, line: int, offset: int) -> int:
         raw = self.lines[line - 1].encode()[:offset] if line <= len(self.lines) else b""
         return len(raw.decode("utf-8", "replace").encode("utf-16-le")) // 2 + 1
 
     def add(self, fact: str, node: ast.AST | None, **values) -> None:
-        row = dict.fromkeys(_COLUMNS) | {"file": self.file, "fact": fact, "scope": self.scope, "ord": len(self.rows)} | values
+        row = dict.fromkeys(_COLUMNS) | {"file": self.file, "fact": fact, "scope": self.scope, "ord": len(self.rows), "holder": self.holder} | values
         if node is not None and hasattr(node, "lineno"):
             row |= {"line": node.lineno, "col": self.column(node.lineno, node.col_offset), "end_line": node.end_lineno, "end_col": self.column(node.end_lineno, node.end_col_offset)}
         self.rows.append(row)
 
-    def inside(self, node: ast.AST, kind: str, name: str, body) -> str:
-        outer, outer_kind, outside = self.scope, self.kind, self.outside
-        self.scope, self.kind, self.outside = f"{self.file}#{len(self.rows)}", kind, {}
-        opened = self.scope
-        self.add("scope", node, id=opened, parent=outer, kind=kind, name=name)
-        body()
-        self.scope, self.kind, self.outside = outer, outer_kind, outside
+    def inside(self, node: ast.AST, kind: str, name: str, body, holder: int | None = None) -> str:
+        """Rows of ``body`` in a scope of their own; ``holder`` is the definition that it belongs to, if it is one's body."""
+        before = self.scope, self.kind, self.outside, self.holder, self.walrus
+        opened = f"{self.file}#{len(self.rows)}"
+        self.add("scope", node, id=opened, parent=self.scope, kind=kind, name=name)
+        self.scope, self.kind, self.outside = opened, kind, {}
+        if holder is not None:
+            self.holder = holder
+            self.outer.append(name)
+        if name != "comprehension":
+            self.walrus = opened
+        self.functions += kind == "function"
+        body(opened)
+        self.functions -= kind == "function"
+        if holder is not None:
+            self.outer.pop()
+        self.scope, self.kind, self.outside, self.holder, self.walrus = before
         return opened
 
     def binds(self, node: ast.AST, name: str, **values) -> None:
         """A definition, in the scope that a ``global`` or ``nonlocal`` names, if there is one."""
-        self.add("def", node, name=name, scope=self.outside.get(name, self.scope), **values)
+        scope = self.outside.get(name, self.scope)
+        self.add("def", node, name=name, scope=scope, **{"path": ".".join([*self.outer, name]), "local": self.functions > 0 and scope != f"{self.file}#0"} | values)
+        row = self.rows[-1]
+        row["name_line"], row["name_col"] = row["line"], row["col"]
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            text = self.lines[node.lineno - 1].encode()[node.col_offset :].decode("utf-8", "replace") if node.lineno <= len(self.lines) else ""
+            if met := re.match(r"(?:async\s+)?(?:def|class)\s+", text):
+                row["name_col"] = row["col"] + met.end()
 
     def visit_Global(self, node) -> None:
         self.outside |= dict.fromkeys(node.names, f"{self.file}#0")
@@ -88,34 +119,43 @@ class _Walk(ast.NodeVisitor):
         kind = ("constructor" if node.name == "__init__" else "method") if self.kind == "class" else "function"
         at = len(self.rows)
         doc = (ast.get_docstring(node) or "").split("\n")[0] or None
+        static = any(chain(d)[-1:] == ["staticmethod"] for d in node.decorator_list)
         self.binds(node, node.name, kind=kind, decorators=[".".join(chain(d.func if isinstance(d, ast.Call) else d)) for d in node.decorator_list], doc=doc, depth=deepest, branches=branches, type_name=_annotation(node.returns))
         for d in [*node.decorator_list, *node.args.defaults, *(d for d in node.args.kw_defaults if d), *([node.returns] if node.returns else [])]:
             self.visit(d)
 
-        def body() -> None:
+        def body(opened: str) -> None:
             a = node.args
+            bound = kind in ("method", "constructor") and not static
             for k, p in enumerate([*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]):
-                own = self.classes[-1] if k == 0 and kind in ("method", "constructor") and self.classes else None
-                self.binds(p, p.arg, kind="parameter", type_name=_annotation(p.annotation) or own)
+                own = self.classes[-1] if k == 0 and bound and self.classes else None
+                place = k - bound if k < len(a.posonlyargs) + len(a.args) and k >= bound else None
+                row = len(self.rows)
+                self.binds(p, p.arg, kind="parameter", type_name=_annotation(p.annotation) or (own and own[0]), place=place, of=at)
+                if own and not p.annotation:
+                    self.rows[row] |= {"found": "def", "found_ord": own[1]}
                 if p.annotation:
                     self.visit(p.annotation)
             for s in node.body:
                 self.visit(s)
 
-        self.rows[at]["body"] = self.inside(node, "function", node.name, body)
+        self.rows[at]["body"] = self.inside(node, "function", node.name, body, at)
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
     def visit_Lambda(self, node) -> None:
-        def body() -> None:
-            for p in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
+        def body(opened: str) -> None:
+            a = node.args
+            for p in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]:
                 self.binds(p, p.arg, kind="parameter")
             self.visit(node.body)
 
+        for d in [*node.args.defaults, *(d for d in node.args.kw_defaults if d)]:
+            self.visit(d)
         self.inside(node, "function", "lambda", body)
 
     def _comprehension(self, node) -> None:
-        def body() -> None:
+        def body(opened: str) -> None:
             for g in node.generators:
                 self.visit(g)
             for part in (node.key, node.value) if isinstance(node, ast.DictComp) else (node.elt,):
@@ -131,17 +171,25 @@ class _Walk(ast.NodeVisitor):
         self.binds(node, node.name, kind="class", bases=[".".join(c) for b in node.bases if (c := chain(b))], decorators=[".".join(chain(d.func if isinstance(d, ast.Call) else d)) for d in node.decorator_list], doc=doc)
         for b in [*node.bases, *(k.value for k in node.keywords), *node.decorator_list]:
             self.visit(b)
-        self.classes.append(node.name)
-        self.rows[at]["body"] = self.inside(node, "class", node.name, lambda: [self.visit(s) for s in node.body])
-        self.classes.pop()
+        for b in node.bases:
+            if c := chain(b):
+                self.add("base", b, name=".".join(c), parts=c, of=at)
+
+        def body(opened: str) -> None:
+            self.classes.append((node.name, at, opened))
+            for s in node.body:
+                self.visit(s)
+            self.classes.pop()
+
+        self.rows[at]["body"] = self.inside(node, "class", node.name, body, at)
 
     def visit_Import(self, node) -> None:
         for a in node.names:
-            self.add("import", node, kind="module", name=a.asname or a.name.split(".")[0], module=a.name if a.asname else a.name.split(".")[0], imported=a.name)
+            self.add("import", a, kind="module", name=a.asname or a.name.split(".")[0], module=a.name if a.asname else a.name.split(".")[0], imported=a.name)
 
     def visit_ImportFrom(self, node) -> None:
         for a in node.names:
-            self.add("import", node, kind="star" if a.name == "*" else "named", name=a.asname or a.name, module="." * node.level + (node.module or ""), imported=a.name)
+            self.add("import", a, kind="star" if a.name == "*" else "named", name=a.asname or a.name, module="." * node.level + (node.module or ""), imported=a.name)
 
     def visit_Assign(self, node) -> None:
         self.visit(node.value)
@@ -155,20 +203,71 @@ class _Walk(ast.NodeVisitor):
         self._assigned(node.target, node.value, _annotation(node.annotation))
 
     def _assigned(self, target: ast.AST, value: ast.AST | None, kind_of: str | None) -> None:
-        made = ".".join(chain(value.func)) if isinstance(value, ast.Call) else None
+        made = ".".join(chain(value.func)) if isinstance(value, ast.Call) else value.id if isinstance(value, ast.Name) else None
         text = str(value.value)[:200] if isinstance(value, ast.Constant) else None
         if isinstance(target, ast.Name):
             self.binds(target, target.id, kind="constant" if self.kind == "module" and target.id.isupper() else "variable", type_name=kind_of or made, text=text)
         elif isinstance(target, ast.Attribute) and chain(target)[:1] == ["self"] and len(chain(target)) == 2 and self.classes:
-            self.add("def", target, name=target.attr, kind="property", parent=self.classes[-1], type_name=kind_of or made, text=text)
+            self.add("def", target, name=target.attr, kind="property", parent=self.classes[-1][0], owner=self.classes[-1][2], type_name=kind_of or made, text=text)
+            at = self.column(target.end_lineno, target.end_col_offset - len(target.attr.encode()))
+            self.rows[-1] |= {"path": f"{'.'.join(self.outer[:-1])}.{target.attr}".lstrip("."), "line": target.end_lineno, "col": at, "name_line": target.end_lineno, "name_col": at}
         else:
             self.visit(target)
 
     def visit_Name(self, node) -> None:
-        if isinstance(node.ctx, ast.Load):
+        if isinstance(node.ctx, ast.Store):
+            self.binds(node, node.id, kind="variable")
+        else:
             self.add("ref", node, kind="identifier", name=node.id, parts=[node.id])
+
+    def visit_AugAssign(self, node) -> None:
+        if isinstance(node.target, ast.Name):
+            self.add("ref", node.target, kind="identifier", name=node.target.id, parts=[node.target.id])
         else:
-            self.binds(node, node.id, kind="variable")
+            self.visit(node.target)
+        self.visit(node.value)
+
+    def visit_NamedExpr(self, node) -> None:
+        """The name belongs to the scope around all comprehensions."""
+        self.visit(node.value)
+        before, self.scope = self.scope, self.walrus
+        self._assigned(node.target, node.value, None)
+        self.scope = before
+
+    def _captured(self, node: ast.AST, name: str, after: tuple[int, int], type_name: str | None = None) -> None:
+        """A binding of a bare ``name`` that has no node of its own: its first place after a line and byte offset."""
+        line, offset = after
+        while line <= min(node.end_lineno, len(self.lines)):
+            found = re.search(rf"\b{re.escape(name)}\b", self.lines[line - 1].encode()[offset:].decode("utf-8", "replace"))
+            if found:
+                at = offset + len(self.lines[line - 1].encode()[offset:].decode("utf-8", "replace")[: found.start()].encode())
+                self.binds(None, name, kind="variable", type_name=type_name, line=line, col=self.column(line, at), end_line=line, end_col=self.column(line, at + len(name.encode())))
+                return
+            line, offset = line + 1, 0
+
+    def visit_ExceptHandler(self, node) -> None:
+        if node.type:
+            self.visit(node.type)
+        if node.name:
+            self._captured(node, node.name, (node.type.end_lineno, node.type.end_col_offset), ".".join(chain(node.type)) or None)
+        for s in node.body:
+            self.visit(s)
+
+    def visit_MatchAs(self, node) -> None:
+        if node.pattern:
+            self.visit(node.pattern)
+        if node.name:
+            self._captured(node, node.name, (node.pattern.end_lineno, node.pattern.end_col_offset) if node.pattern else (node.lineno, node.col_offset))
+
+    def visit_MatchStar(self, node) -> None:
+        if node.name:
+            self._captured(node, node.name, (node.lineno, node.col_offset))
+
+    def visit_MatchMapping(self, node) -> None:
+        self.generic_visit(node)
+        if node.rest:
+            last = node.patterns[-1] if node.patterns else None
+            self._captured(node, node.rest, (last.end_lineno, last.end_col_offset) if last else (node.lineno, node.col_offset))
 
     def visit_Attribute(self, node) -> None:
         self.visit(node.value)
@@ -180,7 +279,13 @@ class _Walk(ast.NodeVisitor):
 
     def visit_Call(self, node) -> None:
         self.visit(node.func)
+        at = len(self.rows)
         self.add("call", node, kind="call", name=".".join(chain(node.func)) or None, parts=[a.id if isinstance(a, ast.Name) else "" for a in node.args])
+        for place, name, value in [*((k, None, a) for k, a in enumerate(node.args)), *((None, k.arg, k.value) for k in node.keywords)]:
+            names = {n.id if isinstance(n, ast.Name) else n.attr for n in ast.walk(value) if isinstance(n, (ast.Name, ast.Attribute))}
+            made = ".".join(chain(value.func)) if isinstance(value, ast.Call) else value.id if isinstance(value, ast.Name) else None
+            own = self.classes[-1] if made in _SELF and self.classes else None
+            self.add("argument", value, name=name, place=place, of=at, parts=sorted(names), type_name=own[0] if own else made, **({"found": "def", "found_ord": own[1]} if own else {}))
         for a in [*node.args, *(k.value for k in node.keywords)]:
             self.visit(a)
 
@@ -189,6 +294,52 @@ class _Walk(ast.NodeVisitor):
             self.add("literal", node, kind=type(node.value).__name__, text=str(node.value)[:200])
 
 
+def settle(rows: list[dict]) -> None:
+    """What names mean within their file: marks the rows that bind, and gives references, types and bases their binding.
+
+    Within a scope a definition comes before a named import, and that before the stars; of equal definitions the last
+    counts, of equal imports the first. Names of a class's scope aren't seen from functions inside it.
+    """
+    scopes = {r["id"]: (r["parent"], r["kind"]) for r in rows if r["fact"] == "scope"}
+    bound: dict[tuple[str, str], dict] = {}
+    held: dict[tuple[str, str], dict] = {}
+    stars: dict[str, list[int]] = {}
+    for r in rows:
+        if r["fact"] == "def":
+            if r["kind"] != "property":
+                bound[r["scope"], r["name"]] = r
+                r["owner"] = r["scope"]
+            held[r["owner"], r["name"]] = r
+        elif r["fact"] == "import" and r["kind"] == "star":
+            stars.setdefault(r["scope"], []).append(r["ord"])
+    for r in rows:
+        if r["fact"] == "import" and r["kind"] != "star" and (r["scope"], r["name"]) not in bound:
+            bound[r["scope"], r["name"]] = r
+    for r in held.values():
+        r["binds"] = True
+    for r in bound.values():
+        r["binds"] = r["binds"] or r["fact"] == "import"
+
+    def looked_up(scope: str, name: str) -> dict:
+        at, near = scope, True
+        while at is not None:
+            parent, kind = scopes[at]
+            if near or kind != "class":
+                if r := bound.get((at, name)):
+                    return {"found": r["fact"], "found_ord": r["ord"]}
+                if at in stars:
+                    return {"found": "star", "stars": stars[at]}
+            at, near = parent, False
+        return {}
+
+    for r in rows:
+        if r["found"] is None:
+            if r["fact"] in ("ref", "base") and r["parts"]:
+                r.update(looked_up(r["scope"], r["parts"][0]) or ({"found": "builtin"} if r["parts"][0] in BUILTINS else {}))
+            elif r["fact"] in ("def", "argument") and r["type_name"]:
+                r.update(looked_up(r["scope"], r["type_name"].split(".")[0]))
+
+
 def _annotation(node: ast.AST | None) -> str | None:
     if isinstance(node, ast.Constant) and isinstance(node.value, str):
         return node.value
@@ -203,6 +354,7 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 try:
                     walk = _Walk(file, text or "")
                     walk.visit(ast.parse(text or ""))
+                    settle(walk.rows)
                 except (SyntaxError, ValueError, RecursionError):
                     rows.append(dict.fromkeys(_COLUMNS) | {"file": file, "fact": "error", "kind": "parse-failed", "ord": 0})
                     continue

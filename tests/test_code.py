@@ -70,7 +70,8 @@ def test_file_graph_and_overview(facts, imports, references):
     files = facts.where("fact = 'scope' and parent is null").select("file")
     degree = {r["file"]: tuple(r)[1:] for r in codemap.degrees(edges, files).collect()}
     assert degree["main.py"] == (0, 1, 0, 2) and degree["src/app/models.py"][0] == 2
-    assert [(r["file"], r["reason"]) for r in codemap.start_here(codemap.degrees(edges, files)).collect()] == [("main.py", "name"), ("src/app/__init__.py", "unused by others")]
+    first = [(r["file"], r["kind"], r["score"], r["reasons"]) for r in codemap.start_here(codemap.degrees(edges, files), facts).collect()]
+    assert first[0] == ("main.py", "entry", 1000, ["name"]) and first[1][1:3] == ("hot", 2) and len(first) == 7 and "tests/test_views.py" not in {f[0] for f in first}
     assert {r["file"]: r["layer"] for r in codemap.layers(codemap.degrees(edges, files)).collect()}["src/app/models.py"] == "infra"
     assert {r["dir"]: r["files"] for r in codemap.subtree_counts(files).collect()} == {"": 8, "src": 6, "src/app": 6, "tests": 1}
     assert [(r["name"], r["dir"], r["files"]) for r in codemap.listing(files, "").collect()] == [("src", True, 6), ("tests", True, 1), ("main.py", False, 1)]
@@ -80,12 +81,6 @@ def test_file_graph_and_overview(facts, imports, references):
     assert (by["src/app/models.py"]["functions"], by["src/app/models.py"]["exports"], by["src/app/helpers.py"]["exports"], by["src/app/helpers.py"]["branches"]) == (4, 3, 1, 1)
 
 
-def test_predicates_of_paths(spark):
-    df = spark.createDataFrame([("tests/a.py",), ("src/test_a.py",), ("a/b.spec.ts",), ("src/latest.py",), ("README.md",), ("src/main.go",)], "f string")
-    rows = df.select(codemap.is_test(F.col("f")), codemap.is_doc_or_config(F.col("f")), codemap.entry_reason(F.col("f"), F.lit(1))).collect()
-    assert [tuple(r) for r in rows] == [(True, False, None), (True, False, None), (True, False, None), (False, False, None), (False, True, None), (False, False, "name")]
-
-
 def test_calls_types_trees_and_flow(facts, imports, references):
     calls = {(r["caller"], r["callee"]): r["calls"] for r in codemap.call_edges(facts, references).collect()}
     assert calls["view", "save"] == 1 and calls["view", "show"] == 1 and calls["view", "help_me"] == 2 and calls["<module>", "view"] == 1 and calls["__init__", "Address"] == 1
@@ -94,7 +89,7 @@ def test_calls_types_trees_and_flow(facts, imports, references):
     paths = {r["path"]: (r["kind"], r["depth"]) for r in codemap.definition_paths(facts).where("file = 'src/app/models.py'").collect()}
     assert paths["Base"] == ("class", 0) and paths["Base.save"] == ("method", 1) and paths["User.__init__"] == ("constructor", 1) and paths["Base.kind"] == ("variable", 1)
     flow = {(r["callee"], r["name"]): r["calls"] for r in codemap.argument_flow(facts, references).collect()}
-    assert flow == {("save", "when"): 1, ("help_me", "when"): 1}
+    assert flow == {("save", "when"): 1, ("help_me", "when"): 2}
     uses = {r["name"]: (r["uses"], r["files"]) for r in codemap.reference_counts(facts, references).where("file = 'src/app/views.py'").collect()}
     assert uses["view"] == (2, 2)
 
