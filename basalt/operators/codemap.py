@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import ancestors, dirname
 from ..functions.roles import has_entry_name, is_test
 from ..sources.shared import written
-from .resolve import class_bases, class_scopes, direct_members, inherited, module_names, resolve_imports
+from .resolve import class_bases, class_scopes, direct_members, extent, inherited, module_names, resolve_imports
 
 def file_edges(imports: DataFrame, references: DataFrame) -> DataFrame:
     """(src, dst, imports, refs): uses of one file by another, by resolved imports and by references to definitions."""
@@ -109,7 +109,7 @@ def coverage(references: DataFrame) -> DataFrame:
 def _hierarchy(facts: DataFrame, imports: DataFrame | None) -> DataFrame:
     modules = written(module_names(facts.where("fact = 'scope' and parent is null").select("file")))
     imports = resolve_imports(facts, modules) if imports is None else imports
-    return inherited(class_bases(facts, imports, direct_members(facts, imports, modules)))
+    return inherited(class_bases(facts, imports, direct_members(facts, imports, modules), extent(facts)))
 
 
 def ancestors_of_types(facts: DataFrame, imports: DataFrame | None = None, depth: int | None = None) -> DataFrame:

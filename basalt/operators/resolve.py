@@ -86,7 +86,22 @@ def _starred(stars: DataFrame, exports: DataFrame) -> DataFrame | None:
         every = every.unionByName(new)
 
 
-def _imports(facts: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+class Extent(NamedTuple):
+    """Whether a tree has star imports, and the most segments of a reference, a base and a type."""
+
+    stars: bool
+    refs: int
+    bases: int
+    types: int
+
+
+def extent(facts: DataFrame) -> Extent:
+    most = lambda fact: F.max(F.when(F.col("fact") == fact, F.size("parts")))
+    found = facts.agg(F.max((F.col("fact") == "import") & (F.col("kind") == "star")).alias("s"), most("ref").alias("r"), most("base").alias("b"), F.max(F.size(F.split("type_name", r"\."))).alias("t")).first()
+    return Extent(bool(found["s"]), *(max(1, found[c] or 1) for c in ("r", "b", "t")))
+
+
+def _imports(facts: DataFrame, modules: DataFrame, has_stars: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """``resolve_imports``, and what modules hold through stars."""
     exports = facts.where((F.col("fact").isin("def", "import")) & F.col("binds") & (F.col("scope") == module_scope()) & (F.col("kind") != "property"))
     exports = exports.select(F.col("file").alias("module_file"), F.col("name").alias("imported"), "fact", F.col("file").alias("met_file"), F.col("ord").alias("met_ord"))
@@ -96,9 +111,9 @@ def _imports(facts: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame
     at_member = modules.select(F.col("module").alias("member"), F.col("file").alias("member_file"))
     tops = modules.select(F.split_part("module", F.lit("."), F.lit(1)).alias("top")).distinct().withColumn("of_tree", F.lit(True))
     placed = imports.withColumns({"member": member, "top": F.split_part("module", F.lit("."), F.lit(1))}).join(at_module, "module", "left").join(at_member, "member", "left").join(tops, "top", "left")
-    placed = written(placed, "placed")
+    placed = written(placed, "placed") if has_stars else placed
     stars = placed.where((F.col("kind") == "star") & F.col("module_file").isNotNull() & (F.col("scope") == module_scope())).select(F.col("file").alias("importer"), F.col("ord").alias("star"), "module_file")
-    starred = None if stars.isEmpty() else _starred(stars, exports)
+    starred = _starred(stars, exports) if has_stars and not stars.isEmpty() else None
     met = placed.join(exports if starred is None else exports.unionByName(starred), ["module_file", "imported"], "left")
     named = F.col("kind") == "named"
     whole = F.when(named, F.col("member_file")).otherwise(F.col("module_file"))
@@ -133,13 +148,13 @@ def _imports(facts: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame
     return (written(out, "resolved-imports") if ended is not None else out), starred
 
 
-def walk(rows: DataFrame, keys: list[str], imports: DataFrame, steps: DataFrame, owners: DataFrame) -> DataFrame:
+def walk(rows: DataFrame, keys: list[str], imports: DataFrame, steps: DataFrame, owners: DataFrame, longest: int, stars: bool = True) -> DataFrame:
     """(keys..., outcome, target_file, target_ord) of ``rows`` (keys..., file, parts, found, found_ord, stars).
 
     The root of a chain is what its file says; through an import, what that leads to; of stars, the first whose module has
     the name. Each further segment is a member of what the chain has come to: ``steps`` (owner, segment, to_file, to_ord,
     to_owner). ``owners`` (file, ord, owner) tells which scope holds the members of a definition. A chain whose segment
-    isn't found has no outcome.
+    isn't found has no outcome. ``longest`` is the most segments of a chain, ``stars`` whether there are star imports.
     """
     via = imports.select(F.col("file").alias("_file"), F.col("ord").alias("_ord"), F.col("outcome").alias("_out"), F.col("target_file").alias("_tf"), F.col("target_ord").alias("_to"))
     kept = rows.select(*keys, "file", "parts", "found", "found_ord", "stars")
@@ -147,7 +162,7 @@ def walk(rows: DataFrame, keys: list[str], imports: DataFrame, steps: DataFrame,
     is_def = F.col("found") == "def"
     outcome = F.when(is_def, "def").when(F.col("found") == "builtin", "external").otherwise(F.col("_out"))
     start = met.select(*keys, "parts", outcome.alias("outcome"), F.when(is_def, F.col("file")).otherwise(F.col("_tf")).alias("at_file"), F.when(is_def, F.col("found_ord")).otherwise(F.col("_to")).alias("at_ord"))
-    if not imports.where("kind = 'star'").isEmpty():
+    if stars:
         each = kept.where("found = 'star'").select(*keys, "file", "parts", F.posexplode("stars").alias("_n", "_star"))
         each = each.join(via, (F.col("file") == F.col("_file")) & (F.col("_star") == F.col("_ord"))).withColumn("owner", module_scope("_tf")).withColumn("segment", F.col("parts")[0])
         each = each.join(steps, ["owner", "segment"], "left")
@@ -159,7 +174,6 @@ def walk(rows: DataFrame, keys: list[str], imports: DataFrame, steps: DataFrame,
     short = start.where("size(parts) = 1 or outcome is null or outcome not in ('def', 'module')").select(*keys, "outcome", F.col("at_file").alias("target_file"), F.col("at_ord").alias("target_ord"))
     going = start.where("size(parts) > 1 and outcome in ('def', 'module')").join(of, ["at_file", "at_ord"], "left")
     going = going.select(*keys, "parts", F.lit(1).alias("_at"), F.when(F.col("outcome") == "module", module_scope("at_file")).otherwise(F.col("of_owner")).alias("owner"), "outcome", "at_file", "at_ord")
-    longest = going.agg(F.max(F.size("parts"))).first()[0] or 1
     for j in range(1, longest):
         moved = going.withColumn("segment", F.when(F.col("_at") == j, F.get("parts", F.lit(j)))).join(steps, ["owner", "segment"], "left")
         on = F.col("segment").isNotNull()
@@ -226,19 +240,19 @@ def _steps(members: DataFrame, owners: DataFrame) -> DataFrame:
     return met.select("owner", F.col("name").alias("segment"), F.col("file").alias("to_file"), F.col("ord").alias("to_ord"), F.when(F.col("ord").isNull(), module_scope()).otherwise(F.col("of")).alias("to_owner"))
 
 
-def class_bases(facts: DataFrame, imports: DataFrame, direct: DataFrame) -> DataFrame:
+def class_bases(facts: DataFrame, imports: DataFrame, direct: DataFrame, size: Extent) -> DataFrame:
     """(derived, base): scopes of classes, and of the classes of the tree that they extend by a name or a chain."""
     classes = class_scopes(facts)
     steps = _steps(direct.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("rank", "file", "ord")).alias("b")).select("owner", "name", "b.file", "b.ord"), classes)
     rows = facts.where("fact = 'base'").select("file", F.col("of").alias("class_ord"), "ord", "parts", "found", "found_ord", "stars").withColumn("at", F.col("file"))
-    found = walk(rows, ["at", "class_ord", "ord"], imports, steps, classes).where("outcome = 'def'")
+    found = walk(rows, ["at", "class_ord", "ord"], imports, steps, classes, size.bases, size.stars).where("outcome = 'def'")
     named = classes.select(F.col("file").alias("at"), F.col("ord").alias("class_ord"), F.col("owner").alias("derived"))
     ends = classes.select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), F.col("owner").alias("base"))
     return written(found.join(named, ["at", "class_ord"]).join(ends, ["target_file", "target_ord"]).select("derived", "base").where("derived <> base").distinct(), "bases")
 
 
-def value_types(facts: DataFrame, imports: DataFrame, steps: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(file, ord, owner): definitions whose value is known to be of one class of the tree, with the scope of its members.
+def value_types(facts: DataFrame, imports: DataFrame, steps: DataFrame, size: Extent, rounds: int | None = None) -> DataFrame:
+    """(file, ord, owner): classes, and names whose value is known to be of one class of the tree, with the scope of its members.
 
     A type is told by an annotation or a constructor's call; a name that is assigned another's value, or a function's that
     returns a declared type, takes over that one's type. A constructor's parameter without a type takes the one on which
@@ -249,16 +263,17 @@ def value_types(facts: DataFrame, imports: DataFrame, steps: DataFrame, rounds:
     cols = ["file", "parts", "found", "found_ord", "stars"]
     split = F.split("type_name", r"\.")
     of_row = F.col("file").alias("at")
-    defs = facts.where("fact = 'def' and type_name is not null").select(F.lit("def").alias("what"), of_row, "ord", "file", split.alias("parts"), "found", "found_ord", "stars")
+    what = F.when(F.col("kind").isin("function", "method", "constructor"), "result").otherwise("def")
+    defs = facts.where("fact = 'def' and type_name is not null").select(what.alias("what"), of_row, "ord", "file", split.alias("parts"), "found", "found_ord", "stars")
     arguments = facts.where("fact = 'argument' and type_name is not null").select(F.lit("argument").alias("what"), of_row, "ord", "file", split.alias("parts"), "found", "found_ord", "stars")
     callee = facts.where("fact = 'ref' and parts is not null").select(of_row, (F.col("ord") + 1).alias("ord"), *cols)
     calls = facts.where("fact = 'call' and name is not null").select(F.col("file").alias("at"), "ord")
     rows = defs.unionByName(arguments).unionByName(callee.join(calls, ["at", "ord"], "left_semi").withColumn("what", F.lit("call")))
-    told = walk(rows, ["what", "at", "ord"], imports, steps, classes).where("outcome = 'def'")
+    told = walk(rows, ["what", "at", "ord"], imports, steps, classes, max(size.refs, size.types), size.stars).where("outcome = 'def'")
     told = told.join(classes.select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), "owner"), ["target_file", "target_ord"], "left")
     told = written(told.select("what", "at", "ord", "target_file", "target_ord", "owner"), "types")
 
-    known = told.where("what = 'def' and owner is not null").select(F.col("at").alias("file"), "ord", "owner")
+    known = told.where("what in ('def', 'result') and owner is not null").select(F.col("at").alias("file"), "ord", "what", "owner")
     # parameters of constructors, with what each call of their class gives them
     makers = facts.where("fact = 'def' and kind = 'constructor'").select("file", F.col("ord").alias("of"), F.col("owner").alias("class_scope"))
     params = facts.where("fact = 'def' and kind = 'parameter' and place is not null").select("file", "of", "ord", "name", "place").join(makers, ["file", "of"])
@@ -268,39 +283,38 @@ def value_types(facts: DataFrame, imports: DataFrame, steps: DataFrame, rounds:
     met = asked.join(given, ["at", "of_call"], "left").groupBy("file", "ord", "at", "of_call").agg(F.min(F.when((F.col("position") == F.col("place")) | (F.col("keyword") == F.col("name")), F.col("argument"))).alias("argument"))
     source = told.where("what = 'argument'").select("at", F.col("ord").alias("argument"), F.col("target_file").alias("s_file"), F.col("target_ord").alias("s_ord"), F.col("owner").alias("s_owner"))
     given = met.join(source, ["at", "argument"], "left").select("file", "ord", "s_file", "s_ord", "s_owner")
-    alias = told.where("what = 'def' and owner is null").select(F.col("at").alias("file"), "ord", F.col("target_file").alias("s_file"), F.col("target_ord").alias("s_ord"))
-    known, given, alias = written(known, "known"), written(given, "given"), written(alias, "alias")
+    alias = told.where("what in ('def', 'result') and owner is null").select(F.col("at").alias("file"), "ord", "what", F.col("target_file").alias("s_file"), F.col("target_ord").alias("s_ord"))
+    given = written(given, "given")
     pending = not (given.isEmpty() and alias.isEmpty())
     done = 0
     while pending and (rounds is None or done < rounds):
         done += 1
         at_source = known.select(F.col("file").alias("s_file"), F.col("ord").alias("s_ord"), F.col("owner").alias("is_owner"))
-        taken = alias.join(at_source, ["s_file", "s_ord"]).select("file", "ord", F.col("is_owner").alias("owner"), F.lit(0).alias("rank"))
+        taken = alias.join(at_source, ["s_file", "s_ord"]).select("file", "ord", "what", F.col("is_owner").alias("owner"), F.lit(0).alias("rank"))
         agreed = given.join(at_source, ["s_file", "s_ord"], "left").groupBy("file", "ord").agg(F.min(F.coalesce("s_owner", "is_owner")).alias("owner"), F.max(F.coalesce("s_owner", "is_owner")).alias("other"), F.count_if(F.coalesce("s_owner", "is_owner").isNull()).alias("untold"))
-        agreed = agreed.where("untold = 0 and owner = other").select("file", "ord", "owner", F.lit(1).alias("rank"))
-        new = taken.unionByName(agreed).join(known.select("file", "ord"), ["file", "ord"], "left_anti").groupBy("file", "ord").agg(F.min_by("owner", F.struct("rank", "owner")).alias("owner"))
+        agreed = agreed.where("untold = 0 and owner = other").select("file", "ord", F.lit("def").alias("what"), "owner", F.lit(1).alias("rank"))
+        new = taken.unionByName(agreed).join(known.select("file", "ord"), ["file", "ord"], "left_anti").groupBy("file", "ord", "what").agg(F.min_by("owner", F.struct("rank", "owner")).alias("owner"))
         new = written(new, "new")
         if new.isEmpty():
             break
         known = known.unionByName(new)
-    return classes.unionByName(known.join(classes.select("file", "ord"), ["file", "ord"], "left_anti"))
+    # a function's type is its result's; its name alone holds nothing
+    return classes.unionByName(known.where("what = 'def'").drop("what"))
 
 
 def resolved(facts: DataFrame) -> Resolved:
     """All that the references of a tree lead to, with the tables on the way. ``facts`` should be a written table."""
+    size = extent(facts)
     modules = written(module_names(facts.where("fact = 'scope' and parent is null").select("file")), "modules")
-    imports, starred = _imports(facts, modules)
+    imports, starred = _imports(facts, modules, size.stars)
     direct = written(direct_members(facts, imports, modules, starred), "direct")
-    bases = class_bases(facts, imports, direct)
+    bases = class_bases(facts, imports, direct, size)
     owned = written(members(facts, direct, inherited(bases)), "members")
-    types = written(value_types(facts, imports, _steps(owned, class_scopes(facts))), "typed")
-    # a function's type is its result's; its name alone holds nothing
-    functions = facts.where("fact = 'def' and kind in ('function', 'method', 'constructor')").select("file", "ord")
-    owners = types.join(functions, ["file", "ord"], "left_anti")
-    steps = written(_steps(owned, owners), "steps")
+    types = written(value_types(facts, imports, _steps(owned, class_scopes(facts)), size), "typed")
+    steps = written(_steps(owned, types), "steps")
     every = facts.where("fact = 'ref'").select("file", "ord", "line", "col", "name", "kind", "scope", "holder", "parts", "found", "found_ord", "stars").withColumn("at", F.col("file"))
     keys = ["at", "ord", "line", "col", "name", "kind", "scope", "holder"]
-    ends = walk(every.where("found is not null"), keys, imports, steps, owners)
+    ends = walk(every.where("found is not null"), keys, imports, steps, types, size.refs, size.stars)
     lost = every.where("found is null").select(*keys, F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("target_file"), F.lit(None).cast("int").alias("target_ord"))
     out = ends.unionByName(lost).select(F.col("at").alias("file"), *keys[1:], F.coalesce("outcome", F.lit("unresolved")).alias("outcome"), F.when(F.col("outcome").isNotNull(), F.col("target_file")).alias("target_file"), F.when(F.col("outcome").isNotNull(), F.col("target_ord")).alias("target_ord"))
     return Resolved(imports, bases, owned, types, written(out, "references"))
