@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import merkle, sketches, trie
+from . import merkle, pipeline, sketches, trie
 from .fingerprints import op5_fingerprints
 from .html import op2_html
 from .langid import op6_langid
@@ -22,9 +20,9 @@ from .trie import op12_trie
 
 def queries() -> dict:
     operators = (op1_packing, op2_html, op3_mixing, op4_quality, op5_fingerprints, op6_langid, op7_simhash, op8_pii, op9_toxicity, op10_neighbours, op11_merkle, op12_trie, op13_minhash)
-    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in operators} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     own = {"op11_merkle": merkle.SQL, "op12_trie": trie.SQL, "op13_minhash": sketches.SQL}
-    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return own | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

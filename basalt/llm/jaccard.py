@@ -1,31 +1,20 @@
-"""Groups of near copies: SimHash links by Golay keys, completed and confirmed by exact Jaccard similarity of word shingles.
-
-First, fingerprints of the shingles are linked through their fuzzy keys, as ``simhash`` does, and so are neighbours on a
-shared shingle; every link is confirmed by the exact similarity of the two sets of shingles. That draws large groups of
-near copies together by a few links for each document.
-
-SimHash reaches no fixed similarity without loss: at 0.8 fingerprints differ in about ten bits of 64, far beyond what fuzzy
-keys find. So the rest is exact. Two sets of similarity ``least`` or more share a shingle among the first
-``n - ceil(least * n) + 1`` of each, whatever the order of all shingles is. Documents meet on the shingles of their
-beginnings in one fixed order; those that a sample holds often come last in it, so passages of many documents rarely bring
-them together. Only documents that are not yet in one group are paired, after some rounds in which each of them tries a
-few others of its runs. Pairs that share too few of these shingles to be similar go, and so do pairs whose parities differ
-more than similar sets can; of the others the whole sets are compared: no pair is lost and none is guessed.
+"""Sets of word shingles and their exact comparison: what near-copy operators share.
+
+Sets are numpy arrays of 64-bit hashes. Parities rule pairs out that are too far apart; runs of an inverted list pair only
+rows that earlier links have left in different groups.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import forgotten
 from .common import broadcast_if_small, stored
-from .simhash import _LOWER, components, near_links
+from .simhash import _LOWER
 
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -52,12 +41,6 @@ def shingles(text: str, shingle: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def digest(own: np.ndarray) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(own.tobytes(), 42) - (1 << 63)
-
-
 def shared_at_least(n: int | np.ndarray, least: float):
     """Shingles that a set of ``n`` shares with any set of similarity ``least``."""
     return np.ceil(np.asarray(n) * least - 1e-9).astype(np.int64)
@@ -81,60 +64,6 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
 
-def _digests(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingles(t or "", shingle) for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([digest(s) for s in sets], pa.int64()), _lists(sets)], names=[*part.schema.names[1:], "digest", "own"])
-
-    return run
-
-
-def beginning(own: np.ndarray, least: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles of a set on which it meets others: rare ones first, then ``frequent`` (sorted) ones by ``rank``."""
-    n = len(own) - int(shared_at_least(len(own), least)) + 1
-    if not len(frequent):
-        return own[:n]
-    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-    often = frequent[at] == own
-    rare = own[~often]
-    return rare[:n] if len(rare) >= n else np.r_[rare, own[often][np.argsort(rank[at[often]])][: n - len(rare)]]
-
-
-def _keys(shingle: int, least: float, frequent: np.ndarray, rank: np.ndarray):
-    """For the documents' texts: their digest and fingerprint, and size and beginning of their set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingles(t or "", shingle) for t in part.column(0).to_pylist()]
-                begins = [beginning(s, least, frequent, rank) if len(s) else s for s in sets]
-                own = [pa.array([digest(s) for s in sets], pa.int64()), pa.array([majority_bits(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), _lists(begins)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *own], names=[*part.schema.names[1:], "digest", "bits", "parity", "size", "keys"])
-
-    return run
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition sorted by its first column whose value there another row has too."""
-    held, met = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        key = batch.column(0).to_numpy()
-        same = key[1:] == key[:-1]
-        keep = np.r_[met, same] | np.r_[same, False]
-        yield batch.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
-        held, met = batch.slice(len(key) - 1), bool(keep[-1])
-    if held is not None and met:
-        yield held
-
-
 def _pairs(least: float, small: int = 64):
     """Pairs of rows with one key and different roots, and how often a similar pair meets at least.
 
@@ -176,26 +105,6 @@ def _pairs(least: float, small: int = 64):
     return _by_key(settle, 7)
 
 
-def _tries(tries: int, least: float, seed: int):
-    """Pairs of a row that is apart and another row of its run with another root, at about ``tries`` of its keys."""
-
-    def settle(key: np.ndarray, size: np.ndarray, own: np.ndarray, root: np.ndarray, apart: np.ndarray, home: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(key):
-            return
-        draw = _mixed((key ^ own).view(np.uint64) + np.uint64(seed))
-        keys = np.maximum(1, ((size * (1 - least)).astype(np.uint64) + np.uint64(1)) // np.uint64(tries))
-        asks = np.flatnonzero(apart & home & (draw % keys == 0))
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        run = np.searchsorted(starts, asks, side="right") - 1
-        length = np.diff(np.r_[starts, len(key)])[run]
-        other = starts[run] + (_mixed(draw[asks]) % length.astype(np.uint64)).astype(np.int64)
-        met = root[asks] != root[other]
-        a, b = own[asks[met]], own[other[met]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return _by_key(settle, 6)
-
-
 def _by_key(settle, columns: int):
     """``settle`` on the arrays of whole runs of a partition sorted by key; only a run that crosses batches is carried over."""
 
@@ -224,18 +133,6 @@ def _by_key(settle, columns: int):
     return run
 
 
-def frequent_shingles(docs: DataFrame, shingle: int, sample: int = 10_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of three or more different documents of a sample, sorted, and their places from seldom to often."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    share = max(1, math.ceil(docs.count() / sample))
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).mapInArrow(_digests(shingle), "digest long, own array<long>").dropDuplicates(["digest"])
-    counted = some.select(F.explode("own").alias("shingle")).groupBy("shingle").count().where("count >= 3")
-    top = counted.orderBy(F.desc("count"), "shingle").limit(most).toArrow()
-    frequent = np.ascontiguousarray(top.column("shingle").to_numpy(), np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    return frequent[order], (len(order) - np.arange(len(order)))[order]
-
-
 def in_runs(keys: DataFrame, limit: int) -> DataFrame:
     """Rows (key, size, digest, root) of keys with more than one root, dealt to runs, with ``apart`` and ``home``.
 
@@ -251,105 +148,3 @@ def in_runs(keys: DataFrame, limit: int) -> DataFrame:
     dealt = dealt.withColumn("own_cell", F.when(chunks <= 1, 0).otherwise(chunk)).withColumn("cell", F.explode(cells))
     run = F.when(F.col("n") > limit, F.xxhash64("key", "cell")).otherwise(F.col("key"))
     return dealt.select(run.alias("key"), "size", "digest", "root", "apart", (F.col("cell") == F.col("own_cell")).alias("home"))
-
-
-def possible(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of digests whose sizes and parities don't rule the similarity out."""
-    end = lambda side: known.select(F.col("digest").alias(side), F.col("size").alias(f"size_{side}"), F.col("parity").alias(f"parity_{side}"))
-    met = pairs.join(end("a"), "a").join(end("b"), "b").where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (3, 4))
-            can = np.bitwise_count(p ^ q).sum(axis=1) <= batch.column(2).to_numpy() * (1 - least) / (1 + least) + 1e-9
-            yield batch.select(["a", "b"]).filter(pa.array(can))
-
-    return met.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "parity_a", "parity_b").mapInArrow(run, "a long, b long")
-
-
-def confirmed(pairs: DataFrame, told: DataFrame, known: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of digests whose sets have similarity ``least`` or more; sets are made again for these alone.
-
-    Of each set one text is read, that of the row which ``known`` names for the digest.
-    """
-    pairs = stored(possible(pairs, known, least), "possible")
-    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    wanted = stored(known.join(ends, "digest", "left_semi").select(F.col("pick.doc_id").alias("_id"), F.col("pick.text_hash").alias("_hash")), "wanted")
-    n = wanted.count()
-    texts = told.join(broadcast_if_small(wanted, n, 1_000_000), told["doc_id"].eqNullSafe(wanted["_id"]) & (told["text_hash"] == wanted["_hash"]), "left_semi").select("text")
-    sets = stored(texts.mapInArrow(_digests(shingle), "digest long, own array<long>"), "sets")
-    one = sets if sets.count() == n else sets.dropDuplicates(["digest"])
-    first, second = (one.select(F.col("digest").alias(side), F.col("own").alias(f"own_{side}")) for side in ("a", "b"))
-    both = pairs.join(first, "a").join(second, "b").withColumn("shared", F.size(F.array_intersect("own_a", "own_b")))
-    out = stored(both.where(F.col("shared") >= least * (F.size("own_a") + F.size("own_b") - F.col("shared")) - 1e-9).select("a", "b"), "confirmed")
-    for df in (pairs, wanted, sets):
-        forgotten(df)
-    return out
-
-
-def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, limit: int = 20_000, rounds: int = 4, tries: int = 8) -> DataFrame:
-    """(doc_id, text_hash, digest, group, component_id) of every row.
-
-    ``digest`` names its set of shingles, ``text_hash`` its text, ``group`` the rows reachable over similar pairs, and
-    ``component_id`` is their smallest doc_id. Null and empty texts have the empty set and are one group; repeated rows are
-    kept; null ids are kept and take part, but name a component only where all its ids are null; very long texts are read
-    whole; an empty table gives no rows; other columns are ignored. ``rounds`` and ``tries`` change the work, not the result.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent, rank = frequent_shingles(docs, shingle)
-    told = docs.select("text", "doc_id", F.xxhash64("text").alias("text_hash"))
-    marked = stored(told.mapInArrow(_keys(shingle, least, frequent, rank), "doc_id long, text_hash long, digest long, bits long, parity binary, size int, keys array<long>"), "shingles")
-    distinct = stored(marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("pick"), F.first("bits").alias("bits"), F.first("parity").alias("parity"), F.first("size").alias("size")), "distinct")
-    keys = marked.dropDuplicates(["digest"]).select(F.explode("keys").alias("key"), "size", "digest")
-    keys = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, size int, digest long"), "shared")
-    met = distinct.join(keys.select("digest").distinct(), "digest", "left_semi")
-
-    # of documents that share a shingle at all: links of fingerprints, of sets with one fingerprint, and of neighbours on a shared shingle
-    named = stored(met.groupBy("bits").agg(F.min("digest").alias("digest")), "fingerprints")
-    end = lambda side: named.select(F.col("bits").alias(side), F.col("digest").alias(f"digest_{side}"))
-    fuzzy = near_links(named).join(end("a"), "a").join(end("b"), "b").select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
-    same = met.select("bits", F.col("digest").alias("a")).join(named.select("bits", F.col("digest").alias("b")), "bits").select("a", "b")
-    line = Window.partitionBy("key").orderBy("size", "digest")
-    beside = keys.select(F.col("digest").alias("a"), F.lead("digest").over(line).alias("b")).where("b is not null")
-    beside = beside.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).count().where("count > 1").select("a", "b")
-    first = fuzzy.unionByName(same).unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    linked = stored(components(confirmed(first, told, distinct, shingle, least)), "linked")
-
-    rooted = lambda: keys.join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").select("key", "size", "digest", F.coalesce("root", "digest").alias("root"))
-    edges = lambda: linked.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    for k in range(rounds):
-        tried = in_runs(rooted(), limit).repartition("key").sortWithinPartitions("key").mapInArrow(_tries(tries, least, k), "a long, b long").distinct()
-        new = confirmed(tried, told, distinct, shingle, least)
-        if new.isEmpty():
-            break
-        linked = stored(components(edges().unionByName(new)), "linked")
-
-    # every pair that is still apart
-    runs = in_runs(rooted(), limit).join(distinct.select("digest", "parity"), "digest").select("key", "size", "digest", "root", "apart", "home", "parity")
-    runs = runs.repartition("key").sortWithinPartitions("key", "size")
-    paired = runs.mapInArrow(_pairs(least), "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    more = confirmed(paired.where("n >= need").select("a", "b"), told, distinct, shingle, least)
-    found = components(edges().unionByName(more))
-    joined = distinct.join(found, distinct["digest"] == found["node"], "left").select("digest", "least", F.coalesce("root", "digest").alias("group"))
-    group_of = joined.join(joined.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("digest", "group", "component_id")
-    return marked.select("doc_id", "text_hash", "digest").join(group_of, "digest").select("doc_id", "text_hash", "digest", "group", "component_id")
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` (``doc_id``, ``text`` and others), one of each group of ``similar_documents``, with all columns.
-
-    The row with the smallest id stays (rows without id come last), of equal ids the one with the smallest hash of its
-    text, of rows that agree in both the smallest by all columns; so reruns agree. Rows of one id with different texts are
-    judged each on its own.
-    """
-    found = stored(similar_documents(docs, **options), "groups")
-    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("b")).select("b.doc_id", "b.text_hash")
-    again = found.join(best, found["doc_id"].eqNullSafe(best["doc_id"]) & (found["text_hash"] == best["text_hash"]), "left_semi").groupBy("doc_id", "text_hash").count()
-    best = stored(again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("count") > 1).alias("_again")), "best")
-    rows = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
-    kept = rows.join(best, rows["doc_id"].cast("long").eqNullSafe(best["_id"]) & (F.col("_text") == F.col("_hash")))
-    out = kept.where(~F.col("_again")).select(*docs.columns)
-    if best.where("_again").isEmpty():
-        return out
-    least = kept.where("_again").groupBy("_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return out.unionByName(least)

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stored, table
-from .jaccard import _by_key, _lists, _mixed, _pairs, in_runs, parities, shingles
-from .simhash import components
+from .jaccard import _by_key, _lists, _mixed, _pairs, in_runs, majority_bits, parities, shingles
+from .simhash import components, near_links
 
 #: Sketch values of a document.
 KEPT = 64
@@ -43,7 +43,7 @@ def least_shared(kept: int, percent: int, chance: float = 1e-9) -> int:
     return kept
 
 
-def _sketched(shingle: int, kept: int):
+def _sketched(shingle: int, kept: int, fuzzy: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -51,8 +51,8 @@ def _sketched(shingle: int, kept: int):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [shingles(t or "", shingle) for t in part.column(0).to_pylist()]
-                own = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), _lists([s[:kept] for s in sets]), pa.array([parities(s) for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *own], names=[*part.schema.names[1:], "digest", "size", "sketch", "parity"])
+                own = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), _lists([s[:kept] for s in sets]), pa.array([parities(s) for s in sets], pa.binary()), pa.array([majority_bits(s) if fuzzy and len(s) else 0 for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *own], names=[*part.schema.names[1:], "digest", "size", "sketch", "parity", "bits"])
 
     return run
 
@@ -117,20 +117,27 @@ def _estimated(kept: int, percent: int, least: int):
     return run
 
 
-def near_sets(docs: DataFrame, percent: int = 85, shingle: int = 5, kept: int = KEPT, chance: float = 1e-9, limit: int = 20_000, shuffles: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text and others).
+def _fuzzy_pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose SimHash fingerprints are equal or linked by Golay keys."""
+    named = stored(met.groupBy("bits").agg(F.min("uid").alias("uid")), "fingerprints")
+    end = lambda side: named.select(F.col("bits").alias(side), F.col("uid").alias(f"uid_{side}"))
+    fuzzy = near_links(named).join(end("a"), "a").join(end("b"), "b").select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"))
+    same = met.select("bits", F.col("uid").alias("a")).join(named.select("bits", F.col("uid").alias("b")), "bits").select("a", "b")
+    return fuzzy.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
 
-    Rows are linked whose sets of shingles have ``100 * shared >= percent * union``, confirmed on the whole sets; a text of
-    fewer words is one shingle. ``component_id`` is the smallest doc_id reachable. Texts that are null or have no word have
-    an empty set and are linked with nothing. Repeated rows are kept and are one group; null ids take part, but name a
-    component only where all its ids are null; ``kept`` is whether the ids agree, nulls too. Very long texts are read whole,
-    an empty table gives no rows, other columns are ignored. ``limit`` and ``shuffles`` change the work, not the result.
+
+def grouped(docs: DataFrame, percent: int, shingle: int = 5, kept: int = KEPT, chance: float = 1e-9, limit: int = 20_000, shuffles: int = 2, fuzzy: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, digest, size) of every row of ``docs`` (doc_id, text), and (digest, group, least) of every set.
+
+    ``digest`` names a row's set of shingles, ``size`` counts them, ``group`` is one for all sets reachable over links and
+    ``least`` the set's smallest doc_id; empty sets are one group. With ``fuzzy``, SimHash links by Golay keys are tried
+    first. ``limit``, ``shuffles`` and ``fuzzy`` change the work, not the result.
     """
     share, least = percent / 100, least_shared(kept, percent, chance)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     told = docs.select("text", "doc_id", F.xxhash64("text").alias("text_hash"))
-    marked = stored(told.mapInArrow(_sketched(shingle, kept), "doc_id long, text_hash long, digest binary, size int, sketch array<long>, parity binary"), "sketches")
-    one = marked.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("pick"), *[F.first(c).alias(c) for c in ("size", "sketch", "parity")])
+    marked = stored(told.mapInArrow(_sketched(shingle, kept, fuzzy), "doc_id long, text_hash long, digest binary, size int, sketch array<long>, parity binary, bits long"), "sketches")
+    one = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("pick"), *[F.first(c).alias(c) for c in ("size", "sketch", "parity", "bits")])
     distinct = stored(one.withColumn("uid", F.monotonically_increasing_id()), "distinct")
     lists = stored(inverted(distinct, kept, percent, least), "lists")
     met = stored(distinct.join(lists.select("uid").distinct(), "uid", "left_semi"), "met")
@@ -158,7 +165,9 @@ def near_sets(docs: DataFrame, percent: int = 85, shingle: int = 5, kept: int =
     cells = F.ceil(F.col("n") / limit)
     run = F.when(cells > 1, F.xxhash64("key", F.pmod(F.xxhash64("digest"), cells))).otherwise(F.col("key"))
     runs = keys.select(run.alias("key"), "size", "digest", F.col("digest").alias("root"), F.lit(True).alias("apart"), F.lit(True).alias("home"), "parity").repartition("key").sortWithinPartitions("key")
-    links = confirmed(stored(runs.mapInArrow(_beside(share, shuffles), "a long, b long").distinct(), "pairs"))
+    pairs = runs.mapInArrow(_beside(share, shuffles), "a long, b long")
+    pairs = pairs.unionByName(_fuzzy_pairs(met)) if fuzzy else pairs
+    links = confirmed(stored(pairs.distinct(), "pairs"))
     linked = stored(components(links), "linked")
     # then every pair that is still apart
     rooted = keys.join(linked.select(F.col("node").alias("digest"), F.col("root").alias("_r")), "digest", "left").select("key", "size", "digest", F.coalesce("_r", "digest").alias("root"))
@@ -167,9 +176,22 @@ def near_sets(docs: DataFrame, percent: int = 85, shingle: int = 5, kept: int =
     rest = confirmed(stored(runs.mapInArrow(_pairs(share), "a long, b long, need long").select("a", "b").distinct(), "pairs"))
     found = linked if rest.isEmpty() else components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
 
-    joined = distinct.select("uid", "digest", "least").join(found, F.col("uid") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "uid").alias("group"))
-    named = joined.join(joined.groupBy("group").agg(F.min("least").alias("of_group")), "group").select("digest", "of_group")
-    out = marked.select("doc_id", "digest", F.col("size").cast("long").alias("n_shingles")).join(named, "digest", "left")
+    groups = distinct.select("uid", "digest", "least").join(found, F.col("uid") == F.col("node"), "left").select("digest", F.coalesce("root", "uid").alias("group"), "least")
+    return marked.select("doc_id", "text_hash", "digest", "size"), groups
+
+
+def near_sets(docs: DataFrame, percent: int = 85, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text and others).
+
+    Rows are linked whose sets of shingles have ``100 * shared >= percent * union``, confirmed on the whole sets; a text of
+    fewer words is one shingle. ``component_id`` is the smallest doc_id reachable. Texts that are null or have no word have
+    an empty set and are linked with nothing. Repeated rows are kept and are one group; null ids take part, but name a
+    component only where all its ids are null; ``kept`` is whether the ids agree, nulls too. Very long texts are read whole,
+    an empty table gives no rows, other columns are ignored. ``options`` are those of ``grouped``.
+    """
+    marked, groups = grouped(docs, percent, **options)
+    named = groups.join(groups.groupBy("group").agg(F.min("least").alias("of_group")), "group").select("digest", "of_group")
+    out = marked.select("doc_id", "digest", F.col("size").cast("long").alias("n_shingles")).join(named, "digest")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("of_group")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

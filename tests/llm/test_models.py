@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from basalt.llm import pipeline as corpus_pipeline
 from basalt.llm import html as pages
 from basalt.llm import neighbours, quality, toxicity
 from basalt.llm.catalog import queries

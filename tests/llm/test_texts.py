@@ -14,9 +14,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from basalt.llm import fingerprints as fp
-from basalt.llm import jaccard, langid, mixing, packing, pii, simhash
+from basalt.llm import jaccard, langid, mixing, neardup, packing, pii, simhash
+from basalt.llm import pipeline as corpus_pipeline
 from basalt.llm.tokens import WordCache
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, bits int, spans int, score string, h int, label int"
@@ -225,19 +225,17 @@ def near_copies():
     return [(i, " ".join(w)) for i, w in enumerate(rows)]
 
 
-def test_similar_documents_equal_brute_force(spark, docs, odd, empty, monkeypatch):
+def test_similar_documents_equal_brute_force(spark, docs, odd, empty):
     own = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs).collect()} == plain_similar(own)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.similar_documents(docs).collect()} == plain_similar(own)
     rows = near_copies()
     rows += [(1000 + i, "one passage that all of these share word for word " * 2 + f"and {i} {i * i} {i + 7}") for i in range(30)] + [(2000, ""), (2001, None), (2002, "Two words"), (2003, "two  WORDS")]
     want, df = plain_similar(rows), spark.createDataFrame(rows, "doc_id long, text string")
-    for limit, rounds in ((20_000, 3), (8, 1)):
-        assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df, limit=limit, rounds=rounds).collect()} == want
-    monkeypatch.setattr(jaccard, "frequent_shingles", lambda docs, shingle: (np.zeros(0, np.uint64), np.zeros(0, int)))
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df, limit=8).collect()} == want
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(odd).collect()}
+    for limit, shuffles, fuzzy in ((20_000, 2, True), (8, 0, True), (8, 2, False)):
+        assert {r["doc_id"]: r["component_id"] for r in neardup.similar_documents(df, limit=limit, shuffles=shuffles, fuzzy=fuzzy).collect()} == want
+    got = {r["doc_id"]: r["component_id"] for r in neardup.similar_documents(odd).collect()}
     assert got[2] == got[3] == got[6] == 2 and got[1] == 1 and got[None] is None
-    assert jaccard.similar_documents(odd).count() == 8 and jaccard.similar_documents(empty).count() == 0
+    assert neardup.similar_documents(odd).count() == 8 and neardup.similar_documents(empty).count() == 0
 
 
 def test_the_stage_drops_near_copies_beyond_four_bits(spark):
@@ -283,23 +281,11 @@ def test_parities_never_differ_more_than_their_sets():
         assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(a, b))
 
 
-def test_shared_keys_across_batches():
-    import pyarrow as pa
-
-    for seed in range(20):
-        rng = np.random.default_rng(seed)
-        key = np.sort(rng.integers(0, 30, 40))
-        batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(40))], names=["key", "n"])
-        cuts = [0, *sorted(rng.integers(0, 41, 6).tolist()), 40]
-        got = [n for b in jaccard._shared(iter([batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:])])) for n in b.column(1).to_pylist()]
-        assert got == [i for i in range(40) if (key == key[i]).sum() > 1]
-
-
 def test_one_row_of_each_group_stays(spark):
     same, other = "one two three four five six seven eight nine ten", "another text that is not like the first one in any way"
     rows = [(5, same, "z"), (5, same, "a"), (5, other, "b"), (7, same + " eleven", "c"), (None, other, "d"), (None, "text without an id of its own", "e"), (9, None, "f"), (8, "", "g"), (3, "plain words that nobody else has used so far", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {tuple(r) for r in jaccard.one_of_each(df).collect()}
+    got = {tuple(r) for r in neardup.one_of_each(df).collect()}
     assert got == {(5, same, "a"), (5, other, "b"), (None, "text without an id of its own", "e"), (8, "", "g"), (3, "plain words that nobody else has used so far", None)}
 
 
