@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import code, facts, git, graphs, packages, places, texts
+from .plans import code, facts, git, graphs, packages, places, texts, trees
 from .plans.base import Query
 
-_REGISTRIES = (texts.R, facts.R, graphs.R, code.R, places.R, packages.R, git.R)
+_REGISTRIES = (texts.R, facts.R, graphs.R, code.R, places.R, packages.R, trees.R, git.R)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

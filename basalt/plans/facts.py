@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import age_bucket, freshness, fuzzy_score, path_score
+from ..operators.folds import Greedy, folded
 from ..operators.positions import stabbed
 from .base import Registry, table
 
@@ -214,10 +215,8 @@ SELECT user_id, event_id FROM w WHERE kept""")
 def q27_greedy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-come spans that don't overlap an earlier kept one, by an ordered fold."""
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    spans = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", ms.alias("a"), (ms + F.floor("value") * 60000).alias("b")))).alias("spans"))
-    start = F.struct(F.lit(-(1 << 62)).cast("bigint").alias("upto"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda acc, s: F.when(s["a"] >= acc["upto"], F.struct(s["b"].alias("upto"), F.array_append(acc["kept"], s["event_id"]).alias("kept"))).otherwise(acc)
-    return spans.select("user_id", F.explode(F.aggregate("spans", start, step, lambda acc: acc["kept"])).alias("event_id"))
+    spans = table(spark, sf_dir, "events").select("user_id", ms.alias("a"), (ms + F.floor("value") * 60000).alias("b"), "event_id", "ts")
+    return folded(spans, ["user_id"], ["ts", "event_id"], lambda: Greedy(1), "event_id long")
 
 
 @R.add("""SELECT 'without' AS side, c_custkey AS k FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'both', c_custkey FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.folds import Digest, folded
 from ..operators.search import by_file, lines_of, search
 from .base import Registry, table
 
@@ -117,9 +118,9 @@ def q42_html_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("""SELECT source, sha1(string_agg(CAST(doc_id AS VARCHAR) || ':' || CAST(n_chars AS VARCHAR), chr(10) ORDER BY doc_id)) AS fingerprint, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source""")
 def q50_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("rows"), F.count("*").alias("n"))
-    joined = F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["doc_id"], r["n_chars"])), "\n")
-    return rows.select("source", F.sha1(joined).alias("fingerprint"), "n")
+    """A digest over sorted rows is a chain by nature: each source's ids and sizes pass through one task, which holds only the digest."""
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat_ws(":", "doc_id", "n_chars").alias("text"))
+    return folded(rows, ["source"], ["doc_id"], Digest, "fingerprint string, n long")
 
 
 @R.add("""SELECT k AS json_key, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT v) AS BIGINT) AS values_n FROM (SELECT unnest(json_keys(props)) AS k, json_extract_string(props, '$.' || unnest(json_keys(props))) AS v FROM events) GROUP BY k""")

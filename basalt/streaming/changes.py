@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import Anchored, folded
+
 
 def strongest(kind: str, priority: str, order: str) -> Column:
     """The kind with the highest priority; of equal ones the first by ``order``."""
@@ -29,20 +31,10 @@ def bursts(events: DataFrame, key: str, ts: str, kind: str, priority: str, order
 def anchored_windows(events: DataFrame, key: str, ts: str, order: str, width_ms: int) -> DataFrame:
     """(key, anchor, n, last_event): a window begins with the first event after the one before has ended.
 
-    An ordered fold over each key's events; a window holds events up to ``width_ms`` after its first one.
+    An ordered fold that holds the open window only; a window has events up to ``width_ms`` after its first one.
     """
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(order).alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us")))).alias("rows"))
-    kind = f"array<struct<anchor:{events.schema[ts].dataType.simpleString()},us:bigint,n:bigint,last_event:bigint>>"
-    row = lambda r: F.struct(r["ts"].alias("anchor"), r["us"].alias("us"), F.lit(1).cast("long").alias("n"), r["id"].cast("long").alias("last_event"))
-
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["anchor"].alias("anchor"), last["us"].alias("us"), (last["n"] + 1).alias("n"), F.greatest(last["last_event"], r["id"].cast("long")).alias("last_event"))
-        inside = (F.size(acc) > 0) & (r["us"] - F.coalesce(last["us"], r["us"]) <= width_ms * 1000)
-        return F.when(inside, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, row(r)))
-
-    folded = F.aggregate("rows", F.array().cast(kind), step)
-    return rows.select(key, F.explode(folded).alias("w")).select(key, "w.anchor", "w.n", "w.last_event")
+    rows = events.select(key, F.col(ts).alias("ts"), F.col(order).cast("long").alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    return folded(rows, [key], ["ts", "id"], lambda: Anchored(width_ms * 1000), f"anchor {events.schema[ts].dataType.simpleString()}, n long, last_event long")
 
 
 def flushed(changes: DataFrame, key: str, width_ms: int = 30) -> DataFrame:
