@@ -160,13 +160,13 @@ def walk(rows: DataFrame, keys: list[str], imports: DataFrame, steps: DataFrame,
     kept = rows.select(*keys, "file", "parts", "found", "found_ord", "stars")
     met = kept.where("found = 'def' or found = 'import' or found = 'builtin'").join(via, (F.col("found") == "import") & (F.col("file") == F.col("_file")) & (F.col("found_ord") == F.col("_ord")), "left")
     is_def = F.col("found") == "def"
-    outcome = F.when(is_def, "def").when(F.col("found") == "builtin", "external").otherwise(F.col("_out"))
+    outcome = F.when(is_def, "def").when((F.col("found") == "builtin") | (F.col("_out") == "missing"), "external").otherwise(F.col("_out"))
     start = met.select(*keys, "parts", outcome.alias("outcome"), F.when(is_def, F.col("file")).otherwise(F.col("_tf")).alias("at_file"), F.when(is_def, F.col("found_ord")).otherwise(F.col("_to")).alias("at_ord"))
     if stars:
         each = kept.where("found = 'star'").select(*keys, "file", "parts", F.posexplode("stars").alias("_n", "_star"))
         each = each.join(via, (F.col("file") == F.col("_file")) & (F.col("_star") == F.col("_ord"))).withColumn("owner", module_scope("_tf")).withColumn("segment", F.col("parts")[0])
         each = each.join(steps, ["owner", "segment"], "left")
-        told = F.when(F.col("to_file").isNull(), F.when(F.col("_out") == "external", "external")).when(F.col("to_ord").isNull(), "module").otherwise("def")
+        told = F.when(F.col("to_file").isNotNull(), F.when(F.col("to_ord").isNull(), "module").otherwise("def"))
         best = each.groupBy(*keys, "parts").agg(F.min_by(F.struct(told.alias("outcome"), "to_file", "to_ord"), F.struct(F.col("to_file").isNull(), told.isNull(), "_n")).alias("b"))
         held = F.when(F.col("parts")[0].isin(*sorted(BUILTINS)), "external")  # what no star has, Python may hold itself
         start = start.unionByName(best.select(*keys, "parts", F.coalesce("b.outcome", held).alias("outcome"), F.col("b.to_file").alias("at_file"), F.col("b.to_ord").alias("at_ord")))

@@ -115,18 +115,18 @@ def q12_denoised_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return degrees(denoised(spark, sf_dir), nations(spark, sf_dir))
 
 
-@R.add("""WITH once AS (SELECT p_name FROM part GROUP BY p_name HAVING count(*) = 1)
-SELECT p_partkey, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS users FROM part JOIN once USING (p_name) JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey""")
+@R.add("""WITH once AS (SELECT p_name, p_size, p_brand FROM part GROUP BY ALL HAVING count(*) = 1)
+SELECT p_partkey, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS users FROM part JOIN once USING (p_name, p_size, p_brand) JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey""")
 def q13_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    once = part.groupBy("p_name").agg(F.count("*").alias("n"), F.first("p_partkey").alias("p_partkey")).where("n = 1").select("p_partkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand")
+    once = part.groupBy("p_name", "p_size", "p_brand").agg(F.count("*").alias("n"), F.first("p_partkey").alias("p_partkey")).where("n = 1").select("p_partkey")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey")
     return lines.join(once, "p_partkey").groupBy("p_partkey").agg(F.count_distinct("l_suppkey").alias("users"))
 
 
-@R.add("""WITH per AS (SELECT p_brand, p_type, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY ALL) SELECT p_brand, p_type, n FROM per WHERE n = 1""")
+@R.add("""WITH per AS (SELECT p_brand, p_type, p_size, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY ALL) SELECT p_brand, p_type, p_size, n FROM per WHERE n = 1""")
 def q13_names_defined_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n")).where("n = 1")
+    return table(spark, sf_dir, "part").groupBy("p_brand", "p_type", "p_size").agg(F.count("*").alias("n")).where("n = 1")
 
 
 _HOT = ("in_degree", "inbound", "symbol_refs")
@@ -271,10 +271,10 @@ def q31_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.groupBy(where).agg(F.count_if(F.col("status") == "A").alias("added"), F.count_if(F.col("status") == "D").alias("deleted"), F.count_if(F.col("status") == "M").alias("modified"), F.sum(F.coalesce("new.n_chars", F.lit(0)) - F.coalesce("old.n_chars", F.lit(0))).alias("delta"))
 
 
-@R.add("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@R.add("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def q32_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    large = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").join(large, "p_partkey", "left_anti").select("p_partkey", "p_name")
 
 
 @R.add("""SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag) = 1 AND count(*) = count(l_returnflag) THEN max(l_returnflag) END AS agreed FROM lineitem GROUP BY l_orderkey""")

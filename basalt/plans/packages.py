@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import codemap
+from ..operators import codemap, positions
 from ..operators.graph import strongly_connected
 from ..operators.resolve import resolved
 from ..sources.python_facts import python_facts
@@ -147,3 +147,23 @@ UNION ALL SELECT s_suppkey, 'use', 'Shell' || s_suppkey, 'def', 'base' FROM supp
 def q90_imports_of_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolved(facts_of(spark, sf_dir)).imports
     return found.select(supplier_of(F.col("file")).alias("s"), name_of(F.col("file")).alias("file"), "name", "outcome", name_of(F.col("target_file")).alias("target"))
+
+
+@R.add("""SELECT s_suppkey AS s, k.file, CAST(k.line AS INTEGER) AS line, k.kind FROM supplier, LATERAL (VALUES ('__init__', 1, 'import'), ('use', 3, 'import'), ('util', 5, 'ref'), ('use', 17, 'ref'), ('use', 22, 'ref')) AS k(file, line, kind)""")
+def q45_references_with_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place that means a package's core class, under its own name, through a module, or under the name that it is handed on by."""
+    facts = facts_of(spark, sf_dir)
+    known = resolved(facts)
+    core = facts.where("fact = 'def' and kind = 'class' and name like 'Core%'").select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"))
+    found = positions.references_to(facts, known.references, known.imports).join(core, ["target_file", "target_ord"])
+    return found.select(supplier_of(F.col("target_file")).alias("s"), name_of(F.col("file")).alias("file"), "line", "kind")
+
+
+@R.add("""SELECT s_suppkey AS s, replace(k.chain, '#', CAST(s_suppkey AS VARCHAR)) AS chain, k.target, CAST(k.line AS INTEGER) AS line FROM supplier, LATERAL (VALUES ('base.Core#.fixed', 'base', 12), ('base.Shell#.Meta', 'base', 17), ('base.Shell#.Meta.label', 'base', 18), ('self.part.boot', 'base', 8), ('Kernel.Meta.label', 'base', 6), ('Shell#.Meta.label', 'base', 18)) AS k(chain, target, line)""")
+def q46_member_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where chains of three segments and more lead."""
+    facts = facts_of(spark, sf_dir)
+    chains = facts.where("fact = 'ref' and size(parts) > 2").select("file", "ord", F.array_join("parts", ".").alias("chain"))
+    lines = facts.where("fact = 'def'").select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), "line")
+    found = chains.join(resolved(facts).references.drop("line"), ["file", "ord"]).where("outcome = 'def'").join(lines, ["target_file", "target_ord"])
+    return found.select(supplier_of(F.col("file")).alias("s"), "chain", name_of(F.col("target_file")).alias("target"), "line")

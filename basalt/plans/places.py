@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calltree, codemap, levels, positions
+from ..operators import calltree, codemap, levels, positions, summaries
 from ..operators.resolve import resolved
 from .base import Registry
-from .code import _EDGES, facts_of, graph_of, key_of, tree
+from .code import _DEGREE, _EDGES, facts_of, graph_of, key_of, tree
 
 R = Registry()
 
@@ -96,3 +96,18 @@ def q83_level_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT node, kind, CAST(files AS BIGINT) AS files, CAST((SELECT count(*) FROM a WHERE dst = node) AS BIGINT) AS inbound, CAST((SELECT count(*) FROM a WHERE src = node) AS BIGINT) AS outbound FROM v""")
 def q84_level_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir)[0].select("node", "kind", "files", "inbound", "outbound")
+
+
+@R.add("""SELECT p_partkey AS p, CAST(CASE WHEN p_partkey = 0 THEN 18 ELSE 21 END AS INTEGER) AS line, 'run' AS name, 'dynamic-member' AS reason FROM part""")
+def q94_unresolved_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = facts_of(spark, sf_dir)
+    known = resolved(facts)
+    return summaries.unresolved_reasons(facts, known.references, known.imports).select(key_of(F.col("file")).alias("p"), "line", "name", "reason")
+
+
+@R.add(f"""WITH {_DEGREE} SELECT p, CAST(4 AS BIGINT) AS exports, '2 function, 1 class, 1 constant' AS kinds, CAST(CASE WHEN p = 0 THEN 0 ELSE 3 END AS BIGINT) AS project_imports, CAST(CASE WHEN p = 0 THEN 0 ELSE 1 END AS BIGINT) AS external_imports, inbound, CAST(0 AS BIGINT) AS inbound_tests, in_degree AS users, out_degree AS outbound, CAST(4 AS BIGINT) AS longest FROM d""")
+def q95_file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = facts_of(spark, sf_dir)
+    known = resolved(facts)
+    found = summaries.file_summaries(facts, known.imports, codemap.file_edges(known.imports, known.references))
+    return found.withColumn("p", key_of(F.col("file"))).drop("file")

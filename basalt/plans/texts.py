@@ -174,34 +174,6 @@ def q43_sql_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql_references(_line_files(spark, sf_dir)).select("file", "line", "col", "name")
 
 
-_FACTS = "VALUES ('a.py', 1, 'helper', 'def', 'a.py:1'), ('b.py', 1, 'h', 'import', 'a.py:1'), ('b.py', 4, 'h', 'ref', 'a.py:1'), ('c.py', 2, 'helper', 'ref', 'a.py:1'), ('c.py', 2, 'helper', 'ref', 'a.py:1'), ('d.py', 3, 'helper', 'ref', 'd.py:1'), ('d.py', 1, 'helper', 'def', 'd.py:1')"
-
-
-@R.add(f"""WITH f AS (SELECT * FROM ({_FACTS}) AS t(file, line, name, kind, target)), names AS (SELECT name FROM f WHERE target = 'a.py:1' AND kind IN ('def', 'import') GROUP BY name)
-SELECT DISTINCT file, line, kind FROM f WHERE kind IN ('ref', 'import') AND name IN (SELECT name FROM names) AND target = 'a.py:1'""")
-def q45_references_with_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uses of one definition: its own name and its aliases give the candidates, the resolved target decides."""
-    facts = spark.sql(f"SELECT * FROM {_FACTS} AS t(file, line, name, kind, target)")
-    one = facts.where("target = 'a.py:1'")
-    names = one.where("kind = 'def'").select("name").union(one.where("kind = 'import'").select("name")).distinct()
-    uses = facts.where("kind = 'ref'").unionByName(facts.where("kind = 'import'")).join(names, "name", "left_semi").where("target = 'a.py:1'")
-    return uses.dropDuplicates(["file", "line", "kind"]).select("file", "line", "kind")
-
-
-_CHAINS = "VALUES (1, 'app', 'db', 'connect'), (2, 'app', 'db', 'missing'), (3, 'lib', 'x', 'y'), (4, 'app', 'log', 'info')"
-_MEMBERS = "VALUES ('app', 'db', 'app.db'), ('app', 'log', 'app.log'), ('app.db', 'connect', 'app.db.connect'), ('app.log', 'info', 'app.log.info')"
-
-
-@R.add(f"""SELECT c.id, m2.target FROM ({_CHAINS}) AS c(id, root, a, b) LEFT JOIN ({_MEMBERS}) AS m1(scope, name, target) ON m1.scope = c.root AND m1.name = c.a LEFT JOIN ({_MEMBERS}) AS m2(scope, name, target) ON m2.scope = m1.target AND m2.name = c.b""")
-def q46_member_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One join for each segment of a chain, each in the scope that the one before resolved to."""
-    chains = spark.sql(f"SELECT * FROM {_CHAINS} AS t(id, root, a, b)").withColumn("at", F.col("root"))
-    members = spark.sql(f"SELECT * FROM {_MEMBERS} AS t(scope, name, target)")
-    for part in ("a", "b"):
-        chains = chains.join(members, (F.col("at") == F.col("scope")) & (F.col(part) == F.col("name")), "left").drop("at", "scope", "name").withColumnRenamed("target", "at")
-    return chains.select("id", F.col("at").alias("target"))
-
-
 @R.add("""SELECT p_partkey, CAST(p_partkey % 5 = 0 OR p_partkey % 5 = 1 AS BOOLEAN) AS test, p_partkey % 5 = 2 AS doc, CASE p_partkey % 5 WHEN 3 THEN 'groovy' END AS manifest, p_partkey % 5 = 4 AS entry FROM part""")
 def q77_file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What paths say, over a path made for each part."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 #: ``scope`` holds a row, ``body`` is the scope that a class or function opens; ``parts`` is a member chain from its root,
 #: or the names in an argument; ``type_name`` an annotation, a constructor's name or the name that is assigned; ``depth`` and
 #: ``branches`` those inside a function; ``doc`` the first line of a docstring; ``path`` a definition's dotted name, ``name_line`` and ``name_col`` where its name is,
-#: ``local`` whether it is inside a function; of a module's scope ``text`` is ``__main__`` where the file has such a block.
+#: ``local`` whether it is inside a function; of a module's scope ``text`` is ``__main__`` where the file has such a block, of a reference ``[`` where it is subscripted.
 #: Of the root of ``parts``, or of ``type_name``: ``found`` is def, import, star, builtin or null, ``found_ord`` the binding's row and
 #: ``stars`` the star imports that may have it. ``binds``: the row is what its name means in ``owner``, the scope that holds
 #: it as a member or name. ``holder`` is the row of the function or class around, ``of`` the call or class of an argument or
@@ -277,6 +277,12 @@ class _Walk(ast.NodeVisitor):
             self.rows[end]["col"] = self.column(node.end_lineno, node.end_col_offset - len(node.attr.encode()))
             self.rows[end]["line"] = node.end_lineno
 
+    def visit_Subscript(self, node) -> None:
+        self.visit(node.value)
+        if isinstance(node.value, (ast.Name, ast.Attribute)) and self.rows[-1]["fact"] == "ref":
+            self.rows[-1]["text"] = "["
+        self.visit(node.slice)
+
     def visit_Call(self, node) -> None:
         self.visit(node.func)
         at = len(self.rows)

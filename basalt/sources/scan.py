@@ -69,7 +69,10 @@ def texts(found: DataFrame) -> DataFrame:
     marked = F.substring("content", 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
     # every byte is one character of ISO-8859-1, so a NUL is found by a search in the head
     zero = F.instr(F.decode(head, "ISO-8859-1"), "\x00") > 0
-    reason = F.when(F.col("size") > MOST_BYTES, "too-large").when(is_binary_name(F.col("rel")) | (~marked & zero), "binary")
-    kept = found.select("rel", "size", "mtime", language(F.col("rel")).alias("lang"), reason.alias("skip_reason"), F.when(reason.isNull(), F.col("content")).alias("content"))
+    reason = F.when(is_binary_name(F.col("rel")) | (~marked & zero), "binary")
+    columns = ["rel", "size", "mtime", language(F.col("rel")).alias("lang")]
+    kept = found.where(F.col("size") <= MOST_BYTES).select(*columns, reason.alias("skip_reason"), F.when(reason.isNull(), F.col("content")).alias("content"))
+    # contents of large files aren't selected, so they aren't read
+    kept = kept.unionByName(found.where(F.col("size") > MOST_BYTES).select(*columns, F.lit("too-large").alias("skip_reason"), F.lit(None).cast("binary").alias("content")))
     schema = f"rel string, size long, mtime {found.schema['mtime'].dataType.simpleString()}, lang string, skip_reason string, text string, encoding string, degraded boolean"
     return kept.mapInPandas(_texts, schema)

@@ -5,7 +5,11 @@ from __future__ import annotations
 import pytest
 
 from basalt.operators import codemap
+from basalt.operators.calltree import call_tree
+from basalt.operators.levels import shown_as
+from basalt.operators.positions import around, definitions_at, literals_at, stabbed
 from basalt.operators.resolve import inherited, resolved
+from basalt.operators.summaries import unresolved_reasons
 from basalt.sources.python_facts import python_facts
 
 TREE = {
@@ -80,6 +84,46 @@ def test_names_bound_without_a_node(facts):
     assert [r["name"] for r in facts.where("file = 'binds.py' and fact = 'def' and name = 'n'").collect()] == ["n"]
 
 
+def test_reasons_of_unresolved_names(spark):
+    tree = {"p/__init__.py": "", "p/a.py": "from .gone import *\n\nx = lost\n", "b.py": "from outside import *\n\ny = lost\n", "c.py": "def f(v, w):\n    v.any()\n    w[0].no\n    return nobody, v.k[1]\n"}
+    facts = python_facts(spark.createDataFrame([(f, t, "python") for f, t in tree.items()], "rel string, text string, lang string")).persist()
+    known = resolved(facts)
+    got = {(r["file"], r["line"], r["name"]): r["reason"] for r in unresolved_reasons(facts, known.references, known.imports).collect()}
+    assert got == {("p/a.py", 3, "lost"): "module-not-found", ("b.py", 3, "lost"): "not-in-project", ("c.py", 2, "any"): "needs-type-info", ("c.py", 3, "no"): "dynamic-member", ("c.py", 4, "nobody"): "needs-type-info", ("c.py", 4, "k"): "dynamic-member"}
+
+
+def test_call_trees_and_levels(facts, known):
+    roots = facts.where("fact = 'def' and name = 'start' and file = 'pool.py'").select("file", "ord")
+    nodes, summary = call_tree(facts, known.references, roots, "out", depth=2)
+    got = [(r["level"], r["name"], r["calls"]) for r in nodes.orderBy("place").collect()]
+    assert got[0] == (0, "start", 0) and {g[1:] for g in got[1:]} >= {("Pool", 2), ("Split", 2), ("run", 1), ("boot", 1)}
+    row = summary.first()
+    assert not row["truncated"] and row["nodes"] == len(got) - 1
+    _, cut = call_tree(facts, known.references, roots, "out", depth=2, most=2)
+    assert cut.first()["truncated"] and cut.first()["nodes"] == 2
+    roots = facts.where("fact = 'def' and name = 'boot'").select("file", "ord")
+    up, _ = call_tree(facts, known.references, roots, "in", depth=1)
+    assert {r["name"] for r in up.where("level = 1").collect()} == {"run", "start"}
+    files = facts.where("fact = 'scope' and parent is null").select("file")
+    shown = {r["file"]: r["node"] for r in shown_as(files, facts.sparkSession.createDataFrame([("",), ("pkg",)], "dir string"), nested=True).collect()}
+    assert shown["meta.py"] == "meta.py" and shown["pkg/stars.py"] == "pkg/stars.py" and shown["pkg/deep/core.py"] == "pkg/deep"
+    plain = {r["file"]: r["node"] for r in shown_as(files, facts.sparkSession.createDataFrame([("pkg",)], "dir string")).collect()}
+    assert plain["meta.py"] == "" and plain["pkg/more.py"] == "pkg/more.py" and plain["pkg/deep/core.py"] == "pkg/deep"
+
+
+def test_positions(spark, facts, known):
+    points = spark.createDataFrame([("pool.py", 10, 14), ("pool.py", 10, 20), ("pool.py", 23, 22), ("pool.py", 12, 1), ("calls.py", 1, 20), ("pool.py", 2, 30)], "file string, line int, col int")
+    got = {(r["file"], r["at_line"], r["at_col"]): (r["symbol"], r["reason"], r["target_file"], r["target_line"], r["target_col"]) for r in definitions_at(points, facts, known.references, known.imports).collect()}
+    assert got["pool.py", 10, 14] == ("core", "resolved", "pool.py", 7, 14) and got["pool.py", 10, 20] == ("boot", "resolved", "pkg/deep/core.py", 2, 9)
+    assert got["pool.py", 12, 1] == (None, "no-symbol", None, None, None) and got["calls.py", 1, 20] == ("Kernel", "resolved", "pkg/deep/core.py", 1, 7)
+    inner = {(r["at_line"], r["at_col"]): r["name"] for r in around(points.where("file = 'pool.py'"), facts).collect()}
+    assert inner == {(10, 14): "run", (10, 20): "run", (23, 22): "start"}
+    assert [r["text"] for r in literals_at(spark.createDataFrame([("meta.py", 3, 15)], "file string, line int, col int"), facts).collect()] == ["1"]
+    ranges = spark.createDataFrame([(1, k, k + k * k) for k in range(1, 60)], "g int, a int, b int")
+    asked = spark.createDataFrame([(1, t) for t in range(0, 4000, 7)], "g int, t int")
+    assert {(r["t"], r["a"]) for r in stabbed(asked, ranges, ["g"], "t", "a", "b", narrowest=3).collect()} == {(t, k) for t in range(0, 4000, 7) for k in range(1, 60) if k <= t <= k + k * k}
+
+
 def test_inheritance_by_doubling_ends_on_cycles(spark):
     edges = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(9)] + [("x", "y"), ("y", "x")], "derived string, base string")
     got = {(r["derived"], r["base"]): r["dist"] for r in inherited(edges).collect()}
