@@ -92,7 +92,14 @@ def strongly_connected(edges: DataFrame, unroll: int = 3) -> DataFrame:
 
 
 def longest_levels(edges: DataFrame, nodes: DataFrame, unroll: int = 4) -> DataFrame:
-    """(node, level) on the condensed graph: what depends on nothing is 0, else one more than the highest dependency.
+    """(node, level), see ``grouped_levels``."""
+    return grouped_levels(edges, nodes, unroll).select("node", "level")
+
+
+def grouped_levels(edges: DataFrame, nodes: DataFrame, unroll: int = 4) -> DataFrame:
+    """(node, group, level) on the condensed graph: what depends on nothing is 0, else one more than the highest dependency.
+
+    ``group`` is the smallest node of the cycles that a node is on, or itself.
 
     A group keeps the longest chain found so far, and only groups whose chain grew go on; the condensed graph has no
     cycle, so the rounds end by themselves.
@@ -119,4 +126,4 @@ def longest_levels(edges: DataFrame, nodes: DataFrame, unroll: int = 4) -> DataF
         before, level = level, written(level.join(batch, "group", "left").select("group", F.coalesce("grown", "level").alias("level")))
         forgotten(before)
         frontier = batch.where(F.col("grown") == done).select("group", F.col("grown").alias("level"))
-    return group.join(level, "group").select("node", "level")
+    return group.join(level, "group").select("node", "group", "level")

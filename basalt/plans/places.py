@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calltree, codemap, levels, positions, summaries
+from ..operators import calltree, codemap, levels, positions, routes, summaries
 from ..operators.resolve import resolved
-from .base import Registry
-from .code import _DEGREE, _EDGES, facts_of, graph_of, key_of, tree
+from .base import Registry, table
+from .code import _DEGREE, _EDGES, facts_of, file_of, graph_of, key_of, tree
 
 R = Registry()
 
@@ -111,3 +111,15 @@ def q95_file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = resolved(facts)
     found = summaries.file_summaries(facts, known.imports, codemap.file_edges(known.imports, known.references))
     return found.withColumn("p", key_of(F.col("file"))).drop("file")
+
+
+@R.add(f"""WITH {_DEGREE}, n AS (SELECT d.p, 'pkg' || (d.p % 7) || '/mod' || d.p || '.py' AS file, CASE WHEN d.p = 0 THEN 0 ELSE floor(log2(d.p)) + 1 END AS level, in_degree, p_size FROM d JOIN part ON p_partkey = d.p),
+r AS (SELECT 'dep' AS route, p, row_number() OVER (ORDER BY level, file) AS step FROM n UNION ALL SELECT 'entry', p, row_number() OVER (ORDER BY p <> 0, in_degree DESC, file) FROM n UNION ALL SELECT 'hot', p, row_number() OVER (ORDER BY in_degree DESC, file) FROM n UNION ALL SELECT 'fresh', p, row_number() OVER (ORDER BY p_size DESC, file) FROM n)
+SELECT route, CAST(step AS INTEGER) AS step, p, CAST(CASE WHEN p = 0 THEN 3 ELSE 6 END AS INTEGER) AS line, 'LIMIT,Thing' || p || ',helper' || p AS hints, CAST((SELECT count(*) FROM part) AS INTEGER) AS total FROM r WHERE step <= 40""")
+def q96_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four orders in which to read the generated tree; a file's time is made from its part's size."""
+    facts, _, edges = graph_of(spark, sf_dir)
+    part = table(spark, sf_dir, "part").select(file_of(F.col("p_partkey")).alias("file"), F.timestamp_seconds("p_size").alias("mtime"))
+    degree = codemap.degrees(edges, facts.where("fact = 'scope' and parent is null").select("file"))
+    found = routes.routes(facts, resolved(facts).imports, degree, part)
+    return found.select("route", "step", key_of(F.col("file")).alias("p"), "line", F.array_join("hints", ",").alias("hints"), F.col("total").cast("int").alias("total"))
