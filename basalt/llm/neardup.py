@@ -23,7 +23,7 @@ def similar_documents(docs: DataFrame, percent: int = 80, **options) -> DataFram
     kept; null ids are kept and take part, but name a component only where all its ids are null; very long texts are read
     whole; an empty table gives no rows; other columns are ignored. ``options`` are those of ``grouped``.
     """
-    marked, groups = grouped(docs, percent, **{"fuzzy": True} | options)
+    marked, groups = grouped(docs, percent, **{"fuzzy": True, "small": 2_000} | options)
     named = groups.join(groups.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("digest", "group", "component_id")
     return marked.select("doc_id", "text_hash", "digest").join(named, "digest").select("doc_id", "text_hash", "digest", "group", "component_id")
 

@@ -126,12 +126,12 @@ def _fuzzy_pairs(met: DataFrame) -> DataFrame:
     return fuzzy.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
 
 
-def grouped(docs: DataFrame, percent: int, shingle: int = 5, kept: int = KEPT, chance: float = 1e-9, limit: int = 20_000, shuffles: int = 2, fuzzy: bool = False) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, percent: int, shingle: int = 5, kept: int = KEPT, chance: float = 1e-9, limit: int = 20_000, shuffles: int = 2, fuzzy: bool = False, small: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, digest, size) of every row of ``docs`` (doc_id, text), and (digest, group, least) of every set.
 
     ``digest`` names a row's set of shingles, ``size`` counts them, ``group`` is one for all sets reachable over links and
     ``least`` the set's smallest doc_id; empty sets are one group. With ``fuzzy``, SimHash links by Golay keys are tried
-    first. ``limit``, ``shuffles`` and ``fuzzy`` change the work, not the result.
+    first. ``limit``, ``shuffles``, ``fuzzy`` and ``small`` (documents whose sketches are broadcast) change the work, not the result.
     """
     share, least = percent / 100, least_shared(kept, percent, chance)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -154,10 +154,10 @@ def grouped(docs: DataFrame, percent: int, shingle: int = 5, kept: int = KEPT, c
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The similar ones of pairs (a, b). Sketches and sets are broadcast only up to a checked number of values."""
         for end in ("a", "b"):
-            pairs = pairs.join(few(side(met, "sketch", end), n, 20_000), end)
+            pairs = pairs.join(few(side(met, "sketch", end), n, small), end)
         whole = pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimated(kept, percent, least), "a long, b long")
         for end in ("a", "b"):
-            whole = whole.join(few(side(sets, "own", end), total, 2_000_000), end)
+            whole = whole.join(few(side(sets, "own", end), total, 100 * small), end)
         whole = whole.withColumn("shared", F.size(F.array_intersect("own_a", "own_b")))
         return stored(whole.where(100 * F.col("shared") >= percent * (F.size("own_a") + F.size("own_b") - F.col("shared"))).select("a", "b"), "links")
 
