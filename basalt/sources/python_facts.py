@@ -27,8 +27,8 @@ SCHEMA = (
     "bases array<string>, decorators array<string>, type_name string, doc string, text string, depth int, branches int, line int, col int, end_line int, end_col int, ord int, "
     "path string, owner string, binds boolean, found string, found_ord int, stars array<int>, holder int, of int, place int, local boolean, name_line int, name_col int"
 )
-_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
-_INTS = ("depth", "branches", "line", "col", "end_line", "end_col", "ord", "found_ord", "holder", "of", "place", "name_line", "name_col")
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+INTS = ("depth", "branches", "line", "col", "end_line", "end_col", "ord", "found_ord", "holder", "of", "place", "name_line", "name_col")
 _SELF = ("self", "cls")
 #: Fixed pattern: a file with it may be run as a program.
 _MAIN = r"""__name__\s*==\s*['"]__main__['"]"""
@@ -72,7 +72,7 @@ class _Walk(ast.NodeVisitor):
         return len(raw.decode("utf-8", "replace").encode("utf-16-le")) // 2 + 1
 
     def add(self, fact: str, node: ast.AST | None, **values) -> None:
-        row = dict.fromkeys(_COLUMNS) | {"file": self.file, "fact": fact, "scope": self.scope, "ord": len(self.rows), "holder": self.holder} | values
+        row = dict.fromkeys(COLUMNS) | {"file": self.file, "fact": fact, "scope": self.scope, "ord": len(self.rows), "holder": self.holder} | values
         if node is not None and hasattr(node, "lineno"):
             row |= {"line": node.lineno, "col": self.column(node.lineno, node.col_offset), "end_line": node.end_lineno, "end_col": self.column(node.end_lineno, node.end_col_offset)}
         self.rows.append(row)
@@ -352,21 +352,25 @@ def _annotation(node: ast.AST | None) -> str | None:
     return ".".join(chain(node)) or None if node is not None else None
 
 
+def extract_python(file: str, text: str) -> list[dict]:
+    """Rows of one file; raises where it doesn't parse."""
+    walk = _Walk(file, text)
+    walk.visit(ast.parse(text))
+    settle(walk.rows)
+    return walk.rows
+
+
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for at in range(0, len(pdf), 256):
             rows: list[dict] = []
             for file, text in zip(pdf["rel"][at : at + 256], pdf["text"][at : at + 256]):
                 try:
-                    walk = _Walk(file, text or "")
-                    walk.visit(ast.parse(text or ""))
-                    settle(walk.rows)
+                    rows += extract_python(file, text or "")
                 except (SyntaxError, ValueError, RecursionError):
-                    rows.append(dict.fromkeys(_COLUMNS) | {"file": file, "fact": "error", "kind": "parse-failed", "ord": 0})
-                    continue
-                rows += walk.rows
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            for c in _INTS:
+                    rows.append(dict.fromkeys(COLUMNS) | {"file": file, "fact": "error", "kind": "parse-failed", "ord": 0})
+            out = pd.DataFrame(rows, columns=COLUMNS)
+            for c in INTS:
                 out[c] = out[c].astype("Int32")
             yield out
 
