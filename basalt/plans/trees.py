@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.signatures import signature_parts
 from ..operators.filetree import compacted
 from ..operators.highlights import spans
 from ..operators.resolve import resolved
@@ -57,3 +58,28 @@ def q93_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = facts_of(spark, sf_dir)
     found = spans(facts, resolved(facts).references).where("line = 16 and not endswith(file, '/mod0.py')")
     return found.select(key_of(F.col("file")).alias("p"), "col", "length", "kind")
+
+
+_SIGNATURES = (
+    ("colon", "def make{k}(self, a: int, b: Dict[str, List[int]] = {}, *rest: str, c=')') -> Optional[T{k}]:"),
+    ("go", "func (r *Repo{k}) Do(ctx context.Context, f func(int) error, n) (T{k}, error) {"),
+    ("java", "@Override public static Map<String, List<T{k}>> get{k}(@Nullable String a, final int[] b) {"),
+)
+#: What the lines declare: style, place, name and type with the key for #; place -1 is the result.
+_DECLARED = (
+    ("colon", 0, "a", "int"), ("colon", 1, "b", "Dict[str, List[int]]"), ("colon", 2, "rest", "str"), ("colon", -1, "", "Optional[T#]"), ("go", 0, "ctx", "context.Context"), ("go", 1, "f", "func(int) error"), ("go", -1, "", "(T#, error)"),
+    ("java", 0, "a", "String"), ("java", 1, "b", "int[]"), ("java", -1, "", "Map<String, List<T#>>"),
+)
+
+
+@R.add("SELECT p_partkey AS p, d.style, CAST(d.place AS INTEGER) AS place, d.name, replace(d.type, '#', CAST(p_partkey AS VARCHAR)) AS type FROM part, (VALUES " + ", ".join(f"('{a}', {b}, '{c}', '{d}')" for a, b, c, d in _DECLARED) + ") AS d(style, place, name, type)")
+def q97_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters and results that three lines a part declare, each in its own style."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    out = None
+    for style, line in _SIGNATURES:
+        found = part.select("p", signature_parts(F.replace(F.lit(line), F.lit("{k}"), F.col("p").cast("string")), style).alias("s"))
+        rows = found.select("p", F.posexplode(F.concat(F.col("s.params"), F.array(F.struct(F.lit("").alias("name"), F.col("s.result").alias("type"))))).alias("place", "d"), F.size("s.params").alias("n"))
+        rows = rows.select("p", F.lit(style).alias("style"), F.when(F.col("place") == F.col("n"), -1).otherwise(F.col("place")).alias("place"), "d.name", "d.type")
+        out = rows if out is None else out.unionByName(rows)
+    return out
