@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.python_facts import BUILTINS
-from ..sources.shared import forgotten, written
+from ..sources.shared import written
 
 #: Segments of member chains that are joined before what is left is written out.
 UNROLL = 6
@@ -158,10 +158,11 @@ def walk(rows: DataFrame, keys: list[str], imports: DataFrame, steps: DataFrame,
     """
     via = imports.select(F.col("file").alias("_file"), F.col("ord").alias("_ord"), F.col("outcome").alias("_out"), F.col("target_file").alias("_tf"), F.col("target_ord").alias("_to"))
     kept = rows.select(*keys, "file", "parts", "found", "found_ord", "stars")
-    met = kept.where("found = 'def' or found = 'import' or found = 'builtin'").join(via, (F.col("found") == "import") & (F.col("file") == F.col("_file")) & (F.col("found_ord") == F.col("_ord")), "left")
-    is_def = F.col("found") == "def"
-    outcome = F.when(is_def, "def").when((F.col("found") == "builtin") | (F.col("_out") == "missing"), "external").otherwise(F.col("_out"))
-    start = met.select(*keys, "parts", outcome.alias("outcome"), F.when(is_def, F.col("file")).otherwise(F.col("_tf")).alias("at_file"), F.when(is_def, F.col("found_ord")).otherwise(F.col("_to")).alias("at_ord"))
+    # what the file itself says needs no join; only names that an import binds go to the imports
+    own = F.when(F.col("found") == "def", F.col("file")), F.when(F.col("found") == "def", F.col("found_ord"))
+    start = kept.where("found = 'def' or found = 'builtin'").select(*keys, "parts", F.when(F.col("found") == "def", "def").otherwise("external").alias("outcome"), own[0].alias("at_file"), own[1].alias("at_ord"))
+    met = kept.where("found = 'import'").join(via, (F.col("file") == F.col("_file")) & (F.col("found_ord") == F.col("_ord")), "left")
+    start = start.unionByName(met.select(*keys, "parts", F.when(F.col("_out") == "missing", "external").otherwise(F.col("_out")).alias("outcome"), F.col("_tf").alias("at_file"), F.col("_to").alias("at_ord")))
     if stars:
         each = kept.where("found = 'star'").select(*keys, "file", "parts", F.posexplode("stars").alias("_n", "_star"))
         each = each.join(via, (F.col("file") == F.col("_file")) & (F.col("_star") == F.col("_ord"))).withColumn("owner", module_scope("_tf")).withColumn("segment", F.col("parts")[0])
@@ -209,28 +210,52 @@ def direct_members(facts: DataFrame, imports: DataFrame, modules: DataFrame, sta
 
 
 def inherited(bases: DataFrame) -> DataFrame:
-    """(derived, base, dist): every class with all above it, at the shortest distance, by doubling; cycles end."""
+    """(derived, base, dist): every class with all above it, at the shortest distance, by doubling; cycles end.
+
+    A shortest way of more than ``done`` steps goes through the class that is ``done`` steps up, so only the pairs at that
+    distance are carried on: without a second way to a class, each pair is made once.
+    """
     reach = written(bases.select("derived", "base").where("derived <> base").distinct().withColumn("dist", F.lit(1)), "inherited")
-    seen = None
+    done = 1
     while True:
-        now = tuple(reach.agg(F.count("*"), F.coalesce(F.sum("dist"), F.lit(0))).first())
-        if now == seen or not now[0]:
+        last = reach.where(F.col("dist") == done).select("derived", F.col("base").alias("via"))
+        further = last.join(reach.select(F.col("derived").alias("via"), "base", (F.col("dist") + done).alias("dist")), "via").where("derived <> base")
+        further = further.groupBy("derived", "base").agg(F.min("dist").alias("dist")).join(reach.select("derived", "base"), ["derived", "base"], "left_anti")
+        new = written(further, "inherited")
+        if new.isEmpty():
             return reach
-        seen = now
-        further = reach.select("derived", F.col("base").alias("via"), F.col("dist").alias("d")).join(reach.select(F.col("derived").alias("via"), "base", "dist"), "via")
-        further = further.where("derived <> base").select("derived", "base", (F.col("d") + F.col("dist")).alias("dist"))
-        before, reach = reach, written(reach.unionByName(further).groupBy("derived", "base").agg(F.min("dist").alias("dist")), "inherited")
-        forgotten(before)
+        reach = reach.unionByName(new)
+        done *= 2
+
+
+def _taken_over(direct: DataFrame, bases: DataFrame) -> DataFrame | None:
+    """(owner, name, file, ord, rank, dist): members that classes have from those above them and don't hold themselves, nearest
+    first. They go down a level a round, only where nothing nearer holds the name, until a round adds none."""
+    below = bases.select(F.col("base").alias("owner"), "derived").where("owner <> derived").distinct()
+    best = direct.groupBy("owner", "name").agg(F.min(F.struct("rank", "file", "ord")).alias("b"))
+    ends = bases.select(F.explode(F.array("derived", "base")).alias("owner")).distinct()
+    every = frontier = written(best.join(ends, "owner", "left_semi"), "held")
+    out, dist = None, 0
+    while True:
+        dist += 1
+        passed = frontier.join(below, "owner").groupBy(F.col("derived").alias("owner"), "name").agg(F.min("b").alias("b"))
+        frontier = written(passed.join(every.select("owner", "name"), ["owner", "name"], "left_anti"), "taken")
+        if frontier.isEmpty():
+            return out
+        new = frontier.select("owner", "name", "b.file", "b.ord", "b.rank", F.lit(float(dist)).alias("dist"))
+        out = new if out is None else out.unionByName(new)
+        every = every.unionByName(frontier)
 
 
-def members(facts: DataFrame, direct: DataFrame, above: DataFrame) -> DataFrame:
+def members(facts: DataFrame, direct: DataFrame, bases: DataFrame) -> DataFrame:
     """(owner, name, file, ord): the nearest member of each name. A class's own, then those of classes of its name in its
     file, then what the classes above it hold, nearest first."""
-    classes = facts.where("fact = 'def' and kind = 'class'").select("file", "name", F.col("body").alias("owner"))
-    same = classes.join(classes.select("file", "name", F.col("owner").alias("other")), ["file", "name"]).where("owner <> other").select("owner", "other", F.lit(0.5).alias("dist"))
-    wider = same.unionByName(above.select(F.col("derived").alias("owner"), F.col("base").alias("other"), F.col("dist").cast("double").alias("dist")))
-    taken = wider.join(direct.withColumnRenamed("owner", "other"), "other").select("owner", "name", "file", "ord", "rank", "dist")
-    every = direct.withColumn("dist", F.lit(0.0)).select("owner", "name", "file", "ord", "rank", "dist").unionByName(taken)
+    classes = facts.where("fact = 'def' and kind = 'class'").groupBy("file", "name").agg(F.collect_set("body").alias("each")).where("size(each) > 1")
+    same = classes.select(F.explode("each").alias("owner"), "each").select("owner", F.explode("each").alias("other")).where("owner <> other")
+    every = direct.withColumn("dist", F.lit(0.0)).select("owner", "name", "file", "ord", "rank", "dist")
+    every = every.unionByName(same.join(direct.withColumnRenamed("owner", "other"), "other").select("owner", "name", "file", "ord", "rank", F.lit(0.5).alias("dist")))
+    above = None if bases.isEmpty() else _taken_over(direct, bases)
+    every = every if above is None else every.unionByName(above)
     return every.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("dist", "rank", "file", "ord")).alias("b")).select("owner", "name", "b.file", "b.ord")
 
 
@@ -266,7 +291,7 @@ def value_types(facts: DataFrame, imports: DataFrame, steps: DataFrame, size: Ex
     what = F.when(F.col("kind").isin("function", "method", "constructor"), "result").otherwise("def")
     defs = facts.where("fact = 'def' and type_name is not null").select(what.alias("what"), of_row, "ord", "file", split.alias("parts"), "found", "found_ord", "stars")
     arguments = facts.where("fact = 'argument' and type_name is not null").select(F.lit("argument").alias("what"), of_row, "ord", "file", split.alias("parts"), "found", "found_ord", "stars")
-    callee = facts.where("fact = 'ref' and parts is not null").select(of_row, (F.col("ord") + 1).alias("ord"), *cols)
+    callee = facts.where("fact = 'ref' and parts is not null and found in ('def', 'import', 'star')").select(of_row, (F.col("ord") + 1).alias("ord"), *cols)
     calls = facts.where("fact = 'call' and name is not null").select(F.col("file").alias("at"), "ord")
     rows = defs.unionByName(arguments).unionByName(callee.join(calls, ["at", "ord"], "left_semi").withColumn("what", F.lit("call")))
     told = walk(rows, ["what", "at", "ord"], imports, steps, classes, max(size.refs, size.types), size.stars).where("outcome = 'def'")
@@ -309,7 +334,7 @@ def resolved(facts: DataFrame) -> Resolved:
     imports, starred = _imports(facts, modules, size.stars)
     direct = written(direct_members(facts, imports, modules, starred), "direct")
     bases = class_bases(facts, imports, direct, size)
-    owned = written(members(facts, direct, inherited(bases)), "members")
+    owned = written(members(facts, direct, bases), "members")
     types = written(value_types(facts, imports, _steps(owned, class_scopes(facts)), size), "typed")
     steps = written(_steps(owned, types), "steps")
     every = facts.where("fact = 'ref'").select("file", "ord", "line", "col", "name", "kind", "scope", "holder", "parts", "found", "found_ord", "stars").withColumn("at", F.col("file"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import codemap
 from ..operators.graph import longest_levels, reached, strongly_connected
-from ..operators.resolve import resolve_imports, resolved
+from ..operators.resolve import Resolved, resolve_imports, resolved
 from ..sources.python_facts import python_facts
 from ..sources.shared import written
 from .base import Registry, table
@@ -53,9 +53,18 @@ def _dir(key):
     return (key % 7).cast("string")
 
 
-def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rel, text, lang): one file for each part; the part of key 0, or the smallest keys' own base, imports nothing."""
+#: Files that one task parses.
+FILES_A_TASK = 2000
+
+
+def tree(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """(rel, text, lang): one file for each part; the part of key 0, or the smallest keys' own base, imports nothing.
+
+    ``spread`` deals the keys, before the texts are made, to as many tasks as the number of files asks for.
+    """
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), "p_size")
+    if spread:
+        part = part.repartition(max(spark.sparkContext.defaultParallelism, -(-part.count() // FILES_A_TASK)), "p")
     b, c = F.floor(F.col("p") / 2).cast("long"), F.floor(F.col("p") / 3).cast("long")
     text = lambda template, **values: _filled(F.lit(template), values)
     imports = text(_IMPORTS, b=b, c=c, bd=_dir(b), cd=_dir(c))
@@ -80,15 +89,23 @@ def key_of(file):
     return F.regexp_extract(file, r"(\d+)\.py$", 1).cast("long")
 
 
-def facts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = tree(spark, sf_dir)
-    return written(python_facts(files.repartition(max(1, min(64, spark.sparkContext.defaultParallelism)))), "facts")
+def facts_of(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """Facts of the tree as a written table; ``only`` those of these kinds, if any are named."""
+    return written(python_facts(tree(spark, sf_dir, spread=True), only or None), "facts")
 
 
-def graph_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def known_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Resolved]:
     facts = facts_of(spark, sf_dir)
-    known = resolved(facts)
-    return facts, known.references, written(codemap.file_edges(known.imports, known.references), "edges")
+    return facts, resolved(facts)
+
+
+def edges_of(known: Resolved) -> DataFrame:
+    return written(codemap.file_edges(known.imports, known.references), "edges")
+
+
+def graph_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    facts, known = known_of(spark, sf_dir)
+    return facts, known.references, edges_of(known)
 
 
 _EDGES = """e AS (SELECT src, dst, CAST(sum(i) AS BIGINT) AS imports, CAST(sum(r) AS BIGINT) AS refs FROM (
@@ -99,13 +116,14 @@ CAST(coalesce((SELECT sum(imports + refs) FROM e WHERE dst = p_partkey), 0) AS B
 
 @R.add("""SELECT p_partkey AS p, CAST(k.name AS VARCHAR) AS name, k.outcome AS outcome, k.target AS target FROM part, LATERAL (VALUES ('Other', 'def', p_partkey // 2), ('helper' || (p_partkey // 2), 'def', p_partkey // 2), ('far', 'module', p_partkey // 3), ('os', 'external', NULL)) AS k(name, outcome, target) WHERE p_partkey > 0""")
 def q52_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolve_imports(facts_of(spark, sf_dir))
+    found = resolve_imports(facts_of(spark, sf_dir, "scope", "def", "import"))
     return found.select(key_of(F.col("file")).alias("p"), "name", "outcome", key_of(F.col("target_file")).alias("target"))
 
 
 @R.add(f"WITH {_EDGES} SELECT * FROM e")
 def q53_file_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, edges = graph_of(spark, sf_dir)
+    _, known = known_of(spark, sf_dir)
+    edges = codemap.file_edges(known.imports, known.references)
     return edges.select(key_of(F.col("src")).alias("src"), key_of(F.col("dst")).alias("dst"), "imports", "refs")
 
 
@@ -115,23 +133,23 @@ SELECT p_partkey AS p, 'Thing' AS what, CAST(coalesce(u.n, 0) + 2 AS BIGINT) AS
 UNION ALL SELECT p_partkey, 'helper', CAST(coalesce(u.n, 0) + coalesce(v.n, 0) + 1 AS BIGINT), CAST(coalesce(o.n, 0) AS BIGINT) FROM part LEFT JOIN u ON u.k = p_partkey LEFT JOIN v ON v.k = p_partkey LEFT JOIN o ON o.k = p_partkey
 UNION ALL SELECT p_partkey, 'run', CAST(1 AS BIGINT), CAST(0 AS BIGINT) FROM part""")
 def q54_reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, references, _ = graph_of(spark, sf_dir)
-    counted = codemap.reference_counts(facts, references).withColumn("what", F.regexp_extract("name", r"^([A-Za-z]+)", 1)).where("what in ('Thing', 'helper', 'run')")
+    facts, known = known_of(spark, sf_dir)
+    counted = codemap.reference_counts(facts, known.references).withColumn("what", F.regexp_extract("name", r"^([A-Za-z]+)", 1)).where("what in ('Thing', 'helper', 'run')")
     return counted.select(key_of(F.col("file")).alias("p"), "what", "uses", "files")
 
 
 @R.add("""SELECT p_partkey AS p, CAST(k.line AS INTEGER) AS line, k.name AS name, k.target AS target, CAST(k.def_line - CASE WHEN k.target = 0 THEN 3 ELSE 0 END AS INTEGER) AS target_line FROM part, LATERAL (VALUES (9, 'Other', p_partkey // 2, 9), (16, 'helper' || (p_partkey // 2), p_partkey // 2, 19), (16, 'helper' || (p_partkey // 3), p_partkey // 3, 19)) AS k(line, name, target, def_line) WHERE p_partkey > 0""")
 def q55_definitions_across_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the definition is of everything that a file uses of another."""
-    facts, references, _ = graph_of(spark, sf_dir)
+    facts, known = known_of(spark, sf_dir)
     defs = facts.where("fact = 'def'").select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), F.col("line").alias("target_line"))
-    met = references.where("outcome = 'def' and file <> target_file").join(defs, ["target_file", "target_ord"])
+    met = known.references.where("outcome = 'def' and file <> target_file").join(defs, ["target_file", "target_ord"])
     return met.select(key_of(F.col("file")).alias("p"), "line", "name", key_of(F.col("target_file")).alias("target"), "target_line")
 
 
 @R.add("""SELECT p_partkey AS p, CAST(8 AS BIGINT) AS defs, CAST(4 AS BIGINT) AS exports, CAST(CASE WHEN p_partkey > 0 THEN 22 ELSE 17 END AS BIGINT) AS refs, CAST(4 AS BIGINT) AS functions, CAST(4 AS BIGINT) AS longest, 2.8 AS mean_length, CAST(1 AS BIGINT) AS depth, CAST(1 AS BIGINT) AS branches FROM part""".replace("2.8", "CAST(2.8 AS DOUBLE)"))
 def q56_file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = codemap.file_facts(facts_of(spark, sf_dir))
+    found = codemap.file_facts(python_facts(tree(spark, sf_dir, spread=True)))
     return found.select(key_of(F.col("file")).alias("p"), *[c for c in found.columns if c != "file"])
 
 
@@ -159,14 +177,14 @@ def q59_start_here(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("""SELECT p_partkey AS p, k.caller AS caller, k.target AS target, k.callee AS callee, CAST(count(*) AS BIGINT) AS calls FROM part, LATERAL (VALUES ('run', p_partkey // 2, 'helper' || (p_partkey // 2), 1), ('run', p_partkey // 3, 'helper' || (p_partkey // 3), 1), ('helper' || p_partkey, p_partkey, 'Thing' || p_partkey, 0), ('twice' || p_partkey, p_partkey, 'Thing' || p_partkey, 0), ('twice' || p_partkey, p_partkey, 'run', 0), ('twice' || p_partkey, p_partkey, 'helper' || p_partkey, 0)) AS k(caller, target, callee, far)
 WHERE p_partkey > 0 OR k.far = 0 GROUP BY ALL""")
 def q60_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, references, _ = graph_of(spark, sf_dir)
-    found = codemap.call_edges(facts, references)
+    facts, known = known_of(spark, sf_dir)
+    found = codemap.call_edges(facts, known.references)
     return found.select(key_of(F.col("caller_file")).alias("p"), "caller", key_of(F.col("callee_file")).alias("target"), "callee", "calls")
 
 
 @R.add("""WITH RECURSIVE t AS (SELECT p_partkey AS p, p_partkey // 2 AS base, 1 AS dist FROM part WHERE p_partkey > 0 UNION ALL SELECT p, base // 2, dist + 1 FROM t WHERE base > 0) SELECT p, base, CAST(dist AS INTEGER) AS dist FROM t""")
 def q61_type_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = facts_of(spark, sf_dir)
+    facts = facts_of(spark, sf_dir, "scope", "def", "import", "base")
     found = codemap.ancestors_of_types(facts, resolve_imports(facts))
     number = lambda c: F.regexp_extract(c, r"Thing(\d+)$", 1).cast("long")
     return found.select(number("derived").alias("p"), number("base").alias("base"), "dist")
@@ -174,14 +192,14 @@ def q61_type_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("""WITH RECURSIVE t AS (SELECT p_partkey AS p, p_partkey // 2 AS base FROM part WHERE p_partkey > 0 UNION ALL SELECT p, base // 2 FROM t WHERE base > 0) SELECT base, 'run' AS method, CAST(count(*) AS BIGINT) AS below FROM t GROUP BY base""")
 def q62_implementations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = facts_of(spark, sf_dir)
+    facts = facts_of(spark, sf_dir, "scope", "def", "import", "base")
     found = codemap.implementations(facts, resolve_imports(facts))
     return found.groupBy(F.regexp_extract("base", r"Thing(\d+)$", 1).cast("long").alias("base"), "method").agg(F.count("*").alias("below"))
 
 
 @R.add("""SELECT p_partkey AS p, k.path AS path, k.kind AS kind, CAST(k.depth AS INTEGER) AS depth FROM part, LATERAL (VALUES ('LIMIT', 'constant', 0), ('Thing' || p_partkey, 'class', 0), ('Thing' || p_partkey || '.__init__', 'constructor', 1), ('Thing' || p_partkey || '.run', 'method', 1), ('helper' || p_partkey, 'function', 0), ('twice' || p_partkey, 'function', 0)) AS k(path, kind, depth)""")
 def q63_symbol_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codemap.definition_paths(facts_of(spark, sf_dir)).select(key_of(F.col("file")).alias("p"), "path", "kind", "depth")
+    return codemap.definition_paths(python_facts(tree(spark, sf_dir, spread=True), ("def",))).select(key_of(F.col("file")).alias("p"), "path", "kind", "depth")
 
 
 @R.add("""SELECT p_partkey AS p, CAST(CASE WHEN p_partkey = 0 THEN 0 ELSE floor(log2(p_partkey)) + 1 END AS INTEGER) AS level FROM part""")
@@ -201,16 +219,16 @@ def q65_file_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("""SELECT CAST(count(*) AS BIGINT) AS files, CAST(0 AS BIGINT) AS on_cycles, CAST(count(*) - 1 AS BIGINT) AS os_imports, CAST(count(*) - 1 AS BIGINT) AS os_files FROM part""")
 def q66_cycles_and_externals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, _, edges = graph_of(spark, sf_dir)
-    on_cycles = strongly_connected(edges.select("src", "dst")).agg(F.count("*").alias("on_cycles"))
-    outside = codemap.external_packages(resolve_imports(facts)).where("package = 'os'").select(F.col("imports").alias("os_imports"), F.col("files").alias("os_files"))
+    facts, known = known_of(spark, sf_dir)
+    on_cycles = strongly_connected(edges_of(known).select("src", "dst")).agg(F.count("*").alias("on_cycles"))
+    outside = codemap.external_packages(known.imports).where("package = 'os'").select(F.col("imports").alias("os_imports"), F.col("files").alias("os_files"))
     return facts.where("fact = 'scope' and parent is null").agg(F.count("*").alias("files")).crossJoin(F.broadcast(on_cycles)).crossJoin(F.broadcast(outside))
 
 
 @R.add(f"""WITH {_EDGES} SELECT 'pkg' || (src % 7) AS src, 'pkg' || (dst % 7) AS dst, CAST(sum(imports) AS BIGINT) AS imports, CAST(sum(refs) AS BIGINT) AS refs, CAST(count(*) AS BIGINT) AS files FROM e WHERE src % 7 <> dst % 7 GROUP BY 1, 2""")
 def q67_folder_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, edges = graph_of(spark, sf_dir)
-    return codemap.dir_edges(edges)
+    _, known = known_of(spark, sf_dir)
+    return codemap.dir_edges(codemap.file_edges(known.imports, known.references))
 
 
 @R.add("""SELECT 'pkg' || (p_partkey % 7) AS dir, CAST(count(*) AS BIGINT) AS files FROM part GROUP BY 1 UNION ALL SELECT '', CAST(count(*) AS BIGINT) FROM part""")
@@ -220,6 +238,6 @@ def q68_subtree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("""SELECT p, target, callee, name, CAST(count(*) AS BIGINT) AS calls FROM (SELECT p_partkey AS p, p_partkey // 2 AS target, 'helper' || (p_partkey // 2) AS callee, 'x' AS name FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey, p_partkey, 'run', 'x' FROM part UNION ALL SELECT p_partkey, p_partkey, 'helper' || p_partkey, 'x' FROM part) GROUP BY ALL""")
 def q69_argument_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, references, _ = graph_of(spark, sf_dir)
-    found = codemap.argument_flow(facts, references)
+    facts, known = known_of(spark, sf_dir)
+    found = codemap.argument_flow(facts, known.references)
     return found.select(key_of(F.col("caller_file")).alias("p"), key_of(F.col("callee_file")).alias("target"), "callee", "name", "calls")

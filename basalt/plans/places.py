@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calltree, codemap, levels, positions, routes, summaries
-from ..operators.resolve import resolved
 from .base import Registry, table
-from .code import _DEGREE, _EDGES, facts_of, file_of, graph_of, key_of, tree
+from .code import _DEGREE, _EDGES, edges_of, facts_of, file_of, key_of, known_of, tree
 
 R = Registry()
 
@@ -28,8 +27,7 @@ def points_of(spark: SparkSession, sf_dir: str, lines: tuple[int, int], cols: tu
 FROM q, LATERAL (SELECT unnest(range(8, 71)) AS c) AS u LEFT JOIN n ON n.p = q.p AND n.a <= u.c AND u.c <= n.z""")
 def q78_goto_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands at each column of the line with most names of each file, and where it is defined."""
-    facts = facts_of(spark, sf_dir)
-    known = resolved(facts)
+    facts, known = known_of(spark, sf_dir)
     points = points_of(spark, sf_dir, (16, 16), (8, 70)).where(~F.col("file").endswith("/mod0.py"))
     found = positions.definitions_at(points, facts, known.references, known.imports)
     return found.select(key_of(F.col("file")).alias("p"), F.col("at_col").alias("col"), "symbol", "reason", key_of(F.col("target_file")).alias("target"), "target_line", "target_col")
@@ -38,7 +36,7 @@ def q78_goto_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("""SELECT p_partkey AS p, CAST(u.n AS INTEGER) AS line, CASE WHEN m BETWEEN 12 AND 13 THEN '__init__' WHEN m BETWEEN 15 AND 16 THEN 'run' WHEN m BETWEEN 9 AND 16 THEN 'Thing' || p_partkey WHEN m BETWEEN 19 AND 22 THEN 'helper' || p_partkey ELSE 'twice' || p_partkey END AS name
 FROM part, LATERAL (SELECT unnest(range(1, 41)) AS n) AS u, LATERAL (SELECT CASE WHEN p_partkey = 0 THEN u.n + 3 ELSE u.n END AS m) AS v WHERE m BETWEEN 9 AND 16 OR m BETWEEN 19 AND 22 OR m BETWEEN 25 AND 27""")
 def q79_enclosing_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = positions.around(points_of(spark, sf_dir, (1, 40), (9, 9)), facts_of(spark, sf_dir))
+    found = positions.around(points_of(spark, sf_dir, (1, 40), (9, 9)), facts_of(spark, sf_dir, "def"))
     return found.select(key_of(F.col("file")).alias("p"), F.col("at_line").alias("line"), "name")
 
 
@@ -48,8 +46,7 @@ UNION ALL SELECT DISTINCT h.k, p_partkey, 16, 'ref' FROM h JOIN part ON (p_partk
 UNION ALL SELECT k, k, CASE WHEN k = 0 THEN 24 ELSE 27 END, 'ref' FROM h""")
 def q80_reference_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that means a helper: imports of it, uses in other files and in its own."""
-    facts = facts_of(spark, sf_dir)
-    known = resolved(facts)
+    facts, known = known_of(spark, sf_dir)
     helpers = facts.where("fact = 'def' and kind = 'function' and name like 'helper%'").select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"))
     found = positions.references_to(facts, known.references, known.imports).join(helpers, ["target_file", "target_ord"])
     return found.select(key_of(F.col("target_file")).alias("p"), key_of(F.col("file")).alias("by"), "line", "kind").distinct()
@@ -59,9 +56,9 @@ def q80_reference_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAST(CASE WHEN p_partkey = 0 THEN 1 WHEN p_partkey // 2 = p_partkey // 3 THEN 2 ELSE 3 END AS BIGINT) AS unresolved FROM part""")
 def q81_call_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three levels of what each ``twice`` calls: nodes, and how many calls lead where."""
-    facts, references, _ = graph_of(spark, sf_dir)
+    facts, known = known_of(spark, sf_dir)
     roots = facts.where("fact = 'def' and kind = 'function' and name like 'twice%'").select("file", "ord")
-    _, summary = calltree.call_tree(facts, references, roots, "out", depth=3)
+    _, summary = calltree.call_tree(facts, known.references, roots, "out", depth=3)
     return summary.select(key_of(F.col("root_file")).alias("p"), "nodes", "truncated", "resolved", "external", "unresolved")
 
 
@@ -69,9 +66,9 @@ def q81_call_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c.k AS p, CAST(least(8, 1 + coalesce(n.n, 0) + coalesce((SELECT count(*) FROM d WHERE d.k = c.k), 0)) AS BIGINT) AS nodes, 1 + 2 * coalesce(n.n, 0) > 8 AS truncated FROM c LEFT JOIN n ON n.k = c.k""")
 def q82_caller_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who calls each helper, two levels up, with at most 8 nodes a tree."""
-    facts, references, _ = graph_of(spark, sf_dir)
+    facts, known = known_of(spark, sf_dir)
     roots = facts.where("fact = 'def' and kind = 'function' and name like 'helper%'").select("file", "ord")
-    _, summary = calltree.call_tree(facts, references, roots, "in", depth=2, most=8)
+    _, summary = calltree.call_tree(facts, known.references, roots, "in", depth=2, most=8)
     return summary.select(key_of(F.col("root_file")).alias("p"), "nodes", "truncated")
 
 
@@ -80,10 +77,11 @@ g AS (SELECT a.node AS src, b.node AS dst, CAST(sum(imports) AS BIGINT) AS impor
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    facts, _, edges = graph_of(spark, sf_dir)
+    facts, known = known_of(spark, sf_dir)
+    edges = edges_of(known)
     expanded = spark.createDataFrame([("pkg1",), ("pkg3",)], "dir string")
     files = facts.where("fact = 'scope' and parent is null").select("file")
-    return levels.level_graph(edges, files, expanded, outside=codemap.outside_imports(resolved(facts).imports), external=3, most_files=1 << 30, most_dirs=1 << 30)
+    return levels.level_graph(edges, files, expanded, outside=codemap.outside_imports(known.imports), external=3, most_files=1 << 30, most_dirs=1 << 30)
 
 
 @R.add(f"WITH {_SHOWN} SELECT * FROM g UNION ALL SELECT node, 'os', CAST(count(*) AS BIGINT), CAST(0 AS BIGINT) FROM w WHERE p > 0 GROUP BY node")
@@ -100,15 +98,13 @@ def q84_level_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("""SELECT p_partkey AS p, CAST(CASE WHEN p_partkey = 0 THEN 18 ELSE 21 END AS INTEGER) AS line, 'run' AS name, 'dynamic-member' AS reason FROM part""")
 def q94_unresolved_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = facts_of(spark, sf_dir)
-    known = resolved(facts)
+    facts, known = known_of(spark, sf_dir)
     return summaries.unresolved_reasons(facts, known.references, known.imports).select(key_of(F.col("file")).alias("p"), "line", "name", "reason")
 
 
 @R.add(f"""WITH {_DEGREE} SELECT p, CAST(4 AS BIGINT) AS exports, '2 function, 1 class, 1 constant' AS kinds, CAST(CASE WHEN p = 0 THEN 0 ELSE 3 END AS BIGINT) AS project_imports, CAST(CASE WHEN p = 0 THEN 0 ELSE 1 END AS BIGINT) AS external_imports, inbound, CAST(0 AS BIGINT) AS inbound_tests, in_degree AS users, out_degree AS outbound, CAST(4 AS BIGINT) AS longest FROM d""")
 def q95_file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = facts_of(spark, sf_dir)
-    known = resolved(facts)
+    facts, known = known_of(spark, sf_dir)
     found = summaries.file_summaries(facts, known.imports, codemap.file_edges(known.imports, known.references))
     return found.withColumn("p", key_of(F.col("file"))).drop("file")
 
@@ -118,8 +114,8 @@ r AS (SELECT 'dep' AS route, p, row_number() OVER (ORDER BY level, file) AS step
 SELECT route, CAST(step AS INTEGER) AS step, p, CAST(CASE WHEN p = 0 THEN 3 ELSE 6 END AS INTEGER) AS line, 'LIMIT,Thing' || p || ',helper' || p AS hints, CAST((SELECT count(*) FROM part) AS INTEGER) AS total FROM r WHERE step <= 40""")
 def q96_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four orders in which to read the generated tree; a file's time is made from its part's size."""
-    facts, _, edges = graph_of(spark, sf_dir)
+    facts, known = known_of(spark, sf_dir)
     part = table(spark, sf_dir, "part").select(file_of(F.col("p_partkey")).alias("file"), F.timestamp_seconds("p_size").alias("mtime"))
-    degree = codemap.degrees(edges, facts.where("fact = 'scope' and parent is null").select("file"))
-    found = routes.routes(facts, resolved(facts).imports, degree, part)
+    degree = codemap.degrees(edges_of(known), facts.where("fact = 'scope' and parent is null").select("file"))
+    found = routes.routes(facts, known.imports, degree, part)
     return found.select("route", "step", key_of(F.col("file")).alias("p"), "line", F.array_join("hints", ",").alias("hints"), F.col("total").cast("int").alias("total"))

@@ -8,9 +8,12 @@ from basalt.operators import codemap
 from basalt.operators.calltree import call_tree
 from basalt.operators.levels import shown_as
 from basalt.operators.positions import around, definitions_at, literals_at, stabbed
-from basalt.operators.resolve import inherited, resolved
+from basalt.operators import resolve
+from basalt.operators.resolve import inherited, members, resolved
+from basalt.plans import code
 from basalt.operators.summaries import unresolved_reasons
 from basalt.sources.python_facts import python_facts
+from basalt.sources.shared import written
 
 TREE = {
     "pkg/__init__.py": "from .deep.core import Core as Kernel\nfrom .stars import *\n",
@@ -128,3 +131,37 @@ def test_inheritance_by_doubling_ends_on_cycles(spark):
     edges = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(9)] + [("x", "y"), ("y", "x")], "derived string, base string")
     got = {(r["derived"], r["base"]): r["dist"] for r in inherited(edges).collect()}
     assert len(got) == 45 + 2 and got["c0", "c9"] == 9 and got["x", "y"] == 1
+
+
+def test_members_come_from_the_nearest_class_above(spark):
+    """A diamond, a cycle, and a chain whose lower classes hold nothing; each class's own comes first."""
+    direct = spark.createDataFrame([("top", "m", "f", 1, 0), ("left", "m", "f", 2, 0), ("right", "m", "f", 3, 0), ("right", "n", "f", 4, 0), ("x", "c", "f", 5, 0)], "owner string, name string, file string, ord int, rank int")
+    bases = spark.createDataFrame([("left", "top"), ("right", "top"), ("low", "left"), ("low", "right"), ("x", "y"), ("y", "x")] + [(f"k{i}", f"k{i + 1}") for i in range(9)] + [("k9", "top")], "derived string, base string")
+    facts = python_facts(spark.createDataFrame([("a.py", "x = 1\n", "python")], "rel string, text string, lang string"))
+    got = {(r["owner"], r["name"]): r["ord"] for r in members(facts, direct, bases).collect()}
+    assert got["low", "m"] == 2 and got["low", "n"] == 4 and got["k0", "m"] == 1 and got["y", "c"] == 5 and got["left", "m"] == 2
+    assert len(got) == 5 + 2 + 1 + 10
+
+
+def test_inheritance_makes_each_pair_once(spark, monkeypatch):
+    """Of a chain, rounds write each pair once; before, each wrote all pairs made so far anew."""
+    made = []
+
+    def counted(df, label="step"):
+        out = written(df, label)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(resolve, "written", counted)
+    edges = spark.createDataFrame([(f"c{i:02}", f"c{i + 1:02}") for i in range(20)], "derived string, base string")
+    assert inherited(edges).count() == 210 == sum(made)
+
+
+def test_only_wanted_facts_and_tasks_by_number_of_files(spark, sf):
+    files = spark.createDataFrame([("a.py", "import b\nx = b.y\n", "python")], "rel string, text string, lang string")
+    assert {r["fact"] for r in python_facts(files, ("def", "import")).collect()} == {"def", "import"}
+    few, code.FILES_A_TASK = code.FILES_A_TASK, 20
+    try:
+        assert code.tree(spark, sf, spread=True).rdd.getNumPartitions() == 10
+    finally:
+        code.FILES_A_TASK = few
