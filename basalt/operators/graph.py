@@ -54,15 +54,64 @@ def trimmed(edges: DataFrame) -> DataFrame:
         n = m
 
 
+def followed(ways: DataFrame) -> DataFrame:
+    """(node, to, n, low, going) of nodes with one way out (node, to): the first node on the way that isn't one of them, and the
+    steps to it, by doubling. ``going`` are those whose way never ends; ``low`` is the smallest node so far passed.
+
+    Where a round ends no way, none that ends is left: behind a longer one there would be a way of every smaller length.
+    """
+    inner = ways.select(F.col("node").alias("to"), F.lit(True).alias("going"))
+    now = ways.join(inner, "to", "left").select("node", "to", F.lit(1).alias("n"), F.col("node").alias("low"), F.coalesce("going", F.lit(False)).alias("going"))
+    now, before = written(now, "ways"), None
+    while (n := now.where("going").count()) and n != before:
+        before, last = n, now
+        now = written(now.where("not going").unionByName(_doubled(now.where("going"), now)), "ways")
+        forgotten(last)
+    return now
+
+
+def _doubled(rows: DataFrame, ways: DataFrame) -> DataFrame:
+    on = ways.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"), F.col("low").alias("_low"), F.col("going").alias("_going"))
+    return rows.select("node", "to", "n", "low").join(on, "to").select("node", F.col("_to").alias("to"), (F.col("n") + F.col("_n")).alias("n"), F.least("low", "_low").alias("low"), F.col("_going").alias("going"))
+
+
+def _settled_by_following(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges without nodes whose one way out leads to an end or into a cycle of such nodes, and the (node, component) of these cycles."""
+    outs = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("ways"), F.min("dst").alias("to"))
+    outs = written(outs, "outs")
+    ways = outs.where("ways = 1").select("node", "to")
+    if ways.isEmpty():
+        return edges, None
+    now = followed(ways)
+    branching = outs.where("ways > 1").select("node")
+    alive = branching.unionByName(now.where("not going").join(branching.withColumnRenamed("node", "to"), "to", "left_semi").select("node"))
+    left = edges.join(alive.withColumnRenamed("node", "src"), "src", "left_semi").join(alive.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    ring = now.where("going")
+    if ring.isEmpty():
+        return left, None
+    # nodes that are still met after ever more steps are the cycles; when no more drop out, all that do not lie on one have
+    size, ring = None, ring.drop("n").withColumn("n", F.lit(0))
+    while (met := ring.select("to").distinct().count()) != size:
+        size, ring = met, written(_doubled(ring, ring), "rings")
+    ring = written(ring.join(ring.select(F.col("to").alias("node")).distinct(), "node", "left_semi"), "rings")
+    while True:
+        further = _doubled(ring, ring).join(ring.select("node", F.col("low").alias("old")), "node")
+        ring = written(further, "rings")
+        if ring.where("low < old").isEmpty():
+            return left, ring.select("node", F.col("low").alias("component"))
+        ring = ring.drop("old")
+
+
 def strongly_connected(edges: DataFrame, unroll: int = 3) -> DataFrame:
     """(node, component) of nodes on cycles; a component is named by its smallest node.
 
     Colouring: on the trimmed graph every node takes the smallest node that reaches it; nodes of a colour that also
     reach that node backwards form its component and leave; repeat with the rest. Each round takes at least one component
-    away, so the loop ends by itself.
+    away, so the loop ends by itself. Before that, nodes with one way out are followed by doubling: those that lead only into
+    a cycle of such nodes, or to an end, are settled by it, however long their ways are.
     """
-    out = None
-    left = trimmed(edges)
+    left, out = _settled_by_following(written(edges.where("src <> dst").select("src", "dst").distinct()))
+    left = trimmed(left)
     while not left.isEmpty():
         colour = written(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
         while True:
@@ -101,29 +150,35 @@ def grouped_levels(edges: DataFrame, nodes: DataFrame, unroll: int = 4) -> DataF
 
     ``group`` is the smallest node of the cycles that a node is on, or itself.
 
-    A group keeps the longest chain found so far, and only groups whose chain grew go on; the condensed graph has no
-    cycle, so the rounds end by themselves.
+    Groups with one dependency are followed by doubling to the next with none or several. Of these a group keeps the longest
+    chain found so far, and only those whose chain grew go on; the condensed graph has no cycle, so the rounds end by themselves.
     """
     comp = strongly_connected(edges)
     group = written(nodes.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("group")))
     between = edges.join(group.select(F.col("node").alias("src"), F.col("group").alias("a")), "src").join(group.select(F.col("node").alias("dst"), F.col("group").alias("b")), "dst")
     between = written(between.where("a <> b").select("a", "b").distinct())
-    level = written(group.select("group").distinct().withColumn("level", F.lit(0)))
-    frontier, done = level, 0
+    # a group with one dependency is as many levels above the next that has none or several as there are steps to it
+    outs = written(between.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("ways"), F.min("b").alias("to")), "outs")
+    below = followed(outs.where("ways = 1").select("node", "to")).select(F.col("node").alias("b"), "to", "n")
+    several = between.join(outs.where("ways > 1").select(F.col("node").alias("a")), "a", "left_semi").join(below, "b", "left")
+    several = several.groupBy("a", F.coalesce("to", "b").alias("b")).agg(F.max(F.coalesce("n", F.lit(0)) + 1).alias("n"))
+    several = written(several)
+    level = written(group.select(F.col("group")).distinct().join(below.select(F.col("b").alias("group")), "group", "left_anti").withColumn("level", F.lit(0)))
+    frontier = level
     while True:
-        # the groups at the end of a chain of done+1 .. done+unroll dependencies, several lengths a job
+        # the highest level by a chain of each of the next numbers of dependencies, several a job
         steps, last = [], frontier
-        for j in range(1, unroll + 1):
-            last = between.join(last, between["b"] == last["group"]).select(F.col("a").alias("group")).distinct().withColumn("level", F.lit(done + j))
+        for _ in range(unroll):
+            last = several.join(last, several["b"] == last["group"]).groupBy("a").agg(F.max(F.col("level") + F.col("n")).alias("level")).withColumnRenamed("a", "group")
             steps.append(last)
-        batch = steps[0]
-        for s in steps[1:]:
-            batch = batch.unionByName(s)
-        batch = written(batch.groupBy("group").agg(F.max("level").alias("grown")))
+        batch = steps[0].withColumn("at", F.lit(1))
+        for k, s in enumerate(steps[1:], 2):
+            batch = batch.unionByName(s.withColumn("at", F.lit(k)))
+        batch = written(batch.groupBy("group").agg(F.max("level").alias("grown"), F.max(F.when(F.col("at") == unroll, F.col("level"))).alias("end")))
         if batch.isEmpty():
             break
-        done += unroll
-        before, level = level, written(level.join(batch, "group", "left").select("group", F.coalesce("grown", "level").alias("level")))
-        forgotten(before)
-        frontier = batch.where(F.col("grown") == done).select("group", F.col("grown").alias("level"))
-    return group.join(level, "group").select("node", "group", "level")
+        before, level = level, written(level.join(batch.select("group", "grown"), "group", "left").select("group", F.greatest("level", "grown").alias("level")))
+        # a chain that is lower than another to the same group adds nothing further on
+        frontier = batch.where("end is not null").join(level, "group").where("end >= level").select("group", "level")
+    met = group.join(below.select(F.col("b").alias("group"), F.col("to").alias("_to"), "n"), "group", "left").withColumn("_to", F.coalesce("_to", "group"))
+    return met.join(level.withColumnRenamed("group", "_to"), "_to").select("node", "group", (F.col("level") + F.coalesce("n", F.lit(0))).alias("level"))

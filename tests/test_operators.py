@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from basalt.functions import paths, scoring
 from basalt.operators.diff import snapshot_diff
+from basalt.operators import graph
+from basalt.sources.shared import written
 from basalt.operators.graph import longest_levels, reached, strongly_connected
 from basalt.operators.search import glob_of, lines_of, search
 from basalt.streaming.changes import anchored_windows, bursts, flushed
@@ -143,3 +145,23 @@ def test_flush_window_keeps_deletions(spark, tmp_path):
     finally:
         q.stop()
     assert {tuple(r) for r in spark.table("flushed").collect()} == {("a", "deleted", 2), ("b", "changed", 1)}
+
+
+def test_long_ways_are_followed_by_doubling(spark, monkeypatch):
+    """A tail of 300 into a cycle of 40, a cycle of 3 with a branching node before it, and a chain below a fork, in a bounded number of rounds."""
+    rounds = []
+
+    def counted(df, label="step"):
+        rounds.append(label)
+        return written(df, label)
+
+    monkeypatch.setattr(graph, "written", counted)
+    tail = [(k, k + 1) for k in range(1000, 1300)] + [(1300, 100)] + [(k, 100 + (k - 99) % 40) for k in range(100, 140)]
+    fork = [(1, 2), (2, 3), (3, 1), (50, 1), (50, 51), (50, 60), (60, 61), (61, 62), (51, 62), (70, 50), (71, 70), (71, 50), (50, 72), (72, 73), (73, 50)]
+    edges = spark.createDataFrame(tail + fork, "src int, dst int")
+    found = {r["node"]: r["component"] for r in strongly_connected(edges).collect()}
+    assert found == {k: 100 for k in range(100, 140)} | {1: 1, 2: 1, 3: 1} | {50: 50, 72: 50, 73: 50}
+    nodes = spark.createDataFrame([(n,) for n in {x for e in tail + fork for x in e} | {999}], "node int")
+    levels = {r["node"]: r["level"] for r in longest_levels(edges, nodes).collect()}
+    assert levels[1000] == 301 and levels[1300] == 1 and levels[100] == 0 and levels[50] == levels[73] == 3 and levels[60] == 2 and levels[70] == 4 and levels[71] == 5 and levels[999] == 0
+    assert len(rounds) < 120
