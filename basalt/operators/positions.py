@@ -1,8 +1,10 @@
 """Lookups by position: which definition, reference or literal is at a place, and which definition is around it.
 
 Ranges and points meet by a stabbing join on bins of lines. A range lies in the bins of the one width, of a few that grow
-by a fixed factor, at which it touches two at most; a point asks at its bin of each width. So a range costs two rows and a
-point one for each width, however long ranges are, and only ranges near a point's size meet it.
+by a fixed factor, at which it touches two at most; a point asks at its bin of each width that ranges have. So a range costs
+two rows and a point one for each of these widths, however long ranges are, and only ranges near a point's size meet it.
+Tables with rows for names or places are never broadcast: by the size of their compressed files they look far smaller than
+they are in memory.
 """
 
 from __future__ import annotations
@@ -20,21 +22,35 @@ def before(a: tuple[str, str], b: tuple[str, str], or_same: bool = True) -> Colu
     return (la < lb) | ((la == lb) & ((ca <= cb) if or_same else (ca < cb)))
 
 
+def _each(rows: DataFrame) -> DataFrame:
+    """``rows``, to be joined by sorting both sides."""
+    return rows.hint("merge")
+
+
+def _level(first: str, last: str, narrowest: int) -> Column:
+    length = F.col(last) - F.col(first)
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(length < narrowest * FACTOR**k, k).otherwise(level)
+    return level.cast("int")
+
+
+def widths(ranges: DataFrame, first: str, last: str, narrowest: int = WIDTH) -> list[int]:
+    """Which of the ``LEVELS`` widths of bins hold ranges."""
+    return sorted(r["k"] for r in ranges.select(_level(first, last, narrowest).alias("k")).distinct().collect())
+
+
 def stabbed(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, first: str, last: str, narrowest: int = WIDTH) -> DataFrame:
     """Columns of ``points`` and ``ranges`` where the keys are equal and ``first`` <= ``at`` <= ``last``, all of them whole numbers.
 
     Columns of the two must not share names, but for ``keys``. ``narrowest`` is the width of the smallest bins.
     """
     width = lambda level: narrowest * FACTOR**level
-    length = F.col(last) - F.col(first)
-    level = F.lit(LEVELS - 1)
-    for k in reversed(range(LEVELS - 1)):
-        level = F.when(length < width(k), k).otherwise(level)
     size = F.lit(narrowest) * F.pow(F.lit(FACTOR), F.col("_level")).cast("long")
-    held = ranges.withColumn("_level", level.cast("int")).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(first) / size), F.floor(F.col(last) / size))))
-    asked = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col(at) / width(k)).alias("bin")) for k in range(LEVELS)])
+    held = ranges.withColumn("_level", _level(first, last, narrowest)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(first) / size), F.floor(F.col(last) / size))))
+    asked = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col(at) / width(k)).alias("bin")) for k in widths(ranges, first, last, narrowest) or [0]])
     asks = points.withColumn("_ask", F.explode(asked)).withColumn("_level", F.col("_ask.level")).withColumn("_bin", F.col("_ask.bin")).drop("_ask")
-    met = asks.join(held, [*keys, "_level", "_bin"])
+    met = asks.join(_each(held), [*keys, "_level", "_bin"])
     return met.where((F.col(first) <= F.col(at)) & (F.col(at) <= F.col(last))).drop("_level", "_bin")
 
 
@@ -88,14 +104,14 @@ def definitions_at(points: DataFrame, facts: DataFrame, references: DataFrame, i
     found = symbols_at(points, facts)
     by_ref = references.select("file", F.lit("ref").alias("fact"), "ord", "outcome", "target_file", "target_ord")
     by_import = imports.select("file", F.lit("import").alias("fact"), "ord", "outcome", "target_file", "target_ord")
-    told = found.join(by_ref.unionByName(by_import), ["file", "fact", "ord"], "left")
+    told = found.join(_each(by_ref.unionByName(by_import)), ["file", "fact", "ord"], "left")
     is_def = F.col("fact") == "def"
     told = told.select("file", "at_line", "at_col", "name", F.when(is_def, "def").otherwise(F.col("outcome")).alias("outcome"), F.when(is_def, F.col("file")).otherwise(F.col("target_file")).alias("target_file"), F.when(is_def, F.col("ord")).otherwise(F.col("target_ord")).alias("target_ord"))
     names = facts.where("fact = 'def'").select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), F.col("name_line").alias("d_line"), F.col("name_col").alias("d_col"))
-    told = told.join(names, ["target_file", "target_ord"], "left")
+    told = told.join(_each(names), ["target_file", "target_ord"], "left")
     reason = F.when(F.col("outcome").isin("def", "module"), "resolved").when(F.col("outcome") == "external", "external").when(F.col("name").isNotNull(), "unresolved").otherwise("no-symbol")
     start = F.when(F.col("outcome") == "module", 1)
-    out = _placed(points).join(told, ["file", "at_line", "at_col"], "left")
+    out = _placed(points).join(_each(told), ["file", "at_line", "at_col"], "left")
     return out.select("file", "at_line", "at_col", F.col("name").alias("symbol"), reason.alias("reason"), "target_file", "target_ord", F.coalesce("d_line", start).alias("target_line"), F.coalesce("d_col", start).alias("target_col"))
 
 
@@ -103,12 +119,12 @@ def hovers_at(points: DataFrame, facts: DataFrame, references: DataFrame, import
     """``definitions_at`` with kind, dotted name, type, first line of documentation and number of uses of what is meant."""
     names = facts.where("fact = 'def'").select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), "kind", "path", F.col("type_name").alias("type"), "doc")
     uses = references.where("outcome = 'def'").groupBy("target_file", "target_ord").agg(F.count("*").alias("uses"))
-    return definitions_at(points, facts, references, imports).join(names, ["target_file", "target_ord"], "left").join(uses, ["target_file", "target_ord"], "left").withColumn("uses", F.coalesce("uses", F.when(F.col("kind").isNotNull(), 0)))
+    return definitions_at(points, facts, references, imports).join(_each(names), ["target_file", "target_ord"], "left").join(_each(uses), ["target_file", "target_ord"], "left").withColumn("uses", F.coalesce("uses", F.when(F.col("kind").isNotNull(), 0)))
 
 
 def references_to(facts: DataFrame, references: DataFrame, imports: DataFrame) -> DataFrame:
     """(target_file, target_ord, file, line, col, kind): every place that means a definition, references and import sites, each once."""
     at_import = facts.where("fact = 'import'").select("file", "ord", "line", "col")
-    sites = imports.where("outcome = 'def'").join(at_import, ["file", "ord"]).select("target_file", "target_ord", "file", "line", "col", F.lit("import").alias("kind"))
+    sites = imports.where("outcome = 'def'").join(_each(at_import), ["file", "ord"]).select("target_file", "target_ord", "file", "line", "col", F.lit("import").alias("kind"))
     refs = references.where("outcome = 'def'").select("target_file", "target_ord", "file", "line", "col", F.lit("ref").alias("kind"))
     return refs.unionByName(sites).groupBy("target_file", "target_ord", "file", "line", "col").agg(F.max("kind").alias("kind"))

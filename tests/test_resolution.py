@@ -7,7 +7,7 @@ import pytest
 from basalt.operators import codemap
 from basalt.operators.calltree import call_tree
 from basalt.operators.levels import shown_as
-from basalt.operators.positions import around, definitions_at, literals_at, stabbed
+from basalt.operators.positions import around, definitions_at, literals_at, stabbed, widths
 from basalt.operators import resolve
 from basalt.operators.resolve import inherited, members, resolved
 from basalt.plans import code
@@ -165,3 +165,14 @@ def test_only_wanted_facts_and_tasks_by_number_of_files(spark, sf):
         assert code.tree(spark, sf, spread=True).rdd.getNumPartitions() == 10
     finally:
         code.FILES_A_TASK = few
+
+
+def test_places_are_not_broadcast_and_ask_only_at_widths_that_ranges_have(spark, facts, known):
+    points = spark.createDataFrame([("pool.py", 10, 14)], "file string, line int, col int")
+    plan = definitions_at(points, facts, known.references, known.imports)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    ranges = spark.createDataFrame([(1, 1, 3), (1, 5, 9), (1, 1, 1000)], "g int, a int, b int")
+    assert widths(ranges, "a", "b") == [0, 2] and widths(ranges.limit(0), "a", "b") == []
+    asked = spark.createDataFrame([(1, 2), (1, 999)], "g int, t int")
+    assert {tuple(r) for r in stabbed(asked, ranges, ["g"], "t", "a", "b").select("t", "a").collect()} == {(2, 1), (999, 1)}
+    assert stabbed(asked, ranges.limit(0), ["g"], "t", "a", "b").count() == 0
