@@ -148,15 +148,17 @@ def _imports(facts: DataFrame, modules: DataFrame, has_stars: bool = True) -> tu
     return (written(out, "resolved-imports") if ended is not None else out), starred
 
 
-def walk(rows: DataFrame, keys: list[str], imports: DataFrame, steps: DataFrame, owners: DataFrame, longest: int, stars: bool = True) -> DataFrame:
+def walk(rows: DataFrame, keys: list[str], imports: DataFrame, members: DataFrame, owners: DataFrame, longest: int, stars: bool = True) -> DataFrame:
     """(keys..., outcome, target_file, target_ord) of ``rows`` (keys..., file, parts, found, found_ord, stars).
 
     The root of a chain is what its file says; through an import, what that leads to; of stars, the first whose module has
-    the name. Each further segment is a member of what the chain has come to: ``steps`` (owner, segment, to_file, to_ord,
-    to_owner). ``owners`` (file, ord, owner) tells which scope holds the members of a definition. A chain whose segment
+    the name. Each further segment is a member of what the chain has come to: ``members`` (owner, name, file, ord).
+    ``owners`` (file, ord, owner) tells which scope holds the members of a definition: only of those that a chain goes on
+    from, not of every member. A chain whose segment
     isn't found has no outcome. ``longest`` is the most segments of a chain, ``stars`` whether there are star imports.
     """
     via = imports.select(F.col("file").alias("_file"), F.col("ord").alias("_ord"), F.col("outcome").alias("_out"), F.col("target_file").alias("_tf"), F.col("target_ord").alias("_to"))
+    steps = members.select("owner", F.col("name").alias("segment"), F.col("file").alias("to_file"), F.col("ord").alias("to_ord"))
     kept = rows.select(*keys, "file", "parts", "found", "found_ord", "stars")
     # what the file itself says needs no join; only names that an import binds go to the imports
     own = F.when(F.col("found") == "def", F.col("file")), F.when(F.col("found") == "def", F.col("found_ord"))
@@ -176,11 +178,13 @@ def walk(rows: DataFrame, keys: list[str], imports: DataFrame, steps: DataFrame,
     going = start.where("size(parts) > 1 and outcome in ('def', 'module')").join(of, ["at_file", "at_ord"], "left")
     going = going.select(*keys, "parts", F.lit(1).alias("_at"), F.when(F.col("outcome") == "module", module_scope("at_file")).otherwise(F.col("of_owner")).alias("owner"), "outcome", "at_file", "at_ord")
     for j in range(1, longest):
+        if j > 1:
+            going = going.join(of, ["at_file", "at_ord"], "left").withColumn("owner", F.when((F.col("_at") == j) & (F.col("outcome") == "module"), module_scope("at_file")).when(F.col("_at") == j, F.col("of_owner"))).drop("of_owner")
         moved = going.withColumn("segment", F.when(F.col("_at") == j, F.get("parts", F.lit(j)))).join(steps, ["owner", "segment"], "left")
         on = F.col("segment").isNotNull()
         outcome = F.when(on, F.when(F.col("to_file").isNotNull(), F.when(F.col("to_ord").isNull(), "module").otherwise("def"))).otherwise(F.col("outcome"))
         at = F.when(on & F.col("to_file").isNotNull(), F.col("_at") + 1).otherwise(F.col("_at"))
-        going = moved.select(*keys, "parts", at.alias("_at"), F.when(on, F.col("to_owner")).otherwise(F.col("owner")).alias("owner"), outcome.alias("outcome"), F.when(on, F.col("to_file")).otherwise(F.col("at_file")).alias("at_file"), F.when(on, F.col("to_ord")).otherwise(F.col("at_ord")).alias("at_ord"))
+        going = moved.select(*keys, "parts", at.alias("_at"), F.when(~on, F.col("owner")).alias("owner"), outcome.alias("outcome"), F.when(on, F.col("to_file")).otherwise(F.col("at_file")).alias("at_file"), F.when(on, F.col("to_ord")).otherwise(F.col("at_ord")).alias("at_ord"))
         if j % UNROLL == 0:
             going = written(going, "chains")
     return short.unionByName(going.select(*keys, "outcome", F.col("at_file").alias("target_file"), F.col("at_ord").alias("target_ord")))
@@ -259,24 +263,18 @@ def members(facts: DataFrame, direct: DataFrame, bases: DataFrame) -> DataFrame:
     return every.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("dist", "rank", "file", "ord")).alias("b")).select("owner", "name", "b.file", "b.ord")
 
 
-def _steps(members: DataFrame, owners: DataFrame) -> DataFrame:
-    """``members`` as steps of chains, each with the scope that holds the members of what it leads to."""
-    met = members.join(owners.select("file", "ord", F.col("owner").alias("of")), ["file", "ord"], "left")
-    return met.select("owner", F.col("name").alias("segment"), F.col("file").alias("to_file"), F.col("ord").alias("to_ord"), F.when(F.col("ord").isNull(), module_scope()).otherwise(F.col("of")).alias("to_owner"))
-
-
 def class_bases(facts: DataFrame, imports: DataFrame, direct: DataFrame, size: Extent) -> DataFrame:
     """(derived, base): scopes of classes, and of the classes of the tree that they extend by a name or a chain."""
     classes = class_scopes(facts)
-    steps = _steps(direct.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("rank", "file", "ord")).alias("b")).select("owner", "name", "b.file", "b.ord"), classes)
+    held = direct.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("rank", "file", "ord")).alias("b")).select("owner", "name", "b.file", "b.ord")
     rows = facts.where("fact = 'base'").select("file", F.col("of").alias("class_ord"), "ord", "parts", "found", "found_ord", "stars").withColumn("at", F.col("file"))
-    found = walk(rows, ["at", "class_ord", "ord"], imports, steps, classes, size.bases, size.stars).where("outcome = 'def'")
+    found = walk(rows, ["at", "class_ord", "ord"], imports, held, classes, size.bases, size.stars).where("outcome = 'def'")
     named = classes.select(F.col("file").alias("at"), F.col("ord").alias("class_ord"), F.col("owner").alias("derived"))
     ends = classes.select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), F.col("owner").alias("base"))
     return written(found.join(named, ["at", "class_ord"]).join(ends, ["target_file", "target_ord"]).select("derived", "base").where("derived <> base").distinct(), "bases")
 
 
-def value_types(facts: DataFrame, imports: DataFrame, steps: DataFrame, size: Extent, rounds: int | None = None) -> DataFrame:
+def value_types(facts: DataFrame, imports: DataFrame, members: DataFrame, size: Extent, rounds: int | None = None) -> DataFrame:
     """(file, ord, owner): classes, and names whose value is known to be of one class of the tree, with the scope of its members.
 
     A type is told by an annotation or a constructor's call; a name that is assigned another's value, or a function's that
@@ -285,16 +283,14 @@ def value_types(facts: DataFrame, imports: DataFrame, steps: DataFrame, size: Ex
     spread until a round adds none; a type once known stays, so the rounds end.
     """
     classes = class_scopes(facts)
-    cols = ["file", "parts", "found", "found_ord", "stars"]
     split = F.split("type_name", r"\.")
     of_row = F.col("file").alias("at")
     what = F.when(F.col("kind").isin("function", "method", "constructor"), "result").otherwise("def")
     defs = facts.where("fact = 'def' and type_name is not null").select(what.alias("what"), of_row, "ord", "file", split.alias("parts"), "found", "found_ord", "stars")
     arguments = facts.where("fact = 'argument' and type_name is not null").select(F.lit("argument").alias("what"), of_row, "ord", "file", split.alias("parts"), "found", "found_ord", "stars")
-    callee = facts.where("fact = 'ref' and parts is not null and found in ('def', 'import', 'star')").select(of_row, (F.col("ord") + 1).alias("ord"), *cols)
-    calls = facts.where("fact = 'call' and name is not null").select(F.col("file").alias("at"), "ord")
-    rows = defs.unionByName(arguments).unionByName(callee.join(calls, ["at", "ord"], "left_semi").withColumn("what", F.lit("call")))
-    told = walk(rows, ["what", "at", "ord"], imports, steps, classes, max(size.refs, size.types), size.stars).where("outcome = 'def'")
+    calls = facts.where("fact = 'call' and name is not null").select(F.lit("call").alias("what"), of_row, "ord", "file", F.split("name", r"\.").alias("parts"), "found", "found_ord", "stars")
+    rows = defs.unionByName(arguments).unionByName(calls).where("found in ('def', 'import', 'star')")
+    told = walk(rows, ["what", "at", "ord"], imports, members, classes, max(size.refs, size.types), size.stars).where("outcome = 'def'")
     told = told.join(classes.select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), "owner"), ["target_file", "target_ord"], "left")
     told = written(told.select("what", "at", "ord", "target_file", "target_ord", "owner"), "types")
 
@@ -327,22 +323,24 @@ def value_types(facts: DataFrame, imports: DataFrame, steps: DataFrame, size: Ex
     return classes.unionByName(known.where("what = 'def'").drop("what"))
 
 
-def resolved(facts: DataFrame) -> Resolved:
-    """All that the references of a tree lead to, with the tables on the way. ``facts`` should be a written table."""
+def resolved(facts: DataFrame, keep: bool = True) -> Resolved:
+    """All that the references of a tree lead to, with the tables on the way. ``facts`` should be a written table.
+
+    Without ``keep`` the references aren't written out, for those who read them once.
+    """
     size = extent(facts)
     modules = written(module_names(facts.where("fact = 'scope' and parent is null").select("file")), "modules")
     imports, starred = _imports(facts, modules, size.stars)
     direct = written(direct_members(facts, imports, modules, starred), "direct")
     bases = class_bases(facts, imports, direct, size)
     owned = written(members(facts, direct, bases), "members")
-    types = written(value_types(facts, imports, _steps(owned, class_scopes(facts)), size), "typed")
-    steps = written(_steps(owned, types), "steps")
+    types = written(value_types(facts, imports, owned, size), "typed")
     every = facts.where("fact = 'ref'").select("file", "ord", "line", "col", "name", "kind", "scope", "holder", "parts", "found", "found_ord", "stars").withColumn("at", F.col("file"))
     keys = ["at", "ord", "line", "col", "name", "kind", "scope", "holder"]
-    ends = walk(every.where("found is not null"), keys, imports, steps, types, size.refs, size.stars)
+    ends = walk(every.where("found is not null"), keys, imports, owned, types, size.refs, size.stars)
     lost = every.where("found is null").select(*keys, F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("target_file"), F.lit(None).cast("int").alias("target_ord"))
     out = ends.unionByName(lost).select(F.col("at").alias("file"), *keys[1:], F.coalesce("outcome", F.lit("unresolved")).alias("outcome"), F.when(F.col("outcome").isNotNull(), F.col("target_file")).alias("target_file"), F.when(F.col("outcome").isNotNull(), F.col("target_ord")).alias("target_ord"))
-    return Resolved(imports, bases, owned, types, written(out, "references"))
+    return Resolved(imports, bases, owned, types, written(out, "references") if keep else out)
 
 
 def resolve_references(facts: DataFrame) -> DataFrame:

@@ -54,7 +54,13 @@ def _dir(key):
 
 
 #: Files that one task parses.
-FILES_A_TASK = 2000
+FILES_A_TASK = 4000
+#: Facts and columns that names are resolved by.
+RESOLVED = ("scope", "def", "ref", "import", "base", "call", "argument")
+COLUMNS = (
+    "file", "fact", "scope", "parent", "body", "kind", "name", "module", "imported", "parts", "type_name", "text", "line", "col", "end_line", "end_col",
+    "ord", "owner", "binds", "found", "found_ord", "stars", "holder", "of", "place",
+)
 
 
 def tree(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
@@ -89,14 +95,15 @@ def key_of(file):
     return F.regexp_extract(file, r"(\d+)\.py$", 1).cast("long")
 
 
-def facts_of(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
-    """Facts of the tree as a written table; ``only`` those of these kinds, if any are named."""
-    return written(python_facts(tree(spark, sf_dir, spread=True), only or None), "facts")
+def facts_of(spark: SparkSession, sf_dir: str, *only: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Facts of the tree as a written table, each kind in its own files; ``only`` these kinds, with ``COLUMNS`` and ``more``."""
+    return written(python_facts(tree(spark, sf_dir, spread=True), only or RESOLVED, COLUMNS + more), "facts", by="fact")
 
 
-def known_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Resolved]:
-    facts = facts_of(spark, sf_dir)
-    return facts, resolved(facts)
+def known_of(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> tuple[DataFrame, Resolved]:
+    """Facts and what their names lead to; each query reads the references once."""
+    facts = facts_of(spark, sf_dir, more=more)
+    return facts, resolved(facts, keep=False)
 
 
 def edges_of(known: Resolved) -> DataFrame:
@@ -149,7 +156,8 @@ def q55_definitions_across_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("""SELECT p_partkey AS p, CAST(8 AS BIGINT) AS defs, CAST(4 AS BIGINT) AS exports, CAST(CASE WHEN p_partkey > 0 THEN 22 ELSE 17 END AS BIGINT) AS refs, CAST(4 AS BIGINT) AS functions, CAST(4 AS BIGINT) AS longest, 2.8 AS mean_length, CAST(1 AS BIGINT) AS depth, CAST(1 AS BIGINT) AS branches FROM part""".replace("2.8", "CAST(2.8 AS DOUBLE)"))
 def q56_file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = codemap.file_facts(python_facts(tree(spark, sf_dir, spread=True)))
+    columns = ("file", "fact", "scope", "kind", "name", "line", "end_line", "depth", "branches")
+    found = codemap.file_facts(python_facts(tree(spark, sf_dir, spread=True), ("scope", "def", "ref"), columns))
     return found.select(key_of(F.col("file")).alias("p"), *[c for c in found.columns if c != "file"])
 
 
@@ -184,7 +192,7 @@ def q60_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("""WITH RECURSIVE t AS (SELECT p_partkey AS p, p_partkey // 2 AS base, 1 AS dist FROM part WHERE p_partkey > 0 UNION ALL SELECT p, base // 2, dist + 1 FROM t WHERE base > 0) SELECT p, base, CAST(dist AS INTEGER) AS dist FROM t""")
 def q61_type_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = facts_of(spark, sf_dir, "scope", "def", "import", "base")
+    facts = facts_of(spark, sf_dir, "scope", "def", "import", "base", more=("path",))
     found = codemap.ancestors_of_types(facts, resolve_imports(facts))
     number = lambda c: F.regexp_extract(c, r"Thing(\d+)$", 1).cast("long")
     return found.select(number("derived").alias("p"), number("base").alias("base"), "dist")
@@ -192,7 +200,7 @@ def q61_type_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("""WITH RECURSIVE t AS (SELECT p_partkey AS p, p_partkey // 2 AS base FROM part WHERE p_partkey > 0 UNION ALL SELECT p, base // 2 FROM t WHERE base > 0) SELECT base, 'run' AS method, CAST(count(*) AS BIGINT) AS below FROM t GROUP BY base""")
 def q62_implementations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = facts_of(spark, sf_dir, "scope", "def", "import", "base")
+    facts = facts_of(spark, sf_dir, "scope", "def", "import", "base", more=("path",))
     found = codemap.implementations(facts, resolve_imports(facts))
     return found.groupBy(F.regexp_extract("base", r"Thing(\d+)$", 1).cast("long").alias("base"), "method").agg(F.count("*").alias("below"))
 

@@ -88,7 +88,7 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = packages(spark, sf_dir)
-    return written(python_facts(files.repartition(max(1, min(64, spark.sparkContext.defaultParallelism)))), "facts")
+    return written(python_facts(files.repartition(max(1, min(64, spark.sparkContext.defaultParallelism)))), "facts", by="fact")
 
 
 def supplier_of(file):

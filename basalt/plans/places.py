@@ -27,7 +27,7 @@ def points_of(spark: SparkSession, sf_dir: str, lines: tuple[int, int], cols: tu
 FROM q, LATERAL (SELECT unnest(range(8, 71)) AS c) AS u LEFT JOIN n ON n.p = q.p AND n.a <= u.c AND u.c <= n.z""")
 def q78_goto_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands at each column of the line with most names of each file, and where it is defined."""
-    facts, known = known_of(spark, sf_dir)
+    facts, known = known_of(spark, sf_dir, more=("name_line", "name_col"))
     points = points_of(spark, sf_dir, (16, 16), (8, 70)).where(~F.col("file").endswith("/mod0.py"))
     found = positions.definitions_at(points, facts, known.references, known.imports)
     return found.select(key_of(F.col("file")).alias("p"), F.col("at_col").alias("col"), "symbol", "reason", key_of(F.col("target_file")).alias("target"), "target_line", "target_col")

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.signatures import signature_parts
 from ..operators.filetree import compacted
 from ..operators.highlights import spans
-from ..operators.resolve import resolved
 from ..sources.outlines import outlines
 from .base import Registry, table
-from .code import facts_of, key_of
+from .code import key_of, known_of
 
 R = Registry()
 
@@ -55,8 +54,8 @@ def q92_compact_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p, CAST(k.col_ AS INTEGER) AS col, CAST(k.len AS INTEGER) AS length, CAST(k.kind AS INTEGER) AS kind FROM q, LATERAL (VALUES (16, l1, 0), (17 + l1, 1, 2), (22 + l1, 3, 0), (26 + l1, l2, 0), (32 + l1 + l2, 4, 0), (40 + l1 + l2, 5, 0)) AS k(col_, len, kind)""")
 def q93_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coloured spans of the line with most names of each file of the generated tree."""
-    facts = facts_of(spark, sf_dir)
-    found = spans(facts, resolved(facts).references).where("line = 16 and not endswith(file, '/mod0.py')")
+    facts, known = known_of(spark, sf_dir, more=("name_line", "name_col"))
+    found = spans(facts, known.references).where("line = 16 and not endswith(file, '/mod0.py')")
     return found.select(key_of(F.col("file")).alias("p"), "col", "length", "kind")
 
 

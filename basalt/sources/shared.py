@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OPEN = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary folder; others must set it."""
     sc = spark.sparkContext
@@ -29,16 +32,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, label: str = "step") -> DataFrame:
+#: Files of a partitioned table that one task holds open; with more values in a task, its rows are sorted by them.
+OPEN_FILES = 16
+
+
+def written(df: DataFrame, label: str = "step", by: str | None = None) -> DataFrame:
     """``df`` written once and read back: its lineage ends there, so plans of loops stay short and survive lost executors.
 
-    Files go when the process ends, or by ``forgotten`` once nothing reads them any more.
+    ``by`` is a column of few values, each of which gets its own files, so that only those asked for are read. Files go when
+    the process ends, or by ``forgotten`` once nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    if by is None:
+        df.write.option("compression", "zstd").parquet(path)
+    else:
+        before = spark.conf.get(_OPEN, None)
+        spark.conf.set(_OPEN, OPEN_FILES)
+        try:
+            df.write.option("compression", "zstd").partitionBy(by).parquet(path)
+        finally:
+            spark.conf.unset(_OPEN) if before is None else spark.conf.set(_OPEN, before)
     atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(df.columns)
     out._written_to = path
     return out
 
