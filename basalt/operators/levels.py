@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, dirname
+from ..sources.shared import written
 
 #: Files and folders that a graph has at most.
 FILES, DIRS = 400, 200
@@ -39,7 +40,7 @@ def level_graph(edges: DataFrame, files: DataFrame, expanded: DataFrame, focus:
     become nodes. Of more than ``most_files`` files or ``most_dirs`` folders those with most edges (files) or most files
     (folders) are kept, then by name, and the edges between kept nodes.
     """
-    shown = shown_as(files, expanded, focus, level, nested)
+    shown = written(shown_as(files, expanded, focus, level, nested), "shown")
     end = lambda side: shown.select(F.col("file").alias(side), F.col("node").alias(f"{side}_node"), F.col("kind").alias(f"{side}_kind"))
     met = edges.join(end("src"), "src").join(end("dst"), "dst").where("src_node <> dst_node or src_kind <> dst_kind")
     rolled = met.groupBy(F.col("src_node").alias("src"), "src_kind", F.col("dst_node").alias("dst"), "dst_kind").agg(F.sum("imports").alias("imports"), F.sum("refs").alias("refs"))
@@ -54,11 +55,17 @@ def level_graph(edges: DataFrame, files: DataFrame, expanded: DataFrame, focus:
     if outside is not None and external > 0:
         used = outside.groupBy("package").agg(F.count_distinct("file").alias("files"), F.count("*").alias("n")).orderBy(F.desc("files"), F.desc("n"), "package").limit(external)
         nodes = nodes.unionByName(used.select(F.col("package").alias("node"), F.lit("external").alias("kind"), F.lit(0).alias("depth"), "files"))
-        brought = outside.join(used.select("package"), "package").select("file", "package").distinct().join(shown, "file")
+        brought = outside.join(F.broadcast(used.select("package")), "package").select("file", "package").distinct().join(shown, "file")
         rolled = rolled.unionByName(brought.groupBy(F.col("node").alias("src"), F.col("kind").alias("src_kind"), F.col("package").alias("dst"), F.lit("external").alias("dst_kind")).agg(F.count("*").alias("imports"), F.lit(0).cast("long").alias("refs")))
+    rolled = written(rolled, "rolled")
     ends = rolled.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("src_kind").alias("kind"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("node"), F.col("dst_kind").alias("kind"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
     degree = ends.groupBy("e.node", "e.kind").agg(F.sum("e.i").alias("inbound"), F.sum("e.o").alias("outbound"))
     nodes = nodes.join(degree, ["node", "kind"], "left").select("node", "kind", "depth", "files", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("inbound", "outbound")])
+    nodes = written(nodes, "nodes")
+    # only where there are more than may be kept is there anything to sort
+    number = {r["kind"]: r["count"] for r in nodes.groupBy("kind").count().collect()}
+    if number.get("file", 0) <= most_files and number.get("dir", 0) <= most_dirs:
+        return nodes, rolled.select("src", "src_kind", "dst", "dst_kind", "imports", "refs")
     first = nodes.where("kind = 'file'").orderBy(F.desc(F.col("inbound") + F.col("outbound")), "node").limit(most_files)
     widest = nodes.where("kind = 'dir'").orderBy(F.desc("files"), "node").limit(most_dirs)
     nodes = first.unionByName(widest).unionByName(nodes.where("kind = 'external'"))
