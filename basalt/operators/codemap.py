@@ -106,10 +106,16 @@ def coverage(references: DataFrame) -> DataFrame:
     return references.groupBy("kind", "outcome").agg(F.count("*").alias("n"))
 
 
-def _hierarchy(facts: DataFrame, imports: DataFrame | None) -> DataFrame:
+def _hierarchy(facts: DataFrame, imports: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(derived, base, dist) of classes by number, and the numbers (owner, number) of their scopes: of the many pairs only these go about."""
     modules = written(module_names(facts.where("fact = 'scope' and parent is null").select("file")))
     imports = resolve_imports(facts, modules) if imports is None else imports
-    return inherited(class_bases(facts, imports, direct_members(facts, imports, modules), extent(facts)))
+    bases = class_bases(facts, imports, direct_members(facts, imports, modules), extent(facts))
+    numbers = bases.select(F.explode(F.array("derived", "base")).alias("owner")).distinct()
+    numbers = written(numbers.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    for side in ("derived", "base"):
+        bases = bases.join(numbers.withColumnRenamed("owner", side), side).drop(side).withColumnRenamed("number", side)
+    return inherited(bases), numbers
 
 
 def ancestors_of_types(facts: DataFrame, imports: DataFrame | None = None, depth: int | None = None) -> DataFrame:
@@ -117,20 +123,23 @@ def ancestors_of_types(facts: DataFrame, imports: DataFrame | None = None, depth
 
     ``depth`` is how far up to go.
     """
-    above = _hierarchy(facts, imports)
+    above, numbers = _hierarchy(facts, imports)
     above = above if depth is None else above.where(F.col("dist") <= depth)
-    names = facts.where("fact = 'def' and kind = 'class'").select(F.col("body").alias("_scope"), F.concat_ws(":", "file", "path").alias("_name"))
+    names = facts.where("fact = 'def' and kind = 'class'").select(F.col("body").alias("owner"), F.concat_ws(":", "file", "path").alias("_name"))
+    names = written(names.join(numbers, "owner").select("number", "_name"), "names")
     for side in ("derived", "base"):
-        above = above.join(names, F.col(side) == F.col("_scope")).withColumn(side, F.col("_name")).drop("_scope", "_name")
+        above = above.join(names, F.col(side) == F.col("number")).withColumn(side, F.col("_name")).drop("number", "_name")
     return above.select("derived", "base", "dist")
 
 
 def implementations(facts: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """(base, method, derived): methods of a class that a class below it defines anew; classes as file:dotted name."""
     names = class_scopes(facts).join(facts.where("fact = 'def' and kind = 'class'").select("file", "ord", F.concat_ws(":", "file", "path").alias("of")), ["file", "ord"]).select("owner", "of")
-    methods = facts.where("fact = 'def' and kind = 'method' and binds").select("owner", F.col("name").alias("method")).join(names, "owner")
-    side = lambda c: methods.select(F.col("owner").alias(c), "method", F.col("of").alias(f"{c}_name"))
-    return _hierarchy(facts, imports).join(side("base"), "base").join(side("derived"), ["derived", "method"]).select(F.col("base_name").alias("base"), "method", F.col("derived_name").alias("derived"))
+    above, numbers = _hierarchy(facts, imports)
+    methods = facts.where("fact = 'def' and kind = 'method' and binds").select("owner", F.col("name").alias("method")).join(names, "owner").join(numbers, "owner")
+    methods = written(methods.select("number", "method", "of"), "methods")
+    side = lambda c: methods.select(F.col("number").alias(c), "method", F.col("of").alias(f"{c}_name"))
+    return above.join(side("base"), "base").join(side("derived"), ["derived", "method"]).select(F.col("base_name").alias("base"), "method", F.col("derived_name").alias("derived"))
 
 
 def argument_flow(facts: DataFrame, references: DataFrame) -> DataFrame:
