@@ -200,7 +200,8 @@ def direct_members(facts: DataFrame, imports: DataFrame, modules: DataFrame, sta
 
     ``ord`` is null where the member is a module.
     """
-    own = facts.where("fact = 'def' and binds").select("owner", "name", "file", "ord", F.lit(0).alias("rank"))
+    # parameters are held by functions, whose names no chain can ask for
+    own = facts.where("fact = 'def' and binds and kind <> 'parameter'").select("owner", "name", "file", "ord", F.lit(0).alias("rank"))
     brought = imports.where("kind <> 'star' and target_file is not null").where(F.col("scope") == module_scope()).select(F.col("scope").alias("owner"), "name", F.col("target_file").alias("file"), F.col("target_ord").alias("ord"), F.lit(1).alias("rank"))
     inside = modules.where("instr(module, '.') > 0").select(F.regexp_replace("module", r"\.[^.]*$", "").alias("module"), F.regexp_extract("module", r"[^.]*$", 0).alias("name"), F.col("file").alias("sub"))
     below = inside.join(modules, "module").where(F.col("file").endswith("__init__.py")).select(module_scope().alias("owner"), "name", F.col("sub").alias("file"), F.lit(None).cast("int").alias("ord"), F.lit(2).alias("rank"))
