@@ -1,21 +1,34 @@
 """Token ids of whole texts from a public BPE tokenizer, with a bounded cache of words.
 
 The tokenizer lower-cases, drops white space and encodes each word by itself, so a text's ids are the ids of its words
-in order. Words of plain letters, digits and signs below U+0250 are split here and given to the tokenizer's model
-directly; all others go through the tokenizer as a whole. Texts that hold one of its special tokens, or characters that
-only one side takes as white space, are encoded undivided.
+in order. Texts of plain letters, digits and signs below U+0250 are split here and their words given to the tokenizer's
+model directly, each once, whatever its case and the signs around it; in other texts this holds of what stands between
+white space and is plain, and the rest goes through the tokenizer as a whole. Texts that hold one of its special tokens,
+or characters that only one side takes as white space, are encoded undivided.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 
 import regex
 
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\x7e¡-įı-ɏ]+")
-_UNDIVIDED = re.compile(r"<\||[\x1c-\x1f]")
+_PLAIN_TEXT = re.compile(r"[\t-\r\x20-\x7e¡-įı-ɏ]*")
+
+
+def _class(first: str) -> str:
+    """Characters of plain texts, in lower case, whose category begins with ``first``."""
+    return "".join(sorted({low for k in range(0x21, 0x250) if len(low := chr(k).lower()) == 1 and unicodedata.category(low)[0] == first}))
+
+
+#: The same split as ``_WORDS`` for plain texts in lower case, by ``re``, which is faster.
+_PLAIN_WORDS = re.compile(rf"[{_class('L')}]+|'(?:[stmd]|re|ve|ll)|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+")
+_ASCII_WORDS = re.compile(r"[a-z]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\sa-z0-9]+")
+_UNDIVIDED = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,7 +72,7 @@ class WordCache:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+        shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self._letters)
         return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
@@ -69,6 +82,9 @@ class WordCache:
         return self._word(low) if low.isalpha() else b"".join(map(self._words.__getitem__, _WORDS.findall(low)))
 
     def encode(self, text: str) -> bytes:
-        if _UNDIVIDED.search(text):
+        if any(map(text.__contains__, _UNDIVIDED)):
             return self._whole(text)
+        if text.isascii() or _PLAIN_TEXT.fullmatch(text):
+            words = _ASCII_WORDS if text.isascii() else _PLAIN_WORDS
+            return b"".join(map(self._words.__getitem__, words.findall(text.lower())))
         return b"".join(map(self._chunks.__getitem__, text.split()))

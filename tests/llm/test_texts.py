@@ -53,6 +53,18 @@ def test_word_cache_equals_the_tokenizer(docs):
         assert cache.encode(x) == array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
 
 
+def test_words_of_plain_texts_are_encoded_once():
+    t, cache = tokenizer(), WordCache(packing.default_tokenizer())
+    asked, make = [], cache._words._make
+    cache._words._make = lambda word: asked.append(word) or make(word)
+    for x in ("Thrennish, thrennish. THRENNISH! (thrennish)", "thrennish Ünd ünd, thrennish's"):
+        assert cache.encode(x) == array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
+    assert asked.count("thrennish") == asked.count("ünd") == 1 and not cache._chunks
+    for k in range(0x250):
+        for x in (f"a{chr(k)}b 1{chr(k)}", f"'{chr(k)}{chr(k)}"):
+            assert cache.encode(x) == array("I", t.encode(x, add_special_tokens=False).ids).tobytes(), hex(k)
+
+
 def check_packing(rows, wanted):
     """``wanted``: multiset of the id lists of all documents."""
     t = defaultdict(list)
