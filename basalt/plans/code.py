@@ -61,6 +61,8 @@ COLUMNS = (
     "file", "fact", "scope", "parent", "body", "kind", "name", "module", "imported", "parts", "type_name", "text", "line", "col", "end_line", "end_col",
     "ord", "owner", "binds", "found", "found_ord", "stars", "holder", "of", "place",
 )
+#: Columns that imports alone are resolved by.
+OF_IMPORTS = ("file", "fact", "scope", "parent", "kind", "name", "module", "imported", "ord", "binds")
 
 
 def tree(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
@@ -95,9 +97,9 @@ def key_of(file):
     return F.regexp_extract(file, r"(\d+)\.py$", 1).cast("long")
 
 
-def facts_of(spark: SparkSession, sf_dir: str, *only: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """Facts of the tree as a written table, each kind in its own files; ``only`` these kinds, with ``COLUMNS`` and ``more``."""
-    return written(python_facts(tree(spark, sf_dir, spread=True), only or RESOLVED, COLUMNS + more), "facts", by="fact")
+def facts_of(spark: SparkSession, sf_dir: str, *only: str, more: tuple[str, ...] = (), columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """Facts of the tree as a written table, each kind in its own files; ``only`` these kinds, with ``columns`` and ``more``."""
+    return written(python_facts(tree(spark, sf_dir, spread=True), only or RESOLVED, columns + more), "facts", by="fact")
 
 
 def known_of(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> tuple[DataFrame, Resolved]:
@@ -123,7 +125,7 @@ CAST(coalesce((SELECT sum(imports + refs) FROM e WHERE dst = p_partkey), 0) AS B
 
 @R.add("""SELECT p_partkey AS p, CAST(k.name AS VARCHAR) AS name, k.outcome AS outcome, k.target AS target FROM part, LATERAL (VALUES ('Other', 'def', p_partkey // 2), ('helper' || (p_partkey // 2), 'def', p_partkey // 2), ('far', 'module', p_partkey // 3), ('os', 'external', NULL)) AS k(name, outcome, target) WHERE p_partkey > 0""")
 def q52_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolve_imports(facts_of(spark, sf_dir, "scope", "def", "import"))
+    found = resolve_imports(facts_of(spark, sf_dir, "scope", "def", "import", columns=OF_IMPORTS))
     return found.select(key_of(F.col("file")).alias("p"), "name", "outcome", key_of(F.col("target_file")).alias("target"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basalt.operators import codemap, levels
 from basalt.operators.resolve import resolve_imports
+from basalt.sources import python_facts as python_facts_module
 from basalt.sources.python_facts import extract_python, python_facts
 from basalt.sources.shared import written
 
@@ -29,6 +30,24 @@ def test_calls_know_what_binds_them():
     assert [(c["name"], c["found"]) for c in calls] == [("B", "def")]
 
 
+def test_parser_makes_only_the_rows_that_are_asked_for(monkeypatch):
+    text = "import os\nfrom a import A as B\nclass C(B):\n    'Doc.'\n    def run(self, x: B = 1):\n        self.y = B(x, k=[z.n for z in x])\n        return lambda q: os.path.join(q[0], x.y.z) if (w := x) else w\n"
+    whole = extract_python("c.py", text)
+    for only in (("scope", "def", "import"), ("def",), ("ref",), ("argument",), ("call", "literal", "base")):
+        assert extract_python("c.py", text, frozenset(only)) == [r for r in whole if r["fact"] in only]
+    made, empty = [], python_facts_module._EMPTY
+
+    class Counted(dict):
+        def copy(self):
+            made.append(1)
+            return dict(self)
+
+    monkeypatch.setattr(python_facts_module, "_EMPTY", Counted(empty))
+    monkeypatch.setattr(python_facts_module, "complexity", None)
+    rows = extract_python("c.py", text, frozenset(("scope", "def", "import")), frozenset(("file", "fact", "ord")))
+    assert len(made) == len(rows) < len(whole)
+
+
 def test_hierarchy_goes_by_numbers(spark):
     facts = written(_facts(spark), "facts", by="fact")
     above, _ = codemap._hierarchy(facts, resolve_imports(facts))
