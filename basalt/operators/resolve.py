@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from ..sources.python_facts import BUILTINS
 from ..sources.shared import written
 
-#: Segments of member chains that are joined before what is left is written out.
-UNROLL = 6
-
 
 class Resolved(NamedTuple):
     """``imports``, ``bases`` (derived, base: scopes of classes), ``types`` (file, ord, owner), ``members`` and ``references``."""
@@ -43,6 +40,20 @@ def resolve_names(facts: DataFrame) -> DataFrame:
     return refs.join(modules, ["file", "target"], "left").select("file", "ref_ord", "name", "found", "target", "module")
 
 
+def told_in_file(facts: DataFrame, column: str) -> Column:
+    """A column of what the parser has settled within the file; null where the facts don't have it, so that joins tell."""
+    return (F.col(column) if column in facts.columns else F.lit(None).cast("boolean" if column in ("alone", "inner") else "string" if column == "body" else "int")).alias(column)
+
+
+def _settled(facts: DataFrame) -> tuple[Column, Column]:
+    return told_in_file(facts, "settled"), told_in_file(facts, "settled_body")
+
+
+def _owner_settled(file: str = "file") -> Column:
+    """Scope of the class to which a chain leads within its file."""
+    return F.when(F.col("settled_body").isNotNull(), F.concat(F.col(file), F.lit("#"), F.col("settled_body").cast("string")))
+
+
 def module_names(files: DataFrame) -> DataFrame:
     """(module, file): the dotted names under which the files of a tree (``file``) can be imported; ``src`` may be left out."""
     path = F.regexp_replace(F.regexp_replace("file", r"\.pyi?$", ""), r"(^|/)__init__$", "")
@@ -69,7 +80,7 @@ def resolve_imports(facts: DataFrame, modules: DataFrame | None = None) -> DataF
     """
     if modules is None:
         modules = written(module_names(facts.where("fact = 'scope' and parent is null").select("file")))
-    return _imports(facts, modules)[0]
+    return _imports(facts, modules)[0].drop("alone")
 
 
 def _starred(stars: DataFrame, exports: DataFrame) -> DataFrame | None:
@@ -105,23 +116,35 @@ def _imports(facts: DataFrame, modules: DataFrame, has_stars: bool = True) -> tu
     """``resolve_imports``, and what modules hold through stars."""
     exports = facts.where((F.col("fact").isin("def", "import")) & F.col("binds") & (F.col("scope") == module_scope()) & (F.col("kind") != "property"))
     exports = exports.select(F.col("file").alias("module_file"), F.col("name").alias("imported"), "fact", F.col("file").alias("met_file"), F.col("ord").alias("met_ord"))
-    imports = facts.where("fact = 'import'").select("file", "ord", "name", "kind", "scope", "imported", absolute(F.col("file"), F.col("module")).alias("module"))
-    member = F.when(F.col("kind") == "named", F.concat_ws(".", F.when(F.col("module") != "", F.col("module")), "imported"))
+    named = F.col("kind") == "named"
+    # the scope of most imports is the module's, which the file tells
+    imports = facts.where("fact = 'import'").select("file", "ord", "name", "kind", F.when(F.col("scope") == module_scope(), "").otherwise(F.col("scope")).alias("scope"), told_in_file(facts, "alone"), "imported", absolute(F.col("file"), F.col("module")).alias("module"))
+    # only what begins like a module of the tree is looked for
+    tops = written(modules.select(F.split_part("module", F.lit("."), F.lit(1)).alias("top")).distinct().withColumn("known", F.lit(True)), "tops")
+    first = F.when((F.col("module") == "") & named, F.col("imported")).otherwise(F.col("module"))
+    imports = imports.withColumn("top", F.split_part(first, F.lit("."), F.lit(1))).join(tops, "top", "left").drop("top")
     at_module = modules.select("module", F.col("file").alias("module_file"))
+    starred = None
+    if has_stars:
+        stars = written(imports.where("known and kind = 'star' and scope = ''").join(at_module, "module").select(F.col("file").alias("importer"), F.col("ord").alias("star"), "module_file"), "stars")
+        starred = None if stars.isEmpty() else _starred(stars, exports)
+    every = exports if starred is None else exports.unionByName(starred)
+    nothing = {"fact": F.lit(None).cast("string"), "met_file": F.lit(None).cast("string"), "met_ord": F.lit(None).cast("int")}
+    found = imports.where(F.col("known") & named).join(at_module, "module", "left").join(every, ["module_file", "imported"], "left")
+    whole = imports.where(F.col("known") & ~named).join(at_module, "module", "left").withColumns(nothing)
+    outside = imports.where("known is null").withColumns({"module_file": F.lit(None).cast("string")} | nothing)
+    met = written(found.unionByName(whole).unionByName(outside), "met")
+    # a submodule is asked for only where its package defines no such name
+    asks = F.coalesce(F.col("known") & named & ~F.col("fact").eqNullSafe("def"), F.lit(False))
+    member = F.concat_ws(".", F.when(F.col("module") != "", F.col("module")), "imported")
     at_member = modules.select(F.col("module").alias("member"), F.col("file").alias("member_file"))
-    tops = modules.select(F.split_part("module", F.lit("."), F.lit(1)).alias("top")).distinct().withColumn("of_tree", F.lit(True))
-    placed = imports.withColumns({"member": member, "top": F.split_part("module", F.lit("."), F.lit(1))}).join(at_module, "module", "left").join(at_member, "member", "left").join(tops, "top", "left")
-    placed = written(placed, "placed") if has_stars else placed
-    stars = placed.where((F.col("kind") == "star") & F.col("module_file").isNotNull() & (F.col("scope") == module_scope())).select(F.col("file").alias("importer"), F.col("ord").alias("star"), "module_file")
-    starred = _starred(stars, exports) if has_stars and not stars.isEmpty() else None
-    met = placed.join(exports if starred is None else exports.unionByName(starred), ["module_file", "imported"], "left")
-    named = F.col("kind") == "named"
+    asked = written(met.where(asks).withColumn("member", member).join(at_member, "member", "left").drop("member"), "asked")
+    met = met.where(~asks).withColumn("member_file", F.lit(None).cast("string")).unionByName(asked).withColumn("of_tree", F.when(F.col("module") != "", F.col("known")))
     whole = F.when(named, F.col("member_file")).otherwise(F.col("module_file"))
     hops = met.select(
-        "file", "ord", "name", "kind", "scope", "module", "of_tree", whole.alias("whole"), F.when(named & (F.col("fact") == "def"), F.col("met_file")).alias("def_file"), F.when(named & (F.col("fact") == "def"), F.col("met_ord")).alias("def_ord"),
+        "file", "ord", "name", "kind", "scope", "alone", "module", "of_tree", whole.alias("whole"), F.when(named & (F.col("fact") == "def"), F.col("met_file")).alias("def_file"), F.when(named & (F.col("fact") == "def"), F.col("met_ord")).alias("def_ord"),
         F.when(named & F.col("module_file").isNull() | ~named, whole).alias("sub_file"), F.when(named & (F.col("fact") == "import"), F.col("met_file")).alias("next_file"), F.when(named & (F.col("fact") == "import"), F.col("met_ord")).alias("next_ord"),
     )
-    hops = written(hops, "imports")
     going = hops.where("next_file is not null").select("file", "ord", "def_file", "def_ord", "sub_file", "next_file", "next_ord")
     n = going.count()
     ended = None
@@ -144,7 +167,8 @@ def _imports(facts: DataFrame, modules: DataFrame, has_stars: bool = True) -> tu
         hops = hops.join(through, ["file", "ord"], "left").withColumns({"def_file": F.coalesce("def_file", "d"), "def_ord": F.coalesce("def_ord", "o"), "sub_file": F.coalesce("sub_file", "s")})
     whole = F.when(F.col("kind") != "named", F.col("whole")).otherwise(F.coalesce("sub_file", "whole"))
     outcome = F.when(F.col("def_ord").isNotNull(), "def").when(whole.isNotNull(), "module").when(F.col("of_tree"), "missing").otherwise("external")
-    out = hops.select("file", "ord", "name", "kind", "scope", "module", outcome.alias("outcome"), F.coalesce("def_file", whole).alias("target_file"), F.col("def_ord").alias("target_ord"))
+    scope = F.when(F.col("scope") == "", module_scope()).otherwise(F.col("scope"))
+    out = hops.select("file", "ord", "name", "kind", scope.alias("scope"), "module", outcome.alias("outcome"), F.coalesce("def_file", whole).alias("target_file"), F.col("def_ord").alias("target_ord"), "alone")
     return (written(out, "resolved-imports") if ended is not None else out), starred
 
 
@@ -155,11 +179,11 @@ def walk(rows: DataFrame, keys: list[str], imports: DataFrame, members: DataFram
     the name. Each further segment is a member of what the chain has come to: ``members`` (owner, name, file, ord).
     ``owners`` (file, ord, owner) tells which scope holds the members of a definition: only of those that a chain goes on
     from, not of every member. A chain whose segment
-    isn't found has no outcome. ``longest`` is the most segments of a chain, ``stars`` whether there are star imports.
+    isn't found has no outcome. Rows with a ``settled`` definition of their file need no join. ``longest`` is the most segments of a chain, ``stars`` whether there are star imports.
     """
     via = imports.select(F.col("file").alias("_file"), F.col("ord").alias("_ord"), F.col("outcome").alias("_out"), F.col("target_file").alias("_tf"), F.col("target_ord").alias("_to"))
     steps = members.select("owner", F.col("name").alias("segment"), F.col("file").alias("to_file"), F.col("ord").alias("to_ord"))
-    kept = rows.select(*keys, "file", "parts", "found", "found_ord", "stars")
+    kept = (rows.where("settled is null") if "settled" in rows.columns else rows).select(*keys, "file", "parts", "found", "found_ord", "stars")
     # what the file itself says needs no join; only names that an import binds go to the imports
     own = F.when(F.col("found") == "def", F.col("file")), F.when(F.col("found") == "def", F.col("found_ord"))
     start = kept.where("found = 'def' or found = 'builtin'").select(*keys, "parts", F.when(F.col("found") == "def", "def").otherwise("external").alias("outcome"), own[0].alias("at_file"), own[1].alias("at_ord"))
@@ -173,21 +197,32 @@ def walk(rows: DataFrame, keys: list[str], imports: DataFrame, members: DataFram
         best = each.groupBy(*keys, "parts").agg(F.min_by(F.struct(told.alias("outcome"), "to_file", "to_ord"), F.struct(F.col("to_file").isNull(), told.isNull(), "_n")).alias("b"))
         held = F.when(F.col("parts")[0].isin(*sorted(BUILTINS)), "external")  # what no star has, Python may hold itself
         start = start.unionByName(best.select(*keys, "parts", F.coalesce("b.outcome", held).alias("outcome"), F.col("b.to_file").alias("at_file"), F.col("b.to_ord").alias("at_ord")))
-    of = owners.select(F.col("file").alias("at_file"), F.col("ord").alias("at_ord"), F.col("owner").alias("of_owner"))
-    short = start.where("size(parts) = 1 or outcome is null or outcome not in ('def', 'module')").select(*keys, "outcome", F.col("at_file").alias("target_file"), F.col("at_ord").alias("target_ord"))
-    going = start.where("size(parts) > 1 and outcome in ('def', 'module')").join(of, ["at_file", "at_ord"], "left")
-    going = going.select(*keys, "parts", F.lit(1).alias("_at"), F.when(F.col("outcome") == "module", module_scope("at_file")).otherwise(F.col("of_owner")).alias("owner"), "outcome", "at_file", "at_ord")
-    for j in range(1, longest):
-        if j > 1:
-            going = going.join(of, ["at_file", "at_ord"], "left").withColumn("owner", F.when((F.col("_at") == j) & (F.col("outcome") == "module"), module_scope("at_file")).when(F.col("_at") == j, F.col("of_owner"))).drop("of_owner")
-        moved = going.withColumn("segment", F.when(F.col("_at") == j, F.get("parts", F.lit(j)))).join(steps, ["owner", "segment"], "left")
-        on = F.col("segment").isNotNull()
-        outcome = F.when(on, F.when(F.col("to_file").isNotNull(), F.when(F.col("to_ord").isNull(), "module").otherwise("def"))).otherwise(F.col("outcome"))
-        at = F.when(on & F.col("to_file").isNotNull(), F.col("_at") + 1).otherwise(F.col("_at"))
-        going = moved.select(*keys, "parts", at.alias("_at"), F.when(~on, F.col("owner")).alias("owner"), outcome.alias("outcome"), F.when(on, F.col("to_file")).otherwise(F.col("at_file")).alias("at_file"), F.when(on, F.col("to_ord")).otherwise(F.col("at_ord")).alias("at_ord"))
-        if j % UNROLL == 0:
+    target = [F.col("at_file").alias("target_file"), F.col("at_ord").alias("target_ord")]
+    out = start.where("size(parts) = 1").select(*keys, "outcome", *target)
+    if longest > 1:
+        # the few rows with further segments are written at each, so that members and owners are read only by those that need them
+        of = owners.select(F.col("file").alias("at_file"), F.col("ord").alias("at_ord"), "owner")
+        in_module = F.col("owner").endswith("#0")
+        going = start.where("size(parts) > 1").select(*keys, "parts", "outcome", "at_file", "at_ord")
+        for j in range(1, longest):
             going = written(going, "chains")
-    return short.unionByName(going.select(*keys, "outcome", F.col("at_file").alias("target_file"), F.col("at_ord").alias("target_ord")))
+            out = out.unionByName(going.where(f"size(parts) <= {j} or outcome is null or outcome not in ('def', 'module')").select(*keys, "outcome", *target))
+            going = going.where(f"size(parts) > {j} and outcome in ('def', 'module')")
+            of_module, of_def = going.where("outcome = 'module'").withColumn("owner", module_scope("at_file")), going.where("outcome = 'def'")
+            moved = [of_module.withColumn("segment", F.get("parts", F.lit(j))).join(steps.where(in_module), ["owner", "segment"], "left")] if not of_module.isEmpty() else []
+            if not of_def.isEmpty():
+                moved.append(of_def.join(of, ["at_file", "at_ord"], "left").withColumn("segment", F.get("parts", F.lit(j))).join(steps.where(~in_module), ["owner", "segment"], "left"))
+            if not moved:
+                going = None
+                break
+            told = F.when(F.col("to_file").isNotNull(), F.when(F.col("to_ord").isNull(), "module").otherwise("def"))
+            moved = [m.select(*keys, "parts", told.alias("outcome"), F.col("to_file").alias("at_file"), F.col("to_ord").alias("at_ord")) for m in moved]
+            going = moved[0] if len(moved) == 1 else moved[0].unionByName(moved[1])
+        if going is not None:
+            out = out.unionByName(going.select(*keys, "outcome", *target))
+    if "settled" not in rows.columns:
+        return out
+    return out.unionByName(rows.where("settled >= 0").select(*keys, F.lit("def").alias("outcome"), F.col("file").alias("target_file"), F.col("settled").alias("target_ord")))
 
 
 def class_scopes(facts: DataFrame) -> DataFrame:
@@ -196,22 +231,31 @@ def class_scopes(facts: DataFrame) -> DataFrame:
 
 
 def direct_members(facts: DataFrame, imports: DataFrame, modules: DataFrame, starred: DataFrame | None = None) -> DataFrame:
-    """(owner, name, file, ord, rank) of what modules and classes hold themselves; of modules also what they import, and submodules.
+    """(owner, name, file, ord, rank, alone, telling) of what modules and classes hold themselves; of modules also what they import, and submodules.
 
-    ``ord`` is null where the member is a module.
+    ``ord`` is null where the member is a module. ``alone`` tells that its owner has no other member of that name,
+    ``telling`` whether it is a class or may have the type of one (null: perhaps).
     """
-    # parameters are held by functions, whose names no chain can ask for
-    own = facts.where("fact = 'def' and binds and kind <> 'parameter'").select("owner", "name", "file", "ord", F.lit(0).alias("rank"))
-    brought = imports.where("kind <> 'star' and target_file is not null").where(F.col("scope") == module_scope()).select(F.col("scope").alias("owner"), "name", F.col("target_file").alias("file"), F.col("target_ord").alias("ord"), F.lit(1).alias("rank"))
+    # parameters and other names that functions hold can't be asked for by chains
+    own = facts.where("fact = 'def' and binds and kind <> 'parameter'").where(~F.coalesce(told_in_file(facts, "inner"), F.lit(False))).select("owner", "name", "file", "ord", F.lit(0).alias("rank"), told_in_file(facts, "alone"), F.expr("kind = 'class' or type_name is not null and found in ('def', 'import', 'star')").alias("telling"))
+    brought = imports.where("kind <> 'star' and target_file is not null").where(F.col("scope") == module_scope()).select(F.col("scope").alias("owner"), "name", F.col("target_file").alias("file"), F.col("target_ord").alias("ord"), F.lit(1).alias("rank"), told_in_file(imports, "alone"))
     inside = modules.where("instr(module, '.') > 0").select(F.regexp_replace("module", r"\.[^.]*$", "").alias("module"), F.regexp_extract("module", r"[^.]*$", 0).alias("name"), F.col("file").alias("sub"))
-    below = inside.join(modules, "module").where(F.col("file").endswith("__init__.py")).select(module_scope().alias("owner"), "name", F.col("sub").alias("file"), F.lit(None).cast("int").alias("ord"), F.lit(2).alias("rank"))
-    out = own.unionByName(brought).unionByName(below)
+    below = inside.join(modules, "module").where(F.col("file").endswith("__init__.py")).select(module_scope().alias("owner"), "name", F.col("sub").alias("file"), F.lit(None).cast("int").alias("ord"), F.lit(2).alias("rank"), F.lit(False).alias("alone"))
+    # what the facts hold isn't written again
+    out = own.unionByName(written(brought.unionByName(below), "brought").withColumn("telling", F.lit(None).cast("boolean")))
     if starred is None:
         return out
     named = starred.select(module_scope("module_file").alias("owner"), F.col("imported").alias("name"), "fact", "met_file", "met_ord")
     at_import = imports.where("target_file is not null").select(F.col("file").alias("met_file"), F.col("ord").alias("met_ord"), "target_file", "target_ord")
     through = named.where("fact = 'import'").join(at_import, ["met_file", "met_ord"]).select("owner", "name", F.col("target_file").alias("file"), F.col("target_ord").alias("ord"), F.lit(1).alias("rank"))
-    return out.unionByName(named.where("fact = 'def'").select("owner", "name", F.col("met_file").alias("file"), F.col("met_ord").alias("ord"), F.lit(1).alias("rank"))).unionByName(through)
+    through = through.unionByName(named.where("fact = 'def'").select("owner", "name", F.col("met_file").alias("file"), F.col("met_ord").alias("ord"), F.lit(1).alias("rank")))
+    return out.unionByName(written(through.withColumn("alone", F.lit(False)), "starred-members").withColumn("telling", F.lit(None).cast("boolean")))
+
+
+def _alone(direct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``direct`` members with nothing else of their name beside them, and the others."""
+    alone = F.coalesce(told_in_file(direct, "alone"), F.lit(False))
+    return direct.where(alone), direct.where(~alone)
 
 
 def inherited(bases: DataFrame) -> DataFrame:
@@ -237,7 +281,9 @@ def _taken_over(direct: DataFrame, bases: DataFrame) -> DataFrame | None:
     """(owner, name, file, ord, rank, dist): members that classes have from those above them and don't hold themselves, nearest
     first. They go down a level a round, only where nothing nearer holds the name, until a round adds none."""
     below = bases.select(F.col("base").alias("owner"), "derived").where("owner <> derived").distinct()
-    best = direct.groupBy("owner", "name").agg(F.min(F.struct("rank", "file", "ord")).alias("b"))
+    alone, others = _alone(direct.where(~F.col("owner").endswith("#0")))
+    place = F.struct("rank", "file", "ord")
+    best = alone.select("owner", "name", place.alias("b")).unionByName(others.groupBy("owner", "name").agg(F.min(place).alias("b")))
     ends = bases.select(F.explode(F.array("derived", "base")).alias("owner")).distinct()
     every = frontier = written(best.join(ends, "owner", "left_semi"), "held")
     out, dist = None, 0
@@ -253,26 +299,36 @@ def _taken_over(direct: DataFrame, bases: DataFrame) -> DataFrame | None:
 
 
 def members(facts: DataFrame, direct: DataFrame, bases: DataFrame) -> DataFrame:
-    """(owner, name, file, ord): the nearest member of each name. A class's own, then those of classes of its name in its
+    """(owner, name, file, ord, telling): the nearest member of each name. A class's own, then those of classes of its name in its
     file, then what the classes above it hold, nearest first."""
     classes = facts.where("fact = 'def' and kind = 'class'").groupBy("file", "name").agg(F.collect_set("body").alias("each")).where("size(each) > 1")
     same = classes.select(F.explode("each").alias("owner"), "each").select("owner", F.explode("each").alias("other")).where("owner <> other")
-    every = direct.withColumn("dist", F.lit(0.0)).select("owner", "name", "file", "ord", "rank", "dist")
-    every = every.unionByName(same.join(direct.withColumnRenamed("owner", "other"), "other").select("owner", "name", "file", "ord", "rank", F.lit(0.5).alias("dist")))
+    alone, others = _alone(direct)
+    every = others.withColumn("dist", F.lit(0.0)).select("owner", "name", "file", "ord", "rank", "dist")
+    every = every.unionByName(same.join(others.where(~F.col("owner").endswith("#0")).withColumnRenamed("owner", "other"), "other").select("owner", "name", "file", "ord", "rank", F.lit(0.5).alias("dist")))
     above = None if bases.isEmpty() else _taken_over(direct, bases)
     every = every if above is None else every.unionByName(above)
-    return every.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("dist", "rank", "file", "ord")).alias("b")).select("owner", "name", "b.file", "b.ord")
+    nearest = every.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("dist", "rank", "file", "ord")).alias("b"))
+    nearest = written(nearest.select("owner", "name", "b.file", "b.ord"), "members").withColumn("telling", F.lit(None).cast("boolean"))
+    telling = F.col("telling") if "telling" in direct.columns else F.lit(None).cast("boolean").alias("telling")
+    return nearest.unionByName(alone.select("owner", "name", "file", "ord", telling))
 
 
 def class_bases(facts: DataFrame, imports: DataFrame, direct: DataFrame, size: Extent) -> DataFrame:
     """(derived, base): scopes of classes, and of the classes of the tree that they extend by a name or a chain."""
     classes = class_scopes(facts)
-    held = direct.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("rank", "file", "ord")).alias("b")).select("owner", "name", "b.file", "b.ord")
-    rows = facts.where("fact = 'base'").select("file", F.col("of").alias("class_ord"), "ord", "parts", "found", "found_ord", "stars").withColumn("at", F.col("file"))
-    found = walk(rows, ["at", "class_ord", "ord"], imports, held, classes, size.bases, size.stars).where("outcome = 'def'")
-    named = classes.select(F.col("file").alias("at"), F.col("ord").alias("class_ord"), F.col("owner").alias("derived"))
+    alone, others = _alone(direct)
+    held = others.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("rank", "file", "ord")).alias("b")).select("owner", "name", "b.file", "b.ord").unionByName(alone.select("owner", "name", "file", "ord"))
+    rows = facts.where("fact = 'base'").select("file", F.col("of").alias("class_ord"), "ord", told_in_file(facts, "body"), "parts", "found", "found_ord", "stars", *_settled(facts)).withColumn("at", F.col("file"))
+    near = rows.where("settled_body is not null").select("at", "class_ord", F.col("body").alias("derived"), _owner_settled().alias("base"))
+    found = walk(rows.where("settled is null"), ["at", "class_ord", "ord", "body"], imports, held, classes, size.bases, size.stars).where("outcome = 'def'")
     ends = classes.select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), F.col("owner").alias("base"))
-    return written(found.join(named, ["at", "class_ord"]).join(ends, ["target_file", "target_ord"]).select("derived", "base").where("derived <> base").distinct(), "bases")
+    found = near.unionByName(found.join(ends, ["target_file", "target_ord"]).select("at", "class_ord", F.col("body").alias("derived"), "base"))
+    if "body" not in facts.columns or not facts.where("fact = 'base' and body is null").isEmpty():
+        found = written(found, "extended")
+        named = classes.select(F.col("file").alias("at"), F.col("ord").alias("class_ord"), "owner")
+        found = found.where("derived is not null").unionByName(found.where("derived is null").drop("derived").join(named, ["at", "class_ord"]).withColumnRenamed("owner", "derived"))
+    return written(found.select("derived", "base").where("derived <> base").distinct(), "bases")
 
 
 def value_types(facts: DataFrame, imports: DataFrame, members: DataFrame, size: Extent, rounds: int | None = None) -> DataFrame:
@@ -287,24 +343,37 @@ def value_types(facts: DataFrame, imports: DataFrame, members: DataFrame, size:
     split = F.split("type_name", r"\.")
     of_row = F.col("file").alias("at")
     what = F.when(F.col("kind").isin("function", "method", "constructor"), "result").otherwise("def")
-    defs = facts.where("fact = 'def' and type_name is not null").select(what.alias("what"), of_row, "ord", "file", split.alias("parts"), "found", "found_ord", "stars")
-    arguments = facts.where("fact = 'argument' and type_name is not null").select(F.lit("argument").alias("what"), of_row, "ord", "file", split.alias("parts"), "found", "found_ord", "stars")
-    calls = facts.where("fact = 'call' and name is not null").select(F.lit("call").alias("what"), of_row, "ord", "file", F.split("name", r"\.").alias("parts"), "found", "found_ord", "stars")
-    rows = defs.unionByName(arguments).unionByName(calls).where("found in ('def', 'import', 'star')")
-    told = walk(rows, ["what", "at", "ord"], imports, members, classes, max(size.refs, size.types), size.stars).where("outcome = 'def'")
-    told = told.join(classes.select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), "owner"), ["target_file", "target_ord"], "left")
-    told = written(told.select("what", "at", "ord", "target_file", "target_ord", "owner"), "types")
+    typed = lambda fact, what, name, parts: facts.where(f"fact = '{fact}' and {name} is not null and found in ('def', 'import', 'star')").select(what.alias("what"), of_row, "ord", "file", parts.alias("parts"), "found", "found_ord", "stars", *_settled(facts))
+    own = typed("def", what, "type_name", split).unionByName(typed("call", F.lit("call"), "name", F.split("name", r"\.")))
+    rows = own.unionByName(typed("argument", F.lit("argument"), "type_name", split)).where("settled is null")
+    far = walk(rows, ["what", "at", "ord"], imports, members.where("coalesce(telling, true)"), classes, max(size.refs, size.types), size.stars).where("outcome = 'def'")
+    far = far.join(classes.select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), "owner"), ["target_file", "target_ord"], "left")
+    near = own.where("settled >= 0").select("what", "at", "ord", F.col("at").alias("target_file"), F.col("settled").alias("target_ord"), _owner_settled("at").alias("owner"))
+    # of calls only those of classes tell a type
+    told = written(far.select(*near.columns).unionByName(near).where("what <> 'call' or owner is not null"), "types")
 
     known = told.where("what in ('def', 'result') and owner is not null").select(F.col("at").alias("file"), "ord", "what", "owner")
     # parameters of constructors, with what each call of their class gives them
-    makers = facts.where("fact = 'def' and kind = 'constructor'").select("file", F.col("ord").alias("of"), F.col("owner").alias("class_scope"))
-    params = facts.where("fact = 'def' and kind = 'parameter' and place is not null").select("file", "of", "ord", "name", "place").join(makers, ["file", "of"])
-    made = told.where("what = 'call' and owner is not null").select("at", F.col("ord").alias("of_call"), F.col("owner").alias("class_scope"))
-    given = facts.where("fact = 'argument'").select(F.col("file").alias("at"), F.col("of").alias("of_call"), F.col("ord").alias("argument"), F.col("name").alias("keyword"), F.col("place").alias("position"))
+    params = facts.where("fact = 'def' and kind = 'parameter' and place is not null")
+    told_in = params.select("file", "of", "ord", "name", "place", told_in_file(facts, "inner"), told_in_file(facts, "body"))
+    params = told_in.where("body is not null").select("file", "ord", "name", "place", F.col("body").alias("class_scope"))
+    elsewhere = told_in.where("body is null and inner is null")
+    if not elsewhere.isEmpty():
+        makers = facts.where("fact = 'def' and kind = 'constructor'").select("file", F.col("ord").alias("of"), F.col("owner").alias("class_scope"))
+        params = params.unionByName(elsewhere.join(makers, ["file", "of"]).select(*params.columns))
+    made = told.where("what = 'call'").select("at", F.col("ord").alias("of_call"), F.col("owner").alias("class_scope"))
+    inside = F.col("settled") >= 0
+    given = facts.where("fact = 'argument' and coalesce(binds, true)").select(F.col("file").alias("at"), F.col("of").alias("of_call"), F.col("name").alias("keyword"), F.col("place").alias("position"), "ord", F.expr("type_name is not null and found in ('def', 'import', 'star')").alias("open"), *_settled(facts))
+    given = given.select("at", "of_call", "keyword", "position", F.struct(F.col("ord").alias("argument"), (F.col("open") & F.col("settled").isNull()).alias("open"), F.when(inside, F.col("at")).alias("s_file"), F.when(inside, F.col("settled")).alias("s_ord"), _owner_settled("at").alias("s_owner")).alias("g"))
     asked = params.select("file", "ord", "name", "place", "class_scope").join(made, "class_scope")
-    met = asked.join(given, ["at", "of_call"], "left").groupBy("file", "ord", "at", "of_call").agg(F.min(F.when((F.col("position") == F.col("place")) | (F.col("keyword") == F.col("name")), F.col("argument"))).alias("argument"))
+    met = asked.join(given, ["at", "of_call"], "left").groupBy("file", "ord", "at", "of_call").agg(F.min_by("g", F.when((F.col("position") == F.col("place")) | (F.col("keyword") == F.col("name")), F.col("g.argument"))).alias("g"))
+    met = written(met.select("file", "ord", "at", "g.*"), "asked")
     source = told.where("what = 'argument'").select("at", F.col("ord").alias("argument"), F.col("target_file").alias("s_file"), F.col("target_ord").alias("s_ord"), F.col("owner").alias("s_owner"))
-    given = met.join(source, ["at", "argument"], "left").select("file", "ord", "s_file", "s_ord", "s_owner")
+    beyond = met.where("open").select("file", "ord", "at", "argument").join(source, ["at", "argument"], "left")
+    ends = ["file", "ord", "s_file", "s_ord", "s_owner"]
+    given = met.where("open is null or not open").select(*ends).unionByName(beyond.select(*ends))
+    # a parameter to which a call gives what can't be known stays unknown
+    given = given.join(given.where("s_ord is null and s_owner is null").select("file", "ord").distinct(), ["file", "ord"], "left_anti")
     alias = told.where("what in ('def', 'result') and owner is null").select(F.col("at").alias("file"), "ord", "what", F.col("target_file").alias("s_file"), F.col("target_ord").alias("s_ord"))
     given = written(given, "given")
     pending = not (given.isEmpty() and alias.isEmpty())
@@ -332,11 +401,11 @@ def resolved(facts: DataFrame, keep: bool = True) -> Resolved:
     size = extent(facts)
     modules = written(module_names(facts.where("fact = 'scope' and parent is null").select("file")), "modules")
     imports, starred = _imports(facts, modules, size.stars)
-    direct = written(direct_members(facts, imports, modules, starred), "direct")
+    direct = direct_members(facts, imports, modules, starred)
     bases = class_bases(facts, imports, direct, size)
-    owned = written(members(facts, direct, bases), "members")
-    types = written(value_types(facts, imports, owned, size), "typed")
-    every = facts.where("fact = 'ref'").select("file", "ord", "line", "col", "name", "kind", "scope", "holder", "parts", "found", "found_ord", "stars").withColumn("at", F.col("file"))
+    owned = members(facts, direct, bases)
+    types = value_types(facts, imports, owned, size)
+    every = facts.where("fact = 'ref'").select("file", "ord", "line", "col", "name", "kind", "scope", "holder", "parts", "found", "found_ord", "stars", told_in_file(facts, "settled")).withColumn("at", F.col("file"))
     keys = ["at", "ord", "line", "col", "name", "kind", "scope", "holder"]
     ends = walk(every.where("found is not null"), keys, imports, owned, types, size.refs, size.stars)
     lost = every.where("found is null").select(*keys, F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("target_file"), F.lit(None).cast("int").alias("target_ord"))

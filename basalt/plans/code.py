@@ -60,6 +60,7 @@ RESOLVED = ("scope", "def", "ref", "import", "base", "call", "argument")
 COLUMNS = (
     "file", "fact", "scope", "parent", "body", "kind", "name", "module", "imported", "parts", "type_name", "text", "line", "col", "end_line", "end_col",
     "ord", "owner", "binds", "found", "found_ord", "stars", "holder", "of", "place",
+    "settled", "settled_body", "alone", "inner",
 )
 #: Columns that imports alone are resolved by.
 OF_IMPORTS = ("file", "fact", "scope", "parent", "kind", "name", "module", "imported", "ord", "binds")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basalt.operators import codemap, levels
-from basalt.operators.resolve import resolve_imports
+from basalt.operators.resolve import resolve_imports, resolved
 from basalt.sources import python_facts as python_facts_module
 from basalt.sources.python_facts import extract_python, python_facts
 from basalt.sources.shared import written
@@ -64,3 +64,32 @@ def test_level_graph_sorts_only_what_is_cut(spark):
     assert {r["node"] for r in nodes.where("kind = 'file'").collect()} == {"x/a.py", "x/c.py"} and between.count() == 2
     cut, between = graph(1)
     assert [r["node"] for r in cut.where("kind = 'file'").collect()] == ["x/a.py"] and between.count() == 1
+
+
+ODD = {
+    "pkg/__init__.py": "from .core import Core as Kernel\nfrom .stars import *\nimport pkg.core\n",
+    "pkg/core.py": "class Core:\n    def boot(self):\n        return self\n\nclass Low(Core):\n    def low(self):\n        self.boot()\n        self.low()\n",
+    "pkg/stars.py": "def shine(w):\n    return w\n_hidden = 1\n",
+    "two.py": "class A:\n    one = 1\n    class In:\n        x = 2\nclass A:\n    two = A.one\n    def __init__(self, k, t: 'A' = None):\n        self.k = k\n        self.t = t\n    def run(self):\n        return self.k.boot() + self.one + self.t.two + self.t.gone\nA.In.x\nA.two\n",
+    "use.py": "import pkg\nimport pkg.core as core, os.path as p\nfrom pkg import Kernel, shine, nothing, core as again\nfrom two import A\nfrom . import two\ntry:\n    import gone as x\nexcept ImportError:\n    import two as x\n\ndef f(q):\n    a = A(Kernel())\n    b = a\n    b.run()\n    core.Low().boot()\n    l = core.Low(); l.boot(); l.low()\n    m = make(); m.low()\n    pkg.shine(q); pkg._hidden; pkg.core.Low; again.Core; x.A; two.A.In; p.join; nothing.k; shine(a.k.boot)\n    return A(k=l)\n\ndef make() -> core.Low:\n    return core.Low()\n",
+}
+
+
+def test_what_files_tell_leads_where_joins_lead(spark):
+    """With what the parser settles within files, and without: the joins alone must come to the same."""
+    facts = written(python_facts(spark.createDataFrame([(f, t, "python") for f, t in ODD.items()], "rel string, text string, lang string")), "facts", by="fact")
+    told = ("settled", "settled_body", "alone", "inner")
+    bare = written(facts.withColumns({c: F.lit(None).cast(dict(facts.dtypes)[c]) for c in told} | {"body": F.when(F.col("fact").isin("base") | (F.col("kind") == "parameter"), None).otherwise(F.col("body")), "binds": F.when(F.col("fact") != "argument", F.col("binds"))}), "facts", by="fact")
+    near, far = resolved(facts), resolved(bare)
+    for what in ("imports", "bases", "references"):
+        a, b = getattr(near, what).drop("alone"), getattr(far, what).drop("alone")
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())), what
+    assert {r["name"] for r in near.references.where("outcome = 'def'").collect()} >= {"boot", "low", "two", "one", "In", "x"}
+
+
+def test_names_told_within_a_file_carry_where_they_lead():
+    rows = {(r["fact"], r["name"], r["ord"]): r for r in extract_python("a.py", "class A:\n    def __init__(self, s):\n        self.s = s\n    def run(self):\n        return self.s\ndef f(x):\n    a = A(x)\n    a.run()\n    f(x)\n")}
+    by = lambda fact, name: [r for k, r in sorted(rows.items(), key=lambda i: i[0][2]) if k[:2] == (fact, name)]
+    assert [r["settled"] for r in by("ref", "run")] == [r["ord"] for r in by("def", "run")] and by("ref", "s")[-1]["settled"] == by("def", "s")[-1]["ord"]
+    assert by("def", "a")[0]["settled_body"] is not None and by("def", "a")[0]["inner"] and not by("def", "run")[0]["inner"] and by("def", "run")[0]["alone"]
+    assert [(r["settled"], r["binds"]) for k, r in sorted(rows.items(), key=lambda i: i[0][2]) if k[0] == "argument"] == [(-1, True), (-1, False)]
