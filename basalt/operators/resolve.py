@@ -7,6 +7,8 @@ inheritance), by the length of member chains, or by the rounds in which types sp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,14 +18,42 @@ from ..sources.python_facts import BUILTINS
 from ..sources.shared import written
 
 
-class Resolved(NamedTuple):
-    """``imports``, ``bases`` (derived, base: scopes of classes), ``types`` (file, ord, owner), ``members`` and ``references``."""
+class Resolved:
+    """``imports``, ``bases`` (derived, base: scopes of classes), ``types`` (file, ord, owner), ``members`` and ``references``.
 
-    imports: DataFrame
-    bases: DataFrame
-    members: DataFrame
-    types: DataFrame
-    references: DataFrame
+    What classes extend and hold, and which values are of them, is worked out when it is first asked for: chains that lead
+    only through modules, or that their files tell, don't ask.
+    """
+
+    def __init__(self, facts: DataFrame, across: bool):
+        self._facts, self.size = facts, extent(facts)
+        self._modules = written(module_names(facts.where("fact = 'scope' and parent is null").select("file")), "modules")
+        self.imports, self._starred = _imports(facts, self._modules, self.size.stars)
+        self._direct = direct_members(facts, self.imports, self._modules, self._starred)
+        self.across = across
+
+    @cached_property
+    def bases(self) -> DataFrame:
+        return class_bases(self._facts, self.imports, self._direct, self.size)
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return members(self._facts, self._direct, self.bases)
+
+    @cached_property
+    def types(self) -> DataFrame:
+        return value_types(self._facts, self.imports, self.members, self.size)
+
+    @cached_property
+    def references(self) -> DataFrame:
+        every = self._facts.where("fact = 'ref'").withColumn("at", F.col("file"))
+        keys = ["at", "ord"] if self.across else ["at", "ord", "line", "col", "name", "kind", "scope", "holder"]
+        every = every.select(*keys, "file", "parts", "found", "found_ord", "stars", told_in_file(self._facts, "settled"))
+        in_modules = _nearest(*_alone(self._direct.where(F.col("owner").endswith("#0"))))
+        out = walk(every.where("found is not null"), keys, self.imports, in_modules, lambda: (self.types, self.members), self.size.refs, self.size.stars)
+        if not self.across:
+            out = out.unionByName(every.where("found is null").select(*keys, F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("target_file"), F.lit(None).cast("int").alias("target_ord")))
+        return out.select(F.col("at").alias("file"), *keys[1:], F.coalesce("outcome", F.lit("unresolved")).alias("outcome"), F.when(F.col("outcome").isNotNull(), F.col("target_file")).alias("target_file"), F.when(F.col("outcome").isNotNull(), F.col("target_ord")).alias("target_ord"))
 
 
 def module_scope(file: str = "file") -> Column:
@@ -172,17 +202,19 @@ def _imports(facts: DataFrame, modules: DataFrame, has_stars: bool = True) -> tu
     return (written(out, "resolved-imports") if ended is not None else out), starred
 
 
-def walk(rows: DataFrame, keys: list[str], imports: DataFrame, members: DataFrame, owners: DataFrame, longest: int, stars: bool = True) -> DataFrame:
+def walk(rows: DataFrame, keys: list[str], imports: DataFrame, members: DataFrame, owners: DataFrame | Callable[[], tuple[DataFrame, DataFrame]], longest: int, stars: bool = True) -> DataFrame:
     """(keys..., outcome, target_file, target_ord) of ``rows`` (keys..., file, parts, found, found_ord, stars).
 
     The root of a chain is what its file says; through an import, what that leads to; of stars, the first whose module has
     the name. Each further segment is a member of what the chain has come to: ``members`` (owner, name, file, ord).
     ``owners`` (file, ord, owner) tells which scope holds the members of a definition: only of those that a chain goes on
-    from, not of every member. A chain whose segment
+    from, not of every member. If ``members`` are only those of modules, ``owners`` makes the owners and all members once a chain
+    goes on from a definition. A chain whose segment
     isn't found has no outcome. Rows with a ``settled`` definition of their file need no join. ``longest`` is the most segments of a chain, ``stars`` whether there are star imports.
     """
     via = imports.select(F.col("file").alias("_file"), F.col("ord").alias("_ord"), F.col("outcome").alias("_out"), F.col("target_file").alias("_tf"), F.col("target_ord").alias("_to"))
-    steps = members.select("owner", F.col("name").alias("segment"), F.col("file").alias("to_file"), F.col("ord").alias("to_ord"))
+    to = ["owner", F.col("name").alias("segment"), F.col("file").alias("to_file"), F.col("ord").alias("to_ord")]
+    steps = members.select(*to)
     kept = (rows.where("settled is null") if "settled" in rows.columns else rows).select(*keys, "file", "parts", "found", "found_ord", "stars")
     # what the file itself says needs no join; only names that an import binds go to the imports
     own = F.when(F.col("found") == "def", F.col("file")), F.when(F.col("found") == "def", F.col("found_ord"))
@@ -201,7 +233,6 @@ def walk(rows: DataFrame, keys: list[str], imports: DataFrame, members: DataFram
     out = start.where("size(parts) = 1").select(*keys, "outcome", *target)
     if longest > 1:
         # the few rows with further segments are written at each, so that members and owners are read only by those that need them
-        of = owners.select(F.col("file").alias("at_file"), F.col("ord").alias("at_ord"), "owner")
         in_module = F.col("owner").endswith("#0")
         going = start.where("size(parts) > 1").select(*keys, "parts", "outcome", "at_file", "at_ord")
         for j in range(1, longest):
@@ -211,7 +242,9 @@ def walk(rows: DataFrame, keys: list[str], imports: DataFrame, members: DataFram
             of_module, of_def = going.where("outcome = 'module'").withColumn("owner", module_scope("at_file")), going.where("outcome = 'def'")
             moved = [of_module.withColumn("segment", F.get("parts", F.lit(j))).join(steps.where(in_module), ["owner", "segment"], "left")] if not of_module.isEmpty() else []
             if not of_def.isEmpty():
-                moved.append(of_def.join(of, ["at_file", "at_ord"], "left").withColumn("segment", F.get("parts", F.lit(j))).join(steps.where(~in_module), ["owner", "segment"], "left"))
+                held_by, held = owners() if callable(owners) else (owners, members)
+                of = held_by.select(F.col("file").alias("at_file"), F.col("ord").alias("at_ord"), "owner")
+                moved.append(of_def.join(of, ["at_file", "at_ord"], "left").withColumn("segment", F.get("parts", F.lit(j))).join(held.select(*to).where(~in_module), ["owner", "segment"], "left"))
             if not moved:
                 going = None
                 break
@@ -308,9 +341,15 @@ def members(facts: DataFrame, direct: DataFrame, bases: DataFrame) -> DataFrame:
     every = every.unionByName(same.join(others.where(~F.col("owner").endswith("#0")).withColumnRenamed("owner", "other"), "other").select("owner", "name", "file", "ord", "rank", F.lit(0.5).alias("dist")))
     above = None if bases.isEmpty() else _taken_over(direct, bases)
     every = every if above is None else every.unionByName(above)
-    nearest = every.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("dist", "rank", "file", "ord")).alias("b"))
+    return _nearest(alone, every)
+
+
+def _nearest(alone: DataFrame, others: DataFrame) -> DataFrame:
+    """(owner, name, file, ord, telling) of members ``alone``, and of the ``others`` the nearest of each name."""
+    others = others if "dist" in others.columns else others.withColumn("dist", F.lit(0.0))
+    nearest = others.groupBy("owner", "name").agg(F.min_by(F.struct("file", "ord"), F.struct("dist", "rank", "file", "ord")).alias("b"))
     nearest = written(nearest.select("owner", "name", "b.file", "b.ord"), "members").withColumn("telling", F.lit(None).cast("boolean"))
-    telling = F.col("telling") if "telling" in direct.columns else F.lit(None).cast("boolean").alias("telling")
+    telling = F.col("telling") if "telling" in alone.columns else F.lit(None).cast("boolean").alias("telling")
     return nearest.unionByName(alone.select("owner", "name", "file", "ord", telling))
 
 
@@ -393,24 +432,16 @@ def value_types(facts: DataFrame, imports: DataFrame, members: DataFrame, size:
     return classes.unionByName(known.where("what = 'def'").drop("what"))
 
 
-def resolved(facts: DataFrame, keep: bool = True) -> Resolved:
+def resolved(facts: DataFrame, keep: bool = True, across: bool = False) -> Resolved:
     """All that the references of a tree lead to, with the tables on the way. ``facts`` should be a written table.
 
-    Without ``keep`` the references aren't written out, for those who read them once.
+    Without ``keep`` the references aren't written out, for those who read them once. ``across`` is for facts of names that
+    reach beyond their files (``python_facts``): the references are then those alone, as (file, ord, outcome, target_file, target_ord).
     """
-    size = extent(facts)
-    modules = written(module_names(facts.where("fact = 'scope' and parent is null").select("file")), "modules")
-    imports, starred = _imports(facts, modules, size.stars)
-    direct = direct_members(facts, imports, modules, starred)
-    bases = class_bases(facts, imports, direct, size)
-    owned = members(facts, direct, bases)
-    types = value_types(facts, imports, owned, size)
-    every = facts.where("fact = 'ref'").select("file", "ord", "line", "col", "name", "kind", "scope", "holder", "parts", "found", "found_ord", "stars", told_in_file(facts, "settled")).withColumn("at", F.col("file"))
-    keys = ["at", "ord", "line", "col", "name", "kind", "scope", "holder"]
-    ends = walk(every.where("found is not null"), keys, imports, owned, types, size.refs, size.stars)
-    lost = every.where("found is null").select(*keys, F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("target_file"), F.lit(None).cast("int").alias("target_ord"))
-    out = ends.unionByName(lost).select(F.col("at").alias("file"), *keys[1:], F.coalesce("outcome", F.lit("unresolved")).alias("outcome"), F.when(F.col("outcome").isNotNull(), F.col("target_file")).alias("target_file"), F.when(F.col("outcome").isNotNull(), F.col("target_ord")).alias("target_ord"))
-    return Resolved(imports, bases, owned, types, written(out, "references") if keep else out)
+    known = Resolved(facts, across)
+    if keep:
+        known.references = written(known.references, "references")
+    return known
 
 
 def resolve_references(facts: DataFrame) -> DataFrame:

@@ -62,6 +62,11 @@ COLUMNS = (
     "ord", "owner", "binds", "found", "found_ord", "stars", "holder", "of", "place",
     "settled", "settled_body", "alone", "inner",
 )
+#: Columns by which names that reach beyond their files are resolved.
+OF_LINKS = (
+    "file", "fact", "scope", "parent", "body", "kind", "name", "module", "imported", "parts", "type_name", "ord", "owner", "binds", "found", "found_ord", "stars", "of", "place",
+    "settled", "settled_body", "alone", "inner",
+)
 #: Columns that imports alone are resolved by.
 OF_IMPORTS = ("file", "fact", "scope", "parent", "kind", "name", "module", "imported", "ord", "binds")
 
@@ -109,13 +114,19 @@ def known_of(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> tu
     return facts, resolved(facts, keep=False)
 
 
+def linked_of(spark: SparkSession, sf_dir: str, *more: str) -> tuple[DataFrame, Resolved]:
+    """``known_of`` for those who ask which files lead to which: only of names that reach beyond their files."""
+    facts = written(python_facts(tree(spark, sf_dir, spread=True), RESOLVED, OF_LINKS + more, across=True), "facts", by="fact")
+    return facts, resolved(facts, keep=False, across=True)
+
+
 def edges_of(known: Resolved) -> DataFrame:
     return written(codemap.file_edges(known.imports, known.references), "edges")
 
 
-def graph_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    facts, known = known_of(spark, sf_dir)
-    return facts, known.references, edges_of(known)
+def graph_of(spark: SparkSession, sf_dir: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    facts, known = linked_of(spark, sf_dir, *more)
+    return facts, edges_of(known)
 
 
 _EDGES = """e AS (SELECT src, dst, CAST(sum(i) AS BIGINT) AS imports, CAST(sum(r) AS BIGINT) AS refs FROM (
@@ -132,7 +143,7 @@ def q52_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"WITH {_EDGES} SELECT * FROM e")
 def q53_file_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, known = known_of(spark, sf_dir)
+    _, known = linked_of(spark, sf_dir)
     edges = codemap.file_edges(known.imports, known.references)
     return edges.select(key_of(F.col("src")).alias("src"), key_of(F.col("dst")).alias("dst"), "imports", "refs")
 
@@ -166,21 +177,21 @@ def q56_file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"WITH {_DEGREE} SELECT * FROM d")
 def q57_file_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, _, edges = graph_of(spark, sf_dir)
+    facts, edges = graph_of(spark, sf_dir)
     found = codemap.degrees(edges, facts.where("fact = 'scope' and parent is null").select("file"))
     return found.select(key_of(F.col("file")).alias("p"), "in_degree", "out_degree", "inbound", "outbound")
 
 
 @R.add(f"WITH {_DEGREE} SELECT p, CASE WHEN in_degree = 0 AND out_degree = 0 THEN 'isolated' WHEN out_degree = 0 THEN 'infra' WHEN in_degree = 0 THEN 'entry' ELSE 'domain' END AS layer FROM d")
 def q58_file_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, _, edges = graph_of(spark, sf_dir)
+    facts, edges = graph_of(spark, sf_dir)
     found = codemap.layers(codemap.degrees(edges, facts.where("fact = 'scope' and parent is null").select("file")))
     return found.select(key_of(F.col("file")).alias("p"), "layer")
 
 
 @R.add(f"WITH {_DEGREE} SELECT p, 'hot' AS kind, in_degree AS score, in_degree AS inbound FROM d ORDER BY in_degree DESC, 'pkg' || (p % 7) || '/mod' || p || '.py' LIMIT 12")
 def q59_start_here(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, _, edges = graph_of(spark, sf_dir)
+    facts, edges = graph_of(spark, sf_dir, "text")
     found = codemap.start_here(codemap.degrees(edges, facts.where("fact = 'scope' and parent is null").select("file")), facts)
     return found.select(key_of(F.col("file")).alias("p"), "kind", "score", "inbound")
 
@@ -215,14 +226,14 @@ def q63_symbol_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("""SELECT p_partkey AS p, CAST(CASE WHEN p_partkey = 0 THEN 0 ELSE floor(log2(p_partkey)) + 1 END AS INTEGER) AS level FROM part""")
 def q64_file_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, _, edges = graph_of(spark, sf_dir)
+    facts, edges = graph_of(spark, sf_dir)
     found = longest_levels(edges.select("src", "dst"), facts.where("fact = 'scope' and parent is null").select(F.col("file").alias("node")))
     return found.select(key_of(F.col("node")).alias("p"), "level")
 
 
 @R.add("""WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0), d AS (SELECT src AS p, 1 AS depth FROM e WHERE dst = 1 UNION SELECT e.src, d.depth + 1 FROM d JOIN e ON e.dst = d.p WHERE d.depth < 5) SELECT p, CAST(min(depth) AS INTEGER) AS depth FROM d WHERE p <> 1 GROUP BY p""")
 def q65_file_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, edges = graph_of(spark, sf_dir)
+    _, edges = graph_of(spark, sf_dir)
     start = edges.sparkSession.createDataFrame([("pkg1/mod1.py",)], "node string")
     found = reached(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, depth=5)
     return found.select(key_of(F.col("node")).alias("p"), "depth")
@@ -230,7 +241,7 @@ def q65_file_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("""SELECT CAST(count(*) AS BIGINT) AS files, CAST(0 AS BIGINT) AS on_cycles, CAST(count(*) - 1 AS BIGINT) AS os_imports, CAST(count(*) - 1 AS BIGINT) AS os_files FROM part""")
 def q66_cycles_and_externals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, known = known_of(spark, sf_dir)
+    facts, known = linked_of(spark, sf_dir)
     on_cycles = strongly_connected(edges_of(known).select("src", "dst")).agg(F.count("*").alias("on_cycles"))
     outside = codemap.external_packages(known.imports).where("package = 'os'").select(F.col("imports").alias("os_imports"), F.col("files").alias("os_files"))
     return facts.where("fact = 'scope' and parent is null").agg(F.count("*").alias("files")).crossJoin(F.broadcast(on_cycles)).crossJoin(F.broadcast(outside))
@@ -238,7 +249,7 @@ def q66_cycles_and_externals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"""WITH {_EDGES} SELECT 'pkg' || (src % 7) AS src, 'pkg' || (dst % 7) AS dst, CAST(sum(imports) AS BIGINT) AS imports, CAST(sum(refs) AS BIGINT) AS refs, CAST(count(*) AS BIGINT) AS files FROM e WHERE src % 7 <> dst % 7 GROUP BY 1, 2""")
 def q67_folder_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, known = known_of(spark, sf_dir)
+    _, known = linked_of(spark, sf_dir)
     return codemap.dir_edges(codemap.file_edges(known.imports, known.references))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calltree, codemap, levels, positions, routes, summaries
 from .base import Registry, table
-from .code import _DEGREE, _EDGES, edges_of, facts_of, file_of, key_of, known_of, tree
+from .code import _DEGREE, _EDGES, edges_of, facts_of, file_of, key_of, known_of, linked_of, tree
 
 R = Registry()
 
@@ -77,7 +77,7 @@ g AS (SELECT a.node AS src, b.node AS dst, CAST(sum(imports) AS BIGINT) AS impor
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    facts, known = known_of(spark, sf_dir)
+    facts, known = linked_of(spark, sf_dir)
     edges = edges_of(known)
     expanded = spark.createDataFrame([("pkg1",), ("pkg3",)], "dir string")
     files = facts.where("fact = 'scope' and parent is null").select("file")
@@ -114,7 +114,7 @@ r AS (SELECT 'dep' AS route, p, row_number() OVER (ORDER BY level, file) AS step
 SELECT route, CAST(step AS INTEGER) AS step, p, CAST(CASE WHEN p = 0 THEN 3 ELSE 6 END AS INTEGER) AS line, 'LIMIT,Thing' || p || ',helper' || p AS hints, CAST((SELECT count(*) FROM part) AS INTEGER) AS total FROM r WHERE step <= 40""")
 def q96_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four orders in which to read the generated tree; a file's time is made from its part's size."""
-    facts, known = known_of(spark, sf_dir)
+    facts, known = linked_of(spark, sf_dir, "line")
     part = table(spark, sf_dir, "part").select(file_of(F.col("p_partkey")).alias("file"), F.timestamp_seconds("p_size").alias("mtime"))
     degree = codemap.degrees(edges_of(known), facts.where("fact = 'scope' and parent is null").select("file"))
     found = routes.routes(facts, known.imports, degree, part)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basalt.operators import codemap, levels
 from basalt.operators.resolve import resolve_imports, resolved
+from basalt.plans.code import OF_LINKS, RESOLVED
 from basalt.sources import python_facts as python_facts_module
 from basalt.sources.python_facts import extract_python, python_facts
 from basalt.sources.shared import written
@@ -93,3 +94,24 @@ def test_names_told_within_a_file_carry_where_they_lead():
     assert [r["settled"] for r in by("ref", "run")] == [r["ord"] for r in by("def", "run")] and by("ref", "s")[-1]["settled"] == by("def", "s")[-1]["ord"]
     assert by("def", "a")[0]["settled_body"] is not None and by("def", "a")[0]["inner"] and not by("def", "run")[0]["inner"] and by("def", "run")[0]["alone"]
     assert [(r["settled"], r["binds"]) for k, r in sorted(rows.items(), key=lambda i: i[0][2]) if k[0] == "argument"] == [(-1, True), (-1, False)]
+
+
+def test_what_reaches_beyond_a_file_gives_the_same_graph(spark):
+    """Edges and levels from only the rows that other files are needed for."""
+    typed = {"box.py": "class Box:\n    def __init__(self, k):\n        self.k = k\n    def go(self):\n        return self.k.boot()\n", "call.py": "from box import Box\nfrom pkg.core import Low\nBox(Low()).go()\n"}
+    files = spark.createDataFrame([(f, t, "python") for f, t in (ODD | typed).items()], "rel string, text string, lang string")
+    whole = written(python_facts(files), "facts", by="fact")
+    few = written(python_facts(files, RESOLVED, OF_LINKS, across=True), "facts", by="fact")
+    assert few.count() < whole.where(F.col("fact").isin(*RESOLVED)).count() * 0.8
+    edges = [sorted(map(tuple, codemap.file_edges(k.imports, k.references).collect())) for k in (resolved(whole), resolved(few, across=True))]
+    assert edges[0] == edges[1] and any(e[:2] == ("box.py", "pkg/core.py") for e in edges[0])
+
+
+def test_types_are_worked_out_only_where_chains_ask(spark, monkeypatch):
+    from basalt.operators import resolve
+
+    asked = []
+    monkeypatch.setattr(resolve, "value_types", lambda *a, types=resolve.value_types: asked.append(1) or types(*a))
+    made = lambda text: written(python_facts(spark.createDataFrame([FILES[0], ("c.py", text, "python")], "rel string, text string, lang string")), "facts", by="fact")
+    assert "def" in [r["outcome"] for r in resolved(made("import a\na.A\n")).references.collect()] and not asked
+    assert [r["target_ord"] is not None for r in resolved(made("from a import A\nx = A()\nx.run\n")).references.where("name = 'run'").collect()] == [True] and asked
