@@ -140,6 +140,47 @@ def strongly_connected(edges: DataFrame, unroll: int = 3) -> DataFrame:
     return written(out)
 
 
+#: A layer is peeled off as long as it holds this share of the edges that are left.
+PEELED = 1 / 8
+
+
+def _peeled(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Layers of the edges (a, b, n) of a graph without cycles, and what is left: each layer's nodes ``a`` are above all that are
+    left, so their levels follow from those. It ends where a layer holds few of the edges, as then the graph is deep and thin."""
+    layers, rest = [], edges
+    left = rest.count()
+    while left:
+        held = rest.select(F.col("b").alias("a")).distinct().withColumn("inner", F.lit(True))
+        both = written(rest.join(held, "a", "left").select("a", "b", "n", F.col("inner").isNull().alias("top")), "peeled")
+        before, left = left, both.where("not top").count()
+        if before - left < before * PEELED:
+            break
+        layers.append(both.where("top").drop("top"))
+        rest = both.where("not top").drop("top")
+    return layers, rest
+
+
+def _climbed(several: DataFrame, unroll: int) -> DataFrame:
+    """(group, level) of the nodes of edges (a, b, n) that lead somewhere: only those whose longest chain grew go on."""
+    level = written(several.select(F.explode(F.array("a", "b")).alias("group")).distinct().withColumn("level", F.lit(0)))
+    frontier = level
+    while True:
+        # the highest level by a chain of each of the next numbers of dependencies, several a job
+        steps, last = [], frontier
+        for _ in range(unroll):
+            last = several.join(last, several["b"] == last["group"]).groupBy("a").agg(F.max(F.col("level") + F.col("n")).alias("level")).withColumnRenamed("a", "group")
+            steps.append(last)
+        batch = steps[0].withColumn("at", F.lit(1))
+        for k, s in enumerate(steps[1:], 2):
+            batch = batch.unionByName(s.withColumn("at", F.lit(k)))
+        batch = written(batch.groupBy("group").agg(F.max("level").alias("grown"), F.max(F.when(F.col("at") == unroll, F.col("level"))).alias("end")))
+        if batch.isEmpty():
+            return level.where("level > 0")
+        level = written(level.join(batch.select("group", "grown"), "group", "left").select("group", F.greatest("level", "grown").alias("level")))
+        # a chain that is lower than another to the same group adds nothing further on
+        frontier = batch.where("end is not null").join(level, "group").where("end >= level").select("group", "level")
+
+
 def longest_levels(edges: DataFrame, nodes: DataFrame, unroll: int = 4) -> DataFrame:
     """(node, level), see ``grouped_levels``."""
     return grouped_levels(edges, nodes, unroll).select("node", "level")
@@ -150,8 +191,9 @@ def grouped_levels(edges: DataFrame, nodes: DataFrame, unroll: int = 4) -> DataF
 
     ``group`` is the smallest node of the cycles that a node is on, or itself.
 
-    Groups with one dependency are followed by doubling to the next with none or several. Of these a group keeps the longest
-    chain found so far, and only those whose chain grew go on; the condensed graph has no cycle, so the rounds end by themselves.
+    Groups with one dependency are followed by doubling to the next with none or several. Of these, layers that nothing left
+    depends on are peeled off as long as they hold a share of the edges, and take their levels last, each edge once. Of the rest a
+    group keeps the longest chain found so far, and only those whose chain grew go on; the condensed graph has no cycle, so the rounds end.
     """
     comp = strongly_connected(edges)
     group = written(nodes.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("group")))
@@ -163,22 +205,25 @@ def grouped_levels(edges: DataFrame, nodes: DataFrame, unroll: int = 4) -> DataF
     several = between.join(outs.where("ways > 1").select(F.col("node").alias("a")), "a", "left_semi").join(below, "b", "left")
     several = several.groupBy("a", F.coalesce("to", "b").alias("b")).agg(F.max(F.coalesce("n", F.lit(0)) + 1).alias("n"))
     several = written(several)
-    level = written(group.select(F.col("group")).distinct().join(below.select(F.col("b").alias("group")), "group", "left_anti").withColumn("level", F.lit(0)))
-    frontier = level
-    while True:
-        # the highest level by a chain of each of the next numbers of dependencies, several a job
-        steps, last = [], frontier
-        for _ in range(unroll):
-            last = several.join(last, several["b"] == last["group"]).groupBy("a").agg(F.max(F.col("level") + F.col("n")).alias("level")).withColumnRenamed("a", "group")
-            steps.append(last)
-        batch = steps[0].withColumn("at", F.lit(1))
-        for k, s in enumerate(steps[1:], 2):
-            batch = batch.unionByName(s.withColumn("at", F.lit(k)))
-        batch = written(batch.groupBy("group").agg(F.max("level").alias("grown"), F.max(F.when(F.col("at") == unroll, F.col("level"))).alias("end")))
-        if batch.isEmpty():
-            break
-        before, level = level, written(level.join(batch.select("group", "grown"), "group", "left").select("group", F.greatest("level", "grown").alias("level")))
-        # a chain that is lower than another to the same group adds nothing further on
-        frontier = batch.where("end is not null").join(level, "group").where("end >= level").select("group", "level")
+    layers, several = _peeled(several)
+    high = None if several.isEmpty() else _climbed(several, unroll)
+    # from the lowest layer up, each edge is used once; tables of doubling size, so each level is written a few times only
+    parts = [] if high is None else [(high, high.count())]
+    for layer in reversed(layers):
+        known = None
+        for part, _ in parts:
+            known = part if known is None else known.unionByName(part)
+        met = layer.withColumn("level", F.lit(0)) if known is None else layer.join(known.withColumnRenamed("group", "b"), "b", "left")
+        found = written(met.groupBy(F.col("a").alias("group")).agg(F.max(F.coalesce("level", F.lit(0)) + F.col("n")).alias("level")), "levels")
+        parts.append((found, found.count()))
+        while len(parts) > 1 and parts[-1][1] >= parts[-2][1]:
+            (a, n), (b, m) = parts[-2:]
+            parts[-2:] = [(written(a.unionByName(b), "levels"), n + m)]
+    level = group.select("group").distinct().join(below.select(F.col("b").alias("group")), "group", "left_anti")
+    high = None
+    for part, _ in parts:
+        high = part if high is None else high.unionByName(part)
+    level = level.withColumn("level", F.lit(0)) if high is None else level.join(high, "group", "left").select("group", F.coalesce("level", F.lit(0)).alias("level"))
+    level = written(level, "levels")
     met = group.join(below.select(F.col("b").alias("group"), F.col("to").alias("_to"), "n"), "group", "left").withColumn("_to", F.coalesce("_to", "group"))
     return met.join(level.withColumnRenamed("group", "_to"), "_to").select("node", "group", (F.col("level") + F.coalesce("n", F.lit(0))).alias("level"))

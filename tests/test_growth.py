@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basalt.operators import codemap, levels
+from basalt.operators import codemap, graph, levels
 from basalt.operators.resolve import resolve_imports, resolved
 from basalt.plans.code import OF_LINKS, RESOLVED
 from basalt.sources import python_facts as python_facts_module
@@ -115,3 +115,32 @@ def test_types_are_worked_out_only_where_chains_ask(spark, monkeypatch):
     made = lambda text: written(python_facts(spark.createDataFrame([FILES[0], ("c.py", text, "python")], "rel string, text string, lang string")), "facts", by="fact")
     assert "def" in [r["outcome"] for r in resolved(made("import a\na.A\n")).references.collect()] and not asked
     assert [r["target_ord"] is not None for r in resolved(made("from a import A\nx = A()\nx.run\n")).references.where("name = 'run'").collect()] == [True] and asked
+
+
+def test_levels_use_each_edge_once(spark, monkeypatch):
+    """Of a graph whose layers double, peeled edges are few times the edges; before, every round went over all of them."""
+    made = []
+
+    def counted(df, label="step", by=None):
+        out = written(df, label, by)
+        if label in ("peeled", "levels", "step"):
+            made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    n = 400
+    edges = spark.createDataFrame([(k, d) for k in range(1, n) for d in {k // 2, k // 3}], "src int, dst int")
+    nodes = spark.createDataFrame([(k,) for k in range(n)], "node int")
+    assert {r["node"]: r["level"] for r in graph.longest_levels(edges, nodes).collect()} == {k: k.bit_length() for k in range(n)}
+    peeled = [m for label, m in made if label == "peeled"]
+    assert peeled[0] < 2 * n and sum(peeled) < 2.5 * peeled[0] and sum(m for label, m in made if label == "levels") < 4 * n
+
+
+def test_levels_of_a_thin_graph_below_a_wide_one(spark):
+    """A ladder is climbed, what fans out above it is peeled."""
+    ladder = [(k, d) for k in range(2, 30) for d in (k - 1, k - 2)]
+    fan = [(1000 + k, d) for k in range(300) for d in (29, 28 - k % 3)]
+    edges = spark.createDataFrame(ladder + fan, "src int, dst int")
+    nodes = spark.createDataFrame([(n,) for n in {x for e in ladder + fan for x in e}], "node int")
+    levels_of = {r["node"]: r["level"] for r in graph.longest_levels(edges, nodes).collect()}
+    assert all(levels_of[k] == k - 1 for k in range(1, 30)) and levels_of[0] == 0 and all(levels_of[1000 + k] == 29 for k in range(300))
