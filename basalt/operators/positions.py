@@ -72,17 +72,6 @@ def named_ranges(facts: DataFrame) -> DataFrame:
     return defs.unionByName(facts.where("fact in ('ref', 'import')").select("file", "fact", "ord", "name", "line", "col", "end_line", "end_col"))
 
 
-def symbols_at(points: DataFrame, facts: DataFrame) -> DataFrame:
-    """(file, at_line, at_col, fact, ord, name) of what is named at each place (file, line, col), if anything.
-
-    A definition comes before a reference, and that before an import; of several the one with the shortest range, then the first.
-    """
-    met = at_places(points, named_ranges(facts), ["fact", "ord", "name"])
-    rank = F.when(F.col("fact") == "def", 0).when(F.col("fact") == "ref", 1).otherwise(2)
-    best = F.min_by(F.struct("fact", "ord", "name"), F.struct(rank, F.col("end_line") - F.col("line"), F.col("end_col") - F.col("col"), "ord"))
-    return met.groupBy("file", "at_line", "at_col").agg(best.alias("b")).select("file", "at_line", "at_col", "b.*")
-
-
 def around(points: DataFrame, facts: DataFrame, kinds: tuple[str, ...] = ("class", "function", "method", "constructor")) -> DataFrame:
     """(file, at_line, at_col, ord, name, kind) of the innermost definition around each place: the one that starts last."""
     defs = facts.where((F.col("fact") == "def") & F.col("kind").isin(*kinds))
@@ -100,21 +89,38 @@ def definitions_at(points: DataFrame, facts: DataFrame, references: DataFrame, i
     """(file, at_line, at_col, symbol, reason, target_file, target_ord, target_line, target_col): goto-definition of every place.
 
     ``reason`` is resolved, external, unresolved or no-symbol. A definition leads to itself; a module to its file's start.
+    Of the names that hold a place a definition comes before a reference, and that before an import; of several the one with
+    the shortest range, then the first. The names that stand on asked lines are followed, each once, and meet the places last,
+    a line's names and places together: places, of which there are the most, are never shuffled one by one.
     """
-    found = symbols_at(points, facts)
+    lines = points.groupBy("file", F.col("line").alias("at_line")).agg(F.collect_set("col").alias("_cols"))
+    spans = named_ranges(facts).withColumn("at_line", F.explode(F.sequence("line", "end_line")))
+    met = spans.join(_each(lines), ["file", "at_line"]).where(F.exists("_cols", lambda c: _holds(c, F.col))).drop("_cols")
     by_ref = references.select("file", F.lit("ref").alias("fact"), "ord", "outcome", "target_file", "target_ord")
     by_import = imports.select("file", F.lit("import").alias("fact"), "ord", "outcome", "target_file", "target_ord")
-    told = found.join(_each(by_ref.unionByName(by_import)), ["file", "fact", "ord"], "left")
+    told = met.join(_each(by_ref.unionByName(by_import)), ["file", "fact", "ord"], "left")
     is_def = F.col("fact") == "def"
-    told = told.select("file", "at_line", "at_col", "name", F.when(is_def, "def").otherwise(F.col("outcome")).alias("outcome"), F.when(is_def, F.col("file")).otherwise(F.col("target_file")).alias("target_file"), F.when(is_def, F.col("ord")).otherwise(F.col("target_ord")).alias("target_ord"))
+    rank = F.when(is_def, 0).when(F.col("fact") == "ref", 1).otherwise(2)
+    place = (rank.alias("rank"), (F.col("end_line") - F.col("line")).alias("lines"), (F.col("end_col") - F.col("col")).alias("cols"))
+    told = told.select("file", "at_line", "line", "col", "end_line", "end_col", *place, "ord", "name", F.when(is_def, "def").otherwise(F.col("outcome")).alias("outcome"), F.when(is_def, F.col("file")).otherwise(F.col("target_file")).alias("target_file"), F.when(is_def, F.col("ord")).otherwise(F.col("target_ord")).alias("target_ord"))
     names = facts.where("fact = 'def'").select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), F.col("name_line").alias("d_line"), F.col("name_col").alias("d_col"))
     told = told.join(_each(names), ["target_file", "target_ord"], "left")
+    each = F.struct("rank", "lines", "cols", "ord", "name", "outcome", "target_file", "target_ord", "d_line", "d_col", "line", "col", "end_line", "end_col")
+    told = told.groupBy("file", "at_line").agg(F.collect_list(each).alias("_names"))
+    out = lines.join(_each(told), ["file", "at_line"], "left").select("file", "at_line", F.explode("_cols").alias("at_col"), "_names")
+    out = out.select("file", "at_line", "at_col", F.array_min(F.filter("_names", lambda n: _holds(F.col("at_col"), lambda c: F.col(c) if c == "at_line" else n[c]))).alias("b"))
+    out = out.select("file", "at_line", "at_col", "b.name", "b.outcome", "b.target_file", "b.target_ord", "b.d_line", "b.d_col")
     reason = F.when(F.col("outcome").isin("def", "module"), "resolved").when(F.col("outcome") == "external", "external").when(F.col("name").isNotNull(), "unresolved").otherwise("no-symbol")
     start = F.when(F.col("outcome") == "module", 1)
-    out = _placed(points).join(_each(told), ["file", "at_line", "at_col"], "left")
     return out.select("file", "at_line", "at_col", F.col("name").alias("symbol"), reason.alias("reason"), "target_file", "target_ord", F.coalesce("d_line", start).alias("target_line"), F.coalesce("d_col", start).alias("target_col"))
 
 
+def _holds(col: Column, of) -> Column:
+    """Whether a range holds column ``col`` of line ``at_line``, both ends included; ``of`` gives the range's places by name."""
+    after = (of("line") < of("at_line")) | ((of("line") == of("at_line")) & (of("col") <= col))
+    return after & ((of("at_line") < of("end_line")) | ((of("at_line") == of("end_line")) & (col <= of("end_col"))))
+
+
 def hovers_at(points: DataFrame, facts: DataFrame, references: DataFrame, imports: DataFrame) -> DataFrame:
     """``definitions_at`` with kind, dotted name, type, first line of documentation and number of uses of what is meant."""
     names = facts.where("fact = 'def'").select(F.col("file").alias("target_file"), F.col("ord").alias("target_ord"), "kind", "path", F.col("type_name").alias("type"), "doc")

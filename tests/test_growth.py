@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basalt.operators import codemap, graph, levels
+from basalt.operators import codemap, graph, levels, positions
 from basalt.operators.resolve import resolve_imports, resolved
 from basalt.plans.code import OF_LINKS, RESOLVED
 from basalt.sources import python_facts as python_facts_module
@@ -144,3 +144,17 @@ def test_levels_of_a_thin_graph_below_a_wide_one(spark):
     nodes = spark.createDataFrame([(n,) for n in {x for e in ladder + fan for x in e}], "node int")
     levels_of = {r["node"]: r["level"] for r in graph.longest_levels(edges, nodes).collect()}
     assert all(levels_of[k] == k - 1 for k in range(1, 30)) and levels_of[0] == 0 and all(levels_of[1000 + k] == 29 for k in range(300))
+
+
+def test_places_of_a_line_meet_its_names_together(spark):
+    """An import over two lines, places asked twice, and plans in which no place is shuffled by its column."""
+    text = "from a import (A as\n  B, C)\nB(C); A\n"
+    facts = written(python_facts(spark.createDataFrame([FILES[0], ("c.py", text, "python")], "rel string, text string, lang string")), "facts", by="fact")
+    known = resolved(facts)
+    points = spark.createDataFrame([("c.py", line, col) for line, col in ((1, 16), (1, 16), (2, 3), (2, 4), (2, 6), (3, 1), (3, 3), (3, 7), (4, 1))], "file string, line int, col int")
+    found = positions.definitions_at(points, facts, known.references, known.imports)
+    got = {(r["at_line"], r["at_col"]): (r["symbol"], r["reason"], r["target_file"], r["target_line"]) for r in found.collect()}
+    b, c = ("B", "resolved", "a.py", 1), ("C", "unresolved", None, None)
+    assert got == {(1, 16): b, (2, 3): b, (2, 4): b, (2, 6): c, (3, 1): b, (3, 3): ("C", "external", None, None), (3, 7): ("A", "unresolved", None, None), (4, 1): (None, "no-symbol", None, None)}
+    exchanged = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in line]
+    assert exchanged and not any("at_col" in line for line in exchanged)
